@@ -57,7 +57,7 @@ def search(text: str | None, cols: Sequence[str | Column], escape: bool = False)
     if not text:
         return None
     needle = escape_like(text) if escape else text
-    pattern = F.lit(f"%{needle}%")
+    pattern = f"%{needle}%"
     return functools.reduce(lambda a, b: a | b, [_c(c).ilike(pattern) for c in cols])
 
 
@@ -113,9 +113,10 @@ def try_number(col: str | Column, type_: str, default) -> Column:
 # ---------------------------------------------------------------- F7
 def visible_comments(df: DataFrame, viewer_role: str | None = None, status: str | None = None,
                      status_col: str = "status") -> DataFrame:
-    """Admins may choose a status (or see all); everybody else sees approved only."""
-    if viewer_role == "admin":
-        return where_all(df, [eq_if(status_col, status)])
+    """An admin who names a status sees that status; every other request
+    (including an admin naming none) sees approved comments only."""
+    if viewer_role == "admin" and status:
+        return df.where(F.col(status_col) == F.lit(status))
     return df.where(F.col(status_col) == "approved")
 
 

@@ -122,7 +122,10 @@ def rating_average(total: Column, n: Column) -> Column:
     Integer arithmetic: round(100*s/n) = (200*s + n) div (2*n) for s, n > 0;
     no intermediate decimal or double rounding. Null when n is 0 or null.
     """
-    hundredths = (F.lit(200) * total.cast("bigint") + n.cast("bigint")) // (F.lit(2) * n.cast("bigint"))
+    num = F.lit(200) * total.cast("bigint") + n.cast("bigint")
+    den = F.lit(2) * n.cast("bigint")
+    # (num - num mod den) is an exact multiple of den, so the quotient is exact.
+    hundredths = ((num - F.pmod(num, den)) / den).cast("bigint")
     return F.when(n > 0, (hundredths.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(3,2)"))
 
 

@@ -141,6 +141,12 @@ class Marketplace:
             self._cache[name] = self.spark.sql(sql, **frames)
         return self._cache[name]
 
+    def __contains__(self, name: str) -> bool:
+        return name in DERIVED_SQL or name in self._cache
+
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        self._cache[name] = df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in DERIVED_SQL:
             return self[name]
