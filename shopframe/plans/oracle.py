@@ -6,15 +6,16 @@ form of the source model, over the same derived tables (as CTEs).
 
 from __future__ import annotations
 
-from ..sources.fixtures import DERIVED_SQL, _PLACEHOLDER
+from ..sources.fixtures import DERIVED_SQL, _PLACEHOLDER, dependency_order
 
 ORACLE: dict[str, str] = {}
 
 
 def W(names: str, *extra: str) -> str:
-    """WITH clause: derived tables named in ``names`` plus extra ``x AS (...)`` CTEs."""
+    """WITH clause: derived tables named in ``names`` (and the derived tables
+    they read) plus extra ``x AS (...)`` CTEs."""
     parts = []
-    for n in names.split():
+    for n in dependency_order(names.split()):
         body = _PLACEHOLDER.sub(lambda m: m.group(1), DERIVED_SQL[n]).strip()
         parts.append(f"{n} AS ({body})")
     parts.extend(extra)
@@ -52,4 +53,4 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(CEIL(COUNT(*) / 10.0) AS BIGINT)
 FROM sellers s JOIN users u ON s.user_id = u.id WHERE s.status = 'active'""")
 
 # The remaining twins live in topic modules that import ``sql`` and ``W`` from here.
-from . import oracle_listings  # noqa: E402,F401
+from . import oracle_changes, oracle_listings  # noqa: E402,F401

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import marketplace
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +27,11 @@ def register(name: str):
 
 
 def tables(spark: SparkSession, sf_dir: str):
+    ensure_checkpoint_dir(spark)
     return marketplace(spark, sf_dir)
 
 
 def load_all() -> dict[str, QueryFn]:
     # Importing the query modules fills REGISTRY.
-    from . import queries  # noqa: F401
+    from . import queries, queries_changes  # noqa: F401
     return dict(REGISTRY)

@@ -113,6 +113,91 @@ SELECT event_id AS id, user_id, 'tok' || CAST(event_id AS STRING) AS token,
 FROM {events} WHERE event_type = 'view'""",
 }
 
+# Stand-in change and request frames (FIXTURES §3). Each only reshapes rows
+# of the test tables into the schema a change operator expects; ``{name}``
+# may name a raw or a derived table. Every frame carries (change_ts, seq)
+# where order matters.
+CHANGE_SQL: dict[str, str] = {
+    "code_submissions": """
+SELECT user_id, verification_code AS code, created_at + INTERVAL 1 MINUTE * CAST(id % 20 AS INT) AS submitted_at
+FROM {email_verifications}""",
+    "presented_tokens": """
+SELECT 'tok' || CAST(event_id AS STRING) AS token FROM {events} WHERE event_type IN ('view', 'click')""",
+    "address_requests": """
+SELECT user_id, CASE WHEN event_id % 2 = 0 THEN user_id + 1000000 ELSE user_id END AS id,
+       ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type = 'click'""",
+    "deleted_images": """
+SELECT id FROM {product_images} WHERE image_url LIKE '%/fr/%'""",
+    "image_uploads": """
+SELECT CAST(FLOOR(page_id / 2) AS BIGINT) AS product_id, '/uploads/' || CAST(page_id AS STRING) AS image_url,
+       CAST(DATE '2024-01-20' AS TIMESTAMP) AS change_ts, 0 - page_id AS seq
+FROM {pages}""",
+    "user_changes": """
+SELECT user_id AS id, CASE WHEN event_id % 2 = 0 THEN upper(props) END AS first_name,
+       CASE WHEN value > 50 THEN event_type || CAST(event_id AS STRING) END AS last_name,
+       ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type = 'click'""",
+    "product_patches": """
+SELECT event_id % (SELECT COUNT(*) FROM {part}) AS id,
+       CASE event_id % 3 WHEN 0 THEN split('name,stock', ',') WHEN 1 THEN split('description', ',')
+            ELSE split('stock,status', ',') END AS present,
+       props AS name, CAST(NULL AS STRING) AS description, CAST(FLOOR(value) AS INT) AS stock,
+       CASE WHEN value > 50 THEN 'inactive' ELSE 'active' END AS status, ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type = 'view'""",
+    "cart_changes": """
+SELECT user_id, event_id % (SELECT COUNT(*) FROM {part}) AS product_id,
+       CAST(1 + FLOOR(value) % 60 AS INT) AS quantity, ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type = 'purchase'""",
+    "cart_clear_requests": """
+SELECT DISTINCT user_id FROM {events} WHERE event_type = 'error'""",
+    "cart_quantity_changes": """
+SELECT c.user_id + CASE WHEN ci.product_id % 5 = 0 THEN 1 ELSE 0 END AS user_id, ci.cart_id, ci.product_id,
+       ci.quantity + 10 AS quantity, ci.created_at AS change_ts, ci.product_id AS seq
+FROM {cart_items} ci JOIN {carts} c ON ci.cart_id = c.id""",
+    "feature_replacements": """
+SELECT p_partkey AS product_id, 'material' AS name, p_type AS value FROM {part} WHERE p_size > 40
+UNION ALL SELECT p_partkey, 'label', p_name FROM {part} WHERE p_size > 45""",
+    "emptied_feature_parents": """
+SELECT p_partkey AS product_id FROM {part} WHERE p_size = 1""",
+    "product_delete_requests": """
+SELECT user_id AS requester_id, event_id % (SELECT COUNT(*) FROM {part}) AS id
+FROM {events} WHERE event_type = 'error'""",
+    "order_status_changes": """
+SELECT oi.order_id, p.seller_id + CASE WHEN oi.line_no = 1 THEN 0 ELSE 1 END AS seller_user_id,
+       CASE oi.line_no WHEN 1 THEN 'shipped' WHEN 2 THEN 'canceled' WHEN 3 THEN 'bogus' ELSE 'delivered' END AS status,
+       TIMESTAMP '2024-01-20 00:00:00' AS change_ts, CAST(oi.line_no AS BIGINT) AS seq
+FROM {order_items} oi JOIN {products} p ON oi.product_id = p.id""",
+    "comment_moderation": """
+SELECT event_id AS comment_id, CASE WHEN value > 50 THEN 'approved' ELSE 'rejected' END AS status,
+       ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type = 'view'""",
+    "seller_requests": """
+SELECT id AS user_id, 'Shop#' || CAST(id % 40 AS STRING) AS shop_name, CAST(created_at AS TIMESTAMP) AS change_ts,
+       id AS seq
+FROM {users} WHERE first_name = 'BUILDING'""",
+    "registrations": """
+SELECT c_custkey AS request_id, c_mktsegment AS first_name, c_name AS last_name,
+       CASE WHEN c_custkey % 4 = 0 THEN lower(c_name) || '@example.com'
+            ELSE lower(c_name) || '@new.example.org' END AS email,
+       CASE WHEN c_custkey % 3 = 0 THEN '09' || lpad(CAST(c_custkey + 1 AS STRING), 9, '0')
+            ELSE '091' || lpad(CAST(c_custkey AS STRING), 8, '0') END AS phone_number,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Passw0rd' || CAST(c_custkey AS STRING) ELSE 'password' END AS password
+FROM {customer}""",
+    "profile_changes": """
+SELECT u.id, CASE WHEN u.id % 2 = 0 THEN n.email ELSE 'new' || u.email END AS email,
+       CAST(NULL AS STRING) AS phone_number, 'Name' || CAST(u.id AS STRING) AS first_name,
+       CAST(NULL AS STRING) AS last_name, CAST(u.created_at AS TIMESTAMP) AS change_ts, u.id AS seq
+FROM {users} u LEFT JOIN {users} n ON n.id = u.id + 1""",
+    "uploads": """
+SELECT page_id AS upload_id, CAST(FLOOR(page_id / 3) AS BIGINT) AS product_id, url AS filename,
+       CASE WHEN url LIKE '%/en/%' THEN 'image/png' WHEN url LIKE '%/fr/%' THEN 'image/gif' ELSE 'image/jpeg' END
+         AS mimetype,
+       length(html) * 1000 AS size
+FROM {pages}""",
+}
+DERIVED_SQL.update(CHANGE_SQL)
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
@@ -120,6 +205,22 @@ def raw_names(name: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(DERIVED_SQL[name])))
 
 
+def dependency_order(names) -> list[str]:
+    """Derived names plus the derived tables they read, dependencies first."""
+    out: list[str] = []
+
+    def visit(n):
+        if n in out or n not in DERIVED_SQL:
+            return
+        for dep in raw_names(n):
+            visit(dep)
+        out.append(n)
+
+    for n in names:
+        visit(n)
+    return out
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -137,7 +238,7 @@ class Marketplace:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
             sql = DERIVED_SQL[name]
-            frames = {r: self.raw(r) for r in raw_names(name)}
+            frames = {r: (self[r] if r in DERIVED_SQL else self.raw(r)) for r in raw_names(name)}
             self._cache[name] = self.spark.sql(sql, **frames)
         return self._cache[name]
 
