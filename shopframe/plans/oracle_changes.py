@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.fixtures import AS_OF
-from .oracle import W, sql
+from .oracle import ORACLE, W, sql
 
 TS = f"TIMESTAMP '{AS_OF}'"
 
@@ -321,6 +321,31 @@ SELECT {_key('order', 'l.l_orderkey')} AS order_id,
   CAST(l.l_extendedprice AS DECIMAL(12,2)) AS price_at_time, l.l_orderkey AS doc_id
 FROM lineitem l WHERE l.l_orderkey IN (SELECT doc_id FROM valid)""")
 
+# ---------------------------------------------------------------- streaming twins (batch form)
+sql("stream_ratings", W("comments") + f"""
+SELECT c.parent_type, c.parent_id, COUNT(*) AS n_ratings, {_RATING} AS average_rating
+FROM comments c WHERE c.status = 'approved' GROUP BY c.parent_type, c.parent_id""")
+sql("stream_window_counts", """
+SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts) AS window_start,
+  time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end, COUNT(*) AS n, COUNT(*) > 1500 AS over_limit
+FROM events GROUP BY user_id, time_bucket(INTERVAL 15 MINUTE, ts)""")
+sql("stream_sliding_attempts", W("email_verifications") + """
+SELECT user_id, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, COUNT(*) AS n, COUNT(*) >= 5 AS at_limit
+FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, created_at) - INTERVAL 5 MINUTE * CAST(k AS INTEGER) AS ws
+      FROM email_verifications CROSS JOIN range(0, 12) AS r(k)) x
+GROUP BY user_id, ws""")
+# Applying the change feed batch by batch must equal applying it at once.
+sql("stream_apply_changes", ORACLE["patch_coalesce"])
+sql("stream_expiry", W("refresh_tokens") + """
+SELECT * FROM refresh_tokens
+WHERE NOT (expires_at < (SELECT MAX(created_at) FROM refresh_tokens) OR COALESCE(is_revoked, FALSE))""")
+sql("stream_enrich", W("comments users products blogs") + """
+SELECT c.*, u.first_name AS author_first_name, u.last_name AS author_last_name, p.name AS parent_name,
+  b.title AS parent_title
+FROM comments c LEFT JOIN users u ON c.user_id = u.id
+LEFT JOIN products p ON c.parent_type = 'product' AND c.parent_id = p.id
+LEFT JOIN blogs b ON c.parent_type = 'blog' AND c.parent_id = b.id""")
+
 # ---------------------------------------------------------------- audits
 _UQ = [("users", "email", "id"), ("users", "phone_number", "id"), ("sellers", "shop_name", "id"),
        ("refresh_tokens", "token", "id")]
