@@ -38,8 +38,10 @@ def new_key(key_type: T.DataType, namespace: str, *cols: str | Column) -> Column
     """
     parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
     text = F.concat_ws(":", F.lit(namespace), *parts)
-    if isinstance(key_type, (T.LongType, T.IntegerType)):
+    if isinstance(key_type, T.LongType):
         return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    if isinstance(key_type, T.IntegerType):  # 28 bits keep int keys positive
+        return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("int")
     return F.sha2(text, 256)
 
 
