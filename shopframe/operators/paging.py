@@ -85,6 +85,39 @@ def page_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column
               .where((F.col(rank_col) > int(offset)) & (F.col(rank_col) <= hi)))
 
 
+MAX_PAGE_KEYS = 10_000
+
+
+def page_keys(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0,
+              key: str = "id") -> list:
+    """Phase 1 of a page: the page's keys, at most ``limit`` values.
+
+    Only the key, sort and filter columns are read (Catalyst prunes the scan
+    to them), and the top-k keeps ``offset + limit`` rows per task. The keys
+    are brought to the driver: their number is bounded by the page size.
+    """
+    if limit > MAX_PAGE_KEYS:
+        raise ValueError(f"page size above {MAX_PAGE_KEYS}; use keyset_page")
+    return [r[0] for r in page(df, order, limit, offset).select(key).collect()]
+
+
+def by_keys(df: DataFrame, col: str, keys: list) -> DataFrame:
+    """Rows whose ``col`` is one of a bounded key list (phase 2 of a page).
+
+    A literal IN-list reaches the parquet scan as a pushed filter, so row
+    groups without any of the keys are skipped."""
+    vals = [k for k in keys if k is not None]
+    if not vals:
+        return df.limit(0)
+    return df.where(F.col(col).isin(vals))
+
+
+def in_page_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Order a page's rows (bounded by the page size) in one partition,
+    without the sampling job and shuffle of a global range sort."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def restrict_to_keys(child: DataFrame, keys: DataFrame, child_fk: str, key_col: str = "id") -> DataFrame:
     """Children of a *page* of parents.
 

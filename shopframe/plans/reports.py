@@ -16,7 +16,8 @@ from ..functions.ordering import multi_order, order_spec
 from ..functions.text import preview
 from ..operators import metrics as A
 from ..operators import nest as N
-from ..operators.paging import DEFAULT_LIMIT, page, page_info, page_per_key, restrict_to_keys, top_k
+from ..operators.paging import (DEFAULT_LIMIT, by_keys, in_page_order, page, page_info, page_keys, page_per_key,
+                                restrict_to_keys)
 from ..schemas import ENUMS
 
 Tables = Mapping[str, DataFrame]
@@ -27,20 +28,26 @@ SELLER_ENUMS = {"status": ENUMS["seller_status"]}
 
 # ---------------------------------------------------------------- Q15 (flagship)
 def seller_leaderboard(t: Tables, status: str | None = None, sort_by: str = "created_at",
-                       order: str = "DESC", limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
-    """A page of the seller scorecard (Q15)."""
+                       order: str = "DESC", limit: int = DEFAULT_LIMIT, offset: int = 0,
+                       with_distinct_orders: bool = False) -> DataFrame:
+    """A page of the seller scorecard (Q15): one pass over order lines.
+
+    ``with_distinct_orders`` adds the order count (D10), which needs a second
+    pass over the lines (orders cannot be counted from per-product totals).
+    """
     spec = order_spec(sort_by, order, SELLER_SORT, enums=SELLER_ENUMS)
     board = A.seller_scorecard(t["sellers"], t["users"], t["products"], t["order_items"],
-                               t["shop_orders"], status=status)
+                               t["shop_orders"], status=status, with_distinct_orders=with_distinct_orders)
     return page(board, spec, limit, offset)
 
 
 def seller_leaderboard_full(t: Tables, status: str | None = None, sort_by: str = "created_at",
-                            order: str = "DESC") -> DataFrame:
+                            order: str = "DESC", with_distinct_orders: bool = True) -> DataFrame:
     """The whole scorecard in leaderboard order (every page at once)."""
     spec = order_spec(sort_by, order, SELLER_SORT, enums=SELLER_ENUMS)
     return A.seller_scorecard(t["sellers"], t["users"], t["products"], t["order_items"],
-                              t["shop_orders"], status=status).orderBy(*spec)
+                              t["shop_orders"], status=status,
+                              with_distinct_orders=with_distinct_orders).orderBy(*spec)
 
 
 def seller_leaderboard_count(t: Tables, status: str | None = None, limit: int = DEFAULT_LIMIT,
@@ -65,23 +72,31 @@ def present(df: DataFrame, cols: Sequence) -> list:
 PRODUCT_COLS = ["id", "name", "price", "description", "stock", "status", "created_at", "updated_at"]
 
 
-def with_seller(products: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Left join seller name and rating (J2): products without a seller keep nulls."""
+def with_seller(products: DataFrame, sellers: DataFrame, page_rows: bool = False) -> DataFrame:
+    """Left join seller name and rating (J2): products without a seller keep nulls.
+
+    With ``page_rows`` the products are one page (bounded), so only the
+    sellers they name are kept first (broadcast semi join of <= page-size
+    ids) and the seller table is never shuffled.
+    """
     s = sellers.select(F.col("id").alias("__sid"), F.col("shop_name").alias("seller_name"),
                        F.col("rating").alias("seller_rating"))
+    if page_rows:
+        s = restrict_to_keys(s, products.where(F.col("seller_id").isNotNull()), "__sid", "seller_id")
     return products.join(s, products["seller_id"] == s["__sid"], "left").drop("__sid")
 
 
-def attach_product_children(rows: DataFrame, t: Tables, keys_bounded: bool, empty: str = "null",
+def attach_product_children(rows: DataFrame, t: Tables, keys: list | None = None, empty: str = "null",
                             image_url_field: str = "image_url", with_features: bool = True) -> DataFrame:
     """Categories, images and features of the given product rows.
 
-    Children are first restricted to the rows' ids (a broadcast semi join
-    when ``keys_bounded``, i.e. the rows are one page), then aggregated.
+    Children are first restricted to the rows' ids, then aggregated: with
+    ``keys`` (a page's bounded key list) by a pushed-down IN filter,
+    otherwise by a semi join with the rows.
     """
     def only(child, fk):
-        if keys_bounded:
-            return restrict_to_keys(child, rows, fk)
+        if keys is not None:
+            return by_keys(child, fk, keys)
         return child.join(rows.select(F.col("id").alias("__k")).distinct(), F.col(fk) == F.col("__k"),
                           "left_semi")
 
@@ -98,12 +113,17 @@ def attach_product_children(rows: DataFrame, t: Tables, keys_bounded: bool, empt
 
 
 def product_page(t: Tables, filtered: DataFrame, spec, limit: int, offset: int) -> DataFrame:
-    """Page first, then nest: children are aggregated for the page's rows only."""
+    """Page first, then nest: children are aggregated for the page's rows only.
+
+    Phase 1 finds the page's keys from the key/sort/filter columns alone;
+    phase 2 reads full rows and children for just those keys.
+    """
+    keys = page_keys(filtered, spec, limit, offset)
     cols = present(filtered, PRODUCT_COLS + ["seller_id"])
-    pg = page(filtered.select(*cols), spec, limit, offset)
-    out = with_seller(pg, t["sellers"]).drop("seller_id")
-    out = attach_product_children(out, t, keys_bounded=True)
-    return out.orderBy(*spec)
+    rows = by_keys(filtered, "id", keys).select(*cols)
+    out = with_seller(rows, t["sellers"], page_rows=True).drop("seller_id")
+    out = attach_product_children(out, t, keys=keys)
+    return in_page_order(out, spec)
 
 
 # ---------------------------------------------------------------- Q1 catalogue
@@ -168,7 +188,7 @@ def product_details(t: Tables, keys: DataFrame, key_col: str = "id") -> DataFram
     prods = t["products"].select(*present(t["products"], PRODUCT_COLS + ["seller_id"]))
     found = lookup(prods, keys, "id", key_col, missing="flag")
     out = with_seller(found, t["sellers"]).drop("seller_id")
-    return attach_product_children(out, t, keys_bounded=False)
+    return attach_product_children(out, t)
 
 
 CATEGORY_SORT = ["created_at", "price", "name", "updated_at"]
@@ -229,7 +249,7 @@ def seller_products(t: Tables, status=None, category=None, min_price=None, max_p
     cols = present(paged, ["id", ("name", "title"), "description", "price", "stock", "status", "created_at",
                            "updated_at", "seller_id", "rank_in_key"])
     rows = with_seller(paged.select(*cols), t["sellers"])
-    rows = attach_product_children(rows, t, keys_bounded=False, empty="array", image_url_field="url",
+    rows = attach_product_children(rows, t, empty="array", image_url_field="url",
                                    with_features=False)
     lines = t["order_items"].join(rows.select(F.col("id").alias("__k")), F.col("product_id") == F.col("__k"), "left_semi")
     rows = A.attach_counts(rows, A.count_by(lines, "product_id", "total_orders"), "id", ["total_orders"])
@@ -354,11 +374,17 @@ def blog_listing(t: Tables, category=None, sort_by: str = "created_at", order: s
     spec = order_spec(sort_by, order, BLOG_SORT)
     b = P.where_all(t["blogs"], [P.eq_if("category", category)])
     cols = present(b, ["id", "title", "content", "category", "views", "created_at", "updated_at", "author_id"])
-    rows = page(b.select(*cols), spec, limit, offset) if per_page else b.select(*cols)
     u = t["users"].select(F.col("id").alias("__uid"), F.col("first_name").alias("author_first_name"),
                           F.col("last_name").alias("author_last_name"))
+    if per_page:
+        keys = page_keys(b, spec, limit, offset)
+        rows = by_keys(b, "id", keys).select(*cols)
+        u = restrict_to_keys(u, rows.where(F.col("author_id").isNotNull()), "__uid", "author_id")
+        keyed = lambda child, fk: by_keys(child, fk, keys)
+    else:
+        rows = b.select(*cols)
+        keyed = lambda child, fk: child
     rows = rows.join(u, rows["author_id"] == u["__uid"], "left").withColumn("author_id", F.col("__uid")).drop("__uid")
-    keyed = (lambda child, fk: restrict_to_keys(child, rows, fk)) if per_page else (lambda child, fk: child)
     blog_comments = keyed(t["comments"].where(F.col("parent_type") == "blog"), "parent_id")
     rows = A.attach_counts(rows, A.count_by(blog_comments, "parent_id", "comment_count"), "id", ["comment_count"])
     if "blog_tags" in t:
@@ -369,7 +395,7 @@ def blog_listing(t: Tables, category=None, sort_by: str = "created_at", order: s
         rows = N.nest(rows, keyed(t["blog_images"], "blog_id"), ("id", "blog_id"), ["id", ("image_url", "url")],
                       "images", empty="array")
     rows = rows.withColumn("content", preview("content"))
-    return rows.orderBy(*spec)
+    return in_page_order(rows, spec) if per_page else rows.orderBy(*spec)
 
 
 # ---------------------------------------------------------------- Q28 / Q29 comments
@@ -395,19 +421,27 @@ def moderation_list(t: Tables, status=None, parent_type=None, search=None, sort_
     """Q28: filtered page of all comments with the author object and the
     polymorphic parent object (J12); sorting by status follows enum order."""
     spec = order_spec(sort_by, order, MODERATION_SORT, enums={"status": ENUMS["comment_status"]})
-    j = _comment_filter(t, status, parent_type, search)
-    cols = present(j, ["id", "content", "rating", "status", "parent_type", "parent_id", "created_at", "updated_at"])
-    ucols = [F.col("__uid").alias("id"), F.col("u_first_name").alias("first_name"),
-             F.col("u_last_name").alias("last_name"), F.col("u_email").alias("email")]
+    keys = page_keys(_comment_filter(t, status, parent_type, search), spec, limit, offset)
+    # Phase 2: the page's comments and only the users / parents they name.
+    c = by_keys(t["comments"], "id", keys)
+    cols = present(c, ["id", "content", "rating", "status", "parent_type", "parent_id", "created_at", "updated_at"])
+    ucols = [F.col("id").alias("__uid"), F.col("first_name").alias("u_first_name"),
+             F.col("last_name").alias("u_last_name"), F.col("email").alias("u_email")]
+    if "profile_image_url" in t["users"].columns:
+        ucols.append(F.col("profile_image_url").alias("u_profile_image_url"))
+    u = restrict_to_keys(t["users"].select(*ucols), c.where(F.col("user_id").isNotNull()), "__uid", "user_id")
+    j = c.join(u, c["user_id"] == u["__uid"], "left")
+    user = [F.col("__uid").alias("id"), F.col("u_first_name").alias("first_name"),
+            F.col("u_last_name").alias("last_name"), F.col("u_email").alias("email")]
     if "u_profile_image_url" in j.columns:
-        ucols.append(F.col("u_profile_image_url").alias("profile_image_url"))
-    rows = page(j.select(*cols, F.struct(*ucols).alias("user")), spec, limit, offset)
+        user.append(F.col("u_profile_image_url").alias("profile_image_url"))
+    rows = j.select(*cols, F.struct(*user).alias("user"))
     prods = restrict_to_keys(t["products"], rows.where(F.col("parent_type") == "product"), "id", "parent_id")
     blogs = restrict_to_keys(t["blogs"], rows.where(F.col("parent_type") == "blog"), "id", "parent_id")
     rows = N.polymorphic_parent(rows, "parent_type", "parent_id",
                                 {"product": (prods, "id", {"name": "name"}),
                                  "blog": (blogs, "id", {"title": "title"})}, "parent_item")
-    return rows.orderBy(*spec)
+    return in_page_order(rows, spec)
 
 
 def moderation_count(t: Tables, status=None, parent_type=None, search=None, limit=DEFAULT_LIMIT, offset=0):
@@ -478,12 +512,12 @@ def user_listing(t: Tables, role=None, is_verified=None, search=None, sort_by: s
     u = user_filter(t, role, is_verified, search)
     u = u.select(*present(u, ["id", "first_name", "last_name", "email", "phone_number", "role", "is_verified",
                               "created_at", "updated_at"]))
-    rows = page(u, spec, limit, offset)
-    sel = restrict_to_keys(t["sellers"], rows, "user_id")
-    rows = N.attach_one(rows, seller_of_user(sel), "id")
-    orders = restrict_to_keys(t["shop_orders"], rows, "user_id")
+    keys = page_keys(u, spec, limit, offset)
+    rows = by_keys(u, "id", keys)
+    rows = N.attach_one(rows, seller_of_user(by_keys(t["sellers"], "user_id", keys)), "id")
+    orders = by_keys(t["shop_orders"], "user_id", keys)
     rows = A.attach_counts(rows, A.count_by(orders, "user_id", "total_orders"), "id", ["total_orders"])
-    return rows.orderBy(*spec)
+    return in_page_order(rows, spec)
 
 
 def user_count(t: Tables, role=None, is_verified=None, search=None, limit=DEFAULT_LIMIT, offset=0):

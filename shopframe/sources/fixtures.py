@@ -226,10 +226,15 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Marketplace:
-    """Lazily derived marketplace tables for one test-data directory."""
+    """Lazily derived marketplace tables for one test-data directory.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    With ``landed`` (a folder written by ``land``) the derived tables are
+    read back as plain parquet tables, as in production where they are
+    landed once and scanned by every report.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, landed: str | None = None):
+        self.spark, self.sf_dir, self.landed = spark, sf_dir, landed
         self._cache: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
@@ -237,6 +242,9 @@ class Marketplace:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
+            if self.landed and name in DERIVED_SQL:
+                self._cache[name] = self.spark.read.parquet(f"{self.landed.rstrip('/')}/{name}")
+                return self._cache[name]
             sql = DERIVED_SQL[name]
             frames = {r: (self[r] if r in DERIVED_SQL else self.raw(r)) for r in raw_names(name)}
             self._cache[name] = self.spark.sql(sql, **frames)
@@ -254,8 +262,22 @@ class Marketplace:
         raise AttributeError(name)
 
 
+# sf_dir -> folder of landed derived tables (set by ``land``).
+LANDED: dict[str, str] = {}
+
+
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    return Marketplace(spark, sf_dir)
+    return Marketplace(spark, sf_dir, LANDED.get(sf_dir.rstrip("/")))
+
+
+def land(spark: SparkSession, sf_dir: str, dest: str, names=None) -> str:
+    """Write every derived table of ``sf_dir`` as parquet under ``dest`` and
+    make later ``marketplace(spark, sf_dir)`` calls read them from there."""
+    src = Marketplace(spark, sf_dir)
+    for n in (names or list(DERIVED_SQL)):
+        src[n].write.mode("overwrite").parquet(f"{dest.rstrip('/')}/{n}")
+    LANDED[sf_dir.rstrip("/")] = dest
+    return dest
 
 
 def duckdb_with(*names: str) -> str:
