@@ -131,6 +131,8 @@ UUID_PATTERN = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0
 IMAGE_MIME_TYPES = ["image/jpeg", "image/png", "image/webp"]
 MAX_IMAGE_BYTES = 5 * 1024 * 1024
 MAX_IMAGES_PER_PRODUCT = 5
+MAX_UPLOAD_BYTES = 10 * 1024 * 1024
+UPLOAD_TYPE_PATTERN = "jpeg|jpg|png"
 PAYMENT_METHODS = ["credit_card", "bank_transfer"]
 
 
@@ -242,8 +244,14 @@ def order_document_rules() -> list[Rule]:
 
 
 def upload_rules() -> list[Rule]:
-    """Q8 per-file rules."""
-    return [allowed_rule("mimetype", IMAGE_MIME_TYPES), range_rule("size", None, MAX_IMAGE_BYTES)]
+    """Q8 per-file rules (C12): payload rule on type and size, plus the
+    transport filter (extension and type must name jpeg/jpg/png, 10 MB)."""
+    from ..functions.text import file_extension
+    ext_ok = file_extension("filename").rlike(UPLOAD_TYPE_PATTERN)
+    type_ok = F.col("mimetype").rlike(UPLOAD_TYPE_PATTERN)
+    return [allowed_rule("mimetype", IMAGE_MIME_TYPES), range_rule("size", None, MAX_IMAGE_BYTES),
+            Rule("file_type", "filename", ~(ext_ok & type_ok)),
+            Rule("transport_size", "size", F.col("size") > F.lit(MAX_UPLOAD_BYTES))]
 
 
 def validate_uploads(uploads: DataFrame, key: str = "upload_id") -> DataFrame:

@@ -13,6 +13,7 @@ aggregate, so a key with a huge number of changes is combined map-side.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -519,6 +520,122 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
     return {"users": nu, "sellers": all_sellers, "rejected": rejected}
 
 
+# ---------------------------------------------------------------- Q11 / Q24 renames and creates with unique names
+def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequence[str], as_of=None,
+                  order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+    """Q11 / Q24 update: set name columns unless the new value (tuple) is
+    used by another row of the table before the batch or by an earlier
+    change of the batch (C1). Returns {'base', 'rejected'}."""
+    o = _order(order)
+    names = list(name_cols)
+    taken = base.select(F.col(key).alias("__owner"), *[F.col(c).alias(f"__t_{c}") for c in names])
+    cond = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__t_{c}") for c in names])
+    clash = changes.join(taken, cond & (F.col(key) != F.col("__owner")), "left_semi").withColumn(
+        "reason", F.lit("name already in use"))
+    rest = changes.join(clash.select(key, *order), [key, *order], "left_anti")
+    first = rest.groupBy(*names).agg(F.min(o).alias("__first"))
+    rest = rest.join(first, names)
+    dup = rest.where(o != F.col("__first")).drop("__first").withColumn("reason", F.lit("name already in use"))
+    ok = rest.where(o == F.col("__first")).drop("__first")
+    new = patch_coalesce(base, ok, key, names, as_of, order)
+    return {"base": new, "rejected": clash.unionByName(dup)}
+
+
+def create_unique(base: DataFrame, new_rows: DataFrame, table: str, name_cols: Sequence[str],
+                  key_namespace: str, as_of=None, order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+    """Q24 create (M1 + C1): insert rows whose name tuple is not taken (first
+    of the batch wins). Keys are derived from the name tuple."""
+    o = _order(order)
+    names = list(name_cols)
+    taken = base.select(*names).distinct()
+    fresh = new_rows.join(taken, names, "left_anti")
+    clash = new_rows.join(taken, names, "left_semi").withColumn("reason", F.lit("name already in use"))
+    first = fresh.groupBy(*names).agg(F.min(o).alias("__first"))
+    fresh = fresh.join(first, names)
+    dup = fresh.where(o != F.col("__first")).drop("__first").withColumn("reason", F.lit("name already in use"))
+    ok = fresh.where(o == F.col("__first")).drop("__first")
+    ok = ok.withColumn("id", new_key(base.schema["id"].dataType, key_namespace, *names))
+    all_rows, inserted = insert(base, ok, table, as_of)
+    return {"base": all_rows, "inserted": inserted, "rejected": clash.unionByName(dup)}
+
+
+# ---------------------------------------------------------------- Q30 comment create
+def create_comments(comments: DataFrame, new: DataFrame, parents: dict[str, DataFrame], as_of=None,
+                    key_namespace: str = "comment") -> dict[str, DataFrame]:
+    """New comments ``(user_id, parent_type, parent_id, content, rating, change_ts, seq)``.
+
+    Refused when the parent of the named type does not exist (the source's
+    trigger, J8), the rating is outside 1..5 or the content is not 2..1000
+    characters. Accepted ones are inserted as pending. Returns
+    {'comments', 'inserted', 'rejected'}."""
+    found = None
+    for ptype, table in sorted(parents.items()):
+        keys = table.select(F.col("id").alias("__pid")).withColumn("__ptype", F.lit(ptype))
+        found = keys if found is None else found.unionByName(keys)
+    j = new.join(found, (new["parent_type"] == F.col("__ptype")) & (new["parent_id"] == F.col("__pid")), "left")
+    n = F.length("content")
+    reason = (F.when(~F.col("parent_type").isin(ENUMS["comment_parent_type"]), F.lit("invalid parent type"))
+               .when(F.col("__pid").isNull(), F.lit("parent not found"))
+               .when(F.col("rating").isNull() | (F.col("rating") < 1) | (F.col("rating") > 5), F.lit("invalid rating"))
+               .when(F.col("content").isNull() | (n < 2) | (n > 1000), F.lit("invalid content")))
+    j = j.withColumn("reason", reason)
+    rejected = j.where(F.col("reason").isNotNull()).select(*new.columns, "reason")
+    ok = j.where(F.col("reason").isNull()).select(*new.columns)
+    ok = ok.withColumn("id", new_key(comments.schema["id"].dataType, key_namespace, "user_id", "seq"))
+    ok = ok.withColumn("created_at", F.col("change_ts"))
+    all_rows, inserted = insert(comments, ok, "comments", as_of)
+    return {"comments": all_rows, "inserted": inserted, "rejected": rejected}
+
+
+# ---------------------------------------------------------------- Q34 address create (M1 + W5 = M13)
+def create_addresses(addresses: DataFrame, new: DataFrame, as_of=None, key_namespace: str = "address",
+                     order: Sequence[str] = ORDER) -> DataFrame:
+    """New addresses ``(user_id, address, city, province, postal_code, is_default,
+    change_ts, seq)``: inserted (default flag false when absent); a new
+    default clears the user's other defaults, the last one of the batch
+    winning (M13)."""
+    from .windows import apply_exclusive_flag
+    rows = new.withColumn("id", new_key(addresses.schema["id"].dataType, key_namespace, "user_id", order[-1]))
+    all_rows, inserted = insert(addresses, rows.withColumn("created_at", F.col(order[0])), "addresses", as_of)
+    req = rows.where(F.coalesce(F.col("is_default"), F.lit(False))).select("user_id", "id", *order)
+    return apply_exclusive_flag(all_rows, req, as_of=as_of)
+
+
+# ---------------------------------------------------------------- Q5 product create (S3 + M1 + C10)
+PRODUCT_DOC_SCHEMA = T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("price", T.LongType()),
+    T.StructField("description", T.StringType()),
+    T.StructField("stock", T.IntegerType()),
+    T.StructField("categories", T.ArrayType(T.StringType())),
+    T.StructField("features", T.ArrayType(T.StructType([T.StructField("name", T.StringType()),
+                                                        T.StructField("value", T.StringType())]))),
+])
+
+
+def create_products(documents: DataFrame, doc_id: str = "doc_id", seller_col: str = "seller_id",
+                    json_col: str = "document", as_of=None, key_type: T.DataType = T.LongType()) -> dict[str, DataFrame]:
+    """Q5: product documents -> products (defaults applied: stock 0, status
+    active), bridge rows and feature rows, in one unit; invalid documents
+    (C10: name, price > 0, at least one category, stock >= 0) are reported.
+    Returns {'products', 'product_categories', 'product_features', 'violations'}."""
+    from .audit import array_size_rule, range_rule, required_rule, validate
+    parsed = documents.withColumn("__d", F.from_json(F.col(json_col), PRODUCT_DOC_SCHEMA)).select(
+        doc_id, seller_col, "__d.*")
+    rules = [required_rule("name"), required_rule("price"), range_rule("price", 0, None, low_exclusive=True),
+             required_rule("categories"), array_size_rule("categories", 1, None), range_rule("stock", 0, None)]
+    valid, violations = validate(parsed, rules, doc_id, "product_documents")
+    valid = valid.withColumn("id", new_key(key_type, "product", doc_id))
+    products = with_defaults(valid.select("id", F.col(seller_col).alias("seller_id"), "name", "price",
+                                          "description", "stock", F.lit(None).cast("string").alias("status")),
+                             "products", as_of)
+    bridge = valid.select(F.col("id").alias("product_id"), F.explode("categories").alias("category_id"))
+    feats = valid.select(F.col("id").alias("product_id"), F.explode_outer("features").alias("__f")).where(
+        F.col("__f").isNotNull()).select("product_id", "__f.name", "__f.value")
+    return {"products": products, "product_categories": bridge, "product_features": feats,
+            "violations": violations}
+
+
 # ---------------------------------------------------------------- S3 / M21
 ORDER_DOC_SCHEMA = T.StructType([
     T.StructField("address_id", T.StringType()),

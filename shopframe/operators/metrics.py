@@ -60,27 +60,39 @@ def per_product_sales(items: DataFrame) -> DataFrame:
 
 def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
                      order_items: DataFrame, orders: DataFrame, status: str | None = None,
-                     with_distinct_orders: bool = True) -> DataFrame:
+                     with_distinct_orders: bool = True, seller_keys: list | None = None) -> DataFrame:
     """Every seller with owner columns, product count, order-line count and revenue.
 
     ``total_orders`` keeps the source meaning (number of order *lines*);
     ``distinct_orders`` counts orders. Revenue is ``sum(quantity * price_at_time)``
     with 0 when the seller sold nothing.
+
+    Plan: order lines are reduced to one row per product (partial
+    aggregation), left-joined to the products, and one aggregate per seller
+    yields product count, line count and revenue together. With
+    ``seller_keys`` (a page's bounded seller ids) only those sellers'
+    products, and only their order lines, are touched.
     """
+    from .paging import by_keys
     s = sellers if status is None else sellers.where(F.col("status") == status)
-    items = items_in_orders(order_items, orders)
+    prod = products.select(F.col("id").alias("__pid"), "seller_id").where(F.col("seller_id").isNotNull())
+    lines = order_items
+    if seller_keys is not None:
+        s = by_keys(s, "id", seller_keys)
+        prod = by_keys(prod, "seller_id", seller_keys)
+        lines = order_items.join(prod.select(F.col("__pid").alias("__lp")),
+                                 order_items["product_id"] == F.col("__lp"), "left_semi")
+    items = items_in_orders(lines, orders)
     sales = per_product_sales(items)
-    prod = products.select(F.col("id").alias("__pid"), "seller_id")
-    by_seller = (sales.join(prod, sales["product_id"] == prod["__pid"], "inner")
-                      .groupBy(F.col("seller_id").alias("__k"))
-                      .agg(F.sum("n_items").alias("total_orders"),
-                           F.sum("revenue").alias("total_revenue")))
-    n_products = count_by(products, "seller_id", "total_products")
+    by_seller = (prod.join(sales, prod["__pid"] == sales["product_id"], "left")
+                     .groupBy(F.col("seller_id").alias("__k"))
+                     .agg(F.count(F.lit(1)).alias("total_products"),
+                          F.sum("n_items").alias("total_orders"),
+                          F.sum("revenue").alias("total_revenue")))
     u = users.select(F.col("id").alias("user_id"), "first_name", "last_name", "email", "phone_number")
     out = (s.select("id", "shop_name", "status", "rating", "created_at", F.col("user_id").alias("__uid"))
             .join(u, F.col("__uid") == u["user_id"], "inner").drop("__uid"))
-    out = attach_counts(out, n_products, "id", ["total_products"])
-    out = attach_counts(out, by_seller, "id", ["total_orders"])
+    out = attach_counts(out, by_seller, "id", ["total_products", "total_orders"])
     out = out.withColumn("total_revenue", F.coalesce(F.col("total_revenue"), F.lit(0)).cast(OUT_MONEY))
     if with_distinct_orders:
         pairs = (items.select("order_id", "product_id")

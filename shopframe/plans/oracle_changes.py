@@ -321,6 +321,69 @@ SELECT {_key('order', 'l.l_orderkey')} AS order_id,
   CAST(l.l_extendedprice AS DECIMAL(12,2)) AS price_at_time, l.l_orderkey AS doc_id
 FROM lineitem l WHERE l.l_orderkey IN (SELECT doc_id FROM valid)""")
 
+# ---------------------------------------------------------------- Q11 / Q24 / Q30 / Q34 / Q5
+_REN = ("""clash AS (SELECT ch.*, 'name already in use' AS reason FROM seller_renames ch
+  WHERE EXISTS (SELECT 1 FROM sellers s WHERE s.shop_name = ch.shop_name AND s.id <> ch.id))""",
+        """ranked AS (SELECT ch.*, ROW_NUMBER() OVER (PARTITION BY shop_name ORDER BY change_ts, seq) AS rn
+  FROM seller_renames ch WHERE NOT EXISTS (SELECT 1 FROM clash c WHERE c.id = ch.id AND c.seq = ch.seq))""",
+        f"""pk AS (SELECT id, {_last('shop_name', 'shop_name IS NOT NULL')} AS nn FROM ranked WHERE rn = 1
+  GROUP BY id)""")
+sql("seller_rename", W("sellers seller_renames", *_REN) + """
+SELECT s.id, s.user_id, COALESCE(pk.nn, s.shop_name) AS shop_name, s.rating, s.status, s.created_at
+FROM sellers s LEFT JOIN pk ON s.id = pk.id""")
+sql("seller_rename_rejected", W("sellers seller_renames", *_REN) + """
+SELECT * FROM clash UNION ALL
+SELECT id, shop_name, change_ts, seq, 'name already in use' FROM ranked WHERE rn > 1""")
+
+_CC = ("""clash AS (SELECT n.*, 'name already in use' AS reason FROM new_categories n
+  WHERE EXISTS (SELECT 1 FROM categories c WHERE c.fa_name = n.fa_name AND c.en_name = n.en_name))""",
+       """fresh AS (SELECT n.*, ROW_NUMBER() OVER (PARTITION BY fa_name, en_name ORDER BY change_ts, seq) AS rn
+  FROM new_categories n WHERE NOT EXISTS (SELECT 1 FROM categories c WHERE c.fa_name = n.fa_name
+  AND c.en_name = n.en_name))""")
+sql("category_create", W("categories new_categories", *_CC) + """
+SELECT * FROM categories UNION ALL
+SELECT sha256('category:' || fa_name || ':' || en_name), en_name, fa_name FROM fresh WHERE rn = 1""")
+sql("category_create_rejected", W("categories new_categories", *_CC) + """
+SELECT * FROM clash UNION ALL SELECT fa_name, en_name, change_ts, seq, 'name already in use' FROM fresh WHERE rn > 1""")
+
+_COM = ("""j AS (SELECT n.*, CASE WHEN n.parent_type NOT IN ('blog', 'product') THEN 'invalid parent type'
+  WHEN NOT ((n.parent_type = 'product' AND EXISTS (SELECT 1 FROM products p WHERE p.id = n.parent_id))
+         OR (n.parent_type = 'blog' AND EXISTS (SELECT 1 FROM blogs b WHERE b.id = n.parent_id))) THEN 'parent not found'
+  WHEN n.rating IS NULL OR n.rating < 1 OR n.rating > 5 THEN 'invalid rating'
+  WHEN n.content IS NULL OR length(n.content) < 2 OR length(n.content) > 1000 THEN 'invalid content' END AS reason
+  FROM new_comments n)""",)
+sql("comment_create", W("comments products blogs new_comments", *_COM) + f"""
+SELECT {_key('comment', 'user_id', 'seq')} AS id, user_id, parent_type, parent_id, content, rating,
+  'pending' AS status, change_ts AS created_at FROM j WHERE reason IS NULL""")
+sql("comment_create_rejected", W("comments products blogs new_comments", *_COM) + "SELECT * FROM j WHERE reason IS NOT NULL")
+
+sql("address_create", W("addresses new_addresses", f"""ins AS (SELECT {_key('address', 'user_id', 'seq')} AS id, user_id,
+  address, city, province, postal_code, is_default, CAST(change_ts AS DATE) AS created_at, change_ts, seq
+  FROM new_addresses)""",
+    """allr AS (SELECT id, user_id, address, city, province, postal_code, is_default, created_at FROM addresses
+  UNION ALL SELECT id, user_id, address, city, province, postal_code, is_default, created_at FROM ins)""",
+    f"chosen AS (SELECT user_id, {_last('id')} AS id FROM ins WHERE is_default GROUP BY user_id)") + """
+SELECT a.id, a.user_id, a.address, a.city, a.province, a.postal_code,
+  CASE WHEN c.user_id IS NOT NULL THEN a.id = c.id ELSE a.is_default END AS is_default, a.created_at
+FROM allr a LEFT JOIN chosen c ON a.user_id = c.user_id""")
+
+_PD = ("""docs AS (SELECT p.p_partkey AS doc_id, pr.seller_id, p.p_name AS name,
+  CASE WHEN p.p_size = 1 THEN 0 ELSE CAST(ROUND(p.p_retailprice * 100) AS BIGINT) END AS price,
+  p.p_name || ' ' || p.p_type AS description, CASE WHEN p.p_size % 7 = 0 THEN NULL ELSE p.p_size END AS stock,
+  p.p_size, p.p_type, p.p_brand FROM part p JOIN products pr ON pr.id = p.p_partkey)""",
+       f"valid AS (SELECT *, {_key('product', 'doc_id')} AS pid FROM docs WHERE price > 0 AND p_size <> 2)")
+sql("create_products", W("products", *_PD) + """
+SELECT pid AS id, seller_id, name, price, description, COALESCE(stock, 0) AS stock, 'active' AS status FROM valid""")
+sql("create_products_bridge", W("products", *_PD) + """
+SELECT pid AS product_id, p_type AS category_id FROM valid UNION ALL SELECT pid, p_brand FROM valid""")
+sql("create_products_features", W("products", *_PD) + "SELECT pid AS product_id, 'brand' AS name, p_brand AS value FROM valid")
+sql("validate_products", W("products", *_PD) + """
+SELECT 'range' AS rule, 'product_documents' AS "table", CAST(doc_id AS VARCHAR) AS key, 'price' AS "column",
+  CAST(price AS VARCHAR) AS value FROM docs WHERE price <= 0
+UNION ALL SELECT 'array_size', 'product_documents', CAST(doc_id AS VARCHAR), 'categories', '0' FROM docs WHERE p_size = 2""")
+
+sql("category_list", W("categories") + "SELECT * FROM categories")
+
 # ---------------------------------------------------------------- streaming twins (batch form)
 sql("stream_ratings", W("comments") + f"""
 SELECT c.parent_type, c.parent_id, COUNT(*) AS n_ratings, {_RATING} AS average_rating
@@ -431,5 +494,10 @@ SELECT 'allowed' AS rule, 'uploads' AS "table", CAST(upload_id AS VARCHAR) AS ke
   mimetype AS value FROM uploads WHERE mimetype NOT IN ('image/jpeg', 'image/png', 'image/webp')
 UNION ALL SELECT 'range', 'uploads', CAST(upload_id AS VARCHAR), 'size', CAST(size AS VARCHAR)
   FROM uploads WHERE size > 5242880
+UNION ALL SELECT 'file_type', 'uploads', CAST(upload_id AS VARCHAR), 'filename', filename FROM uploads
+  WHERE NOT (regexp_matches(lower(regexp_extract(filename, '(\\.[^./\\\\]+)$', 1)), 'jpeg|jpg|png')
+             AND regexp_matches(mimetype, 'jpeg|jpg|png'))
+UNION ALL SELECT 'transport_size', 'uploads', CAST(upload_id AS VARCHAR), 'size', CAST(size AS VARCHAR)
+  FROM uploads WHERE size > 10485760
 UNION ALL SELECT 'file_count', 'uploads', CAST(product_id AS VARCHAR), 'files', CAST(n AS VARCHAR)
   FROM (SELECT product_id, COUNT(*) n FROM uploads GROUP BY product_id) WHERE n < 1 OR n > 5""")

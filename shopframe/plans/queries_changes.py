@@ -397,6 +397,111 @@ def q_place_orders_items(spark, sf_dir):
     return _place(spark, sf_dir)["order_items"]
 
 
+# ---------------------------------------------------------------- Q11 / Q24 / Q30 / Q34 / Q5 write paths
+def _rename(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.rename_unique(t["sellers"], t["seller_renames"], "id", ["shop_name"])
+
+
+@register("seller_rename")
+def q_seller_rename(spark, sf_dir):
+    return _rename(spark, sf_dir)["base"]
+
+
+@register("seller_rename_rejected")
+def q_seller_rename_rejected(spark, sf_dir):
+    return _rename(spark, sf_dir)["rejected"]
+
+
+def _category_create(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.create_unique(t["categories"], t["new_categories"], "categories", ["fa_name", "en_name"], "category")
+
+
+@register("category_create")
+def q_category_create(spark, sf_dir):
+    return _category_create(spark, sf_dir)["base"]
+
+
+@register("category_create_rejected")
+def q_category_create_rejected(spark, sf_dir):
+    return _category_create(spark, sf_dir)["rejected"]
+
+
+def _comment_create(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.create_comments(t["comments"], t["new_comments"], {"product": t["products"], "blog": t["blogs"]})
+
+
+@register("comment_create")
+def q_comment_create(spark, sf_dir):
+    return _comment_create(spark, sf_dir)["inserted"]
+
+
+@register("comment_create_rejected")
+def q_comment_create_rejected(spark, sf_dir):
+    return _comment_create(spark, sf_dir)["rejected"]
+
+
+@register("address_create")
+def q_address_create(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.create_addresses(t["addresses"], t["new_addresses"])
+
+
+def product_documents(t):
+    """Product documents (JSON text) built from parts: the payload shape of Q5."""
+    p = t.raw("part")
+    owner = t["products"].select(F.col("id").alias("__id"), "seller_id")
+    cats = F.when(F.col("p_size") == 2, F.array().cast("array<string>")).otherwise(F.array("p_type", "p_brand"))
+    doc = F.to_json(F.struct(
+        F.col("p_name").alias("name"),
+        F.when(F.col("p_size") == 1, F.lit(0)).otherwise(F.round(F.col("p_retailprice") * 100)).cast("bigint").alias("price"),
+        F.concat_ws(" ", "p_name", "p_type").alias("description"),
+        F.when(F.col("p_size") % 7 == 0, F.lit(None)).otherwise(F.col("p_size")).cast("int").alias("stock"),
+        cats.alias("categories"),
+        F.array(F.struct(F.lit("brand").alias("name"), F.col("p_brand").alias("value"))).alias("features")))
+    return (p.join(owner, p["p_partkey"] == owner["__id"])
+             .select(F.col("p_partkey").alias("doc_id"), "seller_id", doc.alias("document")))
+
+
+def _create_products(spark, sf_dir):
+    return M.create_products(product_documents(tables(spark, sf_dir)))
+
+
+@register("create_products")
+def q_create_products(spark, sf_dir):
+    return _create_products(spark, sf_dir)["products"]
+
+
+@register("create_products_bridge")
+def q_create_products_bridge(spark, sf_dir):
+    return _create_products(spark, sf_dir)["product_categories"]
+
+
+@register("create_products_features")
+def q_create_products_features(spark, sf_dir):
+    return _create_products(spark, sf_dir)["product_features"]
+
+
+@register("validate_products")
+def q_validate_products(spark, sf_dir):
+    return _create_products(spark, sf_dir)["violations"]
+
+
+# ---------------------------------------------------------------- S1 / S5
+@register("category_list")
+def q_category_list(spark, sf_dir):
+    return tables(spark, sf_dir)["categories"]
+
+
+@register("export_documents")
+def q_export_documents(spark, sf_dir):
+    from ..sources.tables import to_documents
+    t = tables(spark, sf_dir)
+    return to_documents(t["products"].select("id", "name", "price", "description", "stock", "status"), key="id")
+
+
 # ---------------------------------------------------------------- C1 .. C13 audits
 @register("audit_keys")
 def q_audit_keys(spark, sf_dir):

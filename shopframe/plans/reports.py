@@ -36,9 +36,15 @@ def seller_leaderboard(t: Tables, status: str | None = None, sort_by: str = "cre
     pass over the lines (orders cannot be counted from per-product totals).
     """
     spec = order_spec(sort_by, order, SELLER_SORT, enums=SELLER_ENUMS)
+    # The sort keys are seller columns, so the page is found before any
+    # order line is read; metrics are then computed for those sellers only.
+    s = t["sellers"] if status is None else t["sellers"].where(F.col("status") == status)
+    u = t["users"].select(F.col("id").alias("__uid"))
+    keys = page_keys(s.join(u, s["user_id"] == u["__uid"], "inner"), spec, limit, offset)
     board = A.seller_scorecard(t["sellers"], t["users"], t["products"], t["order_items"],
-                               t["shop_orders"], status=status, with_distinct_orders=with_distinct_orders)
-    return page(board, spec, limit, offset)
+                               t["shop_orders"], status=status, with_distinct_orders=with_distinct_orders,
+                               seller_keys=keys)
+    return in_page_order(board, spec)
 
 
 def seller_leaderboard_full(t: Tables, status: str | None = None, sort_by: str = "created_at",

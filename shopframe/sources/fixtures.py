@@ -190,11 +190,34 @@ SELECT u.id, CASE WHEN u.id % 2 = 0 THEN n.email ELSE 'new' || u.email END AS em
        CAST(NULL AS STRING) AS last_name, CAST(u.created_at AS TIMESTAMP) AS change_ts, u.id AS seq
 FROM {users} u LEFT JOIN {users} n ON n.id = u.id + 1""",
     "uploads": """
-SELECT page_id AS upload_id, CAST(FLOOR(page_id / 3) AS BIGINT) AS product_id, url AS filename,
+SELECT page_id AS upload_id, CAST(FLOOR(page_id / 3) AS BIGINT) AS product_id,
+       'img' || CAST(page_id AS STRING) || CASE WHEN url LIKE '%/en/%' THEN '.png' WHEN url LIKE '%/fr/%' THEN '.gif'
+            ELSE '.JPG' END AS filename,
        CASE WHEN url LIKE '%/en/%' THEN 'image/png' WHEN url LIKE '%/fr/%' THEN 'image/gif' ELSE 'image/jpeg' END
          AS mimetype,
        length(html) * 1000 AS size
 FROM {pages}""",
+    "seller_renames": """
+SELECT s.id, CASE WHEN s.id % 4 = 0 THEN n.shop_name ELSE s.shop_name || ' Store' END AS shop_name,
+       CAST(s.created_at AS TIMESTAMP) AS change_ts, s.id AS seq
+FROM {sellers} s LEFT JOIN {sellers} n ON n.id = s.id + 1""",
+    "new_categories": """
+SELECT lower(c) AS fa_name, upper(c) AS en_name, TIMESTAMP '2024-01-20 00:00:00' AS change_ts, CAST(k AS BIGINT) AS seq
+FROM (SELECT p_name AS c, p_partkey AS k FROM {part} WHERE p_size > 45
+      UNION ALL SELECT c_mktsegment, c_custkey + 1000000 FROM {customer} WHERE c_custkey % 50 = 1) x
+UNION ALL SELECT fa_name, en_name, TIMESTAMP '2024-01-20 00:00:00', 0 - CAST(length(en_name) AS BIGINT)
+FROM {categories} WHERE en_name LIKE 'Brand#1%'""",
+    "new_comments": """
+SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'product' ELSE 'blog' END AS parent_type,
+       event_id % 2500 AS parent_id, props AS content, CAST(1 + event_id % 7 AS INT) AS rating,
+       ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type = 'click'""",
+    "new_addresses": """
+SELECT c_custkey AS user_id, 'Second ' || c_name AS address, n_name AS city, r_name AS province,
+       lpad(CAST(c_nationkey AS STRING), 5, '0') AS postal_code, c_custkey % 2 = 0 AS is_default,
+       TIMESTAMP '2024-01-20 00:00:00' AS change_ts, c_custkey AS seq
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+WHERE c_mktsegment = 'MACHINERY'""",
 }
 DERIVED_SQL.update(CHANGE_SQL)
 
