@@ -601,6 +601,43 @@ def create_addresses(addresses: DataFrame, new: DataFrame, as_of=None, key_names
     return apply_exclusive_flag(all_rows, req, as_of=as_of)
 
 
+# ---------------------------------------------------------------- Q21 cart line removal (M7)
+def remove_cart_items(carts: DataFrame, cart_items: DataFrame, requests: DataFrame,
+                      as_of=None) -> dict[str, DataFrame]:
+    """``requests(user_id, cart_id, product_id)``: remove the line only when the
+    cart belongs to the requesting user; touch that cart (M15).
+    Returns {'cart_items', 'carts', 'rejected'}."""
+    own = carts.select(F.col("id").alias("__c"), F.col("user_id").alias("__u"))
+    lines = cart_items.select(F.col("cart_id").alias("__lc"), F.col("product_id").alias("__lp"))
+    r = (requests.join(own, (requests["cart_id"] == F.col("__c")) & (requests["user_id"] == F.col("__u")), "left")
+                 .join(lines, (F.col("cart_id") == F.col("__lc")) & (F.col("product_id") == F.col("__lp")), "left"))
+    ok = F.col("__c").isNotNull() & F.col("__lc").isNotNull()
+    rejected = r.where(~ok).select(*requests.columns)
+    dels = r.where(ok).select("cart_id", "product_id").distinct()
+    items = cart_items.join(dels, ["cart_id", "product_id"], "left_anti")
+    touched = dels.select(F.col("cart_id").alias("__t")).distinct()
+    c = carts.join(touched, carts["id"] == touched["__t"], "left")
+    c = touch(c, F.col("__t").isNotNull(), as_of).drop("__t")
+    return {"cart_items": items, "carts": c, "rejected": rejected}
+
+
+# ---------------------------------------------------------------- Q27 blog create
+def create_blogs(blogs: DataFrame, new: DataFrame, as_of=None, key_namespace: str = "blog") -> dict[str, DataFrame]:
+    """``new(author_id, title, content, change_ts, seq)`` (``en_title`` optional):
+    insert with ``en_title`` defaulting to the title (D6) and views 0; titles
+    must be 3..255 characters. Returns {'blogs', 'inserted', 'rejected'}."""
+    n = F.length("title")
+    bad = F.col("title").isNull() | (n < 3) | (n > 255) | F.col("content").isNull()
+    rejected = new.where(bad).withColumn("reason", F.lit("invalid title or content"))
+    ok = new.where(~bad)
+    en = F.coalesce(F.col("en_title"), F.col("title")) if "en_title" in new.columns else F.col("title")
+    ok = ok.select(new_key(blogs.schema["id"].dataType, key_namespace, "author_id", "seq").alias("id"),
+                   "author_id", "title", en.alias("en_title"), "content", F.lit(None).cast("int").alias("views"),
+                   F.col("change_ts").alias("created_at"))
+    inserted = with_defaults(ok, "blogs", as_of)
+    return {"blogs": blogs.unionByName(conform(inserted, blogs)), "inserted": inserted, "rejected": rejected}
+
+
 # ---------------------------------------------------------------- Q5 product create (S3 + M1 + C10)
 PRODUCT_DOC_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),

@@ -384,6 +384,34 @@ UNION ALL SELECT 'array_size', 'product_documents', CAST(doc_id AS VARCHAR), 'ca
 
 sql("category_list", W("categories") + "SELECT * FROM categories")
 
+_CD = ("""dels AS (SELECT DISTINCT c.id FROM comment_deletions d JOIN comments c ON c.id = d.id
+  WHERE c.user_id = d.requester_id OR COALESCE(d.is_admin, FALSE))""",
+       "rest AS (SELECT * FROM comments WHERE id NOT IN (SELECT id FROM dels))",
+       "touched AS (SELECT DISTINCT parent_type, parent_id FROM comments WHERE id IN (SELECT id FROM dels))",
+       f"""r AS (SELECT c.parent_type, c.parent_id, COUNT(*) AS n, {_RATING} AS avg_r FROM rest c
+  WHERE c.status = 'approved' GROUP BY c.parent_type, c.parent_id)""")
+sql("comment_delete", W("comments comment_deletions", *_CD) + "SELECT * FROM rest")
+sql("comment_delete_ratings", W("comments comment_deletions", *_CD) + """
+SELECT t.parent_type, t.parent_id, COALESCE(r.n, 0) AS n_ratings, COALESCE(r.avg_r, CAST(0 AS DECIMAL(3,2))) AS average_rating
+FROM touched t LEFT JOIN r ON t.parent_type = r.parent_type AND t.parent_id = r.parent_id""")
+
+_CR = ("""ok AS (SELECT DISTINCT q.cart_id, q.product_id FROM cart_removals q
+  JOIN carts c ON q.cart_id = c.id AND q.user_id = c.user_id
+  JOIN cart_items ci ON q.cart_id = ci.cart_id AND q.product_id = ci.product_id)""",)
+sql("cart_remove", W("carts cart_items cart_removals", *_CR) + """
+SELECT * FROM cart_items ci WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.cart_id = ci.cart_id
+  AND ok.product_id = ci.product_id)""")
+sql("cart_remove_rejected", W("carts cart_items cart_removals", *_CR) + """
+SELECT q.* FROM cart_removals q WHERE NOT EXISTS (SELECT 1 FROM carts c WHERE c.id = q.cart_id AND c.user_id = q.user_id)
+  OR NOT EXISTS (SELECT 1 FROM cart_items ci WHERE ci.cart_id = q.cart_id AND ci.product_id = q.product_id)""")
+
+_BAD_BLOG = "title IS NULL OR length(title) < 3 OR length(title) > 255 OR content IS NULL"
+sql("blog_create", W("new_blogs") + f"""
+SELECT {_key('blog', 'author_id', 'seq')} AS id, author_id, title, COALESCE(en_title, title) AS en_title, content,
+  0 AS views, change_ts AS created_at FROM new_blogs WHERE NOT ({_BAD_BLOG})""")
+sql("blog_create_rejected", W("new_blogs") + f"""
+SELECT author_id, title, seq, 'invalid title or content' AS reason FROM new_blogs WHERE {_BAD_BLOG}""")
+
 # ---------------------------------------------------------------- streaming twins (batch form)
 sql("stream_ratings", W("comments") + f"""
 SELECT c.parent_type, c.parent_id, COUNT(*) AS n_ratings, {_RATING} AS average_rating

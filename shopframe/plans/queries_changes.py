@@ -489,6 +489,59 @@ def q_validate_products(spark, sf_dir):
     return _create_products(spark, sf_dir)["violations"]
 
 
+def _comment_delete(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    c = t["comments"]
+    owners = c.select("id", F.col("user_id").alias("owner_id"))
+    res = M.owned_delete(c, t["comment_deletions"], owners, admin_col="is_admin")
+    deleted = res["deleted"].select("parent_type", "parent_id").distinct()
+    # Recompute averages of the touched parents from what is left (D12: never stale).
+    ratings = deleted.join(A.ratings(res["base"]), ["parent_type", "parent_id"], "left").select(
+        "parent_type", "parent_id", F.coalesce("n_ratings", F.lit(0).cast("bigint")).alias("n_ratings"),
+        F.coalesce("average_rating", F.lit(0).cast("decimal(3,2)")).alias("average_rating"))
+    return {**res, "ratings": ratings}
+
+
+@register("comment_delete")
+def q_comment_delete(spark, sf_dir):
+    return _comment_delete(spark, sf_dir)["base"]
+
+
+@register("comment_delete_ratings")
+def q_comment_delete_ratings(spark, sf_dir):
+    return _comment_delete(spark, sf_dir)["ratings"]
+
+
+def _cart_remove(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.remove_cart_items(t["carts"], t["cart_items"], t["cart_removals"])
+
+
+@register("cart_remove")
+def q_cart_remove(spark, sf_dir):
+    return _cart_remove(spark, sf_dir)["cart_items"]
+
+
+@register("cart_remove_rejected")
+def q_cart_remove_rejected(spark, sf_dir):
+    return _cart_remove(spark, sf_dir)["rejected"]
+
+
+def _blog_create(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.create_blogs(t["blogs"], t["new_blogs"])
+
+
+@register("blog_create")
+def q_blog_create(spark, sf_dir):
+    return _blog_create(spark, sf_dir)["inserted"]
+
+
+@register("blog_create_rejected")
+def q_blog_create_rejected(spark, sf_dir):
+    return _blog_create(spark, sf_dir)["rejected"].select("author_id", "title", "seq", "reason")
+
+
 # ---------------------------------------------------------------- S1 / S5
 @register("category_list")
 def q_category_list(spark, sf_dir):

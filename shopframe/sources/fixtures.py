@@ -218,6 +218,17 @@ SELECT c_custkey AS user_id, 'Second ' || c_name AS address, n_name AS city, r_n
        TIMESTAMP '2024-01-20 00:00:00' AS change_ts, c_custkey AS seq
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 WHERE c_mktsegment = 'MACHINERY'""",
+    "comment_deletions": """
+SELECT e.user_id AS requester_id, e.event_id - 1 AS id, u.role = 'admin' AS is_admin
+FROM {events} e LEFT JOIN {users} u ON u.id = e.user_id WHERE e.event_type = 'error'""",
+    "cart_removals": """
+SELECT c.user_id + CASE WHEN ci.product_id % 3 = 0 THEN 1 ELSE 0 END AS user_id, ci.cart_id, ci.product_id
+FROM {cart_items} ci JOIN {carts} c ON ci.cart_id = c.id WHERE ci.quantity > 25""",
+    "new_blogs": """
+SELECT doc_id % 1000 AS author_id, substr(text, 1, CAST(n_chars % 9 AS INT)) AS title, text AS content,
+       CASE WHEN lang = 'en' THEN upper(substr(text, 1, 12)) END AS en_title,
+       TIMESTAMP '2024-01-20 00:00:00' AS change_ts, doc_id AS seq
+FROM {documents} WHERE source IN ('src1', 'src2')""",
 }
 DERIVED_SQL.update(CHANGE_SQL)
 
