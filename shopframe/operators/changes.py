@@ -373,7 +373,10 @@ def order_status_change(orders: DataFrame, order_items: DataFrame, products: Dat
     status is valid. Returns {'orders', 'rejected'}."""
     ch = changes.withColumn("status", normalize_order_status("status"))
     sel = sellers.select(F.col("id").alias("__sid"), F.col("user_id").alias("__suser"))
-    owned = (order_items.select("order_id", "product_id")
+    # Only the lines of orders named in the batch are read for the owner check.
+    touched = ch.select(F.col("order_id").alias("__to")).distinct()
+    lines = order_items.join(touched, order_items["order_id"] == touched["__to"], "left_semi")
+    owned = (lines.select("order_id", "product_id")
              .join(products.select(F.col("id").alias("__pid"), "seller_id"), F.col("product_id") == F.col("__pid"))
              .join(sel, F.col("seller_id") == F.col("__sid"))
              .select(F.col("order_id").alias("__oid"), F.col("__suser").alias("__ou")).distinct())
