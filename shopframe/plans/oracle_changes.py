@@ -405,7 +405,57 @@ sql("cart_remove_rejected", W("carts cart_items cart_removals", *_CR) + """
 SELECT q.* FROM cart_removals q WHERE NOT EXISTS (SELECT 1 FROM carts c WHERE c.id = q.cart_id AND c.user_id = q.user_id)
   OR NOT EXISTS (SELECT 1 FROM cart_items ci WHERE ci.cart_id = q.cart_id AND ci.product_id = q.product_id)""")
 
-_BAD_BLOG = "title IS NULL OR length(title) < 3 OR length(title) > 255 OR content IS NULL"
+_OWNS = """EXISTS (SELECT 1 FROM products x JOIN sellers s ON x.seller_id = s.id
+  WHERE x.id = r.id AND s.user_id = r.requester_id)"""
+_PF2 = ["name", "price", "description", "stock", "status"]
+_PK2 = ",\n  ".join(f"{_last(f, f'list_contains(present, {chr(39)}{f}{chr(39)})')} AS n_{f}, "
+                    f"bool_or(list_contains(present, '{f}')) AS h_{f}" for f in _PF2)
+_PU = (f"""ok AS (SELECT r.* FROM product_update_patches r WHERE r.id IN (SELECT id FROM products)
+  AND (COALESCE(r.is_admin, FALSE) OR {_OWNS}))""",
+       f"""refused AS (SELECT r.id, r.requester_id, r.seq, 'not found or not owner' AS reason
+  FROM product_update_patches r WHERE NOT (COALESCE(r.is_admin, FALSE) OR {_OWNS}))""",
+       f"pk AS (SELECT id, {_PK2} FROM ok GROUP BY id)")
+_PU_T = "products sellers users product_update_patches product_categories product_features"
+sql("product_update", W(_PU_T, *_PU) + """
+SELECT p.id, p.seller_id, CASE WHEN pk.h_name THEN pk.n_name ELSE p.name END AS name,
+  CASE WHEN pk.h_price THEN pk.n_price ELSE p.price END AS price,
+  CASE WHEN pk.h_description THEN pk.n_description ELSE p.description END AS description,
+  CASE WHEN pk.h_stock THEN pk.n_stock ELSE p.stock END AS stock,
+  CASE WHEN pk.h_status THEN pk.n_status ELSE p.status END AS status, p.created_at
+FROM products p LEFT JOIN pk ON p.id = pk.id""")
+sql("product_update_rejected", W(_PU_T, *_PU) + "SELECT * FROM refused")
+
+
+def _replace_twin(lists: str, table: str, cols: str, first_col: str) -> str:
+    return W(_PU_T + " " + lists, *_PU,
+             f"""mine AS (SELECT l.* FROM {lists} l WHERE EXISTS (SELECT 1 FROM ok
+  WHERE ok.id = l.product_id AND ok.change_ts = l.change_ts AND ok.seq = l.seq))""",
+             """lastl AS (SELECT product_id, change_ts, seq FROM (SELECT DISTINCT product_id, change_ts, seq,
+  DENSE_RANK() OVER (PARTITION BY product_id ORDER BY change_ts DESC, seq DESC) AS rk FROM mine) WHERE rk = 1)""") + f"""
+SELECT * FROM {table} WHERE product_id NOT IN (SELECT product_id FROM lastl)
+UNION ALL SELECT m.product_id, {cols} FROM mine m JOIN lastl USING (product_id, change_ts, seq)
+WHERE m.{first_col} IS NOT NULL"""
+
+
+sql("product_update_bridge", _replace_twin("product_update_categories", "product_categories", "m.category_id",
+                                           "category_id"))
+sql("product_update_features", _replace_twin("product_update_features", "product_features", "m.name, m.value", "name"))
+
+_PDEL = ("""own AS (SELECT r.* FROM product_delete_batch r WHERE EXISTS (SELECT 1 FROM products x
+  JOIN sellers s ON x.seller_id = s.id WHERE x.id = r.id AND s.user_id = r.requester_id))""",
+         """blocked AS (SELECT DISTINCT o.id FROM own o WHERE EXISTS (SELECT 1 FROM order_items oi
+  WHERE oi.product_id = o.id))""")
+_PDEL_T = "products sellers order_items product_delete_batch"
+sql("product_delete_refused", W(_PDEL_T, *_PDEL) + """
+SELECT r.id, 'not found or not owner' AS reason FROM product_delete_batch r
+WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.id = r.id AND o.requester_id = r.requester_id)
+UNION ALL SELECT id, 'order_items.product_id references products' FROM blocked""")
+sql("product_delete_products", W(_PDEL_T, *_PDEL) + """
+SELECT * FROM products WHERE id NOT IN (SELECT id FROM own WHERE id NOT IN (SELECT id FROM blocked))""")
+sql("live_tokens", W("refresh_tokens") + f"""
+SELECT * FROM refresh_tokens WHERE NOT COALESCE(is_revoked, FALSE) AND expires_at > {TS}""")
+
+_BAD_BLOG ="title IS NULL OR length(title) < 3 OR length(title) > 255 OR content IS NULL"
 sql("blog_create", W("new_blogs") + f"""
 SELECT {_key('blog', 'author_id', 'seq')} AS id, author_id, title, COALESCE(en_title, title) AS en_title, content,
   0 AS views, change_ts AS created_at FROM new_blogs WHERE NOT ({_BAD_BLOG})""")

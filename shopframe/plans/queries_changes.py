@@ -542,6 +542,58 @@ def q_blog_create_rejected(spark, sf_dir):
     return _blog_create(spark, sf_dir)["rejected"].select("author_id", "title", "seq", "reason")
 
 
+def _product_update(spark, sf_dir):
+    from . import reports as R
+    t = tables(spark, sf_dir)
+    return R.update_products(t, t["product_update_patches"], t["product_update_categories"],
+                             t["product_update_features"])
+
+
+@register("product_update")
+def q_product_update(spark, sf_dir):
+    return _product_update(spark, sf_dir)["products"]
+
+
+@register("product_update_bridge")
+def q_product_update_bridge(spark, sf_dir):
+    return _product_update(spark, sf_dir)["product_categories"]
+
+
+@register("product_update_features")
+def q_product_update_features(spark, sf_dir):
+    return _product_update(spark, sf_dir)["product_features"]
+
+
+@register("product_update_rejected")
+def q_product_update_rejected(spark, sf_dir):
+    return _product_update(spark, sf_dir)["rejected"].select("id", "requester_id", "seq", "reason")
+
+
+_PRODUCT_CASCADE = ["products", "product_images", "product_features", "cart_items", "product_categories",
+                    "order_items"]
+
+
+def _product_delete(spark, sf_dir):
+    from . import reports as R
+    t = tables(spark, sf_dir)
+    return R.delete_products(t, t["product_delete_batch"], DERIVED_FKS, _PRODUCT_CASCADE)
+
+
+@register("product_delete_refused")
+def q_product_delete_refused(spark, sf_dir):
+    return _product_delete(spark, sf_dir)["refused"]
+
+
+@register("product_delete_products")
+def q_product_delete_products(spark, sf_dir):
+    return _product_delete(spark, sf_dir)["products"]
+
+
+@register("live_tokens")
+def q_live_tokens(spark, sf_dir):
+    return live(tables(spark, sf_dir)["refresh_tokens"], AS_OF, revoked_col="is_revoked")
+
+
 # ---------------------------------------------------------------- S1 / S5
 @register("category_list")
 def q_category_list(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.ordering import multi_order, order_spec
 from ..functions.text import preview
+from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import nest as N
 from ..operators.paging import (DEFAULT_LIMIT, by_keys, in_page_order, page, page_info, page_keys, page_per_key,
@@ -530,6 +531,77 @@ def user_count(t: Tables, role=None, is_verified=None, search=None, limit=DEFAUL
     return page_info(user_filter(t, role, is_verified, search), limit, offset)
 
 
+# ---------------------------------------------------------------- Q6 / Q7 product writes
+def product_owners(t: Tables) -> DataFrame:
+    """(product id, owner user id) through the product's seller."""
+    p, s = t["products"], t["sellers"]
+    return p.join(s.select(F.col("id").alias("__sid"), F.col("user_id").alias("owner_id")),
+                  p["seller_id"] == F.col("__sid")).select(p["id"], "owner_id")
+
+
+def authorize(requests: DataFrame, owners: DataFrame, id_col: str = "id", requester_col: str = "requester_id",
+              admin_col: str | None = "is_admin") -> tuple[DataFrame, DataFrame]:
+    """Split requests into (allowed, refused): the requester owns the row, or is
+    an admin (the source lets an admin update any existing product)."""
+    o = owners.select(F.col("id").alias("__oid"), F.col("owner_id").alias("__owner"))
+    r = requests.join(o, (requests[id_col] == o["__oid"]) & (requests[requester_col] == o["__owner"]), "left")
+    ok = F.col("__oid").isNotNull()
+    if admin_col and admin_col in requests.columns:
+        ok = ok | F.coalesce(F.col(admin_col), F.lit(False))
+    r = r.withColumn("__ok", ok)
+    return (r.where(F.col("__ok")).select(*requests.columns),
+            r.where(~F.col("__ok")).select(*requests.columns).withColumn("reason", F.lit("not found or not owner")))
+
+
+PRODUCT_PATCH_FIELDS = ["name", "price", "description", "stock", "status"]
+
+
+def update_products(t: Tables, patches: DataFrame, category_lists: DataFrame | None = None,
+                    feature_lists: DataFrame | None = None, as_of=None) -> dict[str, DataFrame]:
+    """Q6 for a batch: authorized patches (M3, presence mask) touch ``updated_at``
+    (M15); products whose request carries a category or feature list get
+    those children replaced (M6), an empty list clearing them. List frames
+    are flat: (product_id, change_ts, seq, child columns...), one row per
+    element, and one row with null child columns for an empty list.
+    Returns {'products', 'product_categories', 'product_features', 'rejected'}."""
+    ok, refused = authorize(patches, product_owners(t))
+    exists = t["products"].select(F.col("id").alias("__e"))
+    ok = ok.join(exists, ok["id"] == exists["__e"], "left_semi")
+    fields = [f for f in PRODUCT_PATCH_FIELDS if f in t["products"].columns and f in patches.columns]
+    products = M.patch_present(t["products"], ok, "id", fields, as_of)
+    out = {"products": products, "rejected": refused}
+    allowed = ok.select(F.col("id").alias("product_id"), "change_ts", "seq")
+    for name, lists, table in (("product_categories", category_lists, "product_categories"),
+                               ("product_features", feature_lists, "product_features")):
+        if lists is None:
+            out[name] = t[table]
+            continue
+        mine = lists.join(allowed, ["product_id", "change_ts", "seq"], "left_semi")
+        # the last request per product that carries a list decides the new children
+        last = mine.groupBy("product_id").agg(F.max(F.struct("change_ts", "seq")).alias("__last"))
+        chosen = mine.join(last, "product_id").where(F.struct("change_ts", "seq") == F.col("__last"))
+        touched = last.select("product_id")
+        child_cols = [c for c in lists.columns if c not in ("product_id", "change_ts", "seq")]
+        present_row = F.greatest(*[F.col(c).isNotNull() for c in child_cols]) if len(child_cols) > 1 \
+            else F.col(child_cols[0]).isNotNull()
+        new_rows = chosen.where(present_row).select("product_id", *child_cols)
+        out[name] = M.replace_children(t[table], new_rows, "product_id", touched)
+    return out
+
+
+def delete_products(t: Tables, requests: DataFrame, fks, tables_for_cascade: list[str]) -> dict[str, DataFrame]:
+    """Q7 for a batch: owners' delete requests (M7) cascade over the FK list
+    (M8); products with order lines are refused (RESTRICT).
+    Returns the new tables plus 'refused' (id, reason)."""
+    ok, refused = authorize(requests, product_owners(t), admin_col=None)
+    tabs = {n: t[n] for n in tables_for_cascade}
+    res = M.cascade_delete(tabs, "products", ok.select("id").distinct(), fks)
+    refused = refused.select("id", "reason").unionByName(
+        res["__rejected"].select(F.col("root").alias("id"), "reason"))
+    res["refused"] = refused
+    return res
+
+
 # ---------------------------------------------------------------- A11 / A16 / M9 categories
 def category_delete(t: Tables, category_ids: DataFrame) -> dict[str, DataFrame]:
     """Q25 for a batch of category ids (M9).

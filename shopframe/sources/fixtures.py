@@ -218,6 +218,27 @@ SELECT c_custkey AS user_id, 'Second ' || c_name AS address, n_name AS city, r_n
        TIMESTAMP '2024-01-20 00:00:00' AS change_ts, c_custkey AS seq
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 WHERE c_mktsegment = 'MACHINERY'""",
+    "product_update_patches": """
+SELECT p.id, CASE WHEN e.event_id % 2 = 0 THEN p.seller_id ELSE e.user_id END AS requester_id,
+       u.role = 'admin' AS is_admin,
+       CASE e.event_id % 3 WHEN 0 THEN split('name,price', ',') WHEN 1 THEN split('stock', ',')
+            ELSE split('status,description', ',') END AS present,
+       e.props AS name, CAST(FLOOR(e.value * 100) AS BIGINT) AS price, CAST(NULL AS STRING) AS description,
+       CAST(FLOOR(e.value) AS INT) AS stock, 'inactive' AS status, e.ts AS change_ts, e.event_id AS seq
+FROM {events} e JOIN {products} p ON p.id = e.event_id % (SELECT COUNT(*) FROM {part})
+LEFT JOIN {users} u ON u.id = CASE WHEN e.event_id % 2 = 0 THEN p.seller_id ELSE e.user_id END
+WHERE e.event_type = 'click'""",
+    "product_update_categories": """
+SELECT id AS product_id, change_ts, seq, CASE WHEN seq % 10 = 0 THEN NULL ELSE 'LARGE' END AS category_id
+FROM {product_update_patches} WHERE seq % 5 = 0
+UNION ALL SELECT id, change_ts, seq, 'Brand#4' FROM {product_update_patches} WHERE seq % 5 = 0 AND seq % 10 <> 0""",
+    "product_update_features": """
+SELECT id AS product_id, change_ts, seq, 'color' AS name, name AS value
+FROM {product_update_patches} WHERE seq % 4 = 0""",
+    "product_delete_batch": """
+SELECT CASE WHEN e.event_id % 2 = 0 THEN p.seller_id ELSE e.user_id END AS requester_id, p.id
+FROM {events} e JOIN {products} p ON p.id = e.event_id % (SELECT COUNT(*) FROM {part})
+WHERE e.event_type = 'error'""",
     "comment_deletions": """
 SELECT e.user_id AS requester_id, e.event_id - 1 AS id, u.role = 'admin' AS is_admin
 FROM {events} e LEFT JOIN {users} u ON u.id = e.user_id WHERE e.event_type = 'error'""",
