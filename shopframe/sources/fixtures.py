@@ -298,7 +298,9 @@ class Marketplace:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
             if self.landed and name in DERIVED_SQL:
-                self._cache[name] = self.spark.read.parquet(f"{self.landed.rstrip('/')}/{name}")
+                table = BUCKETED.get((self.landed, name))
+                self._cache[name] = (self.spark.table(table) if table else
+                                     self.spark.read.parquet(f"{self.landed.rstrip('/')}/{name}"))
                 return self._cache[name]
             sql = DERIVED_SQL[name]
             frames = {r: (self[r] if r in DERIVED_SQL else self.raw(r)) for r in raw_names(name)}
@@ -319,18 +321,36 @@ class Marketplace:
 
 # sf_dir -> folder of landed derived tables (set by ``land``).
 LANDED: dict[str, str] = {}
+# (landed folder, table) -> catalog table name of a bucketed landing.
+BUCKETED: dict[tuple[str, str], str] = {}
 
 
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
     return Marketplace(spark, sf_dir, LANDED.get(sf_dir.rstrip("/")))
 
 
-def land(spark: SparkSession, sf_dir: str, dest: str, names=None) -> str:
+def land(spark: SparkSession, sf_dir: str, dest: str, names=None,
+         buckets: dict[str, tuple[str, int]] | None = None) -> str:
     """Write every derived table of ``sf_dir`` as parquet under ``dest`` and
-    make later ``marketplace(spark, sf_dir)`` calls read them from there."""
+    make later ``marketplace(spark, sf_dir)`` calls read them from there.
+
+    ``buckets`` maps a table to (key, bucket count): those are landed as
+    bucketed tables (``sources.tables.save_bucketed``) so joins on the key
+    between tables with the same bucket count need no exchange.
+    """
+    from .tables import save_bucketed
+    import re as _re
     src = Marketplace(spark, sf_dir)
+    tag = _re.sub(r"\W", "_", dest.rstrip("/").rsplit("/", 1)[-1])
     for n in (names or list(DERIVED_SQL)):
-        src[n].write.mode("overwrite").parquet(f"{dest.rstrip('/')}/{n}")
+        path = f"{dest.rstrip('/')}/{n}"
+        if buckets and n in buckets:
+            key, count = buckets[n]
+            table = f"landed_{tag}_{n}"
+            save_bucketed(src[n], table, path, key, count)
+            BUCKETED[(dest, n)] = table
+        else:
+            src[n].write.mode("overwrite").parquet(path)
     LANDED[sf_dir.rstrip("/")] = dest
     return dest
 

@@ -36,6 +36,18 @@ def load_table(spark: SparkSession, root: str, name: str, declared: bool = False
     return reader.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Land ``df`` as a table bucketed and sorted by ``key`` at ``path``.
+
+    Two tables bucketed on their join key with the same bucket count join
+    without an exchange on either side (sort-merge within buckets), e.g.
+    order lines and orders on the order id. Returns the table for reading.
+    """
+    (df.write.mode("overwrite").option("path", path)
+       .bucketBy(int(buckets), key).sortBy(key).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def version_path(base: str, version: int | str) -> str:
     return f"{base.rstrip('/')}/v={version}"
 
