@@ -57,6 +57,21 @@ def test_page_and_page_info(spark):
     assert (info.total, info.total_pages, info.current_page) == (25, 3, 3)
 
 
+def test_keyset_page_walks_the_same_order_as_offsets(spark):
+    from shopframe.operators.paging import keyset_page
+    rows = [(i, (i * 7) % 5) for i in range(23)]  # many ties on the sort column
+    df = spark.createDataFrame(rows, "id int, v int")
+    spec = order_spec("v", "DESC")
+    by_offset = [ids(page(df, spec, limit=5, offset=o)) for o in range(0, 23, 5)]
+    walked, last = [], None
+    for _ in range(5):
+        pg = (page(df, spec, limit=5) if last is None else keyset_page(df, "v", "DESC", last[1], last[0], 5)).collect()
+        walked.append([r.id for r in pg])
+        if pg:
+            last = (pg[-1].id, pg[-1].v)
+    assert walked == by_offset
+
+
 def test_page_per_key_keeps_window_of_each_key(spark):
     df = spark.createDataFrame([(k, i) for k in ("a", "b") for i in range(7)], "key string, id int")
     out = page_per_key(df, "key", [F.col("id").desc()], limit=3, offset=2).collect()
