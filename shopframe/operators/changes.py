@@ -695,7 +695,7 @@ def shred(df: DataFrame, json_col: str, schema: T.StructType, array_field: str,
     header_fields = [f.name for f in schema.fields if f.name != array_field]
     header = parsed.select(F.col(key), *[F.col(f"__doc.{f}").alias(f) for f in header_fields])
     lines = (parsed.select(F.col(key), F.posexplode(F.col(f"__doc.{array_field}")).alias("__pos", "__item"))
-                   .select(F.col(key), (F.col("__pos") + 1).alias(position), F.col("__item.*")))
+                   .select(F.col(key), (F.col("__pos") + 1).cast("bigint").alias(position), F.col("__item.*")))
     return header, lines
 
 

@@ -81,7 +81,7 @@ def page_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
     hi = int(offset) + int(limit)
-    return (df.withColumn(rank_col, F.row_number().over(w))
+    return (df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
               .where((F.col(rank_col) > int(offset)) & (F.col(rank_col) <= hi)))
 
 

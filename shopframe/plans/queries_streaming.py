@@ -20,6 +20,12 @@ from ..streaming import jobs as S
 from .registry import register, tables
 
 
+def _naive_windows(df):
+    """The feeds' event times are naive (timestamp_ntz); report window bounds the same way."""
+    return (df.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+              .withColumn("window_end", F.col("window_end").cast("timestamp_ntz")))
+
+
 def _run_dir(spark, name: str) -> str:
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
 
@@ -46,7 +52,7 @@ def q_stream_window_counts(spark, sf_dir):
     root, stream = _feed(spark, events, "ts", "requests")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     S.run_batches(S.request_counts(stream), S.batch_writer(f"{root}/out"), f"{root}/ckpt")
-    return S.current_state(spark, f"{root}/out", ["user_id", "window_start"])
+    return _naive_windows(S.current_state(spark, f"{root}/out", ["user_id", "window_start"]))
 
 
 @register("stream_sliding_attempts")
@@ -55,7 +61,7 @@ def q_stream_sliding_attempts(spark, sf_dir):
     root, stream = _feed(spark, codes, "created_at", "codes")
     stream = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
     S.run_batches(S.sliding_counts(stream), S.batch_writer(f"{root}/out"), f"{root}/ckpt")
-    return S.current_state(spark, f"{root}/out", ["user_id", "window_start"])
+    return _naive_windows(S.current_state(spark, f"{root}/out", ["user_id", "window_start"]))
 
 
 @register("stream_apply_changes")
