@@ -242,7 +242,10 @@ _REFUSED = """refused AS (SELECT o.category_id, string_agg(p.name, ', ' ORDER BY
   WHERE o.category_id IN (SELECT id FROM categories) GROUP BY o.category_id)"""
 _CD_T = "categories product_categories products"
 sql("category_delete", W(_CD_T, _ONLY, _REFUSED) + "SELECT * FROM refused")
-sql("category_delete_remaining", W(_CD_T, _ONLY, _REFUSED) +
+sql("category_delete_blocking", W(_CD_T, _ONLY) + """
+SELECT o.category_id, o.product_id, p.name FROM only_cat o JOIN products p ON p.id = o.product_id
+WHERE o.category_id IN (SELECT id FROM categories)""")
+sql("category_delete_remaining",W(_CD_T, _ONLY, _REFUSED) +
     "SELECT * FROM categories WHERE id IN (SELECT category_id FROM refused)")
 sql("category_delete_bridge", W(_CD_T, _ONLY, _REFUSED) +
     "SELECT * FROM product_categories WHERE category_id IN (SELECT category_id FROM refused) "

@@ -299,6 +299,11 @@ def q_category_delete(spark, sf_dir):
     return _category_delete(spark, sf_dir)["refused"]
 
 
+@register("category_delete_blocking")
+def q_category_delete_blocking(spark, sf_dir):
+    return _category_delete(spark, sf_dir)["blocking"]
+
+
 @register("category_delete_remaining")
 def q_category_delete_remaining(spark, sf_dir):
     return _category_delete(spark, sf_dir)["categories"]

@@ -17,7 +17,7 @@ from ..functions.text import preview
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import nest as N
-from ..operators.paging import (DEFAULT_LIMIT, by_keys, in_page_order, page, page_info, page_keys, page_per_key,
+from ..operators.paging import (DEFAULT_LIMIT, by_keys, in_page_order, page_info, page_keys, page_per_key,
                                 restrict_to_keys)
 from ..schemas import ENUMS
 
@@ -609,7 +609,10 @@ def category_delete(t: Tables, category_ids: DataFrame) -> dict[str, DataFrame]:
     A category is refused while some product has it as its *only* category
     (A11); the reason lists those products' names (A16). Accepted ids are
     removed from categories and from the bridge.
-    Returns {'refused', 'categories', 'product_categories'}.
+    Returns {'refused', 'blocking', 'categories', 'product_categories'}:
+    'blocking' holds the same reason as rows (category_id, product_id, name),
+    the form to use when a category may block very many products, since the
+    joined text of 'refused' is built in one row per category.
     """
     req = category_ids.select(F.col("id").alias("cat")).distinct()
     only = A.single_category_products(t["product_categories"])
@@ -622,4 +625,5 @@ def category_delete(t: Tables, category_ids: DataFrame) -> dict[str, DataFrame]:
     accepted = req.join(refused, req["cat"] == refused["category_id"], "left_anti")
     cats = t["categories"].join(accepted, t["categories"]["id"] == accepted["cat"], "left_anti")
     bridge = t["product_categories"].join(accepted, F.col("category_id") == accepted["cat"], "left_anti")
-    return {"refused": refused, "categories": cats, "product_categories": bridge}
+    return {"refused": refused, "blocking": blocking.select("category_id", "product_id", "name"),
+            "categories": cats, "product_categories": bridge}

@@ -5,7 +5,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from shopframe.functions import predicates as P
