@@ -641,6 +641,38 @@ def create_blogs(blogs: DataFrame, new: DataFrame, as_of=None, key_namespace: st
     return {"blogs": blogs.unionByName(conform(inserted, blogs)), "inserted": inserted, "rejected": rejected}
 
 
+def update_addresses(addresses: DataFrame, changes: DataFrame, fields: Sequence[str], as_of=None,
+                     order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+    """Q34 update: ``(id, user_id, <fields>, is_default, change_ts, seq)``.
+
+    Only the owner's own address is changed (others are refused, as the
+    source's ``WHERE id = $6 AND user_id = $7``); fields follow M2 (null
+    keeps); a change with ``is_default = true`` makes that address the
+    user's only default (W5). In serial order that means: the user's last
+    ``true`` change decides the default address (all others false) unless a
+    later ``false`` change targets that same address; users without a
+    ``true`` change just get their ``false`` changes applied.
+    Returns {'addresses', 'rejected'}."""
+    own = addresses.select(F.col("id").alias("__a"), F.col("user_id").alias("__u"))
+    j = changes.join(own, (changes["id"] == F.col("__a")) & (changes["user_id"] == F.col("__u")), "left")
+    rejected = j.where(F.col("__a").isNull()).select(*changes.columns).withColumn("reason", F.lit("address not found"))
+    ok = j.where(F.col("__a").isNotNull()).select(*changes.columns)
+    patched = patch_coalesce(addresses, ok, "id", [*fields, "is_default"], as_of, order)
+    o = _order(order)
+    last_true = (ok.where(F.col("is_default") == F.lit(True))
+                   .groupBy(F.col("user_id").alias("__tu"))
+                   .agg(F.max_by(F.col("id"), o).alias("__tid"), F.max(o).alias("__to")))
+    later_false = (ok.where(F.col("is_default") == F.lit(False))
+                     .join(last_true, (F.col("user_id") == F.col("__tu")) & (F.col("id") == F.col("__tid")))
+                     .where(o > F.col("__to")).select(F.col("user_id").alias("__ku")).distinct())
+    out = (patched.join(last_true, patched["user_id"] == F.col("__tu"), "left")
+                  .join(later_false, F.col("user_id") == F.col("__ku"), "left"))
+    out = out.withColumn("is_default", F.when(F.col("__tu").isNotNull(),
+                                              (F.col("id") == F.col("__tid")) & F.col("__ku").isNull())
+                         .otherwise(F.col("is_default")))
+    return {"addresses": out.drop("__tu", "__tid", "__to", "__ku"), "rejected": rejected}
+
+
 # ---------------------------------------------------------------- Q5 product create (S3 + M1 + C10)
 PRODUCT_DOC_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),

@@ -96,10 +96,18 @@ def promote_main_after_delete(images: DataFrame, deleted_ids: DataFrame, id_col:
 
 
 def flag_first_uploads(images: DataFrame, uploads: DataFrame, key: str = "product_id",
-                       order: Sequence[str] = ("change_ts", "seq"), flag: str = "is_main") -> DataFrame:
+                       order: Sequence[str] = ("change_ts", "seq"), flag: str = "is_main",
+                       owners: DataFrame | None = None, requester_col: str = "requester_id") -> DataFrame:
     """New image rows with ``is_main`` set on the first upload of products that
     had no image (W4): ``row_number() == 1`` among the product's uploads and
-    an existing-image count (left join, J14) of 0."""
+    an existing-image count (left join, J14) of 0.
+
+    With ``owners(id, owner_id)`` only uploads by the product's owner are
+    kept (the source joins the seller and checks its user)."""
+    if owners is not None:
+        o = owners.select(F.col("id").alias("__oid"), F.col("owner_id").alias("__own"))
+        uploads = uploads.join(o, (uploads[key] == F.col("__oid")) & (uploads[requester_col] == F.col("__own")),
+                               "left_semi")
     existing = images.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
     # The first upload per product is found with a min aggregate (combined
     # map-side), not a per-product window; order keys are unique per upload.

@@ -452,7 +452,32 @@ WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.id = r.id AND o.requester_id = r.r
 UNION ALL SELECT id, 'order_items.product_id references products' FROM blocked""")
 sql("product_delete_products", W(_PDEL_T, *_PDEL) + """
 SELECT * FROM products WHERE id NOT IN (SELECT id FROM own WHERE id NOT IN (SELECT id FROM blocked))""")
-sql("live_tokens", W("refresh_tokens") + f"""
+_AU = ("""ok AS (SELECT c.* FROM address_changes c WHERE EXISTS (SELECT 1 FROM addresses a
+  WHERE a.id = c.id AND a.user_id = c.user_id))""",
+       f"""pk AS (SELECT id, {_last('address', 'address IS NOT NULL')} AS na, {_last('city', 'city IS NOT NULL')} AS nc,
+  {_last('is_default', 'is_default IS NOT NULL')} AS nd FROM ok GROUP BY id)""",
+       f"""lt AS (SELECT user_id, {_last('id', 'is_default')} AS tid,
+  max(change_ts) FILTER (WHERE is_default) AS tts FROM ok GROUP BY user_id HAVING bool_or(is_default))""",
+       """lt2 AS (SELECT lt.user_id, lt.tid, (SELECT max(seq) FROM ok WHERE ok.user_id = lt.user_id AND ok.is_default
+  AND ok.change_ts = lt.tts) AS tseq, lt.tts FROM lt)""",
+       """killed AS (SELECT DISTINCT ok.user_id FROM ok JOIN lt2 ON ok.user_id = lt2.user_id AND ok.id = lt2.tid
+  WHERE NOT ok.is_default AND (ok.change_ts > lt2.tts OR (ok.change_ts = lt2.tts AND ok.seq > lt2.tseq)))""")
+sql("address_update", W("addresses address_changes", *_AU) + """
+SELECT a.id, a.user_id, COALESCE(pk.na, a.address) AS address, COALESCE(pk.nc, a.city) AS city, a.province,
+  a.postal_code,
+  CASE WHEN lt2.user_id IS NOT NULL THEN a.id = lt2.tid AND a.user_id NOT IN (SELECT user_id FROM killed)
+       ELSE COALESCE(pk.nd, a.is_default) END AS is_default, a.created_at
+FROM addresses a LEFT JOIN pk ON a.id = pk.id LEFT JOIN lt2 ON a.user_id = lt2.user_id""")
+sql("address_update_rejected", W("addresses address_changes") + """
+SELECT c.*, 'address not found' AS reason FROM address_changes c
+WHERE NOT EXISTS (SELECT 1 FROM addresses a WHERE a.id = c.id AND a.user_id = c.user_id)""")
+sql("first_image_flag_owned", W("product_images owned_uploads products sellers") + """
+SELECT product_id, image_url, change_ts, seq, requester_id,
+  (rn = 1 AND NOT EXISTS (SELECT 1 FROM product_images pi WHERE pi.product_id = r.product_id)) AS is_main
+FROM (SELECT u.*, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY change_ts, seq) rn FROM owned_uploads u
+      WHERE EXISTS (SELECT 1 FROM products p JOIN sellers s ON p.seller_id = s.id
+                    WHERE p.id = u.product_id AND s.user_id = u.requester_id)) r""")
+sql("live_tokens",W("refresh_tokens") + f"""
 SELECT * FROM refresh_tokens WHERE NOT COALESCE(is_revoked, FALSE) AND expires_at > {TS}""")
 
 _BAD_BLOG ="title IS NULL OR length(title) < 3 OR length(title) > 255 OR content IS NULL"

@@ -589,6 +589,27 @@ def q_product_delete_products(spark, sf_dir):
     return _product_delete(spark, sf_dir)["products"]
 
 
+def _address_update(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.update_addresses(t["addresses"], t["address_changes"], ["address", "city"])
+
+
+@register("address_update")
+def q_address_update(spark, sf_dir):
+    return _address_update(spark, sf_dir)["addresses"]
+
+
+@register("address_update_rejected")
+def q_address_update_rejected(spark, sf_dir):
+    return _address_update(spark, sf_dir)["rejected"]
+
+
+@register("first_image_flag_owned")
+def q_first_image_flag_owned(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return Wn.flag_first_uploads(t["product_images"], t["owned_uploads"], owners=_product_owners(t))
+
+
 @register("live_tokens")
 def q_live_tokens(spark, sf_dir):
     return live(tables(spark, sf_dir)["refresh_tokens"], AS_OF, revoked_col="is_revoked")

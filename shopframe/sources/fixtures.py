@@ -239,6 +239,19 @@ FROM {product_update_patches} WHERE seq % 4 = 0""",
 SELECT CASE WHEN e.event_id % 2 = 0 THEN p.seller_id ELSE e.user_id END AS requester_id, p.id
 FROM {events} e JOIN {products} p ON p.id = e.event_id % (SELECT COUNT(*) FROM {part})
 WHERE e.event_type = 'error'""",
+    "address_changes": """
+SELECT CASE WHEN e.event_id % 2 = 0 THEN e.user_id + 1000000 ELSE e.user_id END AS id,
+       CASE WHEN e.event_id % 5 = 0 THEN e.user_id + 1 ELSE e.user_id END AS user_id,
+       CASE WHEN e.value > 50 THEN 'Moved ' || CAST(e.event_id AS STRING) END AS address,
+       CASE WHEN e.event_type = 'view' THEN 'Tehran' END AS city,
+       e.value > 80 AS is_default, e.ts AS change_ts, e.event_id AS seq
+FROM {events} e WHERE e.event_type IN ('view', 'purchase')""",
+    "owned_uploads": """
+SELECT CAST(FLOOR(page_id / 2) AS BIGINT) AS product_id, '/uploads/' || CAST(page_id AS STRING) AS image_url,
+       CAST(DATE '2024-01-20' AS TIMESTAMP) AS change_ts, 0 - page_id AS seq,
+       CASE WHEN page_id % 3 = 0 THEN 0 - 1 ELSE CAST(FLOOR(page_id / 2) AS BIGINT) % (SELECT COUNT(*) FROM {supplier}) END
+         AS requester_id
+FROM {pages}""",
     "comment_deletions": """
 SELECT e.user_id AS requester_id, e.event_id - 1 AS id, u.role = 'admin' AS is_admin
 FROM {events} e LEFT JOIN {users} u ON u.id = e.user_id WHERE e.event_type = 'error'""",

@@ -284,6 +284,19 @@ def test_default_switch_keeps_one_flag(spark):
     assert C.at_most_one_flag(out, "addresses", "user_id", "is_default").count() == 0
 
 
+def test_address_update_default_follows_serial_order(spark):
+    addrs = spark.createDataFrame([(1, 7, "a", True), (2, 7, "b", False), (3, 7, "c", False), (4, 8, "d", True)],
+                                  "id int, user_id int, address string, is_default boolean")
+    ch = spark.createDataFrame([(2, 7, None, True, T0, 1), (3, 7, "c2", False, T0, 2),   # 2 becomes default
+                                (4, 8, None, True, T0, 1), (4, 8, None, False, T0, 2),   # 4 set, then cleared
+                                (1, 8, "x", True, T0, 3)],                                # not user 8's address
+                               "id int, user_id int, address string, is_default boolean, change_ts timestamp, seq int")
+    res = M.update_addresses(addrs, ch, ["address"])
+    got = {r.id: (r.address, r.is_default) for r in res["addresses"].collect()}
+    assert got == {1: ("a", False), 2: ("b", True), 3: ("c2", False), 4: ("d", False)}
+    assert [r.seq for r in res["rejected"].collect()] == [3]
+
+
 # ---------------------------------------------------------------- M8 / C2 / C3
 def test_cascade_refuses_restricted_root(spark):
     fks = [("products", "seller_id", "sellers", "cascade"), ("order_items", "product_id", "products", "restrict"),
