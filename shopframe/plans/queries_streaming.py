@@ -64,6 +64,18 @@ def q_stream_sliding_attempts(spark, sf_dir):
     return _naive_windows(S.current_state(spark, f"{root}/out", ["user_id", "window_start"]))
 
 
+@register("stream_rate_limited_codes")
+def q_stream_rate_limited_codes(spark, sf_dir):
+    """Q37 exact over the verification-code requests: at most 5 accepted per
+    user in any trailing day (the one-hour rule never binds on the test data)."""
+    codes = tables(spark, sf_dir)["email_verifications"].select("user_id", F.col("created_at").alias("ts"))
+    root, stream = _feed(spark, codes, "ts", "ratelimit")
+    S.run_batches(S.rate_limited(stream, window_seconds=86400), S.batch_writer(f"{root}/out"), f"{root}/ckpt",
+                  output_mode="append")
+    return (spark.read.parquet(f"{root}/out").drop("batch_id")
+                 .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
 @register("stream_apply_changes")
 def q_stream_apply_changes(spark, sf_dir):
     t = tables(spark, sf_dir)

@@ -115,6 +115,51 @@ def sliding_counts(events: DataFrame, key: str = "user_id", ts: str = "created_a
                           (F.col("n") >= F.lit(limit)).alias("at_limit")))
 
 
+# ---------------------------------------------------------------- T3 exact (Q37): rate limit over accepted requests
+RATE_LIMIT_OUTPUT = "user_id long, ts timestamp, accepted boolean, recent long"
+RATE_LIMIT_STATE = "times array<timestamp>"
+
+
+def rate_limited(requests: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = CODE_LIMIT,
+                 window_seconds: int = 3600) -> DataFrame:
+    """Q37 exactly: a request is accepted when fewer than ``limit`` *accepted*
+    requests of the same key lie in ``(ts - window, ts]``; a refused request
+    records nothing. This is a per-key sequential recurrence, so it runs as a
+    custom stateful operator (``applyInPandasWithState``): the state per key
+    is the accepted times still inside the window (at most ``limit``), and
+    each micro-batch's rows of a key are processed in time order. Feeds must
+    arrive in event-time order across micro-batches (as ``split_into_feed``
+    writes them); a micro-batch bounds the rows one key's task receives.
+    Output: (key, ts, accepted, recent = accepted requests in the window before this one).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    window = pd.Timedelta(seconds=int(window_seconds))
+
+    def step(key_value, batches, state):
+        times = list(state.get[0]) if state.exists else []
+        times = [pd.Timestamp(t) for t in times]
+        for pdf in batches:
+            pdf = pdf.sort_values(ts, kind="stable")
+            accepted, recent = [], []
+            for t in pd.to_datetime(pdf[ts]):
+                times = [x for x in times if x > t - window]
+                ok = len(times) < limit
+                recent.append(len(times))
+                accepted.append(ok)
+                if ok:
+                    times.append(t)
+            yield pd.DataFrame({"user_id": pdf[key].astype("int64").values, "ts": pdf[ts].values,
+                                "accepted": accepted, "recent": recent})
+        state.update(([t.to_pydatetime() for t in times],))
+
+    return (requests.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias(ts))
+                    .groupBy(key)
+                    .applyInPandasWithState(step, RATE_LIMIT_OUTPUT, RATE_LIMIT_STATE, "append",
+                                            GroupStateTimeout.NoTimeout))
+
+
 # ---------------------------------------------------------------- T4 / T5
 def versioned_apply(base_dir: str, apply: Callable[[DataFrame, DataFrame, int], DataFrame],
                     initial_version: int = 0) -> Callable[[DataFrame, int], None]:

@@ -51,6 +51,39 @@ def test_running_ratings_across_batches(spark):
     assert spark.read.parquet(f"{root}/out").select("batch_id").distinct().count() == 2
 
 
+def _serial_rate_limit(rows, limit, window):
+    out, accepted = {}, {}
+    for user, ts in sorted(rows, key=lambda r: (r[1], r[0])):
+        kept = [t for t in accepted.get(user, []) if t > ts - window]
+        ok = len(kept) < limit
+        out[(user, ts)] = (ok, len(kept))
+        accepted[user] = kept + ([ts] if ok else [])
+    return out
+
+
+def test_rate_limit_matches_serial_brute_force(spark, sf_dir):
+    import __spark_entry__ as E
+    got = {(r.user_id, r.ts): (r.accepted, r.recent)
+           for r in E.queries()["stream_rate_limited_codes"](spark, sf_dir).collect()}
+    from shopframe.plans.registry import tables
+    rows = [(r.user_id, r.created_at) for r in tables(spark, sf_dir)["email_verifications"].collect()]
+    assert got == _serial_rate_limit(rows, 5, dt.timedelta(days=1))
+
+
+def test_rate_limit_state_carries_across_batches(spark):
+    root = scratch_path(spark, f"test-rl-{uuid.uuid4().hex[:8]}")
+    schema = "user_id long, ts timestamp"
+    first = [(1, T0 + dt.timedelta(minutes=m)) for m in (0, 5, 10, 15, 20)]
+    second = [(1, T0 + dt.timedelta(minutes=m)) for m in (30, 61, 70)] + [(2, T0 + dt.timedelta(minutes=31))]
+    _write_in_order(spark, f"{root}/feed", [first, second], schema)
+    stream = S.read_changes(spark, f"{root}/feed", spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    S.run_batches(S.rate_limited(stream), S.batch_writer(f"{root}/out"), f"{root}/ckpt", output_mode="append")
+    got = {(r.user_id, r.ts): r.accepted for r in spark.read.parquet(f"{root}/out").collect()}
+    want = {k: v[0] for k, v in _serial_rate_limit(first + second, 5, dt.timedelta(hours=1)).items()}
+    assert got == want
+    assert got[(1, T0 + dt.timedelta(minutes=30))] is False and got[(1, T0 + dt.timedelta(minutes=61))] is True
+
+
 def test_batch_writer_is_idempotent(spark):
     root = scratch_path(spark, f"test-idem-{uuid.uuid4().hex[:8]}")
     handle = S.batch_writer(f"{root}/out")
