@@ -500,6 +500,9 @@ SELECT user_id, ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, COUNT(*)
 FROM (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, created_at) - INTERVAL 5 MINUTE * CAST(k AS INTEGER) AS ws
       FROM email_verifications CROSS JOIN range(0, 12) AS r(k)) x
 GROUP BY user_id, ws""")
+sql("stream_moderation", W("comments comment_moderation", *_MOD) + f"""
+SELECT c.parent_type, c.parent_id, COUNT(*) AS n_ratings, {_RATING} AS average_rating
+FROM newc c WHERE c.status = 'approved' GROUP BY c.parent_type, c.parent_id""")
 # Applying the change feed batch by batch must equal applying it at once.
 sql("stream_apply_changes", ORACLE["patch_coalesce"])
 sql("stream_expiry", W("refresh_tokens") + """

@@ -92,6 +92,24 @@ def q_stream_apply_changes(spark, sf_dir):
     return read_version(spark, f"{root}/users", (max(seen) + 1) if seen else 0)
 
 
+@register("stream_moderation")
+def q_stream_moderation(spark, sf_dir):
+    from ..operators.metrics import ratings
+    t = tables(spark, sf_dir)
+    root, stream = _feed(spark, t["comment_moderation"], "change_ts", "moderation")
+    write_version(t["comments"], f"{root}/comments", 0)
+    write_version(ratings(t["comments"]), f"{root}/ratings", 0)
+    seen = []
+    handler = S.moderation_handler(f"{root}/comments", f"{root}/ratings")
+
+    def handle(batch, batch_id):
+        handler(batch, batch_id)
+        seen.append(batch_id)
+
+    S.run_batches(stream, handle, f"{root}/ckpt", output_mode="append")
+    return read_version(spark, f"{root}/ratings", (max(seen) + 1) if seen else 0)
+
+
 @register("stream_expiry")
 def q_stream_expiry(spark, sf_dir):
     tokens = tables(spark, sf_dir)["refresh_tokens"]

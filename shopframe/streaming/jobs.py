@@ -178,6 +178,31 @@ def versioned_apply(base_dir: str, apply: Callable[[DataFrame, DataFrame, int],
     return handle
 
 
+def moderation_handler(comments_dir: str, ratings_dir: str) -> Callable[[DataFrame, int], None]:
+    """T1 + T5 (Trace 3 of the survey): a feed of comment status changes.
+
+    Batch ``b`` reads version ``b`` of the comments and of the ratings table,
+    applies the changes (M11), recomputes the averages of the parents the
+    batch touched from the updated comments (A6, so a status moving away
+    from approved lowers them), replaces only those parents' rows, and
+    writes version ``b + 1`` of both. The ratings table holds parents with
+    at least one approved rating.
+    """
+    keys = ["parent_type", "parent_id"]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        comments = read_version(spark, comments_dir, batch_id)
+        ratings = read_version(spark, ratings_dir, batch_id)
+        res = M.moderate_comments(comments, batch)
+        touched = res["touched_parents"]
+        fresh = A.ratings(res["comments"].join(touched, keys, "left_semi"))
+        kept = ratings.join(touched, keys, "left_anti")
+        write_version(res["comments"], comments_dir, batch_id + 1)
+        write_version(kept.unionByName(fresh), ratings_dir, batch_id + 1)
+    return handle
+
+
 def expire_tokens_batch(tokens: DataFrame, new_tokens: DataFrame, batch_id: int) -> DataFrame:
     """T4: insert the batch's tokens, then purge expired or revoked ones as of
     the batch's latest event time (the source purges on every insert)."""
