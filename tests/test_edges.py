@@ -89,6 +89,19 @@ def test_childless_parent_null_vs_empty(spark):
     assert [x.id for x in a7[1]] == [10]
 
 
+def test_nest_many_keeps_null_vs_empty_per_collection(spark):
+    parents = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    imgs = spark.createDataFrame([(10, 1, "u"), (11, 1, "v"), (12, 2, "w")], "id int, product_id int, url string")
+    cats = spark.createDataFrame([(1, "c")], "product_id int, cid string")
+    specs = [(imgs, "product_id", ["id", "url"], "images"), (cats, "product_id", ["cid"], "categories")]
+    a7 = {r.id: (r.images, r.categories) for r in N.nest_many(parents, "id", specs).collect()}
+    assert [x.id for x in a7[1][0]] == [10, 11] and a7[1][1][0].cid == "c"
+    assert [x.id for x in a7[2][0]] == [12] and a7[2][1] is None
+    assert a7[3] == (None, None)
+    a8 = {r.id: (r.images, r.categories) for r in N.nest_many(parents, "id", specs, empty="array").collect()}
+    assert a8[2][1] == [] and a8[3] == ([], [])
+
+
 def test_nest_then_explode_gives_child_rows(spark):
     parents = spark.createDataFrame([(i,) for i in range(5)], "id int")
     kids = spark.createDataFrame([(j, j % 3) for j in range(20)], "id int, product_id int")
