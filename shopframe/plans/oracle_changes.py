@@ -190,6 +190,7 @@ _CAS = ("roots AS (SELECT id AS root FROM users WHERE NOT is_verified)",
         "accepted AS (SELECT root FROM roots WHERE root NOT IN (SELECT root FROM rejected))")
 _CAS_T = "users shop_orders addresses order_items products sellers comments blogs"
 sql("cascade_delete_rejected", W(_CAS_T, *_CAS) + "SELECT * FROM rejected")
+sql("cascade_delete", W(_CAS_T, *_CAS) + "SELECT * FROM rejected")
 sql("cascade_delete_users", W(_CAS_T, *_CAS) + "SELECT * FROM users WHERE id NOT IN (SELECT root FROM accepted)")
 sql("cascade_delete_comments", W(_CAS_T, *_CAS) + """
 SELECT c.id, CASE WHEN c.user_id IN (SELECT root FROM accepted) THEN NULL ELSE c.user_id END AS user_id,

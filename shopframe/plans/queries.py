@@ -79,6 +79,12 @@ def q_catalogue_count(spark, sf_dir):
     return R.catalogue_count(tables(spark, sf_dir), limit=10, offset=5, **_CAT_ARGS)
 
 
+@register("page_info")
+def q_page_info(spark, sf_dir):
+    """A1 + L5 for the default catalogue listing (active products), page 3 of 10."""
+    return R.catalogue_count(tables(spark, sf_dir), limit=10, offset=20)
+
+
 @register("new_arrivals")
 def q_new_arrivals(spark, sf_dir):
     return _flat(R.new_arrivals(tables(spark, sf_dir)), _PRODUCT_NEST)

@@ -208,6 +208,12 @@ def _cascade(spark, sf_dir):
     return M.cascade_delete(tabs, "users", roots, DERIVED_FKS)
 
 
+@register("cascade_delete")
+def q_cascade_delete(spark, sf_dir):
+    """M8 from users (unverified ones): the refused roots with their RESTRICT reasons."""
+    return _cascade(spark, sf_dir)["__rejected"]
+
+
 @register("cascade_delete_rejected")
 def q_cascade_delete_rejected(spark, sf_dir):
     return _cascade(spark, sf_dir)["__rejected"]
