@@ -75,6 +75,32 @@ def test_scorecard_aggregates_lines_per_product_before_the_product_join(spark, n
     assert rows[0] == (10, 250, "750.00")
 
 
+def test_scorecard_with_a_hot_seller_matches_brute_force(spark, no_broadcast):
+    """One seller owns a third of all order lines; shuffle paths (no broadcast)
+    must still give exact totals."""
+    from decimal import Decimal
+    n = 3000
+    lines = [(i % 400, (0 if i % 3 == 0 else 1 + i % 39), 1 + i % 4, Decimal(f"{1 + i % 7}.25")) for i in range(n)]
+    items = spark.createDataFrame(lines, "order_id long, product_id long, quantity int, price_at_time decimal(12,2)")
+    orders = spark.range(400).select("id")
+    products = spark.range(40).select("id", F.when(F.col("id") == 0, 0).otherwise(F.col("id") % 5).alias("seller_id"))
+    sellers = spark.range(5).select("id", F.col("id").alias("user_id"), F.lit("s").alias("shop_name"),
+                                    F.lit(None).cast("decimal(3,2)").alias("rating"), F.lit("active").alias("status"),
+                                    F.lit(None).cast("date").alias("created_at"))
+    users = spark.range(5).select("id", F.lit("a").alias("first_name"), F.lit("b").alias("last_name"),
+                                  F.lit("e").alias("email"), F.lit("p").alias("phone_number"))
+    got = {r.id: (r.total_products, r.total_orders, r.total_revenue, r.distinct_orders)
+           for r in A.seller_scorecard(sellers, users, products, items, orders).collect()}
+    seller_of = {p: (0 if p == 0 else p % 5) for p in range(40)}
+    want = {}
+    for s in range(5):
+        mine = [ln for ln in lines if seller_of[ln[1]] == s]
+        want[s] = (sum(1 for p in range(40) if seller_of[p] == s), len(mine),
+                   sum((q * pr for _, _, q, pr in mine), Decimal("0.00")), len({o for o, _, _, _ in mine}))
+    assert got == want
+    assert got[0][1] >= n // 3
+
+
 def test_trailing_count_partitions_by_key_and_time_bucket(spark):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, 1, t0 + dt.timedelta(minutes=7 * i)) for i in range(50)],
