@@ -188,6 +188,16 @@ def test_patch_null_keeps_vs_presence_mask_clears(spark):
     assert (cleared.first_name, cleared.last_name) == (None, "Lee")
 
 
+def test_touch_sets_updated_at_on_changed_rows_only(spark):
+    base = spark.createDataFrame([(1, "Ann", dt.datetime(2023, 1, 1)), (2, "Bob", dt.datetime(2023, 1, 1))],
+                                 "id int, first_name string, updated_at timestamp")
+    ch = spark.createDataFrame([(1, "Anna", T0, 1), (3, "Zed", T0, 2)],
+                               "id int, first_name string, change_ts timestamp, seq int")
+    out = {r.id: (r.first_name, r.updated_at) for r in
+           M.patch_coalesce(base, ch, "id", ["first_name"], as_of="2024-01-20 00:00:00").collect()}
+    assert out == {1: ("Anna", T0), 2: ("Bob", dt.datetime(2023, 1, 1))}
+
+
 def test_two_changes_same_key_last_wins(spark):
     ch = spark.createDataFrame([(1, "One", T0, 1), (1, "Two", T0, 2)], "id int, first_name string, change_ts timestamp, seq int")
     assert M.patch_coalesce(_users(spark), ch, "id", ["first_name"]).first().first_name == "Two"
