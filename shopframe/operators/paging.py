@@ -95,6 +95,8 @@ def page_keys(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT
     Only the key, sort and filter columns are read (Catalyst prunes the scan
     to them), and the top-k keeps ``offset + limit`` rows per task. The keys
     are brought to the driver: their number is bounded by the page size.
+    ``key`` must be unique in ``df`` (a primary key), since phase 2 fetches
+    the page's rows by it.
     """
     if limit > MAX_PAGE_KEYS:
         raise ValueError(f"page size above {MAX_PAGE_KEYS}; use keyset_page")
