@@ -204,7 +204,7 @@ FROM {sellers} s LEFT JOIN {sellers} n ON n.id = s.id + 1""",
     "new_categories": """
 SELECT lower(c) AS fa_name, upper(c) AS en_name, TIMESTAMP '2024-01-20 00:00:00' AS change_ts, CAST(k AS BIGINT) AS seq
 FROM (SELECT p_name AS c, p_partkey AS k FROM {part} WHERE p_size > 45
-      UNION ALL SELECT c_mktsegment, c_custkey + 1000000 FROM {customer} WHERE c_custkey % 50 = 1) x
+      UNION ALL SELECT c_mktsegment, c_custkey + 1000000 FROM {customer}) x
 UNION ALL SELECT fa_name, en_name, TIMESTAMP '2024-01-20 00:00:00', 0 - CAST(length(en_name) AS BIGINT)
 FROM {categories} WHERE en_name LIKE 'Brand#1%'""",
     "new_comments": """
@@ -229,12 +229,12 @@ FROM {events} e JOIN {products} p ON p.id = e.event_id % (SELECT COUNT(*) FROM {
 LEFT JOIN {users} u ON u.id = CASE WHEN e.event_id % 2 = 0 THEN p.seller_id ELSE e.user_id END
 WHERE e.event_type = 'click'""",
     "product_update_categories": """
-SELECT id AS product_id, change_ts, seq, CASE WHEN seq % 10 = 0 THEN NULL ELSE 'LARGE' END AS category_id
-FROM {product_update_patches} WHERE seq % 5 = 0
-UNION ALL SELECT id, change_ts, seq, 'Brand#4' FROM {product_update_patches} WHERE seq % 5 = 0 AND seq % 10 <> 0""",
+SELECT id AS product_id, change_ts, seq, CASE WHEN stock > 95 THEN NULL ELSE 'LARGE' END AS category_id
+FROM {product_update_patches} WHERE price > 9000
+UNION ALL SELECT id, change_ts, seq, 'Brand#4' FROM {product_update_patches} WHERE price > 9000 AND stock <= 95""",
     "product_update_features": """
 SELECT id AS product_id, change_ts, seq, 'color' AS name, name AS value
-FROM {product_update_patches} WHERE seq % 4 = 0""",
+FROM {product_update_patches} WHERE price < 1000""",
     "product_delete_batch": """
 SELECT CASE WHEN e.event_id % 2 = 0 THEN p.seller_id ELSE e.user_id END AS requester_id, p.id
 FROM {events} e JOIN {products} p ON p.id = e.event_id % (SELECT COUNT(*) FROM {part})
