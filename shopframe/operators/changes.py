@@ -526,22 +526,70 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
 # ---------------------------------------------------------------- Q11 / Q24 renames and creates with unique names
 def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequence[str], as_of=None,
                   order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
-    """Q11 / Q24 update: set name columns unless the new value (tuple) is
-    used by another row of the table before the batch or by an earlier
-    change of the batch (C1). Returns {'base', 'rejected'}."""
+    """Q11 / Q24 update: rename rows while the name (tuple) stays unique.
+
+    Serial meaning: in (change_ts, seq) order a change sets the name
+    (null fields keep their value, M2) unless another row holds the new name
+    at that moment; a name is freed when its holder is renamed. Exact batch
+    result in rounds: a pending change is decided once no earlier pending
+    change targets the same name, comes from the row holding that name, or
+    comes from the same row; such changes cannot affect each other, so a
+    round decides them all, and the earliest pending change is always among
+    them. The name map and the pending set are checkpointed each round.
+    Returns {'base', 'rejected'}.
+    """
     o = _order(order)
     names = list(name_cols)
-    taken = base.select(F.col(key).alias("__owner"), *[F.col(c).alias(f"__t_{c}") for c in names])
-    cond = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__t_{c}") for c in names])
-    clash = changes.join(taken, cond & (F.col(key) != F.col("__owner")), "left_semi").withColumn(
-        "reason", F.lit("name already in use"))
-    rest = changes.join(clash.select(key, *order), [key, *order], "left_anti")
-    first = rest.groupBy(*names).agg(F.min(o).alias("__first"))
-    rest = rest.join(first, names)
-    dup = rest.where(o != F.col("__first")).drop("__first").withColumn("reason", F.lit("name already in use"))
-    ok = rest.where(o == F.col("__first")).drop("__first")
-    new = patch_coalesce(base, ok, key, names, as_of, order)
-    return {"base": new, "rejected": clash.unionByName(dup)}
+    tcols = [f"__t_{c}" for c in names]
+    state = base.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in names])
+    known = state.select(F.col("__k").alias("__kn"))
+    pending = changes.withColumn("__o", o).select(*changes.columns, "__o")
+    # a change for a row that does not exist updates nothing (the source answers "not found")
+    rejected = pending.join(known, pending[key] == F.col("__kn"), "left_anti").select(*changes.columns).withColumn(
+        "reason", F.lit("not found"))
+    pending = pending.join(known, pending[key] == F.col("__kn"), "left_semi")
+    decided = None
+    while not pending.isEmpty():
+        cur = pending.join(state, pending[key] == F.col("__k"), "inner")
+        target = [F.coalesce(F.col(c), F.col(f"__cur_{c}")).alias(f"__t_{c}") for c in names]
+        cur = cur.select(*pending.columns, *target)
+        # one holder per name (null names never clash)
+        holders = (state.where(functools.reduce(lambda a, b: a & b, [F.col(f"__cur_{c}").isNotNull() for c in names]))
+                        .groupBy(*[F.col(f"__cur_{c}").alias(f"__hn_{c}") for c in names])
+                        .agg(F.min("__k").alias("__h")))
+        cur = cur.join(holders, functools.reduce(lambda a, b: a & b,
+                                                 [F.col(f"__t_{c}") == F.col(f"__hn_{c}") for c in names]), "left")
+        first_t = cur.groupBy(*[F.col(t).alias(f"__f{t}") for t in tcols]).agg(F.min("__o").alias("__ft"))
+        cur = cur.join(first_t, functools.reduce(lambda a, b: a & b,
+                                                 [F.col(t).eqNullSafe(F.col(f"__f{t}")) for t in tcols]), "inner")
+        first_k = pending.groupBy(F.col(key).alias("__fk")).agg(F.min("__o").alias("__fko"))
+        cur = cur.join(first_k, cur[key] == F.col("__fk"))
+        h_first = first_k.select(F.col("__fk").alias("__hk"), F.col("__fko").alias("__hko"))
+        cur = cur.join(h_first, cur["__h"] == F.col("__hk"), "left")
+        ready = cur.where((F.col("__o") == F.col("__ft")) & (F.col("__o") == F.col("__fko")) &
+                          (F.col("__hk").isNull() | (F.col("__h") == F.col(key)) | (F.col("__hko") > F.col("__o"))))
+        ready = ready.withColumn("__ok", F.col("__h").isNull() | (F.col("__h") == F.col(key))).checkpoint()
+        ok = ready.where(F.col("__ok"))
+        bad = ready.where(~F.col("__ok")).select(*changes.columns).withColumn("reason", F.lit("name already in use"))
+        rejected = rejected.unionByName(bad)
+        applied = ok.select(F.col(key).alias("__a"), *[F.col(f"__t_{c}").alias(f"__new_{c}") for c in names])
+        state = state.join(applied, state["__k"] == F.col("__a"), "left").select(
+            "__k", *[F.when(F.col("__a").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(f"__cur_{c}"))
+                     .alias(f"__cur_{c}") for c in names])
+        state = state.checkpoint()
+        done = ok.select(F.col(key).alias("__dk2"))
+        decided = done if decided is None else decided.unionByName(done)
+        pending = pending.join(ready.select(F.col("__o").alias("__d"), F.col(key).alias("__dk")),
+                               (F.col("__o") == F.col("__d")) & (F.col(key) == F.col("__dk")), "left_anti").checkpoint()
+    out = base.join(state, base[key] == F.col("__k"), "left")
+    for c in names:
+        out = out.withColumn(c, F.col(f"__cur_{c}"))
+    out = out.drop("__k", *[f"__cur_{c}" for c in names])
+    if decided is not None:
+        touched = decided.distinct()
+        out = out.join(touched, out[key] == F.col("__dk2"), "left")
+        out = touch(out, F.col("__dk2").isNotNull(), as_of).drop("__dk2")
+    return {"base": out.select(*base.columns), "rejected": rejected}
 
 
 def create_unique(base: DataFrame, new_rows: DataFrame, table: str, name_cols: Sequence[str],

@@ -351,6 +351,42 @@ def test_rule_runner_reports_every_violation(spark):
     assert sorted(r.rule for r in viol.collect()) == ["email", "length", "mobile"]
 
 
+# ---------------------------------------------------------------- Q11 renames in serial order
+def _serial_renames(base, changes):
+    names = dict(base)
+    rejected = []
+    for k, n, seq in sorted(changes, key=lambda c: c[2]):
+        if k not in names:
+            rejected.append((seq, "not found"))
+            continue
+        target = n if n is not None else names[k]
+        holder = [h for h, v in names.items() if v == target and h != k]
+        if holder:
+            rejected.append((seq, "name already in use"))
+        else:
+            names[k] = target
+    return names, sorted(rejected)
+
+
+def test_renames_follow_serial_order_with_freed_names(spark):
+    base = [(1, "A"), (2, "B"), (3, "C")]
+    changes = [(2, "D", 1),    # B is freed
+               (1, "B", 2),    # takes the freed name
+               (3, "A", 3),    # A was freed by change 2
+               (2, "C", 4),    # C was freed by change 3
+               (1, "C", 5),    # taken by row 2 now
+               (9, "Z", 6),    # no such row
+               (3, None, 7)]   # keeps its name
+    b = spark.createDataFrame(base, "id int, shop_name string")
+    ch = spark.createDataFrame([(k, n, T0, s) for k, n, s in changes],
+                               "id int, shop_name string, change_ts timestamp, seq int")
+    res = M.rename_unique(b, ch, "id", ["shop_name"])
+    got = {r.id: r.shop_name for r in res["base"].collect()}
+    want, want_rej = _serial_renames(base, changes)
+    assert got == want == {1: "B", 2: "C", 3: "A"}
+    assert sorted((r.seq, r.reason) for r in res["rejected"].collect()) == want_rej
+
+
 # ---------------------------------------------------------------- M17 serial equivalence
 def test_seller_promotion_equals_serial_order(spark):
     users = spark.createDataFrame([(1, "customer"), (2, "customer"), (3, "customer")], "id int, role string")
