@@ -62,6 +62,22 @@ def test_chunked_apply_equals_one_batch(spark, changes, cut):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(ch=st.lists(st.tuples(st.integers(1, 4), st.one_of(st.none(), st.sampled_from(["A", "B", "C", "D", "E"]))),
+                   max_size=7))
+def test_renames_equal_serial_order(spark, ch):
+    from test_edges import _serial_renames
+    base = [(1, "A"), (2, "B"), (3, "C")]
+    changes = [(k, n, i) for i, (k, n) in enumerate(ch)]
+    b = spark.createDataFrame(base, "id int, shop_name string")
+    c = spark.createDataFrame([(k, n, T0, s) for k, n, s in changes],
+                              "id int, shop_name string, change_ts timestamp, seq int")
+    res = M.rename_unique(b, c, "id", ["shop_name"])
+    want, want_rej = _serial_renames(base, changes)
+    assert {r.id: r.shop_name for r in res["base"].collect()} == want
+    assert sorted((r.seq, r.reason) for r in res["rejected"].collect()) == want_rej
+
+
 @SETTINGS
 @given(roots=st.sets(st.integers(1, 4), max_size=4), sold=st.sets(st.integers(10, 17), max_size=8))
 def test_cascade_leaves_no_orphans(spark, roots, sold):
