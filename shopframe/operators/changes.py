@@ -413,18 +413,27 @@ def purge_tokens(tokens: DataFrame, as_of) -> DataFrame:
     return tokens.where(~((F.col("expires_at") < t) | F.coalesce(F.col("is_revoked"), F.lit(False))))
 
 
-def rotate_tokens(tokens: DataFrame, presented: DataFrame, as_of, life_days: int = 7) -> dict[str, DataFrame]:
-    """M6 (Q39): ``presented(token)`` — each live presented token (not revoked,
+def rotate_tokens(tokens: DataFrame, presented: DataFrame, as_of, life_days: int = 7,
+                  order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+    """M6 (Q39): ``presented(token, change_ts, seq)``.
+
+    In request order, a presented token that is live (not revoked,
     ``expires_at > as_of``) replaces *all* of its user's tokens with one new
-    token valid for ``life_days``. Unknown or dead tokens are refused.
+    token valid for ``life_days``. So per user the earliest live presentation
+    wins; a later presentation of that user finds its token deleted and is
+    refused, as are unknown or dead tokens.
     Returns {'tokens', 'issued', 'rejected'}."""
     ts_type = tokens.schema["expires_at"].dataType
     now = F.lit(as_of).cast(ts_type)
+    o = _order(order)
     live = tokens.where(~F.coalesce(F.col("is_revoked"), F.lit(False)) & (F.col("expires_at") > now))
-    pres = presented.select(F.col("token").alias("__tok")).distinct()
-    used = live.join(pres, live["token"] == pres["__tok"], "inner")
-    rejected = pres.join(live, pres["__tok"] == live["token"], "left_anti").select(F.col("__tok").alias("token"))
-    per_user = used.groupBy("user_id").agg(F.max("token").alias("__last"))
+    pres = presented.select(F.col("token").alias("__tok"), o.alias("__o"))
+    hits = pres.join(live.select("token", "user_id"), pres["__tok"] == F.col("token"), "inner")
+    per_user = hits.groupBy("user_id").agg(F.min_by("token", F.col("__o")).alias("__last"),
+                                           F.min("__o").alias("__win"))
+    winners = per_user.select(F.col("__win").alias("__wo"), F.col("__last").alias("__wt"))
+    rejected = pres.join(winners, (F.col("__o") == F.col("__wo")) & (F.col("__tok") == F.col("__wt")),
+                         "left_anti").select(F.col("__tok").alias("token"), F.col("__o.*"))
     issued = per_user.select(
         new_key(tokens.schema["id"].dataType, "refresh_token", "user_id", "__last").alias("id"),
         "user_id",

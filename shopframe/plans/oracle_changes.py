@@ -53,8 +53,10 @@ sql("consume_codes_users", W(_CT, *_CAND) +
 sql("token_purge", W("refresh_tokens") + f"""
 SELECT * FROM refresh_tokens WHERE NOT (expires_at < {TS} OR COALESCE(is_revoked, FALSE))""")
 _ROT = (f"live AS (SELECT * FROM refresh_tokens WHERE NOT COALESCE(is_revoked, FALSE) AND expires_at > {TS})",
-        "per_user AS (SELECT user_id, MAX(token) AS last FROM live "
-        "WHERE token IN (SELECT token FROM presented_tokens) GROUP BY user_id)")
+        """w AS (SELECT * FROM (SELECT p.token, p.change_ts, p.seq, l.user_id, ROW_NUMBER() OVER (
+  PARTITION BY l.user_id ORDER BY p.change_ts, p.seq) AS rn FROM presented_tokens p JOIN live l ON p.token = l.token)
+  WHERE rn = 1)""",
+        "per_user AS (SELECT user_id, token AS last FROM w)")
 sql("token_rotation", W("refresh_tokens presented_tokens", *_ROT) + f"""
 SELECT * FROM refresh_tokens WHERE user_id NOT IN (SELECT user_id FROM per_user)
 UNION ALL
@@ -62,8 +64,9 @@ SELECT {_key('refresh_token', 'user_id', 'last')}, user_id,
   sha256('refresh:' || CAST(user_id AS VARCHAR) || ':' || last || ':{AS_OF}'),
   {TS} + INTERVAL 7 DAY, FALSE, {TS}
 FROM per_user""")
-sql("token_rotation_rejected", W("refresh_tokens presented_tokens", *_ROT) +
-    "SELECT DISTINCT token FROM presented_tokens WHERE token NOT IN (SELECT token FROM live)")
+sql("token_rotation_rejected", W("refresh_tokens presented_tokens", *_ROT) + """
+SELECT p.token, p.change_ts, p.seq FROM presented_tokens p
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.token = p.token AND w.change_ts = p.change_ts AND w.seq = p.seq)""")
 
 # ---------------------------------------------------------------- W5 / W3 / W4
 _CHOSEN = ("""valid AS (SELECT r.* FROM address_requests r

@@ -122,7 +122,9 @@ CHANGE_SQL: dict[str, str] = {
 SELECT user_id, verification_code AS code, created_at + INTERVAL 1 MINUTE * CAST(id % 20 AS INT) AS submitted_at
 FROM {email_verifications}""",
     "presented_tokens": """
-SELECT 'tok' || CAST(event_id AS STRING) AS token FROM {events} WHERE event_type IN ('view', 'click')""",
+SELECT 'tok' || CAST(CASE WHEN event_type = 'click' THEN event_id - 1 ELSE event_id END AS STRING) AS token,
+       ts AS change_ts, event_id AS seq
+FROM {events} WHERE event_type IN ('view', 'click')""",
     "address_requests": """
 SELECT user_id, CASE WHEN event_id % 2 = 0 THEN user_id + 1000000 ELSE user_id END AS id,
        ts AS change_ts, event_id AS seq

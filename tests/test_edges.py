@@ -281,6 +281,20 @@ def test_live_and_purge_boundaries(spark):
     assert sorted(ids(M.purge_tokens(df, "2024-01-20 00:00:00"))) == [1, 2]
 
 
+def test_token_rotation_first_live_presentation_wins(spark):
+    later = T0 + dt.timedelta(days=3)
+    tokens = spark.createDataFrame([(1, 7, "t1", later, False, T0), (2, 7, "t2", later, False, T0),
+                                    (3, 8, "t3", T0, False, T0)],
+                                   "id bigint, user_id bigint, token string, expires_at timestamp, is_revoked boolean, "
+                                   "created_at timestamp")
+    pres = spark.createDataFrame([("t2", T0, 1), ("t1", T0, 2), ("t3", T0, 3), ("zz", T0, 4)],
+                                 "token string, change_ts timestamp, seq int")
+    res = M.rotate_tokens(tokens, pres, "2024-01-20 00:00:00")
+    assert sorted(r.seq for r in res["rejected"].collect()) == [2, 3, 4]  # t1 deleted by the rotation, t3 expired
+    left = res["tokens"].collect()
+    assert sorted(r.user_id for r in left) == [7, 8] and all(r.token != "t1" and r.token != "t2" for r in left)
+
+
 def test_main_image_promotion(spark):
     imgs = spark.createDataFrame([(1, 10, True), (2, 10, False), (3, 10, False), (4, 20, True)],
                                  "id int, product_id int, is_main boolean")
