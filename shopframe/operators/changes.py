@@ -452,15 +452,22 @@ def consume_codes(codes: DataFrame, users: DataFrame, submissions: DataFrame,
 
     A submission matches a code of the same user with the same value that
     existed and was live at that moment (``expires_at > submitted_at``,
-    attempts below the limit). A match verifies the user and deletes all of
-    their codes. Returns {'users', 'codes', 'matched'} where matched holds
-    the newest matching code per user (W1)."""
+    attempts below the limit); among such codes the newest one (W1). In
+    submission order the first successful submission verifies the user and
+    deletes all of their codes, so later ones of that user find nothing.
+    Returns {'users', 'codes', 'matched'}: matched holds, per verified user,
+    the code consumed by the first successful submission."""
     s = submissions.select(F.col("user_id").alias("__u"), F.col("code").alias("__code"),
                            F.col("submitted_at").alias("__at"))
     cand = codes.join(s, (codes["user_id"] == s["__u"]) & (codes["verification_code"] == s["__code"]), "inner")
     cand = cand.where((F.col("expires_at") > F.col("__at")) & (F.col("created_at") <= F.col("__at"))
                       & (F.coalesce(F.col("attempts"), F.lit(0)) < max_attempts))
-    matched = latest_per(cand.select(*codes.columns), "user_id", ("created_at", "id"))
+    row = F.struct(*[F.col(c) for c in codes.columns])
+    per_submission = cand.groupBy("user_id", "__at", "__code").agg(
+        F.max_by(row, F.struct("created_at", "id")).alias("__row"))
+    matched = (per_submission.groupBy("user_id")
+                             .agg(F.min_by("__row", F.struct("__at", "__code")).alias("__row"))
+                             .select("__row.*"))
     who = matched.select(F.col("user_id").alias("__v"))
     new_users = users.join(who, users["id"] == who["__v"], "left")
     new_users = new_users.withColumn("is_verified", F.when(F.col("__v").isNotNull(), F.lit(True))

@@ -37,11 +37,13 @@ SELECT v.*, n_in_window >= 5 AS blocks_next FROM (
 sql("trailing_attempts", _trailing(86400 * 10**6))
 sql("trailing_attempts_hour", _trailing(3600 * 10**6))
 
-_CAND = """cand AS (SELECT v.* FROM email_verifications v JOIN code_submissions s
-  ON v.user_id = s.user_id AND v.verification_code = s.code
-  WHERE v.expires_at > s.submitted_at AND v.created_at <= s.submitted_at AND COALESCE(v.attempts, 0) < 5)""",\
-    """matched AS (SELECT * EXCLUDE (rn) FROM (SELECT cand.*, ROW_NUMBER() OVER (PARTITION BY user_id
-  ORDER BY created_at DESC, id DESC) rn FROM cand) WHERE rn = 1)"""
+_CAND = ("""cand AS (SELECT v.*, s.submitted_at AS sub_at, s.code AS scode FROM email_verifications v
+  JOIN code_submissions s ON v.user_id = s.user_id AND v.verification_code = s.code
+  WHERE v.expires_at > s.submitted_at AND v.created_at <= s.submitted_at AND COALESCE(v.attempts, 0) < 5)""",
+         """per_sub AS (SELECT * EXCLUDE (rn) FROM (SELECT cand.*, ROW_NUMBER() OVER (PARTITION BY user_id, sub_at, scode
+  ORDER BY created_at DESC, id DESC) rn FROM cand) WHERE rn = 1)""",
+         """matched AS (SELECT * EXCLUDE (rn, sub_at, scode) FROM (SELECT per_sub.*, ROW_NUMBER() OVER (
+  PARTITION BY user_id ORDER BY sub_at, scode) rn FROM per_sub) WHERE rn = 1)""")
 _CT = "email_verifications code_submissions users"
 sql("consume_codes", W(_CT, *_CAND) + "SELECT * FROM matched")
 sql("consume_codes_remaining", W(_CT, *_CAND) +
