@@ -120,31 +120,93 @@ def patch_present(base: DataFrame, changes: DataFrame, key: str, fields: Sequenc
     return out.drop("__key", *[f"__new_{f}" for f in fields], *[f"__has_{f}" for f in fields])
 
 
+def patch_unique(base: DataFrame, changes: DataFrame, key: str, unique_cols: Sequence[str], fields: Sequence[str],
+                 as_of=None, order: Sequence[str] = ORDER, reset_col: str | None = None,
+                 reset_on: str | None = None) -> dict[str, DataFrame]:
+    """M2 patches where some columns are each unique (F12), in exact serial order.
+
+    A change is refused when any unique column's new value (null keeps the
+    current one) is held by another row at that moment; a value is freed
+    when its holder changes it. Rounds as in ``rename_unique``: a change is
+    decided once, for every unique column, no earlier pending change targets
+    the same value or comes from the value's holder, and no earlier pending
+    change comes from the same row. With ``reset_col``/``reset_on`` (M22) the
+    flag is cleared when an accepted change's ``reset_on`` value is missing or
+    differs from the row's value at that moment.
+    Returns {'base', 'rejected'}.
+    """
+    o = _order(order)
+    ucols = list(unique_cols)
+    state = base.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in ucols])
+    known = state.select(F.col("__k").alias("__kn"))
+    pending = changes.withColumn("__o", o).select(*changes.columns, "__o")
+    rejected = pending.join(known, pending[key] == F.col("__kn"), "left_anti").select(*changes.columns).withColumn(
+        "reason", F.lit("not found"))
+    pending = pending.join(known, pending[key] == F.col("__kn"), "left_semi")
+    accepted = None
+    while not pending.isEmpty():
+        first_k = pending.groupBy(F.col(key).alias("__fk")).agg(F.min("__o").alias("__fko"))
+        cur = pending.join(state, pending[key] == F.col("__k"), "inner")
+        cur = cur.select(*pending.columns, *[F.col(f"__cur_{c}") for c in ucols],
+                         *[F.coalesce(F.col(c), F.col(f"__cur_{c}")).alias(f"__t_{c}") for c in ucols])
+        cur = cur.join(first_k, cur[key] == F.col("__fk"))
+        ready_terms, ok_terms, reasons = [F.col("__o") == F.col("__fko")], [], []
+        for c in ucols:
+            holders = (state.where(F.col(f"__cur_{c}").isNotNull())
+                            .groupBy(F.col(f"__cur_{c}").alias(f"__hv_{c}")).agg(F.min("__k").alias(f"__h_{c}")))
+            cur = cur.join(holders, F.col(f"__t_{c}") == F.col(f"__hv_{c}"), "left")
+            first_t = cur.groupBy(F.col(f"__t_{c}").alias(f"__ftv_{c}")).agg(F.min("__o").alias(f"__ft_{c}"))
+            cur = cur.join(first_t, F.col(f"__t_{c}").eqNullSafe(F.col(f"__ftv_{c}")))
+            hk = first_k.select(F.col("__fk").alias(f"__hk_{c}"), F.col("__fko").alias(f"__hko_{c}"))
+            cur = cur.join(hk, F.col(f"__h_{c}") == F.col(f"__hk_{c}"), "left")
+            ready_terms.append((F.col("__o") == F.col(f"__ft_{c}")) &
+                               (F.col(f"__hk_{c}").isNull() | (F.col(f"__h_{c}") == F.col(key)) |
+                                (F.col(f"__hko_{c}") > F.col("__o"))))
+            free = F.col(f"__h_{c}").isNull() | (F.col(f"__h_{c}") == F.col(key))
+            ok_terms.append(free)
+            reasons.append(F.when(~free, F.lit(f"{c} in use")))
+        ready = cur.where(functools.reduce(lambda a, b: a & b, ready_terms))
+        ready = ready.withColumn("__ok", functools.reduce(lambda a, b: a & b, ok_terms))
+        if reset_on:
+            ready = ready.withColumn("__reset", F.col(reset_on).isNull() |
+                                     ~F.col(reset_on).eqNullSafe(F.col(f"__cur_{reset_on}")))
+        ready = ready.withColumn("__reason", F.concat_ws("; ", *reasons)).checkpoint()
+        bad = ready.where(~F.col("__ok")).select(*changes.columns, F.col("__reason").alias("reason"))
+        rejected = rejected.unionByName(bad)
+        good = ready.where(F.col("__ok")).select(*changes.columns, "__o", *(["__reset"] if reset_on else []))
+        accepted = good if accepted is None else accepted.unionByName(good)
+        applied = ready.where(F.col("__ok")).select(F.col(key).alias("__a"),
+                                                    *[F.col(f"__t_{c}").alias(f"__new_{c}") for c in ucols])
+        state = state.join(applied, state["__k"] == F.col("__a"), "left").select(
+            "__k", *[F.when(F.col("__a").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(f"__cur_{c}"))
+                     .alias(f"__cur_{c}") for c in ucols]).checkpoint()
+        pending = pending.join(ready.select(F.col("__o").alias("__d"), F.col(key).alias("__dk")),
+                               (F.col("__o") == F.col("__d")) & (F.col(key) == F.col("__dk")), "left_anti").checkpoint()
+    if accepted is None:
+        return {"base": base, "rejected": rejected}
+    out = patch_coalesce(base, accepted.drop("__o", *(["__reset"] if reset_on else [])), key, list(fields), as_of, order)
+    if reset_col and reset_on:
+        resets = accepted.where(F.col("__reset")).select(F.col(key).alias("__r")).distinct()
+        out = out.join(resets, out[key] == F.col("__r"), "left")
+        out = out.withColumn(reset_col, F.when(F.col("__r").isNotNull(), F.lit(False)).otherwise(F.col(reset_col)))
+        out = out.drop("__r")
+    return {"base": out.select(*base.columns), "rejected": rejected}
+
+
 def patch_user(users: DataFrame, changes: DataFrame, fields: Sequence[str], as_of=None,
                order: Sequence[str] = ORDER) -> tuple[DataFrame, DataFrame]:
     """Q32: profile patch (M2) with conflict check (F12) and email reset.
 
-    A change whose email or phone is used by *another* user is refused.
-    ``is_verified`` becomes false when a change's email differs from the
-    stored one, a missing email counting as different (as in the source).
-    Returns (new users, rejected changes with reason).
+    In request order, a change whose email or phone is held by *another*
+    user at that moment is refused (a value freed earlier in the batch is
+    reusable). ``is_verified`` becomes false when an accepted change's email
+    differs from the user's email at that moment, a missing email counting as
+    different (as in the source). Returns (new users, rejected changes with reason).
     """
-    from ..functions.predicates import find_conflicts
-    # (change_ts, seq) identifies a change; it is stable when a task is retried.
-    ch = changes.withColumn("__rid", _order(order))
-    clash = find_conflicts(ch, users, [k for k in ("email", "phone_number") if k in fields],
-                           incoming_id="__rid", exclude_self="id")
-    reasons = clash.groupBy("__rid").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.col("key"), F.lit(" in use")))), "; ").alias("reason"))
-    ok = ch.join(reasons, "__rid", "left_anti")
-    rejected = ch.join(reasons, "__rid", "inner").drop("__rid")
-    old = users.select(F.col("id").alias("__uid"), F.col("email").alias("__old_email"))
-    resets = (ok.join(old, ok["id"] == old["__uid"], "inner")
-                .where(F.col("email").isNull() | ~F.col("email").eqNullSafe(F.col("__old_email")))
-                .select(F.col("id").alias("__reset")).distinct())
-    out = patch_coalesce(users, ok.drop("__rid"), "id", fields, as_of, order)
-    out = out.join(resets, out["id"] == resets["__reset"], "left")
-    out = out.withColumn("is_verified", F.when(F.col("__reset").isNotNull(), F.lit(False)).otherwise(F.col("is_verified")))
-    return out.drop("__reset"), rejected
+    unique = [k for k in ("email", "phone_number") if k in fields]
+    res = patch_unique(users, changes, "id", unique, fields, as_of, order,
+                       reset_col="is_verified", reset_on="email" if "email" in unique else None)
+    return res["base"], res["rejected"]
 
 
 # ---------------------------------------------------------------- M4 / M5 / M19 / M20 carts

@@ -401,6 +401,21 @@ def test_renames_follow_serial_order_with_freed_names(spark):
     assert sorted((r.seq, r.reason) for r in res["rejected"].collect()) == want_rej
 
 
+def test_profile_patch_reuses_freed_email_and_resets_verification(spark):
+    users = spark.createDataFrame([(1, "a@x.io", "09000000001", True), (2, "b@x.io", "09000000002", True),
+                                   (3, "c@x.io", "09000000003", True)],
+                                  "id int, email string, phone_number string, is_verified boolean")
+    ch = spark.createDataFrame([(1, "b@x.io", None, T0, 1),    # b@ still held by 2: refused
+                                (2, "z@x.io", None, T0, 2),    # 2 frees b@
+                                (1, "b@x.io", None, T0, 3),    # now accepted
+                                (3, "c@x.io", "09000000002", T0, 4)],  # same email; phone held by 2: refused
+                               "id int, email string, phone_number string, change_ts timestamp, seq int")
+    out, rej = M.patch_user(users, ch, ["email", "phone_number"])
+    got = {r.id: (r.email, r.is_verified) for r in out.collect()}
+    assert got == {1: ("b@x.io", False), 2: ("z@x.io", False), 3: ("c@x.io", True)}
+    assert sorted((r.seq, r.reason) for r in rej.collect()) == [(1, "email in use"), (4, "phone_number in use")]
+
+
 # ---------------------------------------------------------------- M17 serial equivalence
 def test_seller_promotion_equals_serial_order(spark):
     users = spark.createDataFrame([(1, "customer"), (2, "customer"), (3, "customer")], "id int, role string")
