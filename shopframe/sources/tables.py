@@ -42,6 +42,9 @@ def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int)
     Two tables bucketed on their join key with the same bucket count join
     without an exchange on either side (sort-merge within buckets), e.g.
     order lines and orders on the order id. Returns the table for reading.
+    The bucket spec lives in the session catalog, so readers must go through
+    ``spark.table(name)`` (a plain parquet read of ``path`` loses it); on a
+    cluster use a persistent catalog so every job sees it.
     """
     (df.write.mode("overwrite").option("path", path)
        .bucketBy(int(buckets), key).sortBy(key).saveAsTable(table))
