@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +21,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send this package to the Python workers, unless their path already names it (as after
+    ``spark-submit --py-files`` with PYTHONPATH, or in a cluster image). Called by operators that run Python."""
+    package = Path(__file__).resolve().parents[1]
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if any(f.endswith(f"/{package.name}.zip") for f in sc.listFiles):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+
+
 def land(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .packing import pack_documents
 from .quality import quality_rules
+from .simhash import simhash_components
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +28,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents packed into sequences of at most 1024 tokens."""
+    out = pack_documents(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                      "offset", "sequence_length")
+
+
+@query("op2_simhash")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document (4-word shingles) and its group at 4 differing bits or fewer."""
+    out = simhash_components(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+                      "component_id")
