@@ -37,20 +37,38 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(archive)
 
 
-def land(df: DataFrame, label: str) -> DataFrame:
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def land(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     This cuts the lineage with one stored copy that every executor can read, so later readers neither
-    recompute the input nor see another row order after a lost executor. The folder is left to the owner of
-    ``spark.checkpoint.dir`` to clean, like any checkpoint.
+    recompute the input nor see another row order after a lost executor. Spark drops the write's shuffle files when
+    it ends (they have no further reader). The folder is left to the owner of ``spark.checkpoint.dir`` to clean,
+    like any checkpoint.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, f"{label}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_document_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __k and __c, which tell documents apart: the id (of a null id, a hash of the text) and a
+    checksum of the text. Rows that repeat id and text are one document and get the same results."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)),
+                             "__c": F.crc32(F.encode(text, "UTF-8"))})
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row (a lambda that names a column expression would
     evaluate it again for every element)."""

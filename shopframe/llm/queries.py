@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .packing import pack_documents
+from .paragraphs import paragraph_dedup
 from .quality import quality_rules
 from .simhash import simhash_components
 
@@ -44,3 +45,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(read_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
                       "component_id")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after repeated paragraphs are removed: what was removed, which documents keep it, and a
+    digest of the text that stays."""
+    out = paragraph_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", "bytes_removed", "kept_in", F.length("text").alias("chars_kept"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
