@@ -10,6 +10,7 @@ from .packing import pack_documents
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
 from .simhash import simhash_components
+from .suffix_index import suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +55,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paragraph_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_removed", "bytes_removed", "kept_in", F.length("text").alias("chars_kept"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document when each 200-byte string that also starts elsewhere is removed."""
+    out = suffix_dedup(read_table(spark, sf_dir, "documents"), length=200)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
