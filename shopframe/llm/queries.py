@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .kdtree import top_k
 from .packing import pack_documents
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
 from .simhash import simhash_components
 from .suffix_index import suffix_dedup
+from .warc import archive_and_index
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +65,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(read_table(spark, sf_dir, "documents"), length=200)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_warc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of all pages, written to WARC files, read back and merged in the order of URL key and time."""
+    out = archive_and_index(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
+ORACLE["op3_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, regexp_extract(url, '^[a-z]+://(www\.)?([^/?#]*)([^#]*)', 2) AS host,
+         regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(url, '^[^?#]*([?][^#]+)', 1) AS query
+  FROM pages),
+d AS (
+  SELECT page_id, strlen(h) AS n, sha1(h) AS s,
+         array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')'
+           || CASE WHEN path = '' THEN '/' ELSE path END || query AS url_key FROM p),
+m AS (SELECT s, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY s HAVING count(*) > 1)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.s AS payload_digest,
+       CASE WHEN last IS NULL OR last = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last <> d.page_id THEN last END AS refers_to, url_key,
+       strftime(to_timestamp(1577836800 + d.page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM d LEFT JOIN m ON d.s = m.s AND n >= 1000
+"""
+
+
+@query("op9_topk_search")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best candidates of every vector whose id is divisible by 100."""
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+ORACLE["op9_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
