@@ -36,20 +36,20 @@ FAMILIES = [
     ("apache-1.1", [("apache(?: software)? license(?: version)? 1 1", "apache")], "apache 1 1", "apache org licenses license 1 1"),
     ("apache-2.0", [("apache(?: software)? license(?: version)? 2(?: 0)?", "apache"), ("asl 2 0 license", "asl")], "apache 2 0", "apache org licenses license 2 0"),
     ("mit", [("mit(?: x11)? licen[cs]e", "mit"), ("expat licen[cs]e", "expat")], "mit", "opensource org licenses mit"),
-    ("mit-0", [("mit no attribution(?: licen[cs]e)?(?= licen| copyright)", "attribution")], "mit 0", "opensource org licenses mit 0"),
+    ("mit-0", [("mit no attribution licen[cs]e", "attribution")], "mit 0", "opensource org licenses mit 0"),
     ("x11", [("x11 licen[cs]e", "x11")], "x11", None),
     ("isc", [("isc licen[cs]e", "isc")], "isc", "opensource org licenses isc"),
     ("bsd-2-clause", [("(?:simplified|2 clause|two clause|freebsd) bsd licen[cs]e", "bsd"), ("bsd (?:2|two) clause(?: simplified)? licen[cs]e", "bsd")], "bsd 2 clause", "opensource org licenses bsd 2 clause"),
     ("bsd-3-clause", [("(?:modified|new|revised|3 clause|three clause) bsd licen[cs]e", "bsd"), ("bsd (?:3|three) clause(?: new)? licen[cs]e", "bsd")], "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     ("bsd-4-clause", [("(?:original|old|4 clause|four clause) bsd licen[cs]e", "bsd")], "bsd 4 clause", None),
     ("0bsd", [("(?:zero clause|0 clause|free public) bsd licen[cs]e", "bsd"), ("0bsd licen[cs]e", "0bsd")], "0bsd", "opensource org licenses 0bsd"),
-    ("gpl-1.0", [("gnu general public licen[cs]e(?: version| v)? 1", "gnu"), ("(?:gnu )?gpl(?: version| v)? ?1(?: 0)?", "gpl")], "gpl 1 0(?: only| or later)?", "gnu org licenses gpl 1 0"),
-    ("gpl-2.0", [("gnu general public licen[cs]e(?: version| v)? 2", "gnu"), ("(?:gnu )?gpl(?: version| v)? ?2(?: 0)?", "gpl"), ("gplv2", "gplv2")], "gpl 2 0(?: only| or later)?", "gnu org licenses gpl 2 0"),
-    ("gpl-3.0", [("gnu general public licen[cs]e(?: version| v)? 3", "gnu"), ("(?:gnu )?gpl(?: version| v)? ?3(?: 0)?", "gpl"), ("gplv3", "gplv3")], "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
-    ("lgpl-2.0", [("gnu library general public licen[cs]e(?: version| v)? 2", "gnu"), ("lgpl(?: version| v)? ?2 0", "lgpl")], "lgpl 2 0(?: only| or later)?", None),
-    ("lgpl-2.1", [("gnu lesser general public licen[cs]e(?: version| v)? 2 1", "gnu"), ("lgpl(?: version| v)? ?2 1", "lgpl")], "lgpl 2 1(?: only| or later)?", "gnu org licenses lgpl 2 1"),
-    ("lgpl-3.0", [("gnu lesser general public licen[cs]e(?: version| v)? 3", "gnu"), ("lgpl(?: version| v)? ?3(?: 0)?", "lgpl"), ("lgplv3", "lgplv3")], "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
-    ("agpl-3.0", [("gnu affero general public licen[cs]e(?: version| v)? 3", "gnu"), ("agpl(?: version| v)? ?3(?: 0)?", "agpl"), ("agplv3", "agplv3")], "agpl 3 0(?: only| or later)?", "gnu org licenses agpl 3 0"),
+    ("gpl-1.0", [("gnu general public licen[cs]e(?: version| v)? 1", "gnu"), ("(?:gnu )?gpl (?:version |v ?)?1(?: 0)?", "gpl")], "gpl 1 0(?: only| or later)?", "gnu org licenses gpl 1 0"),
+    ("gpl-2.0", [("gnu general public licen[cs]e(?: version| v)? 2", "gnu"), ("(?:gnu )?gpl (?:version |v ?)?2(?: 0)?", "gpl"), ("gplv2", "gplv2")], "gpl 2 0(?: only| or later)?", "gnu org licenses gpl 2 0"),
+    ("gpl-3.0", [("gnu general public licen[cs]e(?: version| v)? 3", "gnu"), ("(?:gnu )?gpl (?:version |v ?)?3(?: 0)?", "gpl"), ("gplv3", "gplv3")], "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
+    ("lgpl-2.0", [("gnu library general public licen[cs]e(?: version| v)? 2", "gnu"), ("lgpl (?:version |v ?)?2 0", "lgpl")], "lgpl 2 0(?: only| or later)?", None),
+    ("lgpl-2.1", [("gnu lesser general public licen[cs]e(?: version| v)? 2 1", "gnu"), ("lgpl (?:version |v ?)?2 1", "lgpl")], "lgpl 2 1(?: only| or later)?", "gnu org licenses lgpl 2 1"),
+    ("lgpl-3.0", [("gnu lesser general public licen[cs]e(?: version| v)? 3", "gnu"), ("lgpl (?:version |v ?)?3(?: 0)?", "lgpl"), ("lgplv3", "lgplv3")], "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
+    ("agpl-3.0", [("gnu affero general public licen[cs]e(?: version| v)? 3", "gnu"), ("agpl (?:version |v ?)?3(?: 0)?", "agpl"), ("agplv3", "agplv3")], "agpl 3 0(?: only| or later)?", "gnu org licenses agpl 3 0"),
     ("gfdl", [("gnu free documentation licen[cs]e", "gnu"), ("gfdl licen[cs]e", "gfdl")], "gfdl 1 [123](?: only| or later)?", "gnu org licenses fdl 1 [123]"),
     ("mpl-1.1", [("mozilla public licen[cs]e(?: version| v)? 1 1", "mozilla")], "mpl 1 1", "mozilla org mpl 1 1"),
     ("mpl-2.0", [("mozilla public licen[cs]e(?: version| v)? 2 0", "mozilla"), ("mpl 2 0 licen[cs]e", "mpl")], "mpl 2 0", "mozilla org mpl 2 0"),
@@ -75,7 +75,7 @@ FAMILIES = [
     ("wtfpl", [("do what the fuck you want to public licen[cs]e", "fuck")], "wtfpl", "wtfpl net"),
     ("unlicense", [("(?:the )?unlicense", "unlicense")], "unlicense", "unlicense org"),
     ("upl-1.0", [("universal permissive licen[cs]e", "universal")], "upl 1 0", None),
-    ("cc0-1.0", [("cc0(?: 1 0)?(?: universal)?", "cc0"), ("creative commons zero(?: v?1 0)?(?= licen| universal)", "zero")], "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
+    ("cc0-1.0", [("cc0(?: 1 0)?(?: universal)?", "cc0"), ("creative commons zero(?: v?1 0)?(?: universal| licen[cs]e)", "zero")], "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
     ("cc-by-nc", [("cc by nc(?: [1-4] [05])?", "nc"), ("creative commons attribution non ?commercial(?: [1-4] [05])?(?: international)? licen[cs]e", "creative")], "cc by nc [1-4] [05]", "creativecommons org licenses by nc [1-4] [05]"),
     ("cc-by-nc-nd", [("cc by nc nd(?: [1-4] [05])?", "nd"), ("creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [05])?(?: international)? licen[cs]e", "creative")], "cc by nc nd [1-4] [05]", "creativecommons org licenses by nc nd [1-4] [05]"),
     ("cc-by-nc-sa", [("cc by nc sa(?: [1-4] [05])?", "sa"), ("creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international)? licen[cs]e", "creative")], "cc by nc sa [1-4] [05]", "creativecommons org licenses by nc sa [1-4] [05]"),
