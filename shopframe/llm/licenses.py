@@ -27,7 +27,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 # Substrings of which every rule's match holds one.
-GATES = ["licen", "copyright", "redistribut", "permission", "public domain", "creativecommons", "cc by", "cc0", "spdx",
+GATES = ["licen", "copyright", "redistribut", "permission", "public domain", "creativecommons", "creative commons", "cc by", "cc0", "spdx",
          "gpl", "warrant", "unlicense", "mozilla", "eclipse", "sil org", "wtfpl", "fuck", "advertising", "endorse"]
 
 # Licenses: label, names (regex over words, keyword), SPDX words, URL words.

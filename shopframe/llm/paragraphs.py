@@ -137,9 +137,18 @@ def _band_keys(hashes, first, end, bands, rows) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str) -> set:
+def shingle_hashes(text: str) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct five-word shingles of a text (fewer words: the whole sequence)."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    return {tuple(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    joined = (b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64).view(np.int64))
+
+
+def _similar(a: str, b: str, threshold: float):
+    """Exact Jaccard similarity of two shingle columns, as a join condition: a band's pairs are compared where they
+    meet, and only links leave the join."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= (F.size(a) + F.size(b) - both) * F.lit(threshold)
 
 
 def _units(docs: DataFrame, min_words: int, window: int, bands: int) -> DataFrame:
@@ -159,45 +168,44 @@ def _units(docs: DataFrame, min_words: int, window: int, bands: int) -> DataFram
 
 def _line_links(units: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b) links between classes of lines that join what pairs at ``threshold`` or more join."""
-    lines = (units.where("bands is not null").groupBy(F.struct("c1", "c2").alias("node"))
-             .agg(F.min(F.struct("k", "c", "start", "end")).alias("at"), F.min("bands").alias("bands")))
-    keyed = land(lines.select("node", "at", F.explode("bands").alias("key")), "line-bands")
-    hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-            .where("hub <> last").select("key", "hub"))
-    met = land(keyed.join(hubs, "key"), "line-meetings")
-
-    wanted = met.select("node", "at.*").distinct()
-    texts = land(_cut_out(wanted, docs), "line-texts")
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            s, t = shingle_set(x), shingle_set(y)
-            both = len(s & t)
-            out.append(both / (len(s) + len(t) - both))
-        return pd.Series(out, dtype="float64")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return (pairs.distinct().join(left, "a").join(right, "b")
-                .where(jaccard("text_a", "text_b") >= threshold).select("a", "b"))
-
-    first = land(verified(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))),
-                 "hub-links")
+    lines = land(units.where("bands is not null").groupBy(F.struct("c1", "c2").alias("node"))
+                 .agg(F.count("*").alias("n"), F.min(F.struct("k", "c", "start", "end")).alias("at"),
+                      F.min("bands").alias("bands")), "lines")
+    keyed = lines.select("node", "n", F.explode("bands").alias("key"))
+    # the line that is repeated most is the likeliest to be what the others of a band were copied from
+    hubs = (keyed.groupBy("key").agg(F.max(F.struct("n", "node")).alias("hub"), F.min("node").alias("low"),
+                                     F.max("node").alias("high"))
+            .where("low <> high").select("key", F.col("hub.node").alias("hub")))
+    met = land(keyed.select("key", "node").join(hubs, "key"), "line-meetings")
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t) for t in texts], dtype=object)
+
+    wanted = lines.select("node", "at.*").join(met.select("node").distinct(), "node")
+    sets = land(_cut_out(wanted, docs).select("node", shingles("text").alias("s")), "line-shingles")
+
+    def named(name):
+        return sets.select(F.col("node").alias(name), F.col("s").alias(f"s_{name}"))
+
+    stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(named("a"), "a").join(named("b"), "b")
+    first = land(stars.where(_similar("s_a", "s_b", threshold)).select("a", "b"), "hub-links")
     joined = connected_components(first)
     labelled = land(met.select("key", "node").join(joined, "node", "left")
                     .select("key", "node", F.coalesce("component", "node").alias("label")), "line-labels")
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = (sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
                .where("labels > 1").select("key", F.col("top.label").alias("top")))
-    open_keys = land(labelled.join(largest, "key"), "open-bands")
-    minor = open_keys.where("label <> top").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"))
-    others = open_keys.select("key", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    pairs = (minor.join(others, "key").where("label_x <> label_y")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return first.unionByName(verified(pairs))
+    open_keys = land(labelled.join(largest, "key").join(sets, "node"), "open-bands")
+
+    def side(rows, name):
+        return rows.select("key", F.col("node").alias(name), F.col("label").alias(f"label_{name}"),
+                           F.col("s").alias(f"s_{name}"))
+
+    pairs = side(open_keys.where("label <> top"), "a").join(side(open_keys, "b"), "key")
+    crossing = pairs.where((F.col("label_a") != F.col("label_b")) & _similar("s_a", "s_b", threshold))
+    return first.unionByName(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def _cut_out(wanted: DataFrame, docs: DataFrame) -> DataFrame:
