@@ -67,17 +67,19 @@ class PieceTransducer:
         self.unknown_weight = UNKNOWN_PENALTY - lowest
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.steps: dict[int, list] = {}  # merges of each piece met so far
         self.pair_cache: dict[int, bool] = {}
         self.part_cache: dict[str, tuple[int, ...]] = {}
         self.older_parts: dict[str, tuple[int, ...]] = {}
-        self.trie: dict = {}
+        # a state of the trie: its arcs, the piece that it emits (or -1) and the piece's weight
+        self.trie: tuple[dict, int, float] = ({}, -1, 0.0)
         for piece, i in used.items():
-            if self.bpe and self._merged(piece) != [piece]:
+            if self.bpe and self._merges(piece)[0] != [piece]:
                 continue  # merging never arrives at it
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (i, -self.scores[i])
+            arcs = self.trie[0]
+            for c in piece[:-1]:
+                arcs = arcs.setdefault(c, ({}, -1, 0.0))[0]
+            arcs[piece[-1]] = (arcs.get(piece[-1], ({},))[0], i, -self.scores[i])
         self.parts = self._certain_cuts(used)
 
     @staticmethod
@@ -109,9 +111,10 @@ class PieceTransducer:
             text = " " + text
         return text.replace(" ", SPACE) if self.escape else text
 
-    def _merged(self, text: str) -> list[str]:
-        """The text's symbols after merging, best score first, of equal ones the leftmost."""
-        symbols = list(text)
+    def _merges(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Merge the text's symbols, best score first, of equal ones the leftmost: what is left, and after each merge
+        its score and the outermost symbols."""
+        symbols, steps = list(text), [(0.0, text[:1], text[-1:])]
         while len(symbols) > 1:
             best, at = None, -1
             for i in range(len(symbols) - 1):
@@ -121,15 +124,36 @@ class PieceTransducer:
             if best is None:
                 break
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+            steps.append((best, symbols[0], symbols[-1]))
+        return symbols, steps
 
     def _may_follow(self, a: int, b: int) -> bool:
-        x, y = self.pieces[a], self.pieces[b]
-        known = self._merged(x + y) == [x, y]
+        """Whether merging the joined text of two pieces gives just these two. Their own merges go on independently, so
+        they are replayed side by side; the pieces join if at any time merging across is the best."""
+        if a not in self.steps:
+            self.steps[a] = self._merges(self.pieces[a])[1]
+        if b not in self.steps:
+            self.steps[b] = self._merges(self.pieces[b])[1]
+        left, right = self.steps[a], self.steps[b]
+        i = j = 0
+        apart = True
+        while apart:
+            across = self.ids.get(left[i][2] + right[j][1])
+            score_a = left[i + 1][0] if i + 1 < len(left) else None
+            score_b = right[j + 1][0] if j + 1 < len(right) else None
+            if across is not None:
+                score = self.scores[across]
+                apart = score_a is not None and score_a >= score or score_b is not None and score_b > score
+            if score_a is None and score_b is None:
+                break
+            if score_b is None or score_a is not None and score_a >= score_b:
+                i += 1
+            else:
+                j += 1
         if len(self.pair_cache) >= CACHED_PAIRS:
             self.pair_cache.clear()
-        self.pair_cache[a << 24 | b] = known
-        return known
+        self.pair_cache[a << 24 | b] = apart
+        return apart
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         if self.bytes:
@@ -137,7 +161,7 @@ class PieceTransducer:
         return (self.unknown,)
 
     def _shortest_path(self, part: str) -> tuple[int, ...]:
-        n, trie, bpe, pairs = len(part), self.trie, self.bpe, self.pair_cache
+        n, first_arcs, bpe, pairs = len(part), self.trie[0], self.bpe, self.pair_cache
         weights: list = [None] * (n + 1)
         lasts = [-1] * (n + 1)  # last piece; -1 at the start and behind a fallback arc
         starts = [0] * (n + 1)  # where the last arc began
@@ -146,13 +170,12 @@ class PieceTransducer:
             weight = weights[i]
             if weight is None:
                 continue
-            last, node, j = lasts[i], trie, i
-            while j < n and (node := node.get(part[j])) is not None:
+            last, arcs, j = lasts[i], first_arcs, i
+            while j < n and (state := arcs.get(part[j])) is not None:
                 j += 1
-                final = node.get("")
-                if final is None:
+                arcs, piece, cost = state
+                if piece < 0:
                     continue
-                piece, cost = final
                 now = weights[j]
                 if now is None or not bpe and weight + cost < now:
                     if bpe and last >= 0:
@@ -162,7 +185,7 @@ class PieceTransducer:
                         if not known:
                             continue
                     weights[j], lasts[j], starts[j] = weight + cost, piece, i
-            if "" not in trie.get(part[i], ()):  # the character is no piece
+            if first_arcs.get(part[i], self.trie)[1] < 0:  # the character is no piece
                 cost = weight + self.unknown_weight
                 if weights[i + 1] is None or cost < weights[i + 1]:
                     weights[i + 1], lasts[i + 1], starts[i + 1] = cost, -1, i
