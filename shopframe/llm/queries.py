@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .html_render import with_visible_text
 from .kdtree import top_k
 from .licenses import license_scan
 from .packing import pack_documents
@@ -131,3 +132,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                       F.sha2("decoded", 256).alias("decoded_sha256"),
                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The displayed text of every page."""
+    out = with_visible_text(read_table(spark, sf_dir, "pages").select("page_id", "html"))
+    return out.select("page_id", "visible_text", F.length("visible_text").alias("n_chars"),
+                      F.size(F.split("visible_text", "\n", -1)).alias("n_lines"))
