@@ -148,18 +148,30 @@ def _differing(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def hub_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of nine narrow keys a fingerprint: the bits of two segments, or the bits of one and the decoded index
+    of another."""
+    u = prints.view(np.uint64)
+    seg = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    nearest = [decoded(s) for s in seg]
+    keys = [seg[i] << 22 | seg[j] for i, j in combinations(range(3), 2)]
+    keys += [seg[i] << 22 | nearest[j] for i in range(3) for j in range(3) if i != j]
+    return (np.tile(np.arange(len(u)), len(keys)),
+            np.concatenate([k << 4 | family for family, k in enumerate(keys)]))
+
+
 def _hub_links(prints: DataFrame, max_bits: int) -> DataFrame:
-    """Links of each fingerprint with the smallest one that has the same bits in two of the three segments. This
-    only joins most of a dense group beforehand; the Golay keys find every other link."""
-    def exact(i):
-        at, n = SEGMENTS[i]
-        return F.shiftrightunsigned("p", at).bitwiseAND(F.lit((1 << n) - 1))
-
-    pairs = F.array(*[F.struct(F.lit(k).alias("f"), exact(i).alias("x"), exact(j).alias("y"))
-                      for k, (i, j) in enumerate(combinations(range(3), 2))])
-    keyed = prints.select("p", F.explode(pairs).alias("k"))
-    hubs = keyed.groupBy("k").agg(F.min("p").alias("hub"))
-    return (keyed.join(hubs, "k").where((F.col("p") != F.col("hub")) & (_differing("p", "hub") <= max_bits))
+    """Links of each fingerprint with the smallest one that has a narrow key in common. This only joins nearly all of a
+    dense group beforehand; the Golay keys find every other link."""
+    def keys(batches):
+        for pdf in batches:
+            p = pdf["p"].to_numpy(np.int64)
+            row, key = hub_keys(p)
+            yield pd.DataFrame({"key": key, "p": p[row]})
+
+    keyed = prints.mapInPandas(keys, "key long, p long")
+    hubs = keyed.groupBy("key").agg(F.min("p").alias("hub"))
+    return (keyed.join(hubs, "key").where((F.col("p") != F.col("hub")) & (_differing("p", "hub") <= max_bits))
             .select(F.col("hub").alias("a"), F.col("p").alias("b")).distinct())
 
 
