@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir, scratch_path
 
 WS = r"[\x20\x09-\x0D]"
+NO_ID = 1 << 62
 WS_CHARS = " \t\n\u000b\f\r"
 
 
@@ -62,10 +63,11 @@ def land(df: DataFrame, label: str, partition_by: str | None = None) -> DataFram
 
 
 def with_document_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with __k and __c, which tell documents apart: the id (of a null id, a hash of the text) and a
-    checksum of the text. Rows that repeat id and text are one document and get the same results."""
+    """``docs`` with __k and __c, which tell documents apart: the id (of a null id, a hash of the text from NO_ID on, so
+    that null ids come last) and a checksum of the text. Rows that repeat id and text are one document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)),
+    no_id = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    return docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), no_id),
                              "__c": F.crc32(F.encode(text, "UTF-8"))})
 
 

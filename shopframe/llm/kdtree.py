@@ -8,7 +8,7 @@ which visits boxes best first and stops at boxes that cannot reach the kth score
 ties are resolved, so the result is exact.
 
 Components are scaled and floored in double precision, which is exact for them. Products use matrix routines while all
-sums stay below 2^53, and integers of any size otherwise; a score beyond 64 bits is returned as the nearest long.
+sums stay below 2^53, and integers of any size otherwise; a score beyond 64 bits counts as the nearest long.
 
 Defined results: a vector that is null or has a null, infinite or NaN component takes no part, nor has a null id; only
 vectors of as many components are compared; a row never is a candidate for a query of the same id; rows that repeat
@@ -44,7 +44,7 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 
 def scaled(vectors, dim: int, scale: int = SCALE) -> np.ndarray:
-    return np.floor(scale * np.array([np.asarray(v, np.float64) for v in vectors], np.float64).reshape(-1, dim))
+    return np.floor(scale * np.array([np.asarray(v, np.float64) for v in vectors], np.float64).reshape(len(vectors), dim))
 
 
 def nodes_of(n: int, leaf: int = LEAF) -> list[tuple[int, int, bool]]:
@@ -82,13 +82,18 @@ def _integers(x: np.ndarray) -> np.ndarray:
     return np.array([int(v) for v in x.ravel()], dtype=object).reshape(x.shape)
 
 
+def _as_longs(scores: np.ndarray) -> np.ndarray:
+    """Exact integers beyond 64 bits become the nearest long."""
+    return np.minimum(np.maximum(scores, -2 ** 63), 2 ** 63 - 1) if scores.dtype == object else scores
+
+
 def search_tree(tree, query_ids, queries, bounds, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """For each query its best (score, id) in the tree that reach its bound; k of them, and all ties with the kth."""
     ids, x, boxes = tree
     if not _exact(x, queries):
         x, boxes, queries = _integers(x), _integers(boxes), _integers(queries)
     positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-    reach = positive @ boxes[:, 1].T + negative @ boxes[:, 0].T
+    reach = _as_longs(positive @ boxes[:, 1].T + negative @ boxes[:, 0].T)
     nodes = nodes_of(len(ids))
     for i, q in enumerate(queries):
         kth, scores, found = bounds[i], [], []
@@ -101,7 +106,7 @@ def search_tree(tree, query_ids, queries, bounds, k: int) -> Iterator[tuple[int,
                     if reach[i, child] >= kth and nodes[child][0] < nodes[child][1]:
                         heapq.heappush(heap, (-reach[i, child], child))
                 continue
-            s = x[a:b] @ q
+            s = _as_longs(x[a:b] @ q)
             take = np.flatnonzero((s >= kth) & (ids[a:b] != query_ids[i]))
             if len(take):
                 found += [(int(v), int(c)) for v, c in zip(s[take], ids[a:b][take])]
@@ -137,14 +142,14 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 ids, qids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                tree = (ids, np.frombuffer(r.vectors).reshape(-1, r.dim),
-                        np.frombuffer(r.boxes).reshape(-1, 2, r.dim))
+                tree = (ids, np.frombuffer(r.vectors).reshape(len(ids), r.dim),
+                        np.frombuffer(r.boxes).reshape(len(nodes_of(len(ids))), 2, r.dim))
                 bounds = [-math.inf] * len(qids)
                 if r.bounds is not None:
                     for known in r.bounds:
                         bounds[known["at"]] = known["score"]
-                queries = np.frombuffer(r.q_vectors).reshape(-1, r.dim)
-                rows = [(r.block, r.dim, i, int(qids[i]), c, min(max(s, -2 ** 63), 2 ** 63 - 1))
+                queries = np.frombuffer(r.q_vectors).reshape(len(qids), r.dim)
+                rows = [(r.block, r.dim, i, int(qids[i]), c, s)
                         for i, best in search_tree(tree, qids, queries, bounds, k) for s, c in best]
                 yield pd.DataFrame(rows, columns=["block", "dim", "at", "query_id", "vec_id", "score"])
 

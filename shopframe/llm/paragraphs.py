@@ -15,8 +15,8 @@ A band of very many lines does not emit all its pairs: every line is first compa
 after the components of those links are known, only pairs of different components are compared, and of them none
 inside a band's largest component.
 
-Defined results: a null text counts as empty and stays null; rows that repeat id and text are one document; of equal
-positions under null ids the smaller text hash stays; an empty table gives an empty result.
+Defined results: a null text counts as empty and stays null; rows that repeat id and text are one document; null ids
+come after all others (by a hash of the text) and are not named in kept_in; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import land, ship_package, with_document_key
+from .common import NO_ID, land, ship_package, with_document_key
 from .components import connected_components
 
 SHINGLE = 5
@@ -74,7 +74,7 @@ def paragraph_units(texts: list[bytes], min_words: int = MIN_WORDS, window: int
     n = len(starts)
     columns = ["doc", "start", "end", "c1", "c2", "bands"]
     if not n:
-        return pd.DataFrame({c: [] for c in columns})
+        return pd.DataFrame({c: np.zeros(0, object if c == "bands" else np.int64) for c in columns})
     words = whole.lower().split()
     doc_at = np.cumsum([0] + [len(t) + 1 for t in texts])
     doc = np.searchsorted(doc_at, starts, "right") - 1
@@ -116,7 +116,7 @@ def paragraph_units(texts: list[bytes], min_words: int = MIN_WORDS, window: int
         lists[:len(line_first)] = list(keys)
     begin = starts[first] - doc_at[doc[first]]
     return pd.DataFrame({"doc": doc[first], "start": begin, "end": next_start[end - 1] - doc_at[doc[first]],
-                         "c1": classes[:, 0], "c2": classes[:, 1], "bands": lists}, columns=columns)
+                         "c1": classes[:, 0], "c2": classes[:, 1], "bands": pd.Series(lists, dtype=object)})
 
 
 def _band_keys(hashes, first, end, bands, rows) -> np.ndarray:
@@ -239,7 +239,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = land(gone.select("k", "c", "start", "end", F.col("first.k").alias("kept_k")), "removed-units")
     spans = spans.distinct().groupBy(F.col("k").alias("__k"), F.col("c").alias("__c")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"),
-        F.sort_array(F.collect_set("kept_k")).alias("kept_in"))
+        F.sort_array(F.collect_set(F.when(F.col("kept_k") < NO_ID, F.col("kept_k")))).alias("kept_in"))
 
     @F.pandas_udf("struct<text string, bytes_removed long>")
     def freed(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
