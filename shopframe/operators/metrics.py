@@ -60,7 +60,8 @@ def per_product_sales(items: DataFrame) -> DataFrame:
 
 def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
                      order_items: DataFrame, orders: DataFrame, status: str | None = None,
-                     with_distinct_orders: bool = True, seller_keys: list | None = None) -> DataFrame:
+                     with_distinct_orders: bool = True, seller_page: tuple[DataFrame, int] | None = None,
+                     trusted_fk: bool = False) -> DataFrame:
     """Every seller with owner columns, product count, order-line count and revenue.
 
     ``total_orders`` keeps the source meaning (number of order *lines*);
@@ -70,19 +71,19 @@ def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
     Plan: order lines are reduced to one row per product (partial
     aggregation), left-joined to the products, and one aggregate per seller
     yields product count, line count and revenue together. With
-    ``seller_keys`` (a page's bounded seller ids) only those sellers'
-    products, and only their order lines, are touched.
+    ``seller_page`` (the rows of a page, which ``sellers`` is then, and its
+    size) only those sellers' products, and only their order lines, are touched. ``trusted_fk`` skips
+    the check that a line's order exists (proven by ``audit.orphans``).
     """
-    from .paging import by_keys
+    from .paging import of_page
     s = sellers if status is None else sellers.where(F.col("status") == status)
     prod = products.select(F.col("id").alias("__pid"), "seller_id").where(F.col("seller_id").isNotNull())
     lines = order_items
-    if seller_keys is not None:
-        s = by_keys(s, "id", seller_keys)
-        prod = by_keys(prod, "seller_id", seller_keys)
+    if seller_page is not None:
+        prod = of_page(prod, "seller_id", *seller_page)
         lines = order_items.join(prod.select(F.col("__pid").alias("__lp")),
                                  order_items["product_id"] == F.col("__lp"), "left_semi")
-    items = items_in_orders(lines, orders)
+    items = lines if trusted_fk else items_in_orders(lines, orders)
     sales = per_product_sales(items)
     by_seller = (prod.join(sales, prod["__pid"] == sales["product_id"], "left")
                      .groupBy(F.col("seller_id").alias("__k"))

@@ -26,27 +26,27 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, off
     return out.limit(int(limit))
 
 
-def top_k(df: DataFrame, order: Sequence[Column], k: int = DEFAULT_LIMIT) -> DataFrame:
-    """Fixed top-k (L3)."""
-    return df.orderBy(*order).limit(int(k))
-
-
 def keyset_page(df: DataFrame, sort_col: str, direction: str, after_value, after_id,
                 limit: int = DEFAULT_LIMIT, id_col: str = "id") -> DataFrame:
-    """Next page after (after_value, after_id) for deep paging.
+    """Next page after (after_value, after_id) for deep paging; ``after_id=None`` starts at the first row.
 
     The filter is a plain comparison, so it prunes row groups at the scan,
     and the top-k buffer stays ``limit`` rows however deep the page is.
-    Rows with a null sort value are not reachable by a keyset cursor; page
-    them separately with ``where(col.isNull())``.
+    Null sort values come first under DESC and last under ASC, as in
+    ``order_spec``; ``after_value=None`` is a cursor inside them.
     """
     c, i = F.col(sort_col), F.col(id_col)
-    if direction.upper() == "DESC":
-        cond = (c < F.lit(after_value)) | ((c == F.lit(after_value)) & (i > F.lit(after_id)))
-        order = [c.desc_nulls_first(), i.asc()]
+    down = direction.upper() == "DESC"
+    order = [c.desc_nulls_first() if down else c.asc_nulls_last(), i.asc()]
+    if after_id is None:
+        return df.orderBy(*order).limit(int(limit))
+    if after_value is None:
+        cond = c.isNull() & (i > F.lit(after_id))
+        cond = cond | c.isNotNull() if down else cond
     else:
-        cond = (c > F.lit(after_value)) | ((c == F.lit(after_value)) & (i > F.lit(after_id)))
-        order = [c.asc_nulls_last(), i.asc()]
+        cond = (c < F.lit(after_value)) if down else (c > F.lit(after_value))
+        cond = cond | ((c == F.lit(after_value)) & (i > F.lit(after_id)))
+        cond = cond if down else cond | c.isNull()
     return df.where(cond).orderBy(*order).limit(int(limit))
 
 
@@ -85,46 +85,28 @@ def page_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column
               .where((F.col(rank_col) > int(offset)) & (F.col(rank_col) <= hi)))
 
 
-MAX_PAGE_KEYS = 10_000
+# A page of at most this many rows is broadcast to the tables it is joined with; a larger one is joined by key.
+BROADCAST_PAGE = 10_000
 
 
-def page_keys(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0,
-              key: str = "id") -> list:
-    """Phase 1 of a page: the page's keys, at most ``limit`` values.
+def page_rows(df: DataFrame, order: Sequence[Column], limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """The rows of one page, found in one scan and kept by a checkpoint.
 
-    Only the key, sort and filter columns are read (Catalyst prunes the scan
-    to them), and the top-k keeps ``offset + limit`` rows per task. The keys
-    are brought to the driver: their number is bounded by the page size.
-    ``key`` must be unique in ``df`` (a primary key), since phase 2 fetches
-    the page's rows by it.
+    Every task keeps its first ``offset + limit`` rows and one merges them;
+    nothing passes through the driver. All later joins read the page's
+    rows from the checkpoint instead of finding them again.
     """
-    if limit > MAX_PAGE_KEYS:
-        raise ValueError(f"page size above {MAX_PAGE_KEYS}; use keyset_page")
-    return [r[0] for r in page(df, order, limit, offset).select(key).collect()]
-
-
-def by_keys(df: DataFrame, col: str, keys: list) -> DataFrame:
-    """Rows whose ``col`` is one of a bounded key list (phase 2 of a page).
+    return page(df, order, limit, offset).checkpoint()
 
-    A literal IN-list reaches the parquet scan as a pushed filter, so row
-    groups without any of the keys are skipped."""
-    vals = [k for k in keys if k is not None]
-    if not vals:
-        return df.limit(0)
-    return df.where(F.col(col).isin(vals))
 
+def of_page(child: DataFrame, child_fk: str, rows: DataFrame, limit: int, key_col: str = "id") -> DataFrame:
+    """Rows of ``child`` whose ``child_fk`` is a ``key_col`` of a page of at most ``limit`` rows (null keys match
+    nothing). The child table is read in parallel, and is not shuffled while the page is small enough to broadcast."""
+    ks = rows.select(F.col(key_col).alias("__k")).where(F.col("__k").isNotNull()).distinct()
+    ks = F.broadcast(ks) if limit <= BROADCAST_PAGE else ks
+    return child.join(ks, child[child_fk] == F.col("__k"), "left_semi")
 
-def in_page_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Order a page's rows (bounded by the page size) in one partition,
-    without the sampling job and shuffle of a global range sort."""
-    return df.coalesce(1).sortWithinPartitions(*order)
 
-
-def restrict_to_keys(child: DataFrame, keys: DataFrame, child_fk: str, key_col: str = "id") -> DataFrame:
-    """Children of a *page* of parents.
-
-    ``keys`` is a page (bounded by its ``limit``), so it is broadcast and the
-    child table is filtered by a semi join without shuffling it.
-    """
-    ks = keys.select(F.col(key_col).alias("__k")).distinct()
-    return child.join(F.broadcast(ks), child[child_fk] == F.col("__k"), "left_semi")
+def in_page_order(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """Order a page of at most ``limit`` rows: a top-k, without the sampling job and shuffle of a global range sort."""
+    return df.orderBy(*order).limit(int(limit))

@@ -17,8 +17,7 @@ from ..functions.text import preview
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import nest as N
-from ..operators.paging import (DEFAULT_LIMIT, by_keys, in_page_order, page_info, page_keys, page_per_key,
-                                restrict_to_keys)
+from ..operators.paging import DEFAULT_LIMIT, in_page_order, of_page, page_info, page_per_key, page_rows
 from ..schemas import ENUMS
 
 Tables = Mapping[str, DataFrame]
@@ -41,11 +40,10 @@ def seller_leaderboard(t: Tables, status: str | None = None, sort_by: str = "cre
     # order line is read; metrics are then computed for those sellers only.
     s = t["sellers"] if status is None else t["sellers"].where(F.col("status") == status)
     u = t["users"].select(F.col("id").alias("__uid"))
-    keys = page_keys(s.join(u, s["user_id"] == u["__uid"], "inner"), spec, limit, offset)
-    board = A.seller_scorecard(t["sellers"], t["users"], t["products"], t["order_items"],
-                               t["shop_orders"], status=status, with_distinct_orders=with_distinct_orders,
-                               seller_keys=keys)
-    return in_page_order(board, spec)
+    rows = page_rows(s.join(u, s["user_id"] == u["__uid"], "inner").drop("__uid"), spec, limit, offset)
+    board = A.seller_scorecard(rows, t["users"], t["products"], t["order_items"], t["shop_orders"],
+                               with_distinct_orders=with_distinct_orders, seller_page=(rows, limit))
+    return in_page_order(board, spec, limit)
 
 
 def seller_leaderboard_full(t: Tables, status: str | None = None, sort_by: str = "created_at",
@@ -79,31 +77,30 @@ def present(df: DataFrame, cols: Sequence) -> list:
 PRODUCT_COLS = ["id", "name", "price", "description", "stock", "status", "created_at", "updated_at"]
 
 
-def with_seller(products: DataFrame, sellers: DataFrame, page_rows: bool = False) -> DataFrame:
+def with_seller(products: DataFrame, sellers: DataFrame, page_size: int | None = None) -> DataFrame:
     """Left join seller name and rating (J2): products without a seller keep nulls.
 
-    With ``page_rows`` the products are one page (bounded), so only the
-    sellers they name are kept first (broadcast semi join of <= page-size
-    ids) and the seller table is never shuffled.
+    With ``page_size`` the products are one page, so only the sellers they
+    name are kept first and the seller table is not shuffled.
     """
     s = sellers.select(F.col("id").alias("__sid"), F.col("shop_name").alias("seller_name"),
                        F.col("rating").alias("seller_rating"))
-    if page_rows:
-        s = restrict_to_keys(s, products.where(F.col("seller_id").isNotNull()), "__sid", "seller_id")
+    if page_size:
+        s = of_page(s, "__sid", products, page_size, "seller_id")
     return products.join(s, products["seller_id"] == s["__sid"], "left").drop("__sid")
 
 
-def attach_product_children(rows: DataFrame, t: Tables, keys: list | None = None, empty: str = "null",
+def attach_product_children(rows: DataFrame, t: Tables, page_size: int | None = None, empty: str = "null",
                             image_url_field: str = "image_url", with_features: bool = True) -> DataFrame:
     """Categories, images and features of the given product rows.
 
-    Children are first restricted to the rows' ids, then aggregated: with
-    ``keys`` (a page's bounded key list) by a pushed-down IN filter,
-    otherwise by a semi join with the rows.
+    Children are first restricted to the rows' ids, then aggregated; with
+    ``page_size`` the rows are one page and the children are not shuffled
+    for that.
     """
     def only(child, fk):
-        if keys is not None:
-            return by_keys(child, fk, keys)
+        if page_size:
+            return of_page(child, fk, rows, page_size)
         return child.join(rows.select(F.col("id").alias("__k")).distinct(), F.col(fk) == F.col("__k"),
                           "left_semi")
 
@@ -120,17 +117,12 @@ def attach_product_children(rows: DataFrame, t: Tables, keys: list | None = None
 
 
 def product_page(t: Tables, filtered: DataFrame, spec, limit: int, offset: int) -> DataFrame:
-    """Page first, then nest: children are aggregated for the page's rows only.
-
-    Phase 1 finds the page's keys from the key/sort/filter columns alone;
-    phase 2 reads full rows and children for just those keys.
-    """
-    keys = page_keys(filtered, spec, limit, offset)
+    """Page first, then nest: children are aggregated for the page's rows only."""
     cols = present(filtered, PRODUCT_COLS + ["seller_id"])
-    rows = by_keys(filtered, "id", keys).select(*cols)
-    out = with_seller(rows, t["sellers"], page_rows=True).drop("seller_id")
-    out = attach_product_children(out, t, keys=keys)
-    return in_page_order(out, spec)
+    rows = page_rows(filtered.select(*cols), spec, limit, offset)
+    out = with_seller(rows, t["sellers"], page_size=limit).drop("seller_id")
+    out = attach_product_children(out, t, page_size=limit)
+    return in_page_order(out, spec, limit)
 
 
 # ---------------------------------------------------------------- Q1 catalogue
@@ -384,10 +376,9 @@ def blog_listing(t: Tables, category=None, sort_by: str = "created_at", order: s
     u = t["users"].select(F.col("id").alias("__uid"), F.col("first_name").alias("author_first_name"),
                           F.col("last_name").alias("author_last_name"))
     if per_page:
-        keys = page_keys(b, spec, limit, offset)
-        rows = by_keys(b, "id", keys).select(*cols)
-        u = restrict_to_keys(u, rows.where(F.col("author_id").isNotNull()), "__uid", "author_id")
-        keyed = lambda child, fk: by_keys(child, fk, keys)
+        rows = found = page_rows(b.select(*cols), spec, limit, offset)
+        u = of_page(u, "__uid", found, limit, "author_id")
+        keyed = lambda child, fk: of_page(child, fk, found, limit)
     else:
         rows = b.select(*cols)
         keyed = lambda child, fk: child
@@ -402,7 +393,7 @@ def blog_listing(t: Tables, category=None, sort_by: str = "created_at", order: s
         rows = N.nest(rows, keyed(t["blog_images"], "blog_id"), ("id", "blog_id"), ["id", ("image_url", "url")],
                       "images", empty="array")
     rows = rows.withColumn("content", preview("content"))
-    return in_page_order(rows, spec) if per_page else rows.orderBy(*spec)
+    return in_page_order(rows, spec, limit) if per_page else rows.orderBy(*spec)
 
 
 # ---------------------------------------------------------------- Q28 / Q29 comments
@@ -428,27 +419,27 @@ def moderation_list(t: Tables, status=None, parent_type=None, search=None, sort_
     """Q28: filtered page of all comments with the author object and the
     polymorphic parent object (J12); sorting by status follows enum order."""
     spec = order_spec(sort_by, order, MODERATION_SORT, enums={"status": ENUMS["comment_status"]})
-    keys = page_keys(_comment_filter(t, status, parent_type, search), spec, limit, offset)
-    # Phase 2: the page's comments and only the users / parents they name.
-    c = by_keys(t["comments"], "id", keys)
+    kept = _comment_filter(t, status, parent_type, search).select(*[t["comments"][x] for x in t["comments"].columns])
+    c = page_rows(kept, spec, limit, offset)
+    # From here on only the users and parents that the page's comments name are read.
     cols = present(c, ["id", "content", "rating", "status", "parent_type", "parent_id", "created_at", "updated_at"])
     ucols = [F.col("id").alias("__uid"), F.col("first_name").alias("u_first_name"),
              F.col("last_name").alias("u_last_name"), F.col("email").alias("u_email")]
     if "profile_image_url" in t["users"].columns:
         ucols.append(F.col("profile_image_url").alias("u_profile_image_url"))
-    u = restrict_to_keys(t["users"].select(*ucols), c.where(F.col("user_id").isNotNull()), "__uid", "user_id")
+    u = of_page(t["users"].select(*ucols), "__uid", c, limit, "user_id")
     j = c.join(u, c["user_id"] == u["__uid"], "left")
     user = [F.col("__uid").alias("id"), F.col("u_first_name").alias("first_name"),
             F.col("u_last_name").alias("last_name"), F.col("u_email").alias("email")]
     if "u_profile_image_url" in j.columns:
         user.append(F.col("u_profile_image_url").alias("profile_image_url"))
     rows = j.select(*cols, F.struct(*user).alias("user"))
-    prods = restrict_to_keys(t["products"], rows.where(F.col("parent_type") == "product"), "id", "parent_id")
-    blogs = restrict_to_keys(t["blogs"], rows.where(F.col("parent_type") == "blog"), "id", "parent_id")
+    prods = of_page(t["products"], "id", c.where(F.col("parent_type") == "product"), limit, "parent_id")
+    blogs = of_page(t["blogs"], "id", c.where(F.col("parent_type") == "blog"), limit, "parent_id")
     rows = N.polymorphic_parent(rows, "parent_type", "parent_id",
                                 {"product": (prods, "id", {"name": "name"}),
                                  "blog": (blogs, "id", {"title": "title"})}, "parent_item")
-    return in_page_order(rows, spec)
+    return in_page_order(rows, spec, limit)
 
 
 def moderation_count(t: Tables, status=None, parent_type=None, search=None, limit=DEFAULT_LIMIT, offset=0):
@@ -519,12 +510,11 @@ def user_listing(t: Tables, role=None, is_verified=None, search=None, sort_by: s
     u = user_filter(t, role, is_verified, search)
     u = u.select(*present(u, ["id", "first_name", "last_name", "email", "phone_number", "role", "is_verified",
                               "created_at", "updated_at"]))
-    keys = page_keys(u, spec, limit, offset)
-    rows = by_keys(u, "id", keys)
-    rows = N.attach_one(rows, seller_of_user(by_keys(t["sellers"], "user_id", keys)), "id")
-    orders = by_keys(t["shop_orders"], "user_id", keys)
+    found = page_rows(u, spec, limit, offset)
+    rows = N.attach_one(found, seller_of_user(of_page(t["sellers"], "user_id", found, limit)), "id")
+    orders = of_page(t["shop_orders"], "user_id", found, limit)
     rows = A.attach_counts(rows, A.count_by(orders, "user_id", "total_orders"), "id", ["total_orders"])
-    return in_page_order(rows, spec)
+    return in_page_order(rows, spec, limit)
 
 
 def user_count(t: Tables, role=None, is_verified=None, search=None, limit=DEFAULT_LIMIT, offset=0):

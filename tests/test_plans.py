@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from shopframe.functions.ordering import order_spec
 from shopframe.operators import metrics as A
 from shopframe.operators import windows as Wn
-from shopframe.operators.paging import by_keys, page_per_key
+from shopframe.operators.paging import of_page, page_per_key, page_rows
+from shopframe.plans import reports as R
+from shopframe.sources.fixtures import marketplace
 from shopframe.session import scratch_path
 from shopframe.sources.tables import save_bucketed
 
@@ -51,11 +53,35 @@ def test_page_per_key_limits_before_the_shuffle(spark):
     assert p.rfind("WindowGroupLimit") > exchange_at
 
 
-def test_page_keys_reach_the_parquet_scan(spark):
+def test_children_of_a_page_are_read_in_parallel(spark):
+    """The child table of several files is filtered by the page in its own tasks: no shuffle, no single task."""
     path = scratch_path(spark, f"test-in-{uuid.uuid4().hex[:8]}")
-    spark.range(100).select(F.col("id").alias("product_id"), F.col("id").alias("x")).write.parquet(path)
-    p = plan(by_keys(spark.read.parquet(path), "product_id", [3, 5, 8]))
-    assert "PushedFilters: [In(product_id, [3,5,8])" in p or "In(product_id" in p, p
+    spark.range(8000).select(F.col("id").alias("product_id"), F.col("id").alias("x")).repartition(8).write.parquet(path)
+    child = spark.read.parquet(path)
+    rows = page_rows(spark.range(100), [F.col("id").desc()], limit=10)
+    out = of_page(child, "product_id", rows, 10)
+    p = plan(out)
+    assert "BroadcastHashJoin" in p and "Coalesce" not in p and "hashpartitioning(product_id" not in p, p
+    assert sorted(r.product_id for r in out.collect()) == list(range(90, 100))
+    assert "BroadcastHashJoin" not in plan(of_page(child.hint("merge"), "product_id", rows, 1_000_000))
+
+
+def test_pages_scan_their_table_once_and_end_in_a_top_k(spark, sf_dir):
+    """Landed tables of eight files: the page's own scan is the checkpoint's, so the rest reads other tables only, and
+    no single task stands over a scan."""
+    t = {}
+    source = marketplace(spark, sf_dir)
+    for name in ("products", "sellers", "users", "categories", "product_categories", "product_images",
+                 "product_features", "comments", "blogs", "blog_tags", "order_items", "shop_orders"):
+        df = source[name]
+        path = scratch_path(spark, f"test-page-{uuid.uuid4().hex[:8]}/{name}")
+        df.repartition(8).write.parquet(path)
+        t[name] = spark.read.parquet(path)
+    for rows, table in ((R.moderation_list(t), "comments"), (R.catalogue_page(t), "products"),
+                        (R.user_listing(t), "users"), (R.blog_listing(t), "blogs"), (R.seller_leaderboard(t), "sellers")):
+        p = plan(rows)
+        assert "TakeOrderedAndProject" in p and "Coalesce 1" not in p, p
+        assert sum(f"/{table}]" in line for line in p.splitlines() if "FileScan" in line) == 0, (table, p)
 
 
 def test_scorecard_aggregates_lines_per_product_before_the_product_join(spark, no_broadcast):
@@ -111,6 +137,6 @@ def test_trailing_count_partitions_by_key_and_time_bucket(spark):
 
 def test_listing_page_order_needs_no_range_sort(spark):
     from shopframe.operators.paging import in_page_order
-    df = spark.range(10).select("id")
-    p = plan(in_page_order(df, order_spec("id", "DESC", tie_break="id")))
+    df = spark.range(100).select("id")
+    p = plan(in_page_order(df, order_spec("id", "DESC", tie_break="id"), 10))
     assert "rangepartitioning" not in p
