@@ -31,19 +31,23 @@ def q_seller_leaderboard_count(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- flattening for comparison
-_ID_LIST_NAMES = {"categories": "category_ids", "images": "image_ids"}
+def _rows_text(col: str, fields: list[str]):
+    """A nested list as text: each element's fields joined by ``:`` (nulls left out), in the order of its id."""
+    parts = F.transform(col, lambda x: F.struct(x["id"].alias("id"), F.concat_ws(
+        ":", *[x[f].cast("string") for f in fields]).alias("text")))
+    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), ",")
 
 
 def _flat(df, nested: dict[str, str]):
-    """Replace nested columns with sorted text lists; ``nested`` maps column -> kind."""
-    from ..functions.text import id_list
+    """Replace nested columns with sorted text; ``nested`` maps column -> kind."""
     out = df
     for col, kind in nested.items():
         if col not in out.columns:
             continue
-        if kind == "ids":
-            out = out.withColumn(_ID_LIST_NAMES.get(col, col + "_ids"), id_list(col))
-        elif kind == "pairs":
+        if kind.startswith("rows:"):
+            out = out.withColumn(col, _rows_text(col, kind[5:].split(",")))
+            continue
+        if kind == "pairs":
             out = out.withColumn("feature_pairs", F.array_join(
                 F.transform(col, lambda x: F.concat(x["name"], F.lit("="), x["value"])), ";"))
         elif kind == "text":
@@ -56,7 +60,7 @@ def _flat(df, nested: dict[str, str]):
     return out
 
 
-_PRODUCT_NEST = {"categories": "ids", "images": "ids", "features": "pairs"}
+_PRODUCT_NEST = {"categories": "rows:id,fa_name,en_name", "images": "rows:id,image_url,is_main", "features": "pairs"}
 
 
 # ---------------------------------------------------------------- Q1 / Q2 / Q3 / Q4
@@ -122,7 +126,7 @@ def q_category_lookup(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- Q10
-_SELLER_NEST = {"categories": "ids", "images": "ids"}
+_SELLER_NEST = {"categories": "rows:id,fa_name,en_name", "images": "rows:id,url,is_main"}
 
 
 @register("seller_products")
