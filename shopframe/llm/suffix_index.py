@@ -12,9 +12,11 @@ that have absorbed equally many batches are merged, so n batches leave log(n) le
 log(n) times.
 
 Verification. Around each matching anchor stands its context, the union of the strings that have this anchor. Equal
-contexts (same anchor, same 64-bit hash) match as a whole. For anchors with several contexts, every ``length``-byte
-string of one occurrence of each context is compared by a 128-bit hash. This is linear in the text: no pairs of
-occurrences are formed, however often a passage repeats.
+contexts (same anchor, same 64-bit hash) match as a whole. For anchors with several contexts, one occurrence of each is
+looked at closer. Its strings are taken in blocks of BLOCK starts at fixed distances from the anchor. The bytes that all
+strings of a block share (its core) must match another block's for any of them to match; if the bytes of the whole
+block match (its hull, by a 128-bit hash), all of them do; where only cores match, every string is compared by a 128-bit
+hash. This is linear in the text: no pairs of occurrences are formed, however often a passage repeats.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` bytes lose nothing; of rows that repeat a
 text each is an occurrence of its own, so all of them lose it; null ids are kept; an empty table gives an empty
@@ -37,7 +39,9 @@ LENGTH = 200
 GRAM = 64
 SLICE = 1 << 20  # strings that are looked at together
 BATCHES = 4
+BLOCK = 16
 KEY = ["k1", "k2"]
+HULL = ["hull1", "hull2"]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,7 +72,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(texts: list[bytes], length: int = LENGTH, size: int = SLICE) -> pd.DataFrame:
     """Anchors of all ``length``-byte strings of the texts: doc (index), at (start of the first string with this
-    anchor), n (how many start in a row from there), k1, k2 (place in the suffix order), context (hash)."""
+    anchor), n (how many start in a row from there), left (bytes from ``at`` to the anchor), k1, k2 (place in the suffix
+    order), context (hash)."""
     whole = b"".join(texts)
     raw = np.frombuffer(whole, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
@@ -100,9 +105,10 @@ def anchors(texts: list[bytes], length: int = LENGTH, size: int = SLICE) -> pd.D
                                                                   (last + at + length - 1).tolist())),
                               np.uint64, len(first))
         found.append(pd.DataFrame({
-            "doc": doc[first], "at": first + at - begins[doc[first]], "n": last - first, "k1": k1.view(np.int64),
+            "doc": doc[first], "at": first + at - begins[doc[first]], "n": last - first, "left": anchor - first,
+            "k1": k1.view(np.int64),
             "k2": grams[anchor].view(np.int64), "context": context.view(np.int64)}))
-    columns = ["doc", "at", "n", "k1", "k2", "context"]
+    columns = ["doc", "at", "n", "left", "k1", "k2", "context"]
     return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
 
 
@@ -144,50 +150,87 @@ def _suffixes(docs: DataFrame, length: int, batches: int) -> DataFrame:
     source = docs.select(F.pmod(F.xxhash64("__k", "__c"), F.lit(batches)).alias("batch"), F.col("__k").alias("k"),
                          F.col("__c").alias("c"), F.coalesce("__text", F.lit("")).alias("text"))
     return source.mapInPandas(
-        sample, "batch long, k long, c long, at long, n long, k1 long, k2 long, context long").withColumns(
-        {"batch": F.col("batch").cast("int"), "at": F.col("at").cast("int"), "n": F.col("n").cast("short")})
+        sample, "batch long, k long, c long, at long, n long, left long, k1 long, k2 long, context long").withColumns(
+        {"batch": F.col("batch").cast("int"), "at": F.col("at").cast("int")}
+        | {x: F.col(x).cast("short") for x in ("n", "left")})
+
+
+def _block_ranges(n: int, left: int) -> Iterator[tuple[int, int, int]]:
+    """(block, first, last) of the strings 0 to n - 1 of a context, cut where their distance to the anchor is a
+    multiple of BLOCK."""
+    last = n - 1
+    while last >= 0:
+        block = (left - last) // BLOCK
+        first = max(0, left - block * BLOCK - BLOCK + 1)
+        yield block, first, last
+        last = first - 1
+
+
+def _blocks(pieces: DataFrame, length: int) -> DataFrame:
+    """(k2, context, first, last, core, hull1, hull2) of the blocks of ``pieces(k2, context, left, n, piece)``."""
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows, hulls = [], []
+            for k2, context, left, n, piece in zip(*(pdf[c] for c in ("k2", "context", "left", "n", "piece"))):
+                for block, first, last in _block_ranges(n, left):
+                    core_at, core_end = left - block * BLOCK, left - block * BLOCK - BLOCK + 1 + length
+                    core = xxhash.xxh3_64_intdigest(piece[core_at:core_end], block & 0xFF)
+                    hulls.append(xxhash.xxh3_128_digest(piece[first:last + length], block << 16 | left - last))
+                    rows.append((k2, context, first, last, core))
+            halves = np.frombuffer(b"".join(hulls), ">i8").reshape(-1, 2).astype(np.int64)
+            out = pd.DataFrame(rows, columns=["k2", "context", "first", "last", "core"])
+            out["core"] = out["core"].to_numpy(np.uint64).view(np.int64)
+            yield out.assign(hull1=halves[:, 0], hull2=halves[:, 1])
+
+    return pieces.mapInPandas(cut, "k2 long, context long, first int, last int, core long, hull1 long, hull2 long")
+
+
+def _strings(blocks: DataFrame, length: int) -> DataFrame:
+    """(w1, w2, hull1, hull2, i): 128-bit hash of every string of ``blocks(hull1, hull2, first, last, piece)``."""
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
+        for pdf in frames:
+            first, last = pdf["first"].to_numpy(), pdf["last"].to_numpy()
+            joined = b"".join(digest(p[i:i + length]) for p, a, b in zip(pdf["piece"], first.tolist(), last.tolist())
+                              for i in range(a, b + 1))
+            halves = np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)
+            counts = last - first + 1
+            row = np.repeat(np.arange(len(pdf)), counts)
+            number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pd.DataFrame({"w1": halves[:, 0], "w2": halves[:, 1], "i": number}
+                               | {c: pdf[c].to_numpy(np.int64)[row] for c in HULL})
+
+    return blocks.mapInPandas(each, "w1 long, w2 long, i int, hull1 long, hull2 long")
 
 
 def _partial_matches(classes: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, context, first, last) runs of strings that stand in several contexts of one anchor."""
+    """(k2, context, first, last) runs of strings that stand in several contexts of one anchor."""
     several = classes.groupBy(*KEY).agg(F.count("*").alias("contexts")).where("contexts > 1").select(*KEY)
     spans = (classes.join(several, KEY)
              .groupBy(F.col("sample.k").alias("k"), F.col("sample.c").alias("c"))
-             .agg(F.collect_list(F.struct(*KEY, "context", "sample.at", "sample.n")).alias("spans")))
+             .agg(F.collect_list(F.struct("k2", "context", "sample.at", "sample.n", "sample.left")).alias("spans")))
     source = docs.select(F.col("__k").alias("k"), F.col("__c").alias("c"), F.encode("__text", "UTF-8").alias("raw"))
-    pieces = (source.join(spans, ["k", "c"]).dropDuplicates(["k", "c"])
-              .select(F.explode("spans").alias("s"), "raw")
-              .select("s.k1", "s.k2", "s.context",
-                      F.substring("raw", F.col("s.at") + 1, F.col("s.n").cast("int") + (length - 1)).alias("piece")))
-
-    def strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_128_digest
-        for pdf in frames:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at:at + 2000]
-                counts = np.array([len(p) - length + 1 for p in part["piece"]])
-                joined = b"".join(digest(p[i:i + length]) for p, n in zip(part["piece"], counts) for i in range(n))
-                halves = np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)
-                row = np.repeat(np.arange(len(part)), counts)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                yield pd.DataFrame({"w1": halves[:, 0], "w2": halves[:, 1], "i": number}
-                                   | {c: part[c].to_numpy(np.int64)[row] for c in (*KEY, "context")})
-
-    each = land(pieces.mapInPandas(strings, "w1 long, w2 long, i int, k1 long, k2 long, context long"), "strings")
+    pieces = land(source.join(spans, ["k", "c"]).dropDuplicates(["k", "c"])
+                  .select(F.explode("spans").alias("s"), "raw")
+                  .select("s.k2", "s.context", "s.n", "s.left",
+                          F.substring("raw", F.col("s.at") + 1, F.col("s.n").cast("int") + (length - 1)).alias("piece")),
+                  "contexts-bytes")
+    blocks = land(_blocks(pieces, length), "blocks")
+    hull = F.struct(*HULL)
+    cores = (blocks.groupBy("core").agg(F.count("*").alias("n"), F.min(hull).alias("low"), F.max(hull).alias("high"))
+             .where("n > 1").select("core", (F.col("low") != F.col("high")).alias("differ")))
+    met = land(blocks.join(cores, "core"), "matching-cores")
+    whole = (met.groupBy(*HULL).agg(F.count("*").alias("n")).where("n > 1").select(*HULL)
+             .join(met, HULL).select("k2", "context", "first", "last"))
+    samples = (met.where("differ").groupBy(*HULL)
+               .agg(F.min(F.struct("k2", "context", "first", "last")).alias("s")).select(*HULL, "s.*"))
+    each = land(_strings(samples.join(pieces, ["k2", "context"]).select(*HULL, "first", "last", "piece"), length),
+                "strings")
     twice = each.groupBy("w1", "w2").agg(F.count("*").alias("places")).where("places > 1").select("w1", "w2")
-    hit = each.join(twice, ["w1", "w2"]).groupBy(*KEY, "context").agg(F.sort_array(F.collect_set("i")).alias("hits"))
-
-    @F.pandas_udf("array<struct<first int, last int>>")
-    def runs(lists: pd.Series) -> pd.Series:
-        out = []
-        for hits in lists:
-            cut = np.flatnonzero(np.diff(hits) != 1)
-            out.append(list(zip(hits[np.concatenate(([0], cut + 1))].tolist(),
-                                hits[np.concatenate((cut, [len(hits) - 1]))].tolist())))
-        return pd.Series(out)
-
-    return hit.select(*KEY, "context", F.explode(runs("hits")).alias("run")).select(
-        *KEY, "context", "run.first", "run.last")
+    hit = each.join(twice, ["w1", "w2"]).select(*HULL, "i")
+    single = met.where("differ").join(hit, HULL).select(
+        "k2", "context", (F.col("first") + F.col("i")).alias("first"), (F.col("first") + F.col("i")).alias("last"))
+    return whole.unionByName(single)
 
 
 def repeated_spans(docs: DataFrame, length: int, batches: int) -> DataFrame:
@@ -200,12 +243,13 @@ def repeated_spans(docs: DataFrame, length: int, batches: int) -> DataFrame:
         matches = found if matches is None else matches.unionByName(found)
     met = land(suffixes.drop("batch").join(matches.distinct(), KEY), "suffix-meetings")
     classes = land(met.groupBy(*KEY, "context").agg(
-        F.count("*").alias("places"), F.min(F.struct("k", "c", "at", "n")).alias("sample")), "contexts")
+        F.count("*").alias("places"), F.min(F.struct("k", "c", "at", "n", "left")).alias("sample")), "contexts")
     whole = classes.where("places > 1").select(
-        *KEY, "context", F.lit(0).alias("first"), (F.col("sample.n") - 1).cast("int").alias("last"))
-    partial = _partial_matches(classes, docs, length)
+        "k2", "context", F.lit(0).alias("first"), (F.col("sample.n") - 1).cast("int").alias("last"))
+    partial = _partial_matches(classes, docs, length).join(
+        classes.where("places > 1").select("k2", "context"), ["k2", "context"], "left_anti")
     runs = land(whole.unionByName(partial), "repeated-strings")
-    return met.join(runs, [*KEY, "context"]).select(
+    return met.join(runs, ["k2", "context"]).select(
         "k", "c", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + length).alias("end"))
 
 
