@@ -105,11 +105,6 @@ def parse_float(value, default: float = 0.0) -> float:
     return best
 
 
-def try_number(col: str | Column, type_: str, default) -> Column:
-    """Column-side X14: ``coalesce(try_cast(x), default)`` for payload columns."""
-    return F.coalesce(_c(col).try_cast(type_), F.lit(default).cast(type_))
-
-
 # ---------------------------------------------------------------- F7
 def visible_comments(df: DataFrame, viewer_role: str | None = None, status: str | None = None,
                      status_col: str = "status") -> DataFrame:

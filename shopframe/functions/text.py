@@ -19,15 +19,3 @@ def file_extension(col: str | Column) -> Column:
     """Lower-cased extension including the dot ('' when there is none)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.lower(F.regexp_extract(c, r"(\.[^./\\]+)$", 1))
-
-
-def id_list(array_col: str | Column, field: str = "id", sep: str = ",") -> Column:
-    """Sorted struct array -> 'id1,id2,...' text (null array stays null)."""
-    c = F.col(array_col) if isinstance(array_col, str) else array_col
-    return F.array_join(F.transform(c, lambda x: x[field].cast("string")), sep)
-
-
-def array_len(array_col: str | Column) -> Column:
-    """Element count, 0 for a null array."""
-    c = F.col(array_col) if isinstance(array_col, str) else array_col
-    return F.when(c.isNull(), F.lit(0)).otherwise(F.size(c))

@@ -34,16 +34,31 @@ def new_key(key_type: T.DataType, namespace: str, *cols: str | Column) -> Column
     """Deterministic key for a created row, so a retried batch yields the same keys.
 
     Integral key columns get the first 60 bits of ``md5('ns:v1:v2..')`` (a
-    positive bigint); text keys get the sha-256 hex of the same string.
-    Both forms are plain SQL functions, reproducible outside Spark.
+    positive bigint); text keys get the sha-256 hex of the same string, and
+    are the form for tables beyond some hundred million rows, where 60 bits
+    begin to clash (``key_clashes`` shows it). Narrower integers are refused.
+    Both forms are plain SQL functions, reproducible outside Spark. A null
+    value is written as ``<null>``, so it never shifts the others.
     """
-    parts = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("<null>")) for c in cols]
     text = F.concat_ws(":", F.lit(namespace), *parts)
     if isinstance(key_type, T.LongType):
         return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-    if isinstance(key_type, T.IntegerType):  # 28 bits keep int keys positive
-        return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("int")
-    return F.sha2(text, 256)
+    if isinstance(key_type, T.StringType):
+        return F.sha2(text, 256)
+    raise ValueError(f"derived keys need a bigint or text column, not {key_type.simpleString()}")
+
+
+def request_key(ts: str = "change_ts", seq: str = "seq") -> list[Column]:
+    """What tells requests apart: time in microseconds and number (a number alone may start anew in each batch)."""
+    return [F.unix_micros(F.col(ts).cast("timestamp")), F.col(seq)]
+
+
+def key_clashes(base: DataFrame, inserted: DataFrame, key: str = "id") -> DataFrame:
+    """(key, rows) of inserted keys that stand in ``base`` or more than once in ``inserted``."""
+    new = inserted.select(F.col(key).alias("key"))
+    old = base.select(F.col(key).alias("key")).join(new.distinct(), "key", "left_semi")
+    return new.unionByName(old).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
 
 
 def touch(df: DataFrame, changed: Column, as_of, col: str = "updated_at") -> DataFrame:
@@ -261,12 +276,13 @@ def upsert_cart(carts: DataFrame, cart_items: DataFrame, products: DataFrame, ch
 
 
 def update_cart_quantity(carts: DataFrame, cart_items: DataFrame, products: DataFrame, changes: DataFrame,
-                         order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
+                         order: Sequence[str] = ORDER, as_of=None) -> dict[str, DataFrame]:
     """M5: ``(user_id, cart_id, product_id, quantity, change_ts, seq)`` on existing lines.
 
     Refused when the line is not in one of the user's carts or stock is
-    short; accepted ones set the quantity and refresh the price. Lines are
-    keyed by (cart_id, product_id)."""
+    short; accepted ones set the quantity, refresh the price and touch the
+    cart (M15). Lines are keyed by (cart_id, product_id).
+    Returns {'carts', 'cart_items', 'rejected'}."""
     owned = carts.select(F.col("id").alias("__c"), F.col("user_id").alias("__u"))
     line = cart_items.select(F.col("cart_id").alias("__lc"), F.col("product_id").alias("__lp"))
     p = products.select(F.col("id").alias("__pid"), F.col("price").alias("__price"), F.col("stock").alias("__stock"))
@@ -285,7 +301,10 @@ def update_cart_quantity(carts: DataFrame, cart_items: DataFrame, products: Data
     out = j.withColumn("quantity", F.coalesce(F.col("__q").cast(cart_items.schema["quantity"].dataType), F.col("quantity"))) \
            .withColumn("price", F.coalesce(F.col("__p").cast(cart_items.schema["price"].dataType), F.col("price"))) \
            .drop("__q", "__p")
-    return {"cart_items": out.select(*cart_items.columns), "rejected": rejected}
+    changed = upd.select(F.col("cart_id").alias("__t")).distinct()
+    touched = carts.join(changed, carts["id"] == changed["__t"], "left")
+    touched = touch(touched, F.col("__t").isNotNull(), as_of).drop("__t")
+    return {"carts": touched, "cart_items": out.select(*cart_items.columns), "rejected": rejected}
 
 
 def clear_carts(carts: DataFrame, cart_items: DataFrame, requests: DataFrame, as_of=None) -> dict[str, DataFrame]:
@@ -325,7 +344,7 @@ def owned_delete(base: DataFrame, requests: DataFrame, owners: DataFrame, id_col
     allowed = F.col("__owner").isNotNull() & (F.col("__owner") == F.col(requester_col))
     if admin_col:
         allowed = allowed | (F.col("__id").isNotNull() & F.coalesce(F.col(admin_col), F.lit(False)))
-    r = r.withColumn("__ok", allowed)
+    r = r.withColumn("__ok", F.coalesce(allowed, F.lit(False)))
     dels = r.where(F.col("__ok")).select(F.col(id_col).alias("__d")).distinct()
     rejected = r.where(~F.col("__ok")).select(*requests.columns)
     return {"base": base.join(dels, base[id_col] == dels["__d"], "left_anti"),
@@ -335,36 +354,34 @@ def owned_delete(base: DataFrame, requests: DataFrame, owners: DataFrame, id_col
 
 # ---------------------------------------------------------------- M8
 def cascade_delete(tables: dict[str, DataFrame], table: str, keys: DataFrame,
-                   fks: Sequence[tuple[str, str, str, str]], key_cols: dict[str, str] | None = None,
-                   checkpoint: bool = False) -> dict[str, DataFrame]:
+                   fks: Sequence[tuple[str, str, str, str]],
+                   key_cols: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """M8: delete ``keys`` from ``table`` and follow the foreign-key list.
 
     ``fks`` rows are (child, fk column, parent, on_delete) with on_delete in
     cascade / set_null / restrict. Key sets are pushed level by level, each
     row carrying the root key that reached it. A root that reaches a row
     under a RESTRICT key is refused as a whole, before anything is deleted.
+    A table that gains keys over several paths, or over a cycle, passes its
+    new keys on each time, until no table gains any; every level's key set is
+    checkpointed, so no level is computed twice.
     Returns the new tables plus '__rejected' (root, reason).
-    With ``checkpoint=True`` every level's key set is checkpointed to the
-    session's checkpoint dir, cutting lineage on long FK chains.
     """
     key_cols = key_cols or {}
     kc = lambda t: key_cols.get(t, "id")
-    roots = keys.select(F.col(kc(table)).alias("key"), F.col(kc(table)).alias("root")).distinct()
+    roots = keys.select(F.col(kc(table)).alias("key"), F.col(kc(table)).alias("root")).distinct().checkpoint()
     reached: dict[str, DataFrame] = {table: roots}
     restricted: list[DataFrame] = []
     nulled: dict[str, list[tuple[str, DataFrame]]] = {}
-    frontier = [table]
-    seen_edges = set()
+    frontier: dict[str, DataFrame] = {table: roots}  # keys of each table that were reached for the first time
     while frontier:
-        parent = frontier.pop(0)
-        pkeys = reached[parent]
+        new: dict[str, list[DataFrame]] = {}
         for child, col, par, action in fks:
-            if par != parent or (child, col, par) in seen_edges or child not in tables:
+            if par not in frontier or child not in tables:
                 continue
-            seen_edges.add((child, col, par))
             c = tables[child]
-            hit = c.join(pkeys.select(F.col("key").alias("__pk"), F.col("root").alias("__root")),
-                         c[col] == F.col("__pk"), "inner")
+            wanted = frontier[par].select(F.col("key").alias("__pk"), F.col("root").alias("__root"))
+            hit = c.join(wanted, c[col] == F.col("__pk"), "inner")
             if action == "restrict":
                 restricted.append(hit.select(F.col("__root").alias("root"),
                                              F.lit(f"{child}.{col} references {par}").alias("reason")))
@@ -374,19 +391,21 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, keys: DataFrame,
                 if kc(child) in c.columns:
                     ck = hit.select(F.col(kc(child)).alias("key"), F.col("__root").alias("root"))
                 else:  # leaf table without its own key: match by the fk value
-                    ck = hit.select(F.col(col).alias("key"), F.col("__root").alias("root"))
-                    ck = ck.withColumn("__via", F.lit(col))
-                ck = ck.distinct()
-                if checkpoint:
-                    ck = ck.checkpoint()
-                if child in reached:
-                    reached[child] = reached[child].unionByName(ck, allowMissingColumns=True).distinct()
-                else:
-                    reached[child] = ck
-                if child not in frontier:
-                    frontier.append(child)
+                    ck = hit.select(F.col(col).alias("key"), F.col("__root").alias("root"), F.lit(col).alias("__via"))
+                new.setdefault(child, []).append(ck)
             else:
                 raise ValueError(f"unknown on_delete {action}")
+        frontier = {}
+        for child, parts in new.items():
+            found = functools.reduce(DataFrame.unionByName, parts).distinct()
+            if child in reached:
+                found = found.join(reached[child], found.columns, "left_anti")
+            found = found.checkpoint()  # one level: read again by its own children, and by the tables at the end
+            if found.isEmpty():
+                continue
+            reached[child] = reached[child].unionByName(found) if child in reached else found
+            if kc(child) in tables[child].columns:
+                frontier[child] = found
     if restricted:
         rej = restricted[0]
         for r in restricted[1:]:
@@ -459,13 +478,19 @@ def moderate_comments(comments: DataFrame, changes: DataFrame, as_of=None,
 
     Returns {'comments', 'touched_parents'}: the parents whose approved
     rating set may have changed (old and new status of each comment), for
-    recomputing averages (M16)."""
-    valid = changes.where(F.col("status").isin(ENUMS["comment_status"]))
+    recomputing averages (M16), and 'rejected': changes of an unknown status
+    or comment, with the reason."""
+    known = comments.select(F.col("id").alias("__known"))
+    judged = changes.join(known, changes["comment_id"] == F.col("__known"), "left").withColumn("reason", (
+        F.when(~F.coalesce(F.col("status").isin(ENUMS["comment_status"]), F.lit(False)), F.lit("invalid status"))
+         .when(F.col("__known").isNull(), F.lit("comment not found"))))
+    rejected = judged.where(F.col("reason").isNotNull()).select(*changes.columns, "reason")
+    valid = judged.where(F.col("reason").isNull()).select(*changes.columns)
     new = patch_coalesce(comments, valid.select(F.col("comment_id").alias("id"), "status", *order), "id",
                          ["status"], as_of, order)
     ids = valid.select(F.col("comment_id").alias("__c")).distinct()
     touched = comments.join(ids, comments["id"] == ids["__c"], "left_semi").select("parent_type", "parent_id").distinct()
-    return {"comments": new, "touched_parents": touched}
+    return {"comments": new, "touched_parents": touched, "rejected": rejected}
 
 
 # ---------------------------------------------------------------- M14 / M18 / M6 tokens and codes
@@ -563,21 +588,23 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
                  .join(s_user, F.col("user_id") == F.col("__su"), "left")
                  .join(s_name, F.col("shop_name") == F.col("__sn"), "left"))
     reason = (F.when(F.col("__uid").isNull(), F.lit("user not found"))
+               .when(F.col("shop_name").isNull(), F.lit("shop name is missing"))
                .when(F.col("__su").isNotNull(), F.lit("user is already a seller"))
                .when(F.col("__sn").isNotNull(), F.lit("shop name is already taken")))
     r = r.withColumn("reason", reason)
     cols = [*requests.columns, "__o"]
     rejected = r.where(F.col("reason").isNotNull()).select(*requests.columns, "reason")
-    pending = r.where(F.col("reason").isNull()).select(*cols)
-    accepted = None
-    while True:
+    pending = r.where(F.col("reason").isNull()).select(*cols).checkpoint()
+    accepted = pending.limit(0)
+    left = pending.count()
+    while left:
         first_u = pending.groupBy(F.col("user_id").alias("__fu")).agg(F.min("__o").alias("__fuo"))
         first_n = pending.groupBy(F.col("shop_name").alias("__fn")).agg(F.min("__o").alias("__fno"))
         p = (pending.join(first_u, F.col("user_id") == F.col("__fu"))
                     .join(first_n, F.col("shop_name") == F.col("__fn")))
         take = p.where((F.col("__o") == F.col("__fuo")) & (F.col("__o") == F.col("__fno"))).select(*cols)
         take = take.checkpoint()
-        accepted = take if accepted is None else accepted.unionByName(take)
+        accepted = accepted.unionByName(take)
         tu = take.select(F.col("user_id").alias("__tu"))
         tn = take.select(F.col("shop_name").alias("__tn"))
         rest = pending.join(take.select(F.col("__o").alias("__to")), F.col("__o") == F.col("__to"), "left_anti")
@@ -588,8 +615,9 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
                             .unionByName(lost_n.select(*requests.columns, F.lit("shop name is already taken").alias("reason"))))
         pending = (rest.join(tu, F.col("user_id") == F.col("__tu"), "left_anti")
                        .join(tn, F.col("shop_name") == F.col("__tn"), "left_anti")).checkpoint()
-        if pending.isEmpty():
-            break
+        before, left = left, pending.count()
+        if left >= before:
+            raise RuntimeError("requests without an order cannot be decided")
     ok = accepted
     new_sellers = ok.select(new_key(sellers.schema["id"].dataType, "seller", "user_id").alias("id"), "user_id",
                             "shop_name", F.lit("active").alias("status"))
@@ -601,6 +629,37 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
     return {"users": nu, "sellers": all_sellers, "rejected": rejected}
 
 
+# ---------------------------------------------------------------- Q36 several unique columns inside a batch
+def first_of_batch(requests: DataFrame, unique_cols: Sequence[str], order_col: str) -> dict[str, DataFrame]:
+    """Requests that one-by-one application in the order of ``order_col`` (unique) would accept when every column of
+    ``unique_cols`` must differ from all earlier accepted requests (nulls never clash).
+
+    Each round accepts the pending requests that are the earliest of all their values and refuses what clashes with
+    them; one round suffices unless values overlap in chains. Returns {'accepted', 'rejected'}.
+    """
+    pending = requests.checkpoint()
+    accepted, rejected = pending.limit(0), pending.limit(0)
+    while not pending.isEmpty():
+        judged, first = pending, F.lit(True)
+        for i, c in enumerate(unique_cols):
+            low = pending.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"__v{i}")).agg(
+                F.min(order_col).alias(f"__m{i}"))
+            judged = judged.join(low, F.col(c) == F.col(f"__v{i}"), "left")
+            first = first & F.coalesce(F.col(f"__m{i}") == F.col(order_col), F.lit(True))
+        taken = judged.where(first).select(*requests.columns).checkpoint()
+        rest = pending.join(taken.select(F.col(order_col).alias("__t")), F.col(order_col) == F.col("__t"), "left_anti")
+        clash = F.lit(False)
+        for i, c in enumerate(unique_cols):
+            used = taken.select(F.col(c).alias(f"__u{i}")).where(F.col(f"__u{i}").isNotNull()).distinct()
+            rest = rest.join(used, F.col(c) == F.col(f"__u{i}"), "left")
+            clash = clash | F.col(f"__u{i}").isNotNull()
+        rest = rest.withColumn("__clash", clash).checkpoint()
+        accepted = accepted.unionByName(taken)
+        rejected = rejected.unionByName(rest.where("__clash").select(*requests.columns))
+        pending = rest.where("not __clash").select(*requests.columns)
+    return {"accepted": accepted, "rejected": rejected}
+
+
 # ---------------------------------------------------------------- Q11 / Q24 renames and creates with unique names
 def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequence[str], as_of=None,
                   order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
@@ -673,9 +732,12 @@ def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequ
 def create_unique(base: DataFrame, new_rows: DataFrame, table: str, name_cols: Sequence[str],
                   key_namespace: str, as_of=None, order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
     """Q24 create (M1 + C1): insert rows whose name tuple is not taken (first
-    of the batch wins). Keys are derived from the name tuple."""
+    of the batch wins; a missing name part is refused). Keys are derived from the name tuple."""
     o = _order(order)
     names = list(name_cols)
+    nameless = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
+    missing = new_rows.where(nameless).withColumn("reason", F.lit("name is missing"))
+    new_rows = new_rows.where(~nameless)
     taken = base.select(*names).distinct()
     fresh = new_rows.join(taken, names, "left_anti")
     clash = new_rows.join(taken, names, "left_semi").withColumn("reason", F.lit("name already in use"))
@@ -685,17 +747,18 @@ def create_unique(base: DataFrame, new_rows: DataFrame, table: str, name_cols: S
     ok = fresh.where(o == F.col("__first")).drop("__first")
     ok = ok.withColumn("id", new_key(base.schema["id"].dataType, key_namespace, *names))
     all_rows, inserted = insert(base, ok, table, as_of)
-    return {"base": all_rows, "inserted": inserted, "rejected": clash.unionByName(dup)}
+    return {"base": all_rows, "inserted": inserted, "rejected": clash.unionByName(dup).unionByName(missing)}
 
 
 # ---------------------------------------------------------------- Q30 comment create
-def create_comments(comments: DataFrame, new: DataFrame, parents: dict[str, DataFrame], as_of=None,
+def create_comments(comments: DataFrame, new: DataFrame, parents: dict[str, DataFrame], users: DataFrame, as_of=None,
                     key_namespace: str = "comment") -> dict[str, DataFrame]:
     """New comments ``(user_id, parent_type, parent_id, content, rating, change_ts, seq)``.
 
     Refused when the parent of the named type does not exist (the source's
     trigger, J8), the rating is outside 1..5 or the content is not 2..1000
-    characters. Accepted ones are inserted as pending. Returns
+    characters. Accepted ones are inserted as pending, those of an admin as
+    approved. Returns
     {'comments', 'inserted', 'rejected'}."""
     found = None
     for ptype, table in sorted(parents.items()):
@@ -710,8 +773,11 @@ def create_comments(comments: DataFrame, new: DataFrame, parents: dict[str, Data
     j = j.withColumn("reason", reason)
     rejected = j.where(F.col("reason").isNotNull()).select(*new.columns, "reason")
     ok = j.where(F.col("reason").isNull()).select(*new.columns)
-    ok = ok.withColumn("id", new_key(comments.schema["id"].dataType, key_namespace, "user_id", "seq"))
-    ok = ok.withColumn("created_at", F.col("change_ts"))
+    ok = ok.withColumn("id", new_key(comments.schema["id"].dataType, key_namespace, "user_id", *request_key()))
+    admins = users.where(F.col("role") == "admin").select(F.col("id").alias("__admin")).distinct()
+    ok = ok.join(admins, ok["user_id"] == F.col("__admin"), "left")
+    ok = ok.withColumn("status", F.when(F.col("__admin").isNotNull(), F.lit("approved")).otherwise(F.lit("pending")))
+    ok = ok.drop("__admin").withColumn("created_at", F.col("change_ts"))
     all_rows, inserted = insert(comments, ok, "comments", as_of)
     return {"comments": all_rows, "inserted": inserted, "rejected": rejected}
 
@@ -724,7 +790,7 @@ def create_addresses(addresses: DataFrame, new: DataFrame, as_of=None, key_names
     default clears the user's other defaults, the last one of the batch
     winning (M13)."""
     from .windows import apply_exclusive_flag
-    rows = new.withColumn("id", new_key(addresses.schema["id"].dataType, key_namespace, "user_id", order[-1]))
+    rows = new.withColumn("id", new_key(addresses.schema["id"].dataType, key_namespace, "user_id", *request_key(*order)))
     all_rows, inserted = insert(addresses, rows.withColumn("created_at", F.col(order[0])), "addresses", as_of)
     req = rows.where(F.coalesce(F.col("is_default"), F.lit(False))).select("user_id", "id", *order)
     return apply_exclusive_flag(all_rows, req, as_of=as_of)
@@ -760,7 +826,7 @@ def create_blogs(blogs: DataFrame, new: DataFrame, as_of=None, key_namespace: st
     rejected = new.where(bad).withColumn("reason", F.lit("invalid title or content"))
     ok = new.where(~bad)
     en = F.coalesce(F.col("en_title"), F.col("title")) if "en_title" in new.columns else F.col("title")
-    ok = ok.select(new_key(blogs.schema["id"].dataType, key_namespace, "author_id", "seq").alias("id"),
+    ok = ok.select(new_key(blogs.schema["id"].dataType, key_namespace, "author_id", *request_key()).alias("id"),
                    "author_id", "title", en.alias("en_title"), "content", F.lit(None).cast("int").alias("views"),
                    F.col("change_ts").alias("created_at"))
     inserted = with_defaults(ok, "blogs", as_of)
@@ -865,14 +931,14 @@ def place_orders(documents: DataFrame, user_col: str = "user_id", doc_id: str =
     status starts as pending; ``payment_method`` is kept. Order ids are
     derived from the document id, so a re-run yields the same keys.
     Returns {'orders', 'order_items'}."""
-    header, lines = shred(documents.select(doc_id, user_col, json_col), json_col, ORDER_DOC_SCHEMA, "items", doc_id)
-    totals = lines.groupBy(F.col(doc_id).alias("__d")).agg(
-        F.sum(F.col("quantity").cast("bigint") * F.col("price")).cast("decimal(12,2)").alias("total_amount"))
-    users = documents.select(F.col(doc_id).alias("__du"), user_col)
-    orders = (header.join(users, header[doc_id] == users["__du"]).join(totals, header[doc_id] == totals["__d"], "left")
-                    .select(new_key(T.LongType(), "order", doc_id).alias("id"), user_col, "address_id",
-                            F.coalesce("total_amount", F.lit(0).cast("decimal(12,2)")).alias("total_amount"),
-                            F.lit("pending").alias("status"), "payment_method", F.col(doc_id)))
+    _, lines = shred(documents.select(doc_id, json_col), json_col, ORDER_DOC_SCHEMA, "items", doc_id)
+    zero = F.lit(0).cast("decimal(38,2)")
+    total = F.aggregate("__d.items", zero, lambda a, x: (a + F.coalesce(
+        x["quantity"].cast("bigint") * x["price"], zero)).cast("decimal(38,2)"))
+    orders = (documents.withColumn("__d", F.from_json(F.col(json_col), ORDER_DOC_SCHEMA))
+                       .select(new_key(T.LongType(), "order", doc_id).alias("id"), user_col, F.col("__d.address_id"),
+                               F.coalesce(total, zero).cast("decimal(12,2)").alias("total_amount"),
+                               F.lit("pending").alias("status"), F.col("__d.payment_method"), F.col(doc_id)))
     items = lines.select(new_key(T.LongType(), "order", doc_id).alias("order_id"), "line_no", "product_id",
                          "quantity", F.col("price").alias("price_at_time"), F.col(doc_id))
     if as_of is not None:

@@ -158,7 +158,7 @@ def ratings(comments: DataFrame) -> DataFrame:
 
 
 def write_back_ratings(parents: DataFrame, comments: DataFrame, parent_type: str,
-                       as_of=None, touched_only: bool = False) -> DataFrame:
+                       as_of=None) -> DataFrame:
     """Parents with ``average_rating`` recomputed from approved comments; 0.00
     when none (M16). Recomputing from source means a deleted or moved comment
     never leaves a stale value. ``as_of`` also touches ``updated_at`` of rows
@@ -182,37 +182,7 @@ def single_category_products(bridge: DataFrame) -> DataFrame:
     return per.where(F.col("__n") == 1).select("category_id", "product_id")
 
 
-def joined_names(df: DataFrame, key: str, name: str, as_: str, sep: str = ", ") -> DataFrame:
-    """(key, 'a, b, c') sorted name list per key."""
-    return df.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(name)), sep).alias(as_))
-
-
 # ---------------------------------------------------------------- A12 / A13 / A14 / A15
-def cart_summary(carts: DataFrame, cart_items: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Per cart: line count, unit count, price total and sorted distinct shop names
-    (A12, A13). Carts with no lines get zeros and an empty list."""
-    lines = cart_items.select("cart_id", "product_id", "quantity", "price")
-    prod = products.select(F.col("id").alias("__pid"), "seller_id")
-    sel = sellers.select(F.col("id").alias("__sid"), "shop_name")
-    shops = (lines.join(prod, lines["product_id"] == prod["__pid"], "inner")
-                  .join(sel, F.col("seller_id") == sel["__sid"], "inner")
-                  .groupBy(F.col("cart_id").alias("__k"))
-                  .agg(F.array_sort(F.collect_set("shop_name")).alias("shop_names")))
-    sums = (lines.groupBy(F.col("cart_id").alias("__k2"))
-                 .agg(F.count(F.lit(1)).alias("item_count"),
-                      F.sum(F.col("quantity").cast("bigint")).alias("total_quantity"),
-                      F.sum(F.col("quantity").cast("bigint") * F.col("price")).alias("total_price")))
-    out = carts.select(F.col("id").alias("cart_id"), "user_id")
-    out = out.join(sums, out["cart_id"] == sums["__k2"], "left").drop("__k2")
-    out = out.join(shops, out["cart_id"] == shops["__k"], "left").drop("__k")
-    return out.select(
-        "cart_id", "user_id",
-        F.coalesce("item_count", _lit0()).alias("item_count"),
-        F.coalesce("total_quantity", _lit0()).alias("total_quantity"),
-        F.coalesce("total_price", _lit0()).alias("total_price"),
-        F.coalesce("shop_names", F.array().cast("array<string>")).alias("shop_names"))
-
-
 def order_totals(order_items: DataFrame) -> DataFrame:
     """Header total from lines: sum(quantity * price) per order."""
     return (order_items.groupBy("order_id")

@@ -42,7 +42,8 @@ def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int, limit:
                    as_: str = "n_in_window") -> DataFrame:
     """For every row, the number of rows of the same key in ``(ts - window, ts]``.
 
-    The lower bound is strict: a row exactly one window old is out. With
+    The lower bound is strict: a row exactly one window old is out. A row
+    without a time is in no window and counts 0. With
     ``limit``, ``blocks_next = n >= limit`` tells whether the next request
     after this row would be refused.
 
@@ -53,27 +54,20 @@ def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int, limit:
     and counts context rows while only the bucket's own rows are kept.
     """
     w_us = int(window_seconds) * MICROS_PER_SECOND
-    base = df.withColumn("__t", _micros(ts)).withColumn("__b", F.floor(F.col("__t") / F.lit(w_us)).cast("bigint"))
+    base = df.withColumn("__t", _micros(ts))
+    untimed = base.where(F.col("__t").isNull()).drop("__t").withColumn(as_, F.lit(0).cast("bigint"))
+    base = base.where(F.col("__t").isNotNull()).withColumn("__b", F.floor(F.col("__t") / F.lit(w_us)).cast("bigint"))
     own = base.withColumn("__own", F.lit(True))
     ctx = base.withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
     both = own.unionByName(ctx)
     win = (Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-(w_us - 1), 0))
     counted = both.withColumn(as_, F.count(F.lit(1)).over(win)).where(F.col("__own"))
-    out = counted.drop("__t", "__b", "__own")
+    out = counted.drop("__t", "__b", "__own").unionByName(untimed)
     if limit is not None:
         out = out.withColumn("blocks_next", F.col(as_) >= F.lit(int(limit)))
     return out
 
 
-def recent_count(df: DataFrame, key: str, ts: str, as_of, window_seconds: int,
-                 as_: str = "recent") -> DataFrame:
-    """(key, count of rows with ts in (as_of - window, as_of]) — the rate check at one instant."""
-    lo = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(int(window_seconds)))
-    hi = F.lit(as_of).cast("timestamp")
-    t = F.col(ts).cast("timestamp")
-    return df.where((t > lo) & (t <= hi)).groupBy(key).agg(F.count(F.lit(1)).alias(as_))
-
-
 # ---------------------------------------------------------------- W3 / W4 (images)
 def promote_main_after_delete(images: DataFrame, deleted_ids: DataFrame, id_col: str = "id",
                               key: str = "product_id", flag: str = "is_main") -> DataFrame:

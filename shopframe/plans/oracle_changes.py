@@ -358,12 +358,12 @@ _COM = ("""j AS (SELECT n.*, CASE WHEN n.parent_type NOT IN ('blog', 'product')
   WHEN n.rating IS NULL OR n.rating < 1 OR n.rating > 5 THEN 'invalid rating'
   WHEN n.content IS NULL OR length(n.content) < 2 OR length(n.content) > 1000 THEN 'invalid content' END AS reason
   FROM new_comments n)""",)
-sql("comment_create", W("comments products blogs new_comments", *_COM) + f"""
-SELECT {_key('comment', 'user_id', 'seq')} AS id, user_id, parent_type, parent_id, content, rating,
-  'pending' AS status, change_ts AS created_at FROM j WHERE reason IS NULL""")
+sql("comment_create", W("comments products blogs users new_comments", *_COM) + f"""
+SELECT {_key('comment', 'user_id', 'epoch_us(change_ts)', 'seq')} AS id, user_id, parent_type, parent_id, content,
+  rating, CASE WHEN user_id IN (SELECT id FROM users WHERE role = 'admin') THEN 'approved' ELSE 'pending' END AS status, change_ts AS created_at FROM j WHERE reason IS NULL""")
 sql("comment_create_rejected", W("comments products blogs new_comments", *_COM) + "SELECT * FROM j WHERE reason IS NOT NULL")
 
-sql("address_create", W("addresses new_addresses", f"""ins AS (SELECT {_key('address', 'user_id', 'seq')} AS id, user_id,
+sql("address_create", W("addresses new_addresses", f"""ins AS (SELECT {_key('address', 'user_id', 'epoch_us(change_ts)', 'seq')} AS id, user_id,
   address, city, province, postal_code, is_default, CAST(change_ts AS DATE) AS created_at, change_ts, seq
   FROM new_addresses)""",
     """allr AS (SELECT id, user_id, address, city, province, postal_code, is_default, created_at FROM addresses
@@ -447,17 +447,20 @@ sql("product_update_bridge", _replace_twin("product_update_categories", "product
                                            "category_id"))
 sql("product_update_features", _replace_twin("product_update_features", "product_features", "m.name, m.value", "name"))
 
-_PDEL = ("""own AS (SELECT r.* FROM product_delete_batch r WHERE EXISTS (SELECT 1 FROM products x
-  JOIN sellers s ON x.seller_id = s.id WHERE x.id = r.id AND s.user_id = r.requester_id))""",
-         """blocked AS (SELECT DISTINCT o.id FROM own o WHERE EXISTS (SELECT 1 FROM order_items oi
-  WHERE oi.product_id = o.id))""")
+_PDEL = ("""owners AS MATERIALIZED (SELECT DISTINCT products.id AS owned_id, sellers.user_id AS owner
+  FROM sellers INNER JOIN products ON products.seller_id = sellers.id)""",
+         """asked AS MATERIALIZED (SELECT request.id, owner IS NOT NULL AS allowed FROM product_delete_batch AS request
+  LEFT JOIN owners ON owned_id = request.id AND owner = request.requester_id)""",
+         """ordered AS MATERIALIZED (SELECT product_id FROM order_items GROUP BY product_id)""",
+         """blocked AS (SELECT DISTINCT id FROM asked INNER JOIN ordered ON product_id = id WHERE allowed)""")
 _PDEL_T = "products sellers order_items product_delete_batch"
 sql("product_delete_refused", W(_PDEL_T, *_PDEL) + """
-SELECT r.id, 'not found or not owner' AS reason FROM product_delete_batch r
-WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.id = r.id AND o.requester_id = r.requester_id)
+SELECT id, 'not found or not owner' AS reason FROM asked WHERE NOT allowed
 UNION ALL SELECT id, 'order_items.product_id references products' FROM blocked""")
 sql("product_delete_products", W(_PDEL_T, *_PDEL) + """
-SELECT * FROM products WHERE id NOT IN (SELECT id FROM own WHERE id NOT IN (SELECT id FROM blocked))""")
+SELECT products.* FROM products
+LEFT JOIN (SELECT DISTINCT id AS gone FROM asked WHERE allowed) ON gone = products.id
+LEFT JOIN blocked ON blocked.id = products.id WHERE gone IS NULL OR blocked.id IS NOT NULL""")
 _AU = ("""ok AS (SELECT c.* FROM address_changes c WHERE EXISTS (SELECT 1 FROM addresses a
   WHERE a.id = c.id AND a.user_id = c.user_id))""",
        f"""pk AS (SELECT id, {_last('address', 'address IS NOT NULL')} AS na, {_last('city', 'city IS NOT NULL')} AS nc,
@@ -488,7 +491,7 @@ SELECT * FROM refresh_tokens WHERE NOT COALESCE(is_revoked, FALSE) AND expires_a
 
 _BAD_BLOG ="title IS NULL OR length(title) < 3 OR length(title) > 255 OR content IS NULL"
 sql("blog_create", W("new_blogs") + f"""
-SELECT {_key('blog', 'author_id', 'seq')} AS id, author_id, title, COALESCE(en_title, title) AS en_title, content,
+SELECT {_key('blog', 'author_id', 'epoch_us(change_ts)', 'seq')} AS id, author_id, title, COALESCE(en_title, title) AS en_title, content,
   0 AS views, change_ts AS created_at FROM new_blogs WHERE NOT ({_BAD_BLOG})""")
 sql("blog_create_rejected", W("new_blogs") + f"""
 SELECT author_id, title, seq, 'invalid title or content' AS reason FROM new_blogs WHERE {_BAD_BLOG}""")

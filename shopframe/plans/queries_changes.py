@@ -340,6 +340,7 @@ def _register(spark, sf_dir):
     valid, violations = C.validate(reqs, C.registration_rules(), "request_id", "registrations")
     clash = find_conflicts(valid, t["users"], ["email", "phone_number"], incoming_id="request_id")
     ok = valid.join(clash.select("request_id"), "request_id", "left_anti")
+    ok = M.first_of_batch(ok, ["email", "phone_number"], "request_id")["accepted"]
     new = ok.select(M.new_key(T.LongType(), "user", "request_id").alias("id"), "first_name", "last_name",
                     "email", "phone_number")
     _, inserted = M.insert(t["users"], new, "users", AS_OF)
@@ -436,7 +437,7 @@ def q_category_create_rejected(spark, sf_dir):
 
 def _comment_create(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return M.create_comments(t["comments"], t["new_comments"], {"product": t["products"], "blog": t["blogs"]})
+    return M.create_comments(t["comments"], t["new_comments"], {"product": t["products"], "blog": t["blogs"]}, t["users"])
 
 
 @register("comment_create")

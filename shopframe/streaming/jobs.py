@@ -71,8 +71,9 @@ def batch_writer(out_dir: str) -> Callable[[DataFrame, int], None]:
 def current_state(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
     """Latest emitted row per key over all written batches (update-mode output)."""
     df = spark.read.parquet(out_dir)
-    latest = df.groupBy(*keys).agg(F.max("batch_id").alias("__b"))
-    return df.join(latest, keys).where(F.col("batch_id") == F.col("__b")).drop("__b", "batch_id")
+    rest = [c for c in df.columns if c not in keys and c != "batch_id"]
+    latest = F.max_by(F.struct(*rest), F.col("batch_id")).alias("__row")
+    return df.groupBy(*keys).agg(latest).select(*keys, "__row.*")
 
 
 # ---------------------------------------------------------------- T1
@@ -116,48 +117,61 @@ def sliding_counts(events: DataFrame, key: str = "user_id", ts: str = "created_a
 
 
 # ---------------------------------------------------------------- T3 exact (Q37): rate limit over accepted requests
-RATE_LIMIT_OUTPUT = "user_id long, ts timestamp, accepted boolean, recent long"
-RATE_LIMIT_STATE = "times array<timestamp>"
+RATE_LIMIT_STATE = "times array<long>"
 
 
 def rate_limited(requests: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = CODE_LIMIT,
-                 window_seconds: int = 3600) -> DataFrame:
+                 window_seconds: int = 3600, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
     """Q37 exactly: a request is accepted when fewer than ``limit`` *accepted*
     requests of the same key lie in ``(ts - window, ts]``; a refused request
     records nothing. This is a per-key sequential recurrence, so it runs as a
     custom stateful operator (``applyInPandasWithState``): the state per key
     is the accepted times still inside the window (at most ``limit``), and
-    each micro-batch's rows of a key are processed in time order. Feeds must
-    arrive in event-time order across micro-batches (as ``split_into_feed``
-    writes them); a micro-batch bounds the rows one key's task receives.
+    all of a micro-batch's times of a key, however many Arrow batches they
+    come in, are put in order first (eight bytes each; a micro-batch bounds
+    them). Feeds must arrive in event-time order across micro-batches (as
+    ``Feed`` writes them). The state of a key is dropped once the watermark
+    has passed its window. Requests without a time are refused.
     Output: (key, ts, accepted, recent = accepted requests in the window before this one).
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    window = pd.Timedelta(seconds=int(window_seconds))
+    window = int(window_seconds) * 1_000_000
+    key_type = requests.schema[key].dataType.simpleString()
 
     def step(key_value, batches, state):
-        times = list(state.get[0]) if state.exists else []
-        times = [pd.Timestamp(t) for t in times]
-        for pdf in batches:
-            pdf = pdf.sort_values(ts, kind="stable")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        arrived = [pdf["__us"].to_numpy() for pdf in batches]
+        lost = sum(int(pd.isna(a).sum()) for a in arrived)
+        times = np.sort(np.concatenate([a[~pd.isna(a)].astype(np.int64) for a in arrived]))
+        if lost:
+            yield pd.DataFrame({key: [key_value[0]] * lost, "__us": pd.array([None] * lost, dtype="Int64"),
+                                "accepted": [False] * lost, "recent": [0] * lost})
+        for at in range(0, len(times), 10_000):
             accepted, recent = [], []
-            for t in pd.to_datetime(pdf[ts]):
-                times = [x for x in times if x > t - window]
-                ok = len(times) < limit
-                recent.append(len(times))
-                accepted.append(ok)
-                if ok:
-                    times.append(t)
-            yield pd.DataFrame({"user_id": pdf[key].astype("int64").values, "ts": pdf[ts].values,
+            for t in times[at:at + 10_000].tolist():
+                kept = [x for x in kept if x > t - window]
+                recent.append(len(kept))
+                accepted.append(len(kept) < limit)
+                if accepted[-1]:
+                    kept.append(t)
+            part = times[at:at + 10_000]
+            yield pd.DataFrame({key: [key_value[0]] * len(part), "__us": pd.array(part, dtype="Int64"),
                                 "accepted": accepted, "recent": recent})
-        state.update(([t.to_pydatetime() for t in times],))
+        state.update((kept,))
+        end = (max(kept, default=0) + window) // 1000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
-    return (requests.select(F.col(key).cast("long").alias(key), F.col(ts).cast("timestamp").alias(ts))
-                    .groupBy(key)
-                    .applyInPandasWithState(step, RATE_LIMIT_OUTPUT, RATE_LIMIT_STATE, "append",
-                                            GroupStateTimeout.NoTimeout))
+    timed = requests.select(F.col(key), F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
+    out = (timed.withColumn("__us", F.unix_micros(F.col(ts))).groupBy(key)
+                .applyInPandasWithState(step, f"`{key}` {key_type}, __us long, accepted boolean, recent long",
+                                        RATE_LIMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select(key, F.timestamp_micros("__us").alias("ts"), "accepted", "recent")
 
 
 # ---------------------------------------------------------------- T4 / T5
@@ -208,9 +222,7 @@ def expire_tokens_batch(tokens: DataFrame, new_tokens: DataFrame, batch_id: int)
     the batch's latest event time (the source purges on every insert)."""
     merged = tokens.unionByName(M.conform(new_tokens, tokens))
     as_of = new_tokens.agg(F.max("created_at")).first()[0]
-    if as_of is None:
-        return tokens
-    return M.purge_tokens(merged, as_of)
+    return merged if as_of is None else M.purge_tokens(merged, as_of)
 
 
 def patch_users_batch(fields: list[str]) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
@@ -234,16 +246,29 @@ def enrich_comments(comments: DataFrame, users: DataFrame, products: DataFrame,
 
 
 # ---------------------------------------------------------------- feed preparation (test harness)
-def split_into_feed(df: DataFrame, ts_col: str, path: str, parts: int = 3) -> None:
-    """Write ``df`` as ``parts`` parquet files in event-time order, one append
-    per slice, so a file-source stream with ``maxFilesPerTrigger=1`` sees the
-    data in several micro-batches, oldest first."""
-    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    lo, hi = df.agg(F.min(t), F.max(t)).first()
-    if lo is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return
-    width = max(1, (hi - lo) // parts + 1)
-    sliced = df.withColumn("__slice", F.floor((t - F.lit(lo)) / F.lit(width)))
-    for i in range(parts):
-        sliced.where(F.col("__slice") == i).drop("__slice").coalesce(1).write.mode("append").parquet(path)
+class Feed:
+    """A table dealt out as a change feed of ``parts`` slices in event-time order (rows without a time come first).
+
+    Every slice is written in parallel and processed by a run of its own over the same checkpoint, so a job sees
+    several micro-batches, oldest first, and continues from its checkpoint each time.
+    """
+
+    def __init__(self, df: DataFrame, ts_col: str, root: str, parts: int = 3):
+        self.root, self.path, self.parts = root, f"{root}/feed", parts
+        t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+        lo, hi = df.agg(F.min(t), F.max(t)).first()
+        width = 1 if lo is None else max(1, (hi - lo) // parts + 1)
+        first = F.lit(0 if lo is None else lo)
+        self._sliced = df.withColumn("__slice", F.coalesce(F.floor((t - first) / F.lit(width)), F.lit(0)))
+        self._write(0)
+        self.stream = read_changes(df.sparkSession, self.path, df.schema)
+
+    def _write(self, i: int) -> None:
+        self._sliced.where(F.col("__slice") == i).drop("__slice").write.mode("append").parquet(self.path)
+
+    def run(self, stream: DataFrame, handler: Callable[[DataFrame, int], None], output_mode: str = "update") -> None:
+        """Process slice after slice of the feed with ``stream`` (a plan over ``self.stream``)."""
+        for i in range(self.parts):
+            if i:
+                self._write(i)
+            run_batches(stream, handler, f"{self.root}/ckpt", output_mode)
