@@ -2,58 +2,63 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Configuration every job relies on. Sizes are set for local runs; on a
-# cluster the submitter's values win because ``getOrCreate`` keeps an
-# existing session and only fills in what is unset here.
+# Settings every job relies on. They are only made where neither the submitter nor the running session made them.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Settings of a local session of our own that cannot be made later.
+LOCAL_CONF = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "shopframe", extra: dict | None = None) -> SparkSession:
-    """Return the active session or build one with the base configuration."""
+    """Return the running session as it is, or start one and make the base settings that it does not have.
+
+    Values of ``spark-submit`` and the defaults file win. Only a local
+    session started here that names no ``spark.checkpoint.dir`` gets a
+    folder of its own for checkpoints.
+    """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(BASE_CONF)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("SHOPFRAME_DRIVER_MEMORY", "16g"))
-    conf.update(extra or {})
-    for k, v in conf.items():
+        if master.startswith("local"):
+            builder = builder.config(map=LOCAL_CONF)
+    for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    given = spark.sparkContext.getConf()
+    wanted = dict(BASE_CONF)
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in wanted.items():
+        if not given.contains(k):
+            spark.conf.set(k, v)
+    if not given.contains("spark.checkpoint.dir") and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shopframe-ckpt-"))
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the submitter sets it to shared storage and we only read
-    it. Only when it is unset (local tests) do we create one under /tmp.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="shopframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    """The shared folder that ``spark.checkpoint.dir`` names, or else the one set on the running context."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
