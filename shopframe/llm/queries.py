@@ -12,7 +12,7 @@ from .licenses import license_scan
 from .packing import pack_documents
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
-from .sentencepiece_fst import decoded_text, with_piece_ids
+from .sentencepiece_fst import with_round_trip
 from .simhash import simhash_components
 from .suffix_index import suffix_dedup
 from .warc import archive_and_index
@@ -127,8 +127,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding them gives the text back."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_piece_ids(docs).withColumn("decoded", decoded_text(F.col("ids")))
+    out = with_round_trip(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                       F.sha2("decoded", 256).alias("decoded_sha256"),
                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -27,7 +27,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship_package
@@ -39,7 +39,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 CACHED_PARTS = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 400_000
 CACHED_LENGTH = 48
 
 
@@ -250,20 +250,45 @@ def with_piece_ids(rows: DataFrame, text_col: str = "text", out: str = "ids", mo
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fst = transducer(path)
-        for texts in batches:
+        for texts in _slices(batches):
             yield pd.Series([None if t is None else np.array(fst.encode(t), np.int32) for t in texts], dtype=object)
 
     return rows.withColumn(out, encode(F.col(text_col)))
 
 
-def decoded_text(ids: Column, model: str | None = None) -> Column:
-    """The text of an array<int> column of piece ids."""
+def with_decoded_text(rows: DataFrame, ids_col: str = "ids", out: str = "text", model: str | None = None) -> DataFrame:
+    """``rows`` with the text of the piece ids in ``ids_col`` as column ``out``."""
+    ship_package(rows.sparkSession)
     path = model or public_tokenizers.path(MODEL)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fst = transducer(path)
-        for lists in batches:
+        for lists in _slices(batches):
             yield pd.Series([None if x is None else fst.decode(x.tolist()) for x in lists], dtype=object)
 
-    return decode(ids)
+    return rows.withColumn(out, decode(F.col(ids_col)))
+
+
+def with_round_trip(rows: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
+    """``rows`` with ``ids`` and ``decoded``, the piece ids of ``text_col`` and their text, in one pass."""
+    ship_package(rows.sparkSession)
+    path = model or public_tokenizers.path(MODEL)
+
+    @F.pandas_udf("struct<ids array<int>, decoded string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        fst = transducer(path)
+        for texts in _slices(batches):
+            ids = [None if t is None else fst.encode(t) for t in texts]
+            yield pd.DataFrame({"ids": pd.Series([None if x is None else np.array(x, np.int32) for x in ids], dtype=object),
+                                "decoded": pd.Series([None if x is None else fst.decode(x) for x in ids], dtype=object)})
+
+    return rows.withColumn("__both", both(F.col(text_col))).withColumns(
+        {"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")
+
+
+def _slices(batches: Iterator[pd.Series], size: int = 500) -> Iterator[pd.Series]:
+    """Parts of the batches, so that only a few results are held at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            yield batch.iloc[at:at + size]

@@ -73,7 +73,9 @@ def test_caches_stay_bounded(monkeypatch):
 
 def test_columns(spark, edge_rows):
     docs = documents(spark, edge_rows)
-    out = T.with_piece_ids(docs).withColumn("back", T.decoded_text(T.F.col("ids"))).collect()
+    out = T.with_decoded_text(T.with_piece_ids(docs), out="back").collect()
+    both = T.with_round_trip(docs).collect()
+    assert [(r.ids, r.back) for r in out] == [(r.ids, r.decoded) for r in both]
     assert len(out) == len(edge_rows) and all(r.back == r.text for r in out)
     assert [r.ids for r in out if r.text is None] == [None, None] and [r.ids for r in out if r.text == ""] == [[]]
     assert T.with_piece_ids(docs.limit(0)).collect() == []
