@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import ENUM_COLUMNS, ENUMS
+from ..schemas import ENUMS
 
 VIOLATION_COLS = ["rule", "table", "key", "column", "value"]
 
@@ -65,44 +65,6 @@ def polymorphic_orphans(comments: DataFrame, parents: dict[str, tuple[DataFrame,
     return union_all(parts)
 
 
-# ---------------------------------------------------------------- C4 / C5 / C6 / C7
-def not_null(df: DataFrame, table: str, cols: Sequence[str], key: str = "id") -> DataFrame:
-    parts = [_v(df.where(F.col(c).isNull()), "not_null", table, key, c, F.lit(None)) for c in cols if c in df.columns]
-    return union_all(parts)
-
-
-def enum_domain(df: DataFrame, table: str, column: str, domain: Sequence[str] | None = None,
-                key: str = "id") -> DataFrame:
-    """Non-null values outside the declared domain."""
-    dom = domain if domain is not None else ENUMS[ENUM_COLUMNS[(table, column)]]
-    return _v(df.where(F.col(column).isNotNull() & ~F.col(column).isin(list(dom))), "enum", table, key, column,
-              F.col(column))
-
-
-def value_range(df: DataFrame, table: str, column: str, low=None, high=None, key: str = "id",
-                low_exclusive: bool = False) -> DataFrame:
-    """Values below ``low`` / above ``high`` (``low_exclusive`` for ``> low``)."""
-    c = F.col(column)
-    bad = F.lit(False)
-    if low is not None:
-        bad = bad | ((c <= F.lit(low)) if low_exclusive else (c < F.lit(low)))
-    if high is not None:
-        bad = bad | (c > F.lit(high))
-    return _v(df.where(c.isNotNull() & bad), "range", table, key, column, c)
-
-
-def text_length(df: DataFrame, table: str, column: str, min_len: int | None = None, max_len: int | None = None,
-                key: str = "id") -> DataFrame:
-    """Text shorter than ``min_len`` or longer than ``max_len`` characters."""
-    n = F.length(F.col(column))
-    bad = F.lit(False)
-    if min_len is not None:
-        bad = bad | (n < min_len)
-    if max_len is not None:
-        bad = bad | (n > max_len)
-    return _v(df.where(F.col(column).isNotNull() & bad), "length", table, key, column, F.col(column))
-
-
 # ---------------------------------------------------------------- C8 / C13
 def stock_cover(cart_items: DataFrame, products: DataFrame) -> DataFrame:
     """Cart lines asking for more than the product's stock."""
@@ -180,6 +142,33 @@ def range_rule(column: str, low=None, high=None, low_exclusive: bool = False) ->
     return Rule("range", column, c.isNotNull() & bad)
 
 
+def not_null_rule(column: str) -> Rule:
+    """C4."""
+    return Rule("not_null", column, F.col(column).isNull())
+
+
+def enum_rule(column: str, domain: Sequence[str]) -> Rule:
+    """Non-null values outside the declared domain."""
+    return Rule("enum", column, F.col(column).isNotNull() & ~F.col(column).isin(list(domain)))
+
+
+def domain_rules(table: str) -> list[Rule]:
+    """The declared domains of a stored table, to be run in one pass by ``validate``."""
+    enums = {"users": {"role": "user_role"}, "sellers": {"status": "seller_status"},
+             "products": {"status": "product_status"}, "shop_orders": {"status": "order_status"},
+             "comments": {"status": "comment_status", "parent_type": "comment_parent_type"}}
+    rules = [not_null_rule(c) for c in {"users": ["first_name", "last_name", "email", "phone_number", "role"]}.get(table, [])]
+    rules += [enum_rule(c, ENUMS[e]) for c, e in enums.get(table, {}).items()]
+    return rules + {
+        "comments": [range_rule("rating", 1, 5), length_rule("content", 2, 1000)],
+        "products": [range_rule("price", 0, None, low_exclusive=True), range_rule("stock", 0, None)],
+        "cart_items": [range_rule("quantity", 1, None)],
+        "order_items": [range_rule("quantity", 1, None), range_rule("price_at_time", 0, None, low_exclusive=True)],
+        "sellers": [length_rule("shop_name", 3, 255)], "blogs": [length_rule("title", 3, 255)],
+        "categories": [length_rule("en_name", 3, 255)],
+    }.get(table, [])
+
+
 def array_size_rule(column: str, min_size: int | None = None, max_size: int | None = None) -> Rule:
     n = F.size(F.col(column))
     bad = F.lit(False)

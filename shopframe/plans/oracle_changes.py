@@ -552,7 +552,8 @@ _FK = [("sellers", "user_id", "users", True), ("products", "seller_id", "sellers
        ("product_categories", "category_id", "categories", False), ("addresses", "user_id", "users", True),
        ("shop_orders", "user_id", "users", True), ("shop_orders", "address_id", "addresses", True),
        ("order_items", "order_id", "shop_orders", False), ("order_items", "product_id", "products", False),
-       ("refresh_tokens", "user_id", "users", True)]
+       ("refresh_tokens", "user_id", "users", True), ("staged_comments", "user_id", "users", True),
+       ("staged_lines", "product_id", "products", False)]
 _FK_SQL = "\nUNION ALL ".join(
     f"""SELECT 'foreign_key' AS rule, '{c}' AS "table", CAST({'id' if has_id else fk} AS VARCHAR) AS key,
   '{fk}' AS "column", CAST({fk} AS VARCHAR) AS value FROM {c} x
@@ -560,45 +561,55 @@ _FK_SQL = "\nUNION ALL ".join(
     for c, fk, p, has_id in _FK)
 sql("audit_orphans", W(" ".join(sorted({t for c, _, p, _ in _FK for t in (c, p)}))) + _FK_SQL)
 
-sql("audit_polymorphic", W("comments products blogs") + """
-SELECT 'parent_exists' AS rule, 'comments' AS "table", CAST(id AS VARCHAR) AS key, 'parent_type:blog' AS "column",
-  CAST(parent_id AS VARCHAR) AS value FROM comments c
-  WHERE parent_type = 'blog' AND NOT EXISTS (SELECT 1 FROM blogs b WHERE b.id = c.parent_id)
-UNION ALL SELECT 'parent_exists', 'comments', CAST(id AS VARCHAR), 'parent_type:product', CAST(parent_id AS VARCHAR)
-  FROM comments c WHERE parent_type = 'product' AND NOT EXISTS (SELECT 1 FROM products p WHERE p.id = c.parent_id)""")
+sql("audit_polymorphic", W("comments staged_comments products blogs", """every AS (
+  SELECT id, parent_type, parent_id FROM comments UNION ALL SELECT id, parent_type, parent_id FROM staged_comments)""",
+  """there AS (SELECT 'product' AS kind, id AS there_id FROM products UNION ALL SELECT 'blog', id FROM blogs)""") + """
+SELECT 'parent_exists' AS rule, 'comments' AS "table", CAST(id AS VARCHAR) AS key,
+  'parent_type:' || parent_type AS "column", CAST(parent_id AS VARCHAR) AS value
+FROM every LEFT JOIN there ON kind = parent_type AND there_id = parent_id
+WHERE parent_type IN ('product', 'blog') AND there_id IS NULL""")
 
 _DOM = []
-for col in ["first_name", "last_name", "email", "phone_number", "role"]:
-    _DOM.append(f"""SELECT 'not_null' AS rule, 'users' AS "table", CAST(id AS VARCHAR) AS key, '{col}' AS "column",
-  CAST(NULL AS VARCHAR) AS value FROM users WHERE {col} IS NULL""")
+for t in ["users", "staged_users"]:
+    for col in ["first_name", "last_name", "email", "phone_number", "role"]:
+        _DOM.append(f"""SELECT 'not_null' AS rule, '{t}' AS "table", CAST(id AS VARCHAR) AS key, '{col}' AS "column",
+  CAST(NULL AS VARCHAR) AS value FROM {t} WHERE {col} IS NULL""")
 for t, col, dom in [("users", "role", "'admin','seller','customer'"), ("sellers", "status", "'active','pending','suspended'"),
                     ("products", "status", "'active','inactive','out_of_stock'"),
                     ("comments", "status", "'pending','approved','rejected'"),
                     ("comments", "parent_type", "'blog','product'"),
+                    ("staged_users", "role", "'admin','seller','customer'"),
+                    ("staged_comments", "status", "'pending','approved','rejected'"),
+                    ("staged_comments", "parent_type", "'blog','product'"),
                     ("shop_orders", "status", "'pending','processing','shipped','delivered','cancelled'")]:
     _DOM.append(f"SELECT 'enum', '{t}', CAST(id AS VARCHAR), '{col}', {col} FROM {t} "
                 f"WHERE {col} IS NOT NULL AND {col} NOT IN ({dom})")
 for t, col, cond, key in [("comments", "rating", "rating < 1 OR rating > 5", "id"),
+                          ("staged_comments", "rating", "rating < 1 OR rating > 5", "id"),
                           ("products", "price", "price <= 0", "id"), ("products", "stock", "stock < 0", "id"),
+                          ("staged_lines", "quantity", "quantity < 1", "order_id"),
+                          ("staged_lines", "price_at_time", "price_at_time <= 0", "order_id"),
                           ("cart_items", "quantity", "quantity < 1", "cart_id")]:
     _DOM.append(f"SELECT 'range', '{t}', CAST({key} AS VARCHAR), '{col}', CAST({col} AS VARCHAR) FROM {t} "
                 f"WHERE {col} IS NOT NULL AND ({cond})")
 for t, col, lo, hi in [("sellers", "shop_name", 3, 255), ("blogs", "title", 3, 255), ("categories", "en_name", 3, 255),
-                       ("comments", "content", 2, 1000)]:
+                       ("comments", "content", 2, 1000), ("staged_comments", "content", 2, 1000)]:
     _DOM.append(f"SELECT 'length', '{t}', CAST(id AS VARCHAR), '{col}', {col} FROM {t} "
                 f"WHERE {col} IS NOT NULL AND (length({col}) < {lo} OR length({col}) > {hi})")
-sql("audit_domains", W("users sellers products comments shop_orders cart_items blogs categories") +
-    "\nUNION ALL ".join(_DOM))
+sql("audit_domains", W("users sellers products comments shop_orders cart_items blogs categories staged_users "
+                        "staged_comments staged_lines") + "\nUNION ALL ".join(_DOM))
 
 sql("audit_stock", W("cart_items products") + """
 SELECT 'stock' AS rule, 'cart_items' AS "table", CAST(ci.cart_id AS VARCHAR) || '|' || CAST(ci.product_id AS VARCHAR) AS key,
   'quantity' AS "column", CAST(ci.quantity AS VARCHAR) || '>' || CAST(p.stock AS VARCHAR) AS value
 FROM cart_items ci JOIN products p ON ci.product_id = p.id WHERE p.stock < ci.quantity""")
 
-sql("audit_flags", W("product_images addresses address_requests", *_CHOSEN) + """
+sql("audit_flags", W("product_images staged_images addresses address_requests", *_CHOSEN) + """
 SELECT 'one_flag' AS rule, 'product_images' AS "table", CAST(product_id AS VARCHAR) AS key, 'is_main' AS "column",
   CAST(n AS VARCHAR) AS value
 FROM (SELECT product_id, SUM(CAST(is_main AS INT)) n FROM product_images GROUP BY product_id) WHERE n > 1
+UNION ALL SELECT 'one_flag', 'staged_images', CAST(product_id AS VARCHAR), 'is_main', CAST(n AS VARCHAR)
+FROM (SELECT product_id, SUM(CAST(is_main AS INT)) n FROM staged_images GROUP BY product_id) WHERE n > 1
 UNION ALL SELECT 'one_flag', 'addresses', CAST(user_id AS VARCHAR), 'is_default', CAST(n AS VARCHAR)
 FROM (SELECT user_id, SUM(CAST(is_default AS INT)) n FROM addresses GROUP BY user_id) WHERE n > 1
 UNION ALL SELECT 'one_flag', 'addresses_after_requests', CAST(user_id AS VARCHAR), 'is_default', CAST(n AS VARCHAR)

@@ -655,32 +655,31 @@ def q_audit_orphans(spark, sf_dir):
     for child, col, parent, _ in DERIVED_FKS:
         if child in DERIVED_TABLES and parent in DERIVED_TABLES and col in t[child].columns:
             parts.append(C.orphans(t[child], child, col, t[parent]))
+    parts += [C.orphans(t["staged_comments"], "staged_comments", "user_id", t["users"]),
+              C.orphans(t["staged_lines"], "staged_lines", "product_id", t["products"])]
     return C.union_all(parts)
 
 
 @register("audit_polymorphic")
 def q_audit_polymorphic(spark, sf_dir):
     t = tables(spark, sf_dir)
-    return C.polymorphic_orphans(t["comments"], {"product": (t["products"], "id"), "blog": (t["blogs"], "id")})
+    parents = {"product": (t["products"], "id"), "blog": (t["blogs"], "id")}
+    return C.polymorphic_orphans(t["comments"].select("id", "parent_type", "parent_id").unionByName(
+        t["staged_comments"].select("id", "parent_type", "parent_id")), parents)
+
+
+AUDITED = {"users": "users", "sellers": "sellers", "products": "products", "comments": "comments", "blogs": "blogs",
+           "shop_orders": "shop_orders", "cart_items": "cart_items", "categories": "categories",
+           "staged_users": "users", "staged_comments": "comments", "staged_lines": "order_items"}
 
 
 @register("audit_domains")
 def q_audit_domains(spark, sf_dir):
+    """All domain rules of each table in one pass over it."""
     t = tables(spark, sf_dir)
-    return C.union_all([
-        C.not_null(t["users"], "users", ["first_name", "last_name", "email", "phone_number", "role"]),
-        C.enum_domain(t["users"], "users", "role"), C.enum_domain(t["sellers"], "sellers", "status"),
-        C.enum_domain(t["products"], "products", "status"), C.enum_domain(t["comments"], "comments", "status"),
-        C.enum_domain(t["comments"], "comments", "parent_type"),
-        C.enum_domain(t["shop_orders"], "shop_orders", "status", domain=ENUMS["order_status"]),
-        C.value_range(t["comments"], "comments", "rating", 1, 5),
-        C.value_range(t["products"], "products", "price", 0, None, low_exclusive=True),
-        C.value_range(t["products"], "products", "stock", 0, None),
-        C.value_range(t["cart_items"], "cart_items", "quantity", 1, None, key="cart_id"),
-        C.text_length(t["sellers"], "sellers", "shop_name", 3, 255),
-        C.text_length(t["blogs"], "blogs", "title", 3, 255),
-        C.text_length(t["categories"], "categories", "en_name", 3, 255),
-        C.text_length(t["comments"], "comments", "content", 2, 1000)])
+    keys = {"cart_items": "cart_id", "staged_lines": "order_id"}
+    return C.union_all([C.validate(t[name], C.domain_rules(kind), keys.get(name, "id"), name)[1]
+                        for name, kind in AUDITED.items()])
 
 
 @register("audit_stock")
@@ -693,6 +692,7 @@ def q_audit_stock(spark, sf_dir):
 def q_audit_flags(spark, sf_dir):
     t = tables(spark, sf_dir)
     return C.union_all([C.at_most_one_flag(t["product_images"], "product_images", "product_id", "is_main"),
+                        C.at_most_one_flag(t["staged_images"], "staged_images", "product_id", "is_main"),
                         C.at_most_one_flag(t["addresses"], "addresses", "user_id", "is_default"),
                         C.at_most_one_flag(Wn.apply_exclusive_flag(t["addresses"], t["address_requests"]),
                                            "addresses_after_requests", "user_id", "is_default")])

@@ -96,7 +96,7 @@ SELECT event_id AS id, user_id,
        ts AS created_at
 FROM {events}""",
     "blogs": """
-SELECT doc_id AS id, doc_id % (SELECT COUNT(*) FROM {customer}) AS author_id, substr(text, 1, 40) AS title,
+SELECT doc_id AS id, doc_id % (SELECT COUNT(*) FROM {customer}) AS author_id, split_part(text, chr(10), 1) AS title,
        text AS content, lang AS category, n_chars AS views,
        DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS created_at
 FROM {documents}""",
@@ -261,10 +261,31 @@ FROM {events} e LEFT JOIN {users} u ON u.id = e.user_id WHERE e.event_type = 'er
 SELECT c.user_id + CASE WHEN ci.product_id % 3 = 0 THEN 1 ELSE 0 END AS user_id, ci.cart_id, ci.product_id
 FROM {cart_items} ci JOIN {carts} c ON ci.cart_id = c.id WHERE ci.quantity > 25""",
     "new_blogs": """
-SELECT doc_id % 1000 AS author_id, substr(text, 1, CAST(n_chars % 9 AS INT)) AS title, text AS content,
-       CASE WHEN lang = 'en' THEN upper(substr(text, 1, 12)) END AS en_title,
+SELECT doc_id % 1000 AS author_id, split_part(text, chr(10), 1) AS title, text AS content,
+       CASE WHEN lang = 'en' THEN upper(split_part(text, chr(10), 1)) END AS en_title,
        TIMESTAMP '2024-01-20 00:00:00' AS change_ts, doc_id AS seq
-FROM {documents} WHERE source IN ('src1', 'src2')""",
+FROM {documents}""",
+    # rows as they come from outside, with faults of every kind, for the audits
+    "staged_users": """
+SELECT c_custkey AS id, NULLIF(c_mktsegment, 'BUILDING') AS first_name, c_name AS last_name,
+       CASE WHEN c_acctbal < 0 THEN NULL ELSE lower(c_name) END AS email, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE '09' || CAST(c_custkey AS STRING) END AS phone_number,
+       CASE WHEN c_nationkey = 3 THEN 'owner' WHEN c_nationkey = 4 THEN NULL ELSE 'customer' END AS role
+FROM {customer}""",
+    "staged_comments": """
+SELECT event_id AS id, CASE WHEN event_type = 'error' THEN user_id + 1000000000 ELSE user_id END AS user_id,
+       CASE event_id % 5 WHEN 0 THEN 'page' WHEN 1 THEN 'blog' ELSE 'product' END AS parent_type,
+       event_id % (2 * (SELECT COUNT(*) FROM {part})) AS parent_id,
+       substr(props, 1, CAST(event_id % 4 AS INT)) AS content, CAST(event_id % 8 AS INT) AS rating,
+       CASE WHEN event_type = 'view' THEN 'approved' ELSE event_type END AS status
+FROM {events}""",
+    "staged_lines": """
+SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey * 2 AS product_id,
+       CAST(l_quantity AS INT) - 3 AS quantity,
+       CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS price_at_time
+FROM {lineitem}""",
+    "staged_images": """
+SELECT page_id AS id, CAST(FLOOR(page_id / 4) AS BIGINT) AS product_id, url AS image_url, page_id % 3 <> 0 AS is_main
+FROM {pages}""",
 }
 DERIVED_SQL.update(CHANGE_SQL)
 
