@@ -363,6 +363,27 @@ SELECT {_key('comment', 'user_id', 'epoch_us(change_ts)', 'seq')} AS id, user_id
   rating, CASE WHEN user_id IN (SELECT id FROM users WHERE role = 'admin') THEN 'approved' ELSE 'pending' END AS status, change_ts AS created_at FROM j WHERE reason IS NULL""")
 sql("comment_create_rejected", W("comments products blogs new_comments", *_COM) + "SELECT * FROM j WHERE reason IS NOT NULL")
 
+sql("category_update", W("categories category_changes") + """
+SELECT categories.* REPLACE (coalesce(category_changes.fa_name, categories.fa_name) AS fa_name,
+  coalesce(category_changes.en_name, categories.en_name) AS en_name)
+FROM categories LEFT JOIN category_changes ON category_changes.id = categories.id""")
+sql("category_update_rejected", W("categories category_changes") +
+    "SELECT *, 'not found' AS reason FROM category_changes WHERE id NOT IN (SELECT id FROM categories)")
+_OWN_ADDRESS = """mine AS (SELECT wish.id FROM address_deletions AS wish
+  INNER JOIN addresses ON addresses.id = wish.id AND addresses.user_id = wish.requester_id)"""
+sql("address_delete", W("addresses address_deletions", _OWN_ADDRESS) +
+    "SELECT * FROM addresses WHERE id NOT IN (SELECT id FROM mine)")
+sql("address_delete_rejected", W("addresses address_deletions", _OWN_ADDRESS) +
+    "SELECT * FROM address_deletions WHERE id NOT IN (SELECT id FROM mine)")
+sql("cart_quantity_touched", W(_QU_T, *_QU) + f"""
+SELECT carts.id, carts.user_id, CASE WHEN carts.id IN (SELECT cart_id FROM last) THEN {TS} END AS updated_at FROM carts""")
+sql("moderate_comments_rejected", W("comments staged_comments") + """
+SELECT staged_comments.id * 2 AS comment_id, staged_comments.status, staged_comments.id AS seq,
+  CASE WHEN staged_comments.status NOT IN ('pending', 'approved', 'rejected') THEN 'invalid status'
+       ELSE 'comment not found' END AS reason
+FROM staged_comments LEFT JOIN comments ON comments.id = staged_comments.id * 2
+WHERE staged_comments.status NOT IN ('pending', 'approved', 'rejected') OR comments.id IS NULL""")
+
 sql("address_create", W("addresses new_addresses", f"""ins AS (SELECT {_key('address', 'user_id', 'epoch_us(change_ts)', 'seq')} AS id, user_id,
   address, city, province, postal_code, is_default, CAST(change_ts AS DATE) AS created_at, change_ts, seq
   FROM new_addresses)""",

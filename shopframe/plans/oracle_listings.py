@@ -98,11 +98,20 @@ _SP_WHERE = (f"{_ACTIVE} AND price BETWEEN 92000 AND 97000.5 "
              "AND (name ILIKE '%ring%' OR description ILIKE '%ring%')")
 sql("seller_products_filtered", _seller_products(_SP_WHERE, _STATUS_RANK.format(c="status") + " ASC NULLS LAST",
                                                  1, 11))
-sql("seller_products_count", W("products") + """
-SELECT seller_id, CAST(COUNT(*) AS BIGINT) AS total, CAST(CEIL(COUNT(*) / 10.0) AS BIGINT) AS total_pages,
-  CAST(10 AS BIGINT) AS "limit", CAST(1 AS BIGINT) AS "offset"
-FROM products p WHERE p.seller_id IS NOT NULL AND p.status = 'active'
-  AND (p.name ILIKE '%ring%' OR p.description ILIKE '%ring%') GROUP BY seller_id""")
+
+
+def _seller_totals(condition: str, limit: int, offset: int) -> str:
+    return W("products product_categories sellers", f"""matches AS (
+  SELECT seller_id AS shop, count(*) AS n FROM products WHERE {condition} GROUP BY seller_id)""") + f"""
+SELECT sellers.id AS seller_id, coalesce(n, 0) AS total, CAST(ceil(coalesce(n, 0) / {limit}.0) AS BIGINT) AS total_pages,
+  CAST({limit} AS BIGINT) AS "limit", CAST({offset} AS BIGINT) AS "offset"
+FROM sellers LEFT JOIN matches ON matches.shop = sellers.id"""
+
+
+sql("seller_products_count", _seller_totals(
+    f"{_ACTIVE} AND (name ILIKE '%ring%' OR description ILIKE '%ring%')", 10, 1))
+sql("seller_products_count_filtered", _seller_totals(f"""{_ACTIVE} AND price BETWEEN 92000 AND 97000.5
+  AND id IN (SELECT product_id FROM product_categories WHERE category_id = 'Brand#4')""", 5, 0))
 
 # ---------------------------------------------------------------- Q12 / Q13 / Q17
 _SO_T = "shop_orders users addresses order_items products"
@@ -184,6 +193,24 @@ sql("blog_listing", _blogs(page=f"ORDER BY {_NEWEST}, id LIMIT 10"))
 sql("blog_listing_by_views", _blogs("category = 'en'", "ORDER BY views DESC NULLS FIRST, id LIMIT 10 OFFSET 10"))
 sql("blog_listing_all", _blogs())
 
+sql("blog_count", W("blogs") + _page_info("FROM blogs WHERE category = 'en'", 10, 10))
+sql("blog_lookup", W("blogs comments", """asked AS (
+  SELECT parent_id AS id FROM comments WHERE parent_type = 'blog'
+  UNION SELECT parent_id * 2 FROM comments WHERE parent_type = 'blog')""") + """
+SELECT asked.id, blogs.id IS NOT NULL AS found, title, category, views, author_id
+FROM asked LEFT JOIN blogs ON blogs.id = asked.id""")
+sql("blog_update", W("blogs blog_changes") + """
+SELECT blogs.* REPLACE (coalesce(blog_changes.title, blogs.title) AS title,
+  coalesce(blog_changes.content, blogs.content) AS content)
+FROM blogs LEFT JOIN blog_changes ON blog_changes.id = blogs.id""")
+sql("blog_update_rejected", W("blogs blog_changes") +
+    "SELECT *, 'blog not found' AS reason FROM blog_changes WHERE id NOT IN (SELECT id FROM blogs)")
+_GONE = "gone AS (SELECT id FROM blog_changes WHERE title IS NULL)"
+sql("blog_delete", W("blogs blog_changes", _GONE) + "SELECT * FROM blogs WHERE id NOT IN (SELECT id FROM gone)")
+sql("blog_delete_tags", W("blog_tags blog_changes", _GONE) +
+    "SELECT * FROM blog_tags WHERE blog_id NOT IN (SELECT id FROM gone)")
+sql("blog_delete_unknown", W("blogs blog_changes", _GONE) + "SELECT id FROM gone WHERE id NOT IN (SELECT id FROM blogs)")
+
 # ---------------------------------------------------------------- Q28 / Q29
 _MOD_T = "comments users products blogs"
 _MOD_JOINED = """remarks AS (
@@ -219,6 +246,10 @@ FROM numbered LEFT JOIN users AS writer ON writer.id = numbered.user_id WHERE ra
 
 
 sql("public_comments", _public("status = 'approved'", 0, 10))
+sql("public_comments_count", W("comments") + """
+SELECT parent_type, parent_id, count(*) AS total, CAST(ceil(count(*) / 3.0) AS BIGINT) AS total_pages,
+  CAST(3 AS BIGINT) AS "limit", CAST(0 AS BIGINT) AS "offset"
+FROM comments WHERE status = 'approved' GROUP BY parent_type, parent_id""")
 sql("public_comments_admin", _public("status = 'rejected'", 1, 4))
 
 # ---------------------------------------------------------------- Q31 / Q33 / Q35

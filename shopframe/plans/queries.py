@@ -144,7 +144,13 @@ def q_seller_products_filtered(spark, sf_dir):
 
 @register("seller_products_count")
 def q_seller_products_count(spark, sf_dir):
-    return R.seller_products_count(tables(spark, sf_dir), status="active", search="ring", limit="abc", offset=1)
+    return R.seller_products_count(tables(spark, sf_dir), status="active", search="ring", limit="abc", offset="1")
+
+
+@register("seller_products_count_filtered")
+def q_seller_products_count_filtered(spark, sf_dir):
+    return R.seller_products_count(tables(spark, sf_dir), status="active", category="Brand#4", min_price="92000",
+                                   max_price="97000.5x", limit="5", offset="0")
 
 
 # ---------------------------------------------------------------- Q12 / Q13 / Q17
@@ -206,6 +212,54 @@ def q_blog_listing_all(spark, sf_dir):
     return _flat(R.blog_listing(tables(spark, sf_dir), per_page=False), {"tags": "text"})
 
 
+@register("blog_count")
+def q_blog_count(spark, sf_dir):
+    return R.blog_count(tables(spark, sf_dir), category="en", limit=10, offset=10)
+
+
+@register("blog_lookup")
+def q_blog_lookup(spark, sf_dir):
+    """Every id that a blog comment names, and twice that (half of those do not exist)."""
+    t = tables(spark, sf_dir)
+    named = t["comments"].where(F.col("parent_type") == "blog").select(F.explode(F.array(
+        F.col("parent_id"), F.col("parent_id") * 2)).alias("id"))
+    return R.blog_details(t, named).select("id", "found", "title", "category", "views", "author_id")
+
+
+@register("blog_update")
+def q_blog_update(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.update_blogs(t, t["blog_changes"])["blogs"]
+
+
+@register("blog_update_rejected")
+def q_blog_update_rejected(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return R.update_blogs(t, t["blog_changes"])["rejected"]
+
+
+def _blog_delete(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    keys = t["blog_changes"].where(F.col("title").isNull()).select("id")
+    fks = [("blog_tags", "blog_id", "blogs", "cascade")]
+    return R.delete_blogs(t, keys, fks, ["blogs", "blog_tags"])
+
+
+@register("blog_delete")
+def q_blog_delete(spark, sf_dir):
+    return _blog_delete(spark, sf_dir)["blogs"]
+
+
+@register("blog_delete_tags")
+def q_blog_delete_tags(spark, sf_dir):
+    return _blog_delete(spark, sf_dir)["blog_tags"]
+
+
+@register("blog_delete_unknown")
+def q_blog_delete_unknown(spark, sf_dir):
+    return _blog_delete(spark, sf_dir)["__unknown"]
+
+
 # ---------------------------------------------------------------- Q28 / Q29
 _MOD_NEST = {"user": "struct:id,first_name,last_name,email", "parent_item": "struct:id,name,title"}
 
@@ -231,6 +285,11 @@ def q_public_comments(spark, sf_dir):
     return R.public_comments(tables(spark, sf_dir), limit=10, offset=0)
 
 
+@register("public_comments_count")
+def q_public_comments_count(spark, sf_dir):
+    return R.public_comments_count(tables(spark, sf_dir), limit=3, offset=0)
+
+
 @register("public_comments_admin")
 def q_public_comments_admin(spark, sf_dir):
     return R.public_comments(tables(spark, sf_dir), viewer_role="admin", status="rejected", limit=3, offset=1)

@@ -435,6 +435,55 @@ def q_category_create_rejected(spark, sf_dir):
     return _category_create(spark, sf_dir)["rejected"]
 
 
+def _category_update(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return M.rename_unique(t["categories"], t["category_changes"], "id", ["fa_name", "en_name"])
+
+
+@register("category_update")
+def q_category_update(spark, sf_dir):
+    return _category_update(spark, sf_dir)["base"]
+
+
+@register("category_update_rejected")
+def q_category_update_rejected(spark, sf_dir):
+    return _category_update(spark, sf_dir)["rejected"]
+
+
+def _address_delete(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    owners = t["addresses"].select("id", F.col("user_id").alias("owner_id"))
+    return M.owned_delete(t["addresses"], t["address_deletions"], owners)
+
+
+@register("address_delete")
+def q_address_delete(spark, sf_dir):
+    return _address_delete(spark, sf_dir)["base"]
+
+
+@register("address_delete_rejected")
+def q_address_delete_rejected(spark, sf_dir):
+    return _address_delete(spark, sf_dir)["rejected"]
+
+
+@register("cart_quantity_touched")
+def q_cart_quantity_touched(spark, sf_dir):
+    """M5 + M15: the carts that quantity changes touch."""
+    t = tables(spark, sf_dir)
+    carts = t["carts"].withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return M.update_cart_quantity(carts, t["cart_items"], t["products"], t["cart_quantity_changes"],
+                                  as_of=AS_OF)["carts"]
+
+
+@register("moderate_comments_rejected")
+def q_moderate_comments_rejected(spark, sf_dir):
+    """Changes refused for an unknown status or comment, over the staged comments' states."""
+    t = tables(spark, sf_dir)
+    asked = t["staged_comments"].select((F.col("id") * 2).alias("comment_id"), "status",
+                                        F.lit(AS_OF).cast("timestamp").alias("change_ts"), F.col("id").alias("seq"))
+    return M.moderate_comments(t["comments"], asked)["rejected"].drop("change_ts")
+
+
 def _comment_create(spark, sf_dir):
     t = tables(spark, sf_dir)
     return M.create_comments(t["comments"], t["new_comments"], {"product": t["products"], "blog": t["blogs"]}, t["users"])

@@ -233,16 +233,7 @@ def seller_products(t: Tables, status=None, category=None, min_price=None, max_p
     and the product's order-line count (J9)."""
     limit = P.parse_int(limit, 10)
     offset = P.parse_int(offset, 0, zero_falls_back=False)
-    lo = None if min_price in (None, "") else P.parse_float(min_price, 0)
-    hi = None if max_price in (None, "") else P.parse_float(max_price, 0)
-    p = t["products"].where(F.col("seller_id").isNotNull())
-    if seller_ids is not None:
-        p = p.join(seller_ids.select(F.col("seller_id").alias("__s")), F.col("seller_id") == F.col("__s"), "left_semi")
-    p = P.where_all(p, [P.eq_if("status", status), P.between_if("price", lo, hi),
-                        P.search(search, ["name", "description"])])
-    if category:
-        b = t["product_categories"].where(F.col("category_id") == F.lit(category)).select(F.col("product_id").alias("__pid"))
-        p = p.join(b, p["id"] == b["__pid"], "left_semi")
+    p = _seller_product_filter(t, status, category, min_price, max_price, search, seller_ids)
     spec = order_spec(sort_by, order, SELLER_PRODUCT_SORT, enums={"status": ENUMS["product_status"]})
     paged = page_per_key(p, "seller_id", spec, limit, offset)
     cols = present(paged, ["id", ("name", "title"), "description", "price", "stock", "status", "created_at",
@@ -255,14 +246,36 @@ def seller_products(t: Tables, status=None, category=None, min_price=None, max_p
     return rows.withColumn("description", preview("description"))
 
 
-def seller_products_count(t: Tables, status=None, search=None, limit=10, offset=0) -> DataFrame:
-    """Per-seller pagination block for ``seller_products``."""
-    p = P.where_all(t["products"].where(F.col("seller_id").isNotNull()),
-                    [P.eq_if("status", status), P.search(search, ["name", "description"])])
+def _seller_product_filter(t: Tables, status, category, min_price, max_price, search,
+                           seller_ids: DataFrame | None) -> DataFrame:
+    lo = None if min_price in (None, "") else P.parse_float(min_price, 0)
+    hi = None if max_price in (None, "") else P.parse_float(max_price, 0)
+    p = t["products"].where(F.col("seller_id").isNotNull())
+    if seller_ids is not None:
+        p = p.join(seller_ids.select(F.col("seller_id").alias("__s")), F.col("seller_id") == F.col("__s"), "left_semi")
+    p = P.where_all(p, [P.eq_if("status", status), P.between_if("price", lo, hi),
+                        P.search(search, ["name", "description"])])
+    if category:
+        b = t["product_categories"].where(F.col("category_id") == F.lit(category)).select(F.col("product_id").alias("__pid"))
+        p = p.join(b, p["id"] == b["__pid"], "left_semi")
+    return p
+
+
+def seller_products_count(t: Tables, status=None, category=None, min_price=None, max_price=None, search=None,
+                          limit=10, offset=0, seller_ids: DataFrame | None = None) -> DataFrame:
+    """Pagination block of every (asked-for) seller with the filters of ``seller_products`` (A1, L5); a seller
+    without a match has the total 0."""
+    p = _seller_product_filter(t, status, category, min_price, max_price, search, seller_ids)
     limit = P.parse_int(limit, 10)
-    return (p.groupBy("seller_id").agg(F.count(F.lit(1)).alias("total"))
-             .select("seller_id", "total", F.ceil(F.col("total") / F.lit(limit)).cast("bigint").alias("total_pages"),
-                     F.lit(limit).cast("bigint").alias("limit"), F.lit(offset).cast("bigint").alias("offset")))
+    offset = P.parse_int(offset, 0, zero_falls_back=False)
+    sellers = t["sellers"].select(F.col("id").alias("seller_id"))
+    if seller_ids is not None:
+        sellers = sellers.join(seller_ids.select("seller_id").distinct(), "seller_id", "left_semi")
+    counts = p.groupBy(F.col("seller_id").alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.coalesce("__n", F.lit(0).cast("bigint"))
+    return sellers.join(counts, F.col("seller_id") == F.col("__k"), "left").select(
+        "seller_id", total.alias("total"), F.ceil(total / F.lit(limit)).cast("bigint").alias("total_pages"),
+        F.lit(limit).cast("bigint").alias("limit"), F.lit(offset).cast("bigint").alias("offset"))
 
 
 # ---------------------------------------------------------------- Q12 / Q17
@@ -396,6 +409,32 @@ def blog_listing(t: Tables, category=None, sort_by: str = "created_at", order: s
     return in_page_order(rows, spec, limit) if per_page else rows.orderBy(*spec)
 
 
+def blog_count(t: Tables, category=None, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """Q26 pagination block with the page's filter."""
+    return page_info(P.where_all(t["blogs"], [P.eq_if("category", category)]), limit, offset)
+
+
+def blog_details(t: Tables, keys: DataFrame, key_col: str = "id") -> DataFrame:
+    """Q27 for a batch of ids: the blogs' columns and whether each id exists."""
+    return lookup(t["blogs"], keys, "id", key_col, missing="flag")
+
+
+def update_blogs(t: Tables, changes: DataFrame, as_of=None) -> dict[str, DataFrame]:
+    """Q27 update ``(id, title, content, change_ts, seq)``: null keeps (M2), unknown ids are refused.
+    Returns {'blogs', 'rejected'}."""
+    known = t["blogs"].select(F.col("id").alias("__known"))
+    rejected = changes.join(known, changes["id"] == F.col("__known"), "left_anti")
+    return {"blogs": M.patch_coalesce(t["blogs"], changes, "id", ["title", "content"], as_of),
+            "rejected": rejected.withColumn("reason", F.lit("blog not found"))}
+
+
+def delete_blogs(t: Tables, keys: DataFrame, fks, tables_for_cascade: list[str]) -> dict[str, DataFrame]:
+    """Q27 delete: the blogs of the given ids and what hangs on them (M8); '__unknown' lists ids without a blog."""
+    out = M.cascade_delete({n: t[n] for n in tables_for_cascade}, "blogs", keys.select("id").distinct(), fks)
+    out["__unknown"] = keys.select("id").distinct().join(t["blogs"].select("id"), "id", "left_anti")
+    return out
+
+
 # ---------------------------------------------------------------- Q28 / Q29 comments
 MODERATION_SORT = ["created_at", "updated_at", "status"]
 
@@ -463,6 +502,15 @@ def public_comments(t: Tables, viewer_role: str | None = None, status: str | Non
     return paged.join(u, paged["user_id"] == u["__uid"], "left").withColumn("user_id", F.col("__uid")).drop("__uid")
 
 
+def public_comments_count(t: Tables, viewer_role: str | None = None, status: str | None = None,
+                          limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """Q29 pagination block of every parent that has visible comments."""
+    n = F.count(F.lit(1))
+    return (P.visible_comments(t["comments"], viewer_role, status).groupBy("parent_type", "parent_id")
+             .agg(n.alias("total"), F.ceil(n / F.lit(limit)).cast("bigint").alias("total_pages"))
+             .withColumns({"limit": F.lit(limit).cast("bigint"), "offset": F.lit(offset).cast("bigint")}))
+
+
 # ---------------------------------------------------------------- Q31 / Q33 / Q35 users
 def seller_of_user(sellers: DataFrame) -> DataFrame:
     """One seller struct per user (J10); several rows per user keep the smallest id."""

@@ -265,6 +265,19 @@ SELECT doc_id % 1000 AS author_id, split_part(text, chr(10), 1) AS title, text A
        CASE WHEN lang = 'en' THEN upper(split_part(text, chr(10), 1)) END AS en_title,
        TIMESTAMP '2024-01-20 00:00:00' AS change_ts, doc_id AS seq
 FROM {documents}""",
+    "blog_changes": """
+SELECT doc_id * 2 AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Title ' || CAST(doc_id AS STRING) END AS title,
+       CASE WHEN doc_id % 5 = 0 THEN source END AS content, TIMESTAMP '2024-01-20 00:00:00' AS change_ts, doc_id AS seq
+FROM {documents}""",
+    "category_changes": """
+SELECT id, CASE WHEN length(en_name) % 2 = 0 THEN 'new ' || fa_name END AS fa_name, 'New ' || en_name AS en_name,
+       TIMESTAMP '2024-01-20 00:00:00' AS change_ts, CAST(length(en_name) AS BIGINT) AS seq
+FROM {categories}
+UNION ALL SELECT 'none ' || en_name, fa_name, en_name, TIMESTAMP '2024-01-20 00:00:00', CAST(length(en_name) AS BIGINT)
+FROM {categories}""",
+    "address_deletions": """
+SELECT id, CASE WHEN id % 4 = 0 THEN user_id + 1 WHEN id % 4 = 1 THEN NULL ELSE user_id END AS requester_id
+FROM {addresses} WHERE NOT is_default""",
     # rows as they come from outside, with faults of every kind, for the audits
     "staged_users": """
 SELECT c_custkey AS id, NULLIF(c_mktsegment, 'BUILDING') AS first_name, c_name AS last_name,
