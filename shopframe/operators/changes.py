@@ -152,8 +152,16 @@ def patch_unique(base: DataFrame, changes: DataFrame, key: str, unique_cols: Seq
     """
     o = _order(order)
     ucols = list(unique_cols)
-    state = base.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in ucols])
-    known = state.select(F.col("__k").alias("__kn"))
+    named = [F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in ucols]]
+    touched = changes.select(F.col(key).alias("__kn")).distinct()
+    mine = base.join(touched, base[key] == F.col("__kn"), "left_semi").select(*named)
+    # besides the rows of the batch, only holders of a value that a change wants can matter
+    state = mine
+    for c in ucols:
+        wanted = changes.select(F.col(c).alias("__w")).where(F.col("__w").isNotNull()).distinct()
+        state = state.unionByName(base.join(wanted, base[c] == F.col("__w"), "left_semi").select(*named))
+    state = state.dropDuplicates(["__k"]).checkpoint()
+    known = mine.select(F.col("__k").alias("__kn"))
     pending = changes.withColumn("__o", o).select(*changes.columns, "__o")
     rejected = pending.join(known, pending[key] == F.col("__kn"), "left_anti").select(*changes.columns).withColumn(
         "reason", F.lit("not found"))
@@ -678,8 +686,17 @@ def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequ
     o = _order(order)
     names = list(name_cols)
     tcols = [f"__t_{c}" for c in names]
-    state = base.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in names])
-    known = state.select(F.col("__k").alias("__kn"))
+    named = [F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in names]]
+    touched_keys = changes.select(F.col(key).alias("__kn")).distinct()
+    mine = base.join(touched_keys, base[key] == F.col("__kn"), "left_semi").select(*named)
+    # besides the rows of the batch, only rows can matter whose name is made of values that changes name or rows have
+    holders_of = base
+    for c in names:
+        values = (changes.select(F.col(c).alias("__w")).unionByName(mine.select(F.col(f"__cur_{c}").alias("__w")))
+                  .where(F.col("__w").isNotNull()).distinct())
+        holders_of = holders_of.join(values, holders_of[c] == F.col("__w"), "left_semi")
+    state = mine.unionByName(holders_of.select(*named)).dropDuplicates(["__k"]).checkpoint()
+    known = mine.select(F.col("__k").alias("__kn"))
     pending = changes.withColumn("__o", o).select(*changes.columns, "__o")
     # a change for a row that does not exist updates nothing (the source answers "not found")
     rejected = pending.join(known, pending[key] == F.col("__kn"), "left_anti").select(*changes.columns).withColumn(
@@ -720,7 +737,7 @@ def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequ
                                (F.col("__o") == F.col("__d")) & (F.col(key) == F.col("__dk")), "left_anti").checkpoint()
     out = base.join(state, base[key] == F.col("__k"), "left")
     for c in names:
-        out = out.withColumn(c, F.col(f"__cur_{c}"))
+        out = out.withColumn(c, F.when(F.col("__k").isNotNull(), F.col(f"__cur_{c}")).otherwise(F.col(c)))
     out = out.drop("__k", *[f"__cur_{c}" for c in names])
     if decided is not None:
         touched = decided.distinct()

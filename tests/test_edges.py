@@ -419,7 +419,7 @@ def test_profile_patch_reuses_freed_email_and_resets_verification(spark):
 # ---------------------------------------------------------------- M17 serial equivalence
 def test_seller_promotion_equals_serial_order(spark):
     users = spark.createDataFrame([(1, "customer"), (2, "customer"), (3, "customer")], "id int, role string")
-    sellers = spark.createDataFrame([(9, 3, "Old", "active")], "id int, user_id int, shop_name string, status string")
+    sellers = spark.createDataFrame([(9, 3, "Old", "active")], "id long, user_id int, shop_name string, status string")
     reqs = spark.createDataFrame([(3, "S1", T0, 1), (1, "S1", T0, 2), (2, "S1", T0, 3), (2, "S2", T0, 4),
                                   (1, "S3", T0, 5), (4, "S4", T0, 6)],
                                  "user_id int, shop_name string, change_ts timestamp, seq int")
