@@ -216,7 +216,7 @@ def registration_rules() -> list[Rule]:
 
 
 def user_patch_rules() -> list[Rule]:
-    """Q32 profile patch (C7, C9): every field optional."""
+    """Q32 profile patch (C7, C9): every field optional; the landline may be empty."""
     return [length_rule("first_name", 2, 50), length_rule("last_name", 2, 50),
             pattern_rule("phone_number", MOBILE_PATTERN, "mobile"), pattern_rule("email", EMAIL_PATTERN, "email"),
             length_rule("home_address", None, 500),
@@ -228,10 +228,48 @@ def order_document_rules() -> list[Rule]:
     return [required_rule("address_id"), required_rule("payment_method"),
             allowed_rule("payment_method", PAYMENT_METHODS),
             required_rule("items"), array_size_rule("items", 1, None),
+            items_rule("items", "item_product", lambda x: x["product_id"].isNull()),
             items_rule("items", "item_quantity", lambda x: x["quantity"].isNull() | (x["quantity"] < 1)),
             items_rule("items", "item_price", lambda x: x["price"].isNull() | (x["price"] <= 0))]
 
 
+def payload_rules(kind: str, uuid_keys: bool = False) -> list[Rule]:
+    """Rules of a create or update payload (C7, C9, C10). An update may leave every field out; with ``uuid_keys`` the
+    ids it names must be UUIDs (they are bigints in the test tables)."""
+    def text(column, low, high, needed):
+        return [*([required_rule(column)] if needed else []), length_rule(column, low, high)]
+
+    def key(column, needed=True):
+        uuid = [pattern_rule(column, UUID_PATTERN, "uuid")] if uuid_keys else []
+        return [*([required_rule(column)] if needed else []), *uuid]
+
+    name, _, action = kind.partition("_")
+    new = action == "create"
+    # Limits of the source's payload rules.
+    if name == "address":
+        return [r for c, n in (("address", 500), ("city", 100), ("province", 100), ("postal_code", 20))
+                for r in text(c, None, n, new)]
+    if name == "category":
+        return [r for c in ("fa_name", "en_name") for r in text(c, 3, 255, new)]
+    if name == "seller":
+        return [*(key("user_id") if new else []), *text("shop_name", 3, 50 if new else 255, new)]
+    if name == "blog":
+        return [*text("title", 3, 255, new), *([required_rule("content")] if new else []),
+                *(key("author_id", False) if new else [])]
+    if name == "comment":
+        status = [required_rule("status"), allowed_rule("status", ENUMS["comment_status"])]
+        return status if not new else [*text("content", 2, 1000, True), required_rule("rating"), range_rule("rating", 1, 5)]
+    if name == "cart":
+        return [*(key("product_id") if new else []), required_rule("quantity"), range_rule("quantity", 1, None)]
+    if kind == "product_update":
+        return [length_rule("name", 1, None), range_rule("price", 0, None, low_exclusive=True),
+                array_size_rule("categories", 1, None), range_rule("stock", 0, None),
+                allowed_rule("status", ENUMS["product_status"]),
+                *([items_rule("categories", "uuid", lambda x: ~x.rlike(UUID_PATTERN))] if uuid_keys else []),
+                items_rule("features", "feature", lambda x: x["name"].isNull() | x["value"].isNull())]
+    raise ValueError(f"no payload rules for {kind}")
+
+
 def upload_rules() -> list[Rule]:
     """Q8 per-file rules (C12): payload rule on type and size, plus the
     transport filter (extension and type must name jpeg/jpg/png, 10 MB)."""

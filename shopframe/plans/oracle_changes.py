@@ -620,6 +620,41 @@ for t, col, lo, hi in [("sellers", "shop_name", 3, 255), ("blogs", "title", 3, 2
 sql("audit_domains", W("users sellers products comments shop_orders cart_items blogs categories staged_users "
                         "staged_comments staged_lines") + "\nUNION ALL ".join(_DOM))
 
+
+
+def _violation(rule: str, table: str, key: str, column: str, condition: str) -> str:
+    return (f"SELECT '{rule}' AS rule, '{table}' AS \"table\", CAST({key} AS VARCHAR) AS key, '{column}' AS \"column\", "
+            f"CAST({column} AS VARCHAR) AS value FROM {table} WHERE {condition}")
+
+
+_PAY = [_violation("range", "staged_comments", "id", "rating", "rating NOT BETWEEN 1 AND 5"),
+        _violation("required", "staged_comments", "id", "rating", "rating IS NULL"),
+        _violation("range", "staged_lines", "order_id", "quantity", "quantity < 1"),
+        _violation("required", "staged_lines", "order_id", "quantity", "quantity IS NULL"),
+        _violation("required", "staged_lines", "order_id", "product_id", "product_id IS NULL")]
+for t, key, columns in [("staged_comments", "id", {"content": (2, 1000)}), ("new_blogs", "seq", {"title": (3, 255)}),
+                        ("blog_changes", "seq", {"title": (3, 255)}),
+                        ("new_addresses", "seq", {"address": (0, 500), "city": (0, 100), "province": (0, 100),
+                                                  "postal_code": (0, 20)}),
+                        ("new_categories", "seq", {"fa_name": (3, 255), "en_name": (3, 255)}),
+                        ("category_changes", "seq", {"fa_name": (3, 255), "en_name": (3, 255)})]:
+    for col, (lo, hi) in columns.items():
+        _PAY.append(_violation("length", t, key, col, f"length({col}) NOT BETWEEN {lo} AND {hi}"))
+        if t not in ("blog_changes", "category_changes"):
+            _PAY.append(_violation("required", t, key, col, f"{col} IS NULL"))
+_PAY.append(_violation("required", "new_blogs", "seq", "content", "content IS NULL"))
+sql("validate_change_payloads", W("staged_comments new_blogs staged_lines new_addresses new_categories category_changes "
+                                  "blog_changes") + "\nUNION ALL ".join(_PAY))
+sql("validate_profile_patches", W("staged_users", """profile_patches AS (
+  SELECT id, first_name, last_name, email, phone_number, '021' || lpad(CAST(id AS VARCHAR), 7, '0') AS home_phone_number
+  FROM staged_users)""") + "\nUNION ALL ".join([
+    _violation("length", "profile_patches", "id", "first_name", "length(first_name) NOT BETWEEN 2 AND 50"),
+    _violation("length", "profile_patches", "id", "last_name", "length(last_name) NOT BETWEEN 2 AND 50"),
+    _violation("mobile", "profile_patches", "id", "phone_number", "NOT regexp_full_match(phone_number, '09[0-9]{9}')"),
+    _violation("email", "profile_patches", "id", "email", "NOT regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')"),
+    _violation("landline", "profile_patches", "id", "home_phone_number",
+               "NOT regexp_full_match(home_phone_number, '0[0-9]{10}') AND home_phone_number <> ''")]))
+
 sql("audit_stock", W("cart_items products") + """
 SELECT 'stock' AS rule, 'cart_items' AS "table", CAST(ci.cart_id AS VARCHAR) || '|' || CAST(ci.product_id AS VARCHAR) AS key,
   'quantity' AS "column", CAST(ci.quantity AS VARCHAR) || '>' || CAST(p.stock AS VARCHAR) AS value

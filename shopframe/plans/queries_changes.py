@@ -731,6 +731,30 @@ def q_audit_domains(spark, sf_dir):
                         for name, kind in AUDITED.items()])
 
 
+PAYLOADS = {"staged_comments": ("comment_create", "id"), "new_blogs": ("blog_create", "seq"),
+            "staged_lines": ("cart_create", "order_id"), "new_addresses": ("address_create", "seq"),
+            "new_categories": ("category_create", "seq"), "category_changes": ("category_update", "seq"),
+            "blog_changes": ("blog_update", "seq")}
+
+
+@register("validate_change_payloads")
+def q_validate_change_payloads(spark, sf_dir):
+    """The payload rules of comments, blogs, cart lines, addresses and categories, one pass over each."""
+    t = tables(spark, sf_dir)
+    return C.union_all([C.validate(t[name], C.payload_rules(kind), key, name)[1]
+                        for name, (kind, key) in PAYLOADS.items()])
+
+
+@register("validate_profile_patches")
+def q_validate_profile_patches(spark, sf_dir):
+    """Profile patches with phone numbers of addresses' postal codes as landlines."""
+    t = tables(spark, sf_dir)
+    patches = t["staged_users"].select("id", "first_name", "last_name", "email", "phone_number",
+                                       F.col("last_name").alias("home_address"),
+                                       F.concat(F.lit("021"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("home_phone_number"))
+    return C.validate(patches, C.user_patch_rules(), "id", "profile_patches")[1]
+
+
 @register("audit_stock")
 def q_audit_stock(spark, sf_dir):
     t = tables(spark, sf_dir)

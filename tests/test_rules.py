@@ -204,3 +204,22 @@ def test_order_totals_need_no_line_join(spark):
     df = spark.createDataFrame([(1, 7, doc), (2, 8, '{"items":[]}'), (3, 9, None)], "doc_id long, user_id long, document string")
     got = {r.doc_id: (r.user_id, str(r.total_amount)) for r in M.place_orders(df)["orders"].collect()}
     assert got == {1: (7, "3.00"), 2: (8, "0.00"), 3: (9, "0.00")}
+
+
+def test_payload_rules(spark):
+    from shopframe.operators import audit as C
+    uuid_ = "123e4567-e89b-12d3-a456-426614174000"
+    line = "id int, product_id string, quantity int"
+    rows = spark.createDataFrame([(1, uuid_, 2), (2, "5", 1), (3, None, 0)], line)
+    found = {(r.key, r.rule, r.column) for r in C.validate(rows, C.payload_rules("cart_create", True), "id")[1].collect()}
+    assert found == {("2", "uuid", "product_id"), ("3", "required", "product_id"), ("3", "range", "quantity")}
+    schema = ("id int, name string, price int, categories array<string>, stock int, status string, "
+              "features array<struct<name string, value string>>")
+    rows = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "", 0, [], -1, "odd", [("a", None)]),
+                                  (3, "n", 1, [uuid_], 0, "active", [("a", "b")]), (4, "n", 1, ["x"], 0, "active", [])], schema)
+    found = {(r.key, r.rule) for r in C.validate(rows, C.payload_rules("product_update", True), "id")[1].collect()}
+    assert found == {("2", "length"), ("2", "range"), ("2", "array_size"), ("2", "allowed"), ("2", "feature"), ("4", "uuid")}
+    rows = spark.createDataFrame([(1, "ab"), (2, "x" * 51), (3, "fine")], "user_id int, shop_name string")
+    assert {r.key for r in C.validate(rows, C.payload_rules("seller_create"), "user_id")[1].collect()} == {"1", "2"}
+    with pytest.raises(ValueError):
+        C.payload_rules("invoice_create")
