@@ -5,7 +5,7 @@ import re
 import re._parser as parser
 from collections import Counter
 
-from conftest import documents, prose
+from llm_helpers import documents, prose
 
 from shopframe.llm import licenses as L
 

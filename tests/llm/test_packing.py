@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from conftest import documents
+from llm_helpers import documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -3,7 +3,7 @@
 import random
 from itertools import combinations
 
-from conftest import documents, prose
+from llm_helpers import documents, prose
 
 from shopframe.llm import paragraphs as P
 

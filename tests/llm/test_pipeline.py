@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 
 import corpus_pipeline as C
-from conftest import documents
+from llm_helpers import documents
 from shopframe.llm import packing as P
 
 ROOT = Path(__file__).resolve().parents[2]

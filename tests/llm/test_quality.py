@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter
 
-from conftest import documents, prose
+from llm_helpers import documents, prose
 
 from shopframe.llm import quality as Q
 from pyspark.sql import functions as F

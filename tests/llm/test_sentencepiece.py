@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
-from conftest import documents, prose
+from llm_helpers import documents, prose
 
 from shopframe.llm import sentencepiece_fst as T
 

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from conftest import documents, prose
+from llm_helpers import documents, prose
 
 from shopframe.llm import simhash as S
 

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from conftest import documents, prose
+from llm_helpers import documents, prose
 
 from shopframe.llm import suffix_index as S
 

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from conftest import CLASHES
+from llm_helpers import CLASHES
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
