@@ -298,12 +298,16 @@ FROM rated LEFT JOIN averages ON averages.parent_type = rated.parent_type AND av
 _ONLY = """only_cat AS (SELECT product_id, MIN(category_id) AS category_id FROM product_categories
   GROUP BY product_id HAVING COUNT(*) = 1)"""
 sql("single_category_products", W("product_categories", _ONLY) + "SELECT category_id, product_id FROM only_cat")
-_REFUSED = """refused AS (SELECT o.category_id, string_agg(p.name, ', ' ORDER BY p.name) AS blocking_products,
-  CAST(COUNT(*) AS BIGINT) AS n_blocking
+_REFUSED = """refused AS (SELECT o.category_id, CAST(COUNT(*) AS BIGINT) AS n_blocking
   FROM only_cat o JOIN products p ON p.id = o.product_id
   WHERE o.category_id IN (SELECT id FROM categories) GROUP BY o.category_id)"""
 _CD_T = "categories product_categories products"
 sql("category_delete", W(_CD_T, _ONLY, _REFUSED) + "SELECT * FROM refused")
+sql("category_delete_names", W(_CD_T, _ONLY) + """
+SELECT only_cat.category_id, string_agg(products.name, ', ' ORDER BY products.name) AS blocking_products
+FROM only_cat INNER JOIN products ON products.id = only_cat.product_id
+INNER JOIN categories ON categories.id = only_cat.category_id AND starts_with(categories.en_name, 'S')
+GROUP BY only_cat.category_id""")
 sql("category_delete_blocking", W(_CD_T, _ONLY) + """
 SELECT o.category_id, o.product_id, p.name FROM only_cat o JOIN products p ON p.id = o.product_id
 WHERE o.category_id IN (SELECT id FROM categories)""")

@@ -368,6 +368,13 @@ def q_category_delete(spark, sf_dir):
     return _category_delete(spark, sf_dir)["refused"]
 
 
+@register("category_delete_names")
+def q_category_delete_names(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    asked = t["categories"].where(F.col("en_name").startswith("S")).select("id")
+    return R.blocking_names(_category_delete(spark, sf_dir)["blocking"], asked)
+
+
 @register("category_delete_blocking")
 def q_category_delete_blocking(spark, sf_dir):
     return _category_delete(spark, sf_dir)["blocking"]

@@ -645,23 +645,28 @@ def category_delete(t: Tables, category_ids: DataFrame) -> dict[str, DataFrame]:
     """Q25 for a batch of category ids (M9).
 
     A category is refused while some product has it as its *only* category
-    (A11); the reason lists those products' names (A16). Accepted ids are
-    removed from categories and from the bridge.
+    (A11). Accepted ids are removed from categories and from the bridge.
     Returns {'refused', 'blocking', 'categories', 'product_categories'}:
-    'blocking' holds the same reason as rows (category_id, product_id, name),
-    the form to use when a category may block very many products, since the
-    joined text of 'refused' is built in one row per category.
+    'refused' holds the number of blocking products of each category,
+    'blocking' the products as rows (category_id, product_id, name); their
+    names as one text (A16) are for chosen categories, see ``blocking_names``.
     """
     req = category_ids.select(F.col("id").alias("cat")).distinct()
     only = A.single_category_products(t["product_categories"])
     blocking = (only.join(req, only["category_id"] == req["cat"], "left_semi")
                     .join(t["products"].select(F.col("id").alias("__pid"), "name"),
                           F.col("product_id") == F.col("__pid"), "inner"))
-    refused = blocking.groupBy("category_id").agg(
-        F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("blocking_products"),
-        F.count(F.lit(1)).alias("n_blocking"))
+    refused = blocking.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_blocking"))
     accepted = req.join(refused, req["cat"] == refused["category_id"], "left_anti")
     cats = t["categories"].join(accepted, t["categories"]["id"] == accepted["cat"], "left_anti")
     bridge = t["product_categories"].join(accepted, F.col("category_id") == accepted["cat"], "left_anti")
     return {"refused": refused, "blocking": blocking.select("category_id", "product_id", "name"),
             "categories": cats, "product_categories": bridge}
+
+
+def blocking_names(blocking: DataFrame, category_ids: DataFrame) -> DataFrame:
+    """(category_id, blocking_products), the sorted names as one text, for the asked categories only (the text of
+    a category stands in one row, so ask for those that are shown)."""
+    asked = category_ids.select(F.col("id").alias("__c")).distinct()
+    return (blocking.join(asked, F.col("category_id") == F.col("__c"), "left_semi").groupBy("category_id")
+            .agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("blocking_products")))

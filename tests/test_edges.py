@@ -245,12 +245,14 @@ def test_only_category_blocks_delete(spark):
     bridge = spark.createDataFrame([(1, "A"), (2, "A"), (2, "B")], "product_id int, category_id string")
     only = sorted(map(tuple, A.single_category_products(bridge).collect()))
     assert only == [("A", 1)]
-    from shopframe.plans.reports import category_delete
+    from shopframe.plans.reports import blocking_names, category_delete
     t = {"product_categories": bridge,
          "categories": spark.createDataFrame([("A",), ("B",)], "id string"),
          "products": spark.createDataFrame([(1, "p1"), (2, "p2")], "id int, name string")}
     res = category_delete(t, spark.createDataFrame([("A",), ("B",)], "id string"))
-    assert [(r.category_id, r.blocking_products) for r in res["refused"].collect()] == [("A", "p1")]
+    assert [(r.category_id, r.n_blocking) for r in res["refused"].collect()] == [("A", 1)]
+    asked = spark.createDataFrame([("A",)], "id string")
+    assert [r.blocking_products for r in blocking_names(res["blocking"], asked).collect()] == ["p1"]
     assert ids(res["categories"]) == ["A"]
     assert sorted(map(tuple, res["product_categories"].collect())) == [(1, "A"), (2, "A")]
 

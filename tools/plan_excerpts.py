@@ -1,9 +1,7 @@
 """Print the plan lines that show the scale properties of the headline reports.
 
 Lands the derived tables of ``sf_dir`` (order tables bucketed by order id),
-then prints, per report, the operator lines of the executed plan that show
-scans (pushed filters, read schema), exchanges, partial aggregates, window
-limits and join strategies. Usage::
+then prints, per report, every operator line of the executed plan. Usage::
 
     python tools/plan_excerpts.py [/root/testdata/sf0.1]
 """
@@ -22,10 +20,7 @@ from shopframe.session import get_session, scratch_path  # noqa: E402
 from shopframe.sources.fixtures import land  # noqa: E402
 
 REPORTS = ["seller_leaderboard", "seller_scorecard", "catalogue_page", "public_comments", "seller_orders",
-           "trailing_attempts_hour", "latest_code", "ratings"]
-KEEP = re.compile(r"(Exchange|HashAggregate|WindowGroupLimit|Window |SortMergeJoin|BroadcastHashJoin|"
-                  r"ShuffledHashJoin|TakeOrderedAndProject|FileScan|PushedFilters|ReadSchema|Bucketed)")
-
+           "trailing_attempts_hour", "latest_code", "ratings", "moderation_list", "blog_listing"]
 
 def main():
     sf_dir = (sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1").rstrip("/")
@@ -38,11 +33,10 @@ def main():
         df.write.format("noop").mode("overwrite").save()  # final adaptive plan
         text = df._jdf.queryExecution().executedPlan().toString()
         print(f"### {name}\n```")
-        for line in text.splitlines():
-            if KEEP.search(line):
-                line = re.sub(r"#\d+L?", "", line)
-                line = re.sub(r"Location: \S+ \[[^\]]*\]", "Location: ...", line)
-                print(line[:230])
+        for line in text.split("+- == Initial Plan ==")[0].splitlines():
+            line = re.sub(r"#\d+L?", "", line)
+            line = re.sub(r"Location: \S+ \[[^\]]*\]", "Location: ...", line)
+            print(line[:200])
         print("```\n")
     spark.stop()
 
