@@ -71,6 +71,13 @@ def with_document_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                              "__c": F.crc32(F.encode(text, "UTF-8"))})
 
 
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__row, __text, __k, __c): every row as one struct, so that none of its columns can clash, its text and key."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                       F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return with_document_key(rows, "__id", "__text").drop("__id")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row (a lambda that names a column expression would
     evaluate it again for every element)."""

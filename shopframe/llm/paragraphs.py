@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, land, ship_package, with_document_key
+from .common import NO_ID, keyed_rows, land, ship_package
 from .components import connected_components
 
 SHINGLE = 5
@@ -225,7 +225,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns pass through; columns named n_removed, bytes_removed or kept_in are replaced.
     """
     ship_package(docs.sparkSession)
-    marked = with_document_key(docs, id_col, text_col).withColumn("__text", F.col(text_col))
+    marked = keyed_rows(docs, id_col, text_col)
     units = land(_units(marked, min_words, window, bands_for(threshold, recall=recall)), "paragraph-units")
     links = _line_links(units, marked, threshold)
     linked = connected_components(links).select("node.c1", "node.c2", F.col("component").alias("label"))
@@ -234,7 +234,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .select("c1", "c2", F.coalesce("label", F.struct("c1", "c2")).alias("label")), "classes")
     placed = land(units.select("k", "c", "start", "end", "c1", "c2").join(classes, ["c1", "c2"])
                   .select("k", "c", "start", "end", "label"), "placed-units")
-    first = placed.groupBy("label").agg(F.min(F.struct("k", "c", "start")).alias("first"))
+    first = land(placed.groupBy("label").agg(F.min(F.struct("k", "c", "start")).alias("first")), "first-places")
     gone = placed.join(first, "label").where(F.struct("k", "c", "start") != F.col("first"))
     spans = land(gone.select("k", "c", "start", "end", F.col("first.k").alias("kept_k")), "removed-units")
     spans = spans.distinct().groupBy(F.col("k").alias("__k"), F.col("c").alias("__c")).agg(
@@ -259,9 +259,8 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame(out, columns=["text", "bytes_removed"])
 
     rest = [c for c in docs.columns if c not in ("n_removed", "bytes_removed", "kept_in")]
-    done = (marked.drop("n_removed", "bytes_removed", "kept_in").join(spans, ["__k", "__c"], "left")
-            .withColumn("__done", freed("__text", "__spans")))
-    return done.select(*[F.col("__done.text").alias(c) if c == text_col else F.col(c) for c in rest],
+    done = marked.join(spans, ["__k", "__c"], "left").withColumn("__done", freed("__text", "__spans"))
+    return done.select(*[F.col("__done.text").alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in rest],
                        F.coalesce(F.size("__spans"), F.lit(0)).cast("long").alias("n_removed"),
                        F.col("__done.bytes_removed").alias("bytes_removed"),
                        F.coalesce("kept_in", F.array().cast("array<long>")).alias("kept_in"))

@@ -235,7 +235,9 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keep = (found.groupBy(F.col("component_id").isNull().alias("no_id"), group.alias("g"))
             .agg(F.min(F.struct(F.col("id").isNull(), "id", "fingerprint")).alias("k"))
             .select(F.col("k.id").alias("__keep_id"), F.col("k.fingerprint").alias("__keep_print")))
-    marked = with_fingerprints(docs, text_col, shingle, "__print")
-    kept = marked.join(keep, (F.col(id_col).eqNullSafe(F.col("__keep_id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                       F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    marked = with_fingerprints(rows, "__text", shingle, "__print").drop("__text")
+    kept = marked.join(keep, (F.col("__id").eqNullSafe(F.col("__keep_id")))
                        & (F.col("__print") == F.col("__keep_print")))
-    return kept.dropDuplicates(["__keep_id", "__keep_print"]).select(*docs.columns)
+    return kept.dropDuplicates(["__keep_id", "__keep_print"]).select("__row.*")

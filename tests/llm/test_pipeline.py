@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 
 import corpus_pipeline as C
-from llm_helpers import documents
+from llm_helpers import CLASHES, documents
 from shopframe.llm import packing as P
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -30,7 +30,7 @@ def test_stages_on_edge_rows(spark, edge_rows, tmp_path):
     assert {1, 8, 13} <= set(kept[1]) and 5 not in kept[1] and None not in kept[1]
     assert set(kept[2]) == set(kept[1])
     for r in kept[2].values():
-        assert r.n_chars == len(r.text) and r.k == "x"
+        assert r.n_chars == len(r.text) and all(r[c] == "x" for c in CLASHES)
     encode = P.encoder(public_tokenizers.path(P.VOCABULARY))
     pieces = now.collect()
     for i, r in kept[2].items():
