@@ -40,6 +40,7 @@ GRAM = 64
 SLICE = 1 << 20  # strings that are looked at together
 BATCHES = 4
 BLOCK = 16
+STRETCH = 1 << 13
 KEY = ["k1", "k2"]
 HULL = ["hull1", "hull2"]
 
@@ -253,6 +254,25 @@ def repeated_spans(docs: DataFrame, length: int, batches: int) -> DataFrame:
         "k", "c", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + length).alias("end"))
 
 
+def _joined(spans) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping and touching ones joined."""
+    out: list[tuple[int, int]] = []
+    for span in spans:
+        if out and span["start"] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], span["end"]))
+        else:
+            out.append((span["start"], span["end"]))
+    return out
+
+
+def _merged(column: str):
+    @F.pandas_udf("array<struct<start int, end int>>")
+    def merge(lists: pd.Series) -> pd.Series:
+        return pd.Series([_joined(spans) for spans in lists], dtype=object)
+
+    return merge(F.col(column))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                  batches: int = BATCHES) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) for every row: ``spans`` are the maximal removed byte runs (start, end),
@@ -266,19 +286,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship_package(docs.sparkSession)
     marked = with_document_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")),
                                "id", "__text")
-    spans = land(repeated_spans(marked, length, batches).groupBy("k", "c").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found")), "repeated-spans")
+    # spans are first merged per stretch of a document, so that a long one full of matches is not gathered at once
+    sorted_spans = F.sort_array(F.collect_list(F.struct("start", "end")))
+    stretch = F.floor(F.col("start") / STRETCH).alias("stretch")
+    merged = (repeated_spans(marked, length, batches).groupBy("k", "c", stretch).agg(sorted_spans.alias("found"))
+              .select("k", "c", F.explode(_merged("found")).alias("s")).select("k", "c", "s.start", "s.end"))
+    spans = land(merged.groupBy("k", "c").agg(sorted_spans.alias("found")), "repeated-spans")
 
     @F.pandas_udf("struct<spans array<struct<start int, end int>>, kept binary>")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for text, parts in zip(texts, found):
-            raw, spans, kept, at = text.encode("utf-8"), [], [], 0
-            for part in parts if parts is not None else ():
-                if spans and part["start"] <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], max(spans[-1][1], part["end"]))
-                else:
-                    spans.append((part["start"], part["end"]))
+            raw, spans, kept, at = text.encode("utf-8"), _joined(parts if parts is not None else ()), [], 0
             for start, end in spans:
                 kept.append(raw[at:start])
                 at = end
