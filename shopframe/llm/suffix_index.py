@@ -242,7 +242,9 @@ def repeated_spans(docs: DataFrame, length: int, batches: int) -> DataFrame:
     for batch in range(batches):
         found = index.add(suffixes.where(F.col("batch") == batch))
         matches = found if matches is None else matches.unionByName(found)
-    met = land(suffixes.drop("batch").join(matches.distinct(), KEY), "suffix-meetings")
+    # landed first: Spark can split the join at a frequent anchor only if no aggregation stands between
+    everywhere = land(matches.distinct(), "all-matches")
+    met = land(suffixes.drop("batch").join(everywhere, KEY), "suffix-meetings")
     classes = land(met.groupBy(*KEY, "context").agg(
         F.count("*").alias("places"), F.min(F.struct("k", "c", "at", "n", "left")).alias("sample")), "contexts")
     whole = classes.where("places > 1").select(
