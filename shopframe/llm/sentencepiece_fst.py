@@ -38,7 +38,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-CACHED_PARTS = 300_000
+CACHED_PARTS = 600_000
 CACHED_PAIRS = 400_000
 CACHED_LENGTH = 48
 
