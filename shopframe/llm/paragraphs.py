@@ -189,6 +189,7 @@ def _line_links(units: DataFrame, docs: DataFrame, threshold: float) -> DataFram
         return sets.select(F.col("node").alias(name), F.col("s").alias(f"s_{name}"))
 
     stars = met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = land(stars, "stars")  # so that Spark can split the join at a hub of very many lines
     stars = stars.join(named("a"), "a").join(named("b"), "b")
     first = land(stars.where(_similar("s_a", "s_b", threshold)).select("a", "b"), "hub-links")
     joined = connected_components(first)
