@@ -8,8 +8,13 @@ are left alone.
 Links. Units with equal words (white space and ASCII case aside) are one class. The classes of lines also get
 MinHash bands over five-word shingles; the number of bands is the smallest that finds a pair at the threshold with
 the wanted recall. Lines that meet in a band are verified by the exact Jaccard similarity of their shingle sets, and
-linked classes are joined into components. Of each component the occurrence with the smallest (document id,
-position) stays, all others are removed.
+linked classes are joined into components.
+
+What stays. Lines are decided first: of each component the line with the smallest (document id, position) stays, all
+others are removed. Blocks inside removed lines go with them and are no place to stay. Of the other blocks of a class
+the first stays, or none where a line of the component stays. A block is not removed for that line where it stands in
+it, or where its own line is no longer than it (such a line is tied to the block by a chain of links only, and two
+lines could otherwise each lose the part that the other one is kept for).
 
 A band of very many lines does not emit all its pairs: every line is first compared with the smallest of its band;
 after the components of those links are known, only pairs of different components are compared, and of them none
@@ -64,15 +69,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def paragraph_units(texts: list[bytes], min_words: int = MIN_WORDS, window: int = WINDOW, bands: int = 7,
                     rows: int = BAND_ROWS) -> pd.DataFrame:
-    """Units of the texts: doc (index), start and end (byte span with the white space that follows), c1, c2 (128-bit
-    hash of the words), bands (of lines; null for blocks)."""
+    """Units of the texts: doc (index), start and end (byte span with the white space that follows), line and line_end
+    (the same of the line a unit lies in), c1, c2 (128-bit hash of the words), bands (of lines; null for blocks)."""
     whole = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(whole, np.uint8)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([1], blank, [1])).astype(np.int8)))
     starts = edge[0::2]
     n = len(starts)
-    columns = ["doc", "start", "end", "c1", "c2", "bands"]
+    columns = ["doc", "start", "end", "line", "line_end", "c1", "c2", "bands"]
     if not n:
         return pd.DataFrame({c: np.zeros(0, object if c == "bands" else np.int64) for c in columns})
     words = whole.lower().split()
@@ -95,7 +100,7 @@ def paragraph_units(texts: list[bytes], min_words: int = MIN_WORDS, window: int
         first = np.flatnonzero(flags)
         return first, np.concatenate((first[1:], [n]))
 
-    line_first, line_end = spans(new_line)
+    line_first, line_end = heads, tails = spans(new_line)
     block_first, block_end = spans(cut)
     whole_line = new_line[block_first] & np.concatenate((new_line[block_first[1:]], [True]))
     block_first, block_end = block_first[~whole_line], block_end[~whole_line]
@@ -114,8 +119,9 @@ def paragraph_units(texts: list[bytes], min_words: int = MIN_WORDS, window: int
     if len(line_first):
         keys = _band_keys(hashes, line_first, line_end, bands, rows)
         lists[:len(line_first)] = list(keys)
-    begin = starts[first] - doc_at[doc[first]]
-    return pd.DataFrame({"doc": doc[first], "start": begin, "end": next_start[end - 1] - doc_at[doc[first]],
+    base, inside = doc_at[doc[first]], np.searchsorted(heads, first, "right") - 1
+    return pd.DataFrame({"doc": doc[first], "start": starts[first] - base, "end": next_start[end - 1] - base,
+                         "line": starts[heads[inside]] - base, "line_end": next_start[tails[inside] - 1] - base,
                          "c1": classes[:, 0], "c2": classes[:, 1], "bands": pd.Series(lists, dtype=object)})
 
 
@@ -160,10 +166,11 @@ def _units(docs: DataFrame, min_words: int, window: int, bands: int) -> DataFram
                 doc = found.pop("doc").to_numpy(np.int64)
                 found.insert(0, "k", part["k"].to_numpy(np.int64)[doc])
                 found.insert(1, "c", part["c"].to_numpy(np.int64)[doc])
-                yield found.astype({x: "int64" for x in ("start", "end", "c1", "c2")})
+                yield found.astype({x: "int64" for x in ("start", "end", "line", "line_end", "c1", "c2")})
 
     source = docs.select(F.col("__k").alias("k"), F.col("__c").alias("c"), F.coalesce("__text", F.lit("")).alias("text"))
-    return source.mapInPandas(cut, "k long, c long, start long, end long, c1 long, c2 long, bands array<long>")
+    return source.mapInPandas(cut, "k long, c long, start long, end long, line long, line_end long, c1 long, c2 long, "
+                                "bands array<long>")
 
 
 def _line_links(units: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -218,6 +225,29 @@ def _cut_out(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return cut.select("s.node", F.decode(piece, "UTF-8").alias("text")).dropDuplicates(["node"])
 
 
+def _removed(placed: DataFrame) -> DataFrame:
+    """(k, c, start, end, kept_k) of the units to remove of ``placed(k, c, start, end, line, line_end, label, whole)``."""
+    def places(kind):
+        return F.min(F.struct(F.lit(kind).alias("inner"), "k", "c", "start", (F.col("end") - F.col("start")).alias("size")))
+
+    lines = placed.where("whole")
+    first_lines = land(lines.groupBy("label").agg(places(False).alias("first")), "first-lines")
+    gone_lines = land(lines.join(first_lines, "label").where(
+        F.struct("k", "c", "start") != F.struct("first.k", "first.c", "first.start"))
+        .select("k", "c", "start", "end", F.col("first.k").alias("kept_k")), "removed-lines")
+    # a place to stay must stand in the result, so blocks of removed lines are out before the first one is chosen
+    blocks = land(placed.where("not whole").join(gone_lines.select("k", "c", F.col("start").alias("line")),
+                                                 ["k", "c", "line"], "left_anti"), "standing-blocks")
+    first = land(blocks.groupBy("label").agg(places(True).alias("first")).unionByName(first_lines)
+                 .groupBy("label").agg(F.min("first").alias("first")), "first-places")
+    own_line = F.struct("k", "c", "line") == F.struct("first.k", "first.c", "first.start")
+    gone = blocks.join(first, "label").where(F.when(
+        F.col("first.inner"), F.struct("k", "c", "start") != F.struct("first.k", "first.c", "first.start"))
+        .otherwise(~own_line & (F.col("line_end") - F.col("line") > F.col("first.size"))))
+    return land(gone_lines.unionByName(gone.select("k", "c", "start", "end", F.col("first.k").alias("kept_k"))),
+                "removed-units")
+
+
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                     recall: float = RECALL, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """All rows and columns of ``docs`` with text_col freed of repeated paragraphs, and the columns n_removed (removed
@@ -233,11 +263,9 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = (units.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select("c1", "c2"))
     classes = land(repeated.join(linked, ["c1", "c2"], "full")
                    .select("c1", "c2", F.coalesce("label", F.struct("c1", "c2")).alias("label")), "classes")
-    placed = land(units.select("k", "c", "start", "end", "c1", "c2").join(classes, ["c1", "c2"])
-                  .select("k", "c", "start", "end", "label"), "placed-units")
-    first = land(placed.groupBy("label").agg(F.min(F.struct("k", "c", "start")).alias("first")), "first-places")
-    gone = placed.join(first, "label").where(F.struct("k", "c", "start") != F.col("first"))
-    spans = land(gone.select("k", "c", "start", "end", F.col("first.k").alias("kept_k")), "removed-units")
+    placed = land(units.join(classes, ["c1", "c2"]).select(
+        "k", "c", "start", "end", "line", "line_end", "label", F.col("bands").isNotNull().alias("whole")), "placed-units")
+    spans = _removed(placed)
     spans = spans.distinct().groupBy(F.col("k").alias("__k"), F.col("c").alias("__c")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"),
         F.sort_array(F.collect_set(F.when(F.col("kept_k") < NO_ID, F.col("kept_k")))).alias("kept_in"))

@@ -88,3 +88,30 @@ def test_bands_reach_the_recall():
     for rows in (1, 2, 3, 4):
         b = P.bands_for(0.8, rows, 0.999)
         assert 1 - (1 - 0.8 ** rows) ** b >= 0.999 > 1 - (1 - 0.8 ** rows) ** (b - 1)
+
+
+def test_staying_places_stand(spark):
+    """A block of a removed line is no place to stay, nor is a block removed for the line it stands in."""
+    rng = random.Random(13)
+    block = [f"b{i}" for i in range(60)]
+    source = line(rng, 400).split()
+    edited = source[:200] + block[:30] + source[230:]  # the copy holds half of the block
+    third = line(rng, 90).split()
+    held = third[:40] + block[:30] + third[40:]
+    inner = line(rng, 100).split()
+    longer = [f"x{i}" for i in range(9)] + inner + [f"y{i}" for i in range(9)]
+    rows = [(1, " ".join(source)), (2, " ".join(edited)), (3, " ".join(held)), (4, " ".join(longer)), (5, " ".join(inner))]
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8 and jaccard(rows[3][1], rows[4][1]) >= 0.8
+    out = {r.doc_id: r for r in P.paragraph_dedup(documents(spark, rows)).collect()}
+    assert out[2].text == "" and out[2].kept_in == [1]
+    assert out[3].text == rows[2][1] and out[3].kept_in == []
+    assert out[4].text == rows[3][1] and out[5].text == "" and out[5].kept_in == [4]
+
+
+def test_removed_blocks_stand_where_they_are_kept():
+    """Same cuts inside a line, whatever its units: line and line_end hold the unit."""
+    rng = random.Random(14)
+    units = P.paragraph_units([prose(rng, 300).encode(), line(rng, 200).encode()])
+    assert (units["line"] <= units["start"]).all() and (units["end"] <= units["line_end"]).all()
+    whole = units[units["bands"].notna()]
+    assert (whole["line"] == whole["start"]).all() and (whole["line_end"] == whole["end"]).all()
