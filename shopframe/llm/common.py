@@ -78,6 +78,14 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_document_key(rows, "__id", "__text").drop("__id")
 
 
+def separate_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keyed_rows`` where every row with a null id is a document of its own: __c numbers these rows. They are landed,
+    so that all readers see the same numbers."""
+    named = keyed_rows(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    others = keyed_rows(docs.where(F.col(id_col).isNull()), id_col, text_col)
+    return named.unionByName(land(others.withColumn("__c", F.monotonically_increasing_id()), "rows-without-id"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row (a lambda that names a column expression would
     evaluate it again for every element)."""

@@ -20,8 +20,9 @@ A band of very many lines does not emit all its pairs: every line is first compa
 after the components of those links are known, only pairs of different components are compared, and of them none
 inside a band's largest component.
 
-Defined results: a null text counts as empty and stays null; rows that repeat id and text are one document; null ids
-come after all others (by a hash of the text) and are not named in kept_in; an empty table gives an empty result.
+Defined results: a null text counts as empty and stays null; rows that repeat id and text are one document, but
+each row with a null id is one of its own; null ids come after all others (by a hash of the text) and are not named in
+kept_in; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keyed_rows, land, ship_package
+from .common import NO_ID, land, separate_rows, ship_package
 from .components import connected_components
 
 SHINGLE = 5
@@ -256,7 +257,7 @@ def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns pass through; columns named n_removed, bytes_removed or kept_in are replaced.
     """
     ship_package(docs.sparkSession)
-    marked = keyed_rows(docs, id_col, text_col)
+    marked = separate_rows(docs, id_col, text_col)
     units = land(_units(marked, min_words, window, bands_for(threshold, recall=recall)), "paragraph-units")
     links = _line_links(units, marked, threshold)
     linked = connected_components(links).select("node.c1", "node.c2", F.col("component").alias("label"))

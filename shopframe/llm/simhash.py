@@ -12,7 +12,8 @@ Fingerprints that meet in a key are compared bit by bit, so the keys only have t
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; fewer words than a
 shingle make one shingle of the whole sequence; repeated rows and rows with a null id each stay a row (a null id is
-never the smallest of its group unless all are null); an empty table gives an empty result.
+never the smallest of its group unless all are null); rows with one id and different texts are grouped by their texts;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -210,30 +211,34 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     return first.unionByName(same).unionByName(met(side(1, "a"), side(2, "b"))).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                       max_bits: int = 4) -> DataFrame:
-    """(id, fingerprint, component_id) for every row of ``docs``: the smallest id that a chain of links reaches."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(id, fingerprint, component_id, linked) for every row: the smallest id that a chain of links reaches, and the
+    smallest fingerprint, which names the component also where ids are null or name several texts."""
     rows = land(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text",
                                   shingle).select("id", "fingerprint"), "fingerprints")
     classes = land(rows.groupBy(F.col("fingerprint").alias("p")).agg(F.min("id").alias("first")), "classes")
-    linked = connected_components(fingerprint_links(classes.select("p"), max_bits)).withColumnRenamed("node", "p")
-    labelled = classes.join(linked, "p", "left")
+    joined = connected_components(fingerprint_links(classes.select("p"), max_bits)).withColumnRenamed("node", "p")
+    labelled = classes.join(joined, "p", "left")
     smallest = (labelled.where("component is not null").groupBy("component").agg(F.min("first").alias("least")))
     named = land(labelled.join(smallest, "component", "left")
-                 .select(F.col("p").alias("fingerprint"), F.coalesce("least", "first").alias("component_id")), "named")
-    return rows.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+                 .select(F.col("p").alias("fingerprint"), F.coalesce("least", "first").alias("component_id"),
+                         F.coalesce("component", "p").alias("linked")), "named")
+    return rows.join(named, "fingerprint").select("id", "fingerprint", "component_id", "linked")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                       max_bits: int = 4) -> DataFrame:
+    """(id, fingerprint, component_id) for every row of ``docs``: the smallest id that a chain of links reaches (null
+    if no row of the chain has an id; the id of several texts can name several chains)."""
+    return _groups(docs, id_col, text_col, shingle, max_bits).drop("linked")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                       max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id (a null id only if all are
-    null; of repeated rows, one)."""
-    found = land(simhash_components(docs, id_col, text_col, shingle, max_bits), "components")
-    # All groups without any id share a null component_id: their smallest fingerprint's chain is not known here,
-    # so each fingerprint stands for itself.
-    group = F.coalesce("component_id", "fingerprint")
-    keep = (found.groupBy(F.col("component_id").isNull().alias("no_id"), group.alias("g"))
-            .agg(F.min(F.struct(F.col("id").isNull(), "id", "fingerprint")).alias("k"))
+    null; of repeated rows, one). Groups are told apart by their fingerprints, not by ids."""
+    found = land(_groups(docs, id_col, text_col, shingle, max_bits), "components")
+    keep = (found.groupBy("linked").agg(F.min(F.struct(F.col("id").isNull(), "id", "fingerprint")).alias("k"))
             .select(F.col("k.id").alias("__keep_id"), F.col("k.fingerprint").alias("__keep_print")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
                        F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))

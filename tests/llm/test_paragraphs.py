@@ -115,3 +115,9 @@ def test_removed_blocks_stand_where_they_are_kept():
     assert (units["line"] <= units["start"]).all() and (units["end"] <= units["line_end"]).all()
     whole = units[units["bands"].notna()]
     assert (whole["line"] == whole["start"]).all() and (whole["line_end"] == whole["end"]).all()
+
+
+def test_copies_without_ids(spark):
+    text = line(random.Random(15), 40)
+    out = P.paragraph_dedup(documents(spark, [(None, text)] * 3)).collect()
+    assert sorted(r.text for r in out) == ["", "", text] and all(r.kept_in == [] for r in out)

@@ -61,6 +61,18 @@ def test_one_row_of_each_group_stays(spark, edge_rows):
     assert set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_groups_without_ids_and_ids_of_several_texts(spark):
+    rng = random.Random(9)
+    words = prose(rng, 400).split()
+    near = [" ".join(words[:i] + ["changed"] + words[i + 1:]) for i in (100, 101, 102)]
+    prints = [plain_fingerprint(t) for t in near]
+    assert len(set(prints)) > 1 and len(set(groups([1, 2, 3], prints))) == 1
+    one, other = prose(rng, 200), prose(rng, 200)
+    kept = S.one_of_each_group(documents(spark, [(None, t) for t in near] + [(7, one), (7, other)])).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 7) == sorted([one, other])
+    assert len([r for r in kept if r.doc_id is None]) == 1
+
+
 def test_chain_in_a_dense_group(spark):
     """Fingerprints in a chain of four-bit steps and a dense ball, as one component each."""
     rng = random.Random(5)
