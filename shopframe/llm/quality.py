@@ -1,8 +1,10 @@
 """Quality rules by distribution divergence (native DataFrame functions only).
 
 A document's character-class and common-word histograms are compared with those of its language by the
-Jensen-Shannon distance. The language references are means over all documents of the language in the given
-corpus that are long enough; every document weighs the same, so a very long one cannot shift them.
+Jensen-Shannon distance. The language references are medians over groups of sources of the groups' mean histograms.
+Only distinct texts that pass the base rules count, each the same, so neither rejected rows nor copies nor a very
+long text nor a single hot source shifts them. They are still taken from the judged corpus: a language whose rows
+come from one or two sources (or a table without sources) is compared with little but itself.
 
 Defined results: a null text counts as empty; an empty or short text (fewer than ``min_words`` words) fails the
 base rule; a language without a word list, or a null one, is compared within the class "other". Repeated rows are
@@ -25,6 +27,8 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a"],
 }
 CLASSES = ["upper", "letter", "digit", "space", "punctuation", "other"]
+# Sources are dealt to so many groups, so that sources of a row or two do not each have a vote.
+SOURCE_GROUPS = 64
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Largest accepted Jensen-Shannon distances (base 2, so 0 to 1).
@@ -120,21 +124,24 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         (u["s"] > 0) & (u["t"] > 0), divergence(scaled(a, u["s"]), scaled(b, u["t"]))))))
 
 
-def _mean_vector(col: str, length: int) -> Column:
-    return F.array(*[F.avg(F.get(col, F.lit(i))) for i in range(length)])
+def _vector(fold, col: str, length: int) -> Column:
+    return F.array(*[fold(F.get(col, F.lit(i))) for i in range(length)])
 
 
 def quality_features(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str | None = "lang",
-                     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
+                     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
+                     source_col: str | None = "source") -> DataFrame:
     """One narrow pass over the texts: the columns ``carry``, the base counts and both histograms of every row."""
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
+    source = F.col(source_col) if source_col and source_col in docs.columns else F.lit(None).cast("string")
     text, words = F.col("__q_text"), F.col("__q_words")
     d = docs.select(F.struct(*carry).alias("__q_row"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"),
-                    F.coalesce(F.when(lang.isin(*COMMON_WORDS), lang), F.lit("other")).alias("__q_lang"))
+                    F.coalesce(F.when(lang.isin(*COMMON_WORDS), lang), F.lit("other")).alias("__q_lang"),
+                    F.pmod(F.xxhash64(source), F.lit(SOURCE_GROUPS)).alias("__q_group"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     d = d.withColumn("__q_words", words_of(text)).select(
-        "__q_row", "__q_lang",
+        "__q_row", "__q_lang", "__q_group", F.xxhash64(text).alias("__q_print"),
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -145,12 +152,16 @@ def quality_features(docs: DataFrame, carry: list[str], text_col: str = "text",
                         | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
 
 
-def language_references(features: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Mean histograms per language over all rows of at least ``min_words`` words; one row for each word list at
-    most and one for "other", whatever the input."""
+def language_references(features: DataFrame) -> DataFrame:
+    """Reference histograms per language, each share the median over the groups of sources of its mean over the
+    distinct texts that pass the base rules; one row for each word list at most and one for "other"."""
     longest = len({w for ws in COMMON_WORDS.values() for w in ws}) + 1
-    out = features.where(F.col("n_words") >= min_words).groupBy("__q_lang").agg(
-        _mean_vector("__q_classes", len(CLASSES)).alias("__q_ref_c"), _mean_vector("__q_common", longest).alias("w"))
+    distinct = features.where(~F.col("base_failed")).groupBy("__q_lang", "__q_group", "__q_print").agg(
+        F.first("__q_classes").alias("c"), F.first("__q_common").alias("w"))
+    means = distinct.groupBy("__q_lang", "__q_group").agg(
+        _vector(F.avg, "c", len(CLASSES)).alias("c"), _vector(F.avg, "w", longest).alias("w"))
+    out = means.groupBy("__q_lang").agg(_vector(F.median, "c", len(CLASSES)).alias("__q_ref_c"),
+                                        _vector(F.median, "w", longest).alias("w"))
     return out.select("__q_lang", "__q_ref_c", F.filter("w", lambda x: x.isNotNull()).alias("__q_ref_w"))
 
 
@@ -158,7 +169,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, text_col: str
                   lang_col: str | None = "lang", min_words: int = MIN_WORDS,
                   max_repeat_percent: int = MAX_REPEAT_PERCENT, max_class_distance: float = MAX_CLASS_DISTANCE,
                   max_word_distance: float = MAX_WORD_DISTANCE,
-                  min_words_for_common: int = MIN_WORDS_FOR_COMMON) -> DataFrame:
+                  min_words_for_common: int = MIN_WORDS_FOR_COMMON, source_col: str | None = "source") -> DataFrame:
     """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance, kept), one row per input row; ``row`` is a struct of the columns ``carry`` (default: all), so
     that no column name can clash.
@@ -166,9 +177,9 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, text_col: str
     The features are landed once: the references need all of them before the first verdict. The references have at
     most five rows (one per word list, and "other"), which is why they are broadcast.
     """
-    features = land(quality_features(docs, carry or docs.columns, text_col, lang_col, min_words, max_repeat_percent),
-                    "quality")
-    d = features.join(F.broadcast(language_references(features, min_words)), "__q_lang", "left")
+    features = land(quality_features(docs, carry or docs.columns, text_col, lang_col, min_words, max_repeat_percent,
+                                     source_col), "quality")
+    d = features.join(F.broadcast(language_references(features)), "__q_lang", "left")
     judged = ~F.col("base_failed")
     d = d.withColumns({
         "class_distance": F.when(judged, jensen_shannon(F.col("__q_classes"), F.col("__q_ref_c"))),

@@ -42,6 +42,16 @@ def test_clean_stays_and_broken_goes(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_hot_source_is_not_its_own_reference(spark):
+    rng = random.Random(4)
+    clean = [(i, prose(rng, 200)) for i in range(30)]
+    lists = [(1000 + i, " ".join("".join(rng.choices("aeioulnrstdm", k=rng.randint(4, 9))) for _ in range(150)))
+             for i in range(120)]
+    source = F.when(F.col("doc_id") >= 1000, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 5))
+    out = Q.quality_rules(documents(spark, clean + lists).withColumn("source", source), carry=["doc_id"])
+    assert {r.row.doc_id for r in out.where("kept").collect()} == {i for i, _ in clean}
+
+
 def test_unknown_language_missing_column_and_empty_table(spark):
     rng = random.Random(2)
     one = documents(spark, [(1, prose(rng, 120))]).withColumn("lang", F.lit(None).cast("string"))
