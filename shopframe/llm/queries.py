@@ -12,13 +12,14 @@ from .licenses import license_scan
 from .packing import pack_documents
 from .paragraphs import paragraph_dedup
 from .quality import quality_rules
+from .queries_vectors import ORACLE as VECTOR_ORACLE, QUERIES as VECTOR_QUERIES
 from .sentencepiece_fst import with_round_trip
 from .simhash import simhash_components
 from .suffix_index import suffix_dedup
 from .warc import archive_and_index
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict = dict(VECTOR_QUERIES)
+ORACLE: dict[str, str] = dict(VECTOR_ORACLE)
 
 
 def query(name: str):
