@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .centroids import centroid_clusters
 from .common import read_table
+from .hard_negatives import hard_negatives
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +63,36 @@ FROM a{rounds} a JOIN t ON t.c = a.c JOIN h ON h.c = a.c
 
 
 ORACLE["op13_centroid_clusters"] = _clusters_sql()
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows of other labels between 30 and 90 per cent of the score of each of an anchor's five best rows
+    of its own label; anchors are the vectors whose id is divisible by 100."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, moved, positives=5, k=10, low=30,
+                          high=90, scale=256)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+  FROM v a JOIN v r ON r.vec_id <> a.vec_id AND len(a.e) = len(r.e) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same)
+  WHERE n <= 5),
+w AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+         s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM w WHERE rank <= 10
+"""
