@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .centroids import centroid_clusters
 from .common import read_table
 from .hard_negatives import hard_negatives
+from .token_files import round_trip
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +97,9 @@ w AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
 FROM w WHERE rank <= 10
 """
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the token files."""
+    return round_trip(read_table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
