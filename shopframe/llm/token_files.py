@@ -131,16 +131,19 @@ class TokenFile:
         return range(int(np.searchsorted(known, doc_id)), int(np.searchsorted(known, doc_id, side="right")))
 
 
-def trained_dictionary(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, size: int = DICTIONARY_BYTES,
+def trained_dictionary(rows: DataFrame, n_rows: int, vocabulary: str, size: int = DICTIONARY_BYTES,
                        documents: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS) -> bytes:
+    """A dictionary for the (id, text) rows, of which there are ``n_rows``. Only rows whose hash lies below a threshold
+    for about twice the sample are compared, so that what one task merges does not grow with the table."""
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary)
         samples = [np.array(encode(t), "<u4").tobytes() for f in frames for t in f["text"] if t]
         yield pd.DataFrame({"dictionary": [dictionary_of(samples, size) if samples else b""]})
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = (docs.select(F.xxhash64(F.col(id_col), text).alias("h"), F.substring(text, 1, chars).alias("text"))
-              .orderBy("h").limit(documents))
+    share = min(1.0, 2 * documents / max(n_rows, 1))
+    below = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
+    sample = (rows.select(F.xxhash64("id", "text").alias("h"), F.substring("text", 1, chars).alias("text"))
+              .where(F.col("h") <= below).orderBy("h").limit(documents))
     # the sample is bounded, and so is the dictionary
     return b"".join(bytes(r.dictionary) for r in sample.coalesce(1).mapInPandas(train, "dictionary binary").collect())
 
@@ -162,7 +165,10 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     ship_package(spark)
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
-    dictionary = trained_dictionary(docs, id_col, text_col, vocabulary, **training)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    dictionary = trained_dictionary(rows, total["n"], vocabulary, **training)
     digest = hashlib.sha256(dictionary).digest()
     _write_binary(spark.createDataFrame([(bytearray(dictionary),)], "file binary").coalesce(1), f"{path}/dictionary")
 
@@ -180,12 +186,10 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if file:
             yield pd.DataFrame({"file": [file.finish()]})
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    parts = max(1, math.ceil((total["bytes"] or 0) / part_bytes))
     order = [F.col("id").asc_nulls_last(), "hash", "place"]
     dealt = (rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
-             .repartitionByRange(max(1, math.ceil(size / part_bytes)), *order).sortWithinPartitions(*order))
+             .repartitionByRange(parts, *order).sortWithinPartitions(*order))
     _write_binary(dealt.select("id", "text").mapInPandas(pack, "file binary"), f"{path}/files")
 
 
