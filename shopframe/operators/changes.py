@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DEFAULTS, ENUMS
+from .serial import ORDER as TOTAL
+from .serial import accepted, decide_claims, decide_patches, in_total_order, reasons
 from .windows import latest_per
 
 ORDER = ("change_ts", "seq")
@@ -142,75 +144,26 @@ def patch_unique(base: DataFrame, changes: DataFrame, key: str, unique_cols: Seq
 
     A change is refused when any unique column's new value (null keeps the
     current one) is held by another row at that moment; a value is freed
-    when its holder changes it. Rounds as in ``rename_unique``: a change is
-    decided once, for every unique column, no earlier pending change targets
-    the same value or comes from the value's holder, and no earlier pending
-    change comes from the same row. With ``reset_col``/``reset_on`` (M22) the
-    flag is cleared when an accepted change's ``reset_on`` value is missing or
-    differs from the row's value at that moment.
+    when its holder changes it (``serial.decide_patches``). Equal orders are
+    decided by a hash of the change and its landed number, missing ones come
+    first. With ``reset_col``/``reset_on`` (M22) the flag is cleared when an
+    accepted change's ``reset_on`` value is missing or differs from the
+    row's value at that moment, that is, when some accepted change lacks it
+    or differs from the value before the batch.
     Returns {'base', 'rejected'}.
     """
-    o = _order(order)
-    ucols = list(unique_cols)
-    named = [F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in ucols]]
-    touched = changes.select(F.col(key).alias("__kn")).distinct()
-    mine = base.join(touched, base[key] == F.col("__kn"), "left_semi").select(*named)
-    # besides the rows of the batch, only holders of a value that a change wants can matter
-    state = mine
-    for c in ucols:
-        wanted = changes.select(F.col(c).alias("__w")).where(F.col("__w").isNotNull()).distinct()
-        state = state.unionByName(base.join(wanted, base[c] == F.col("__w"), "left_semi").select(*named))
-    state = state.dropDuplicates(["__k"]).checkpoint()
-    known = mine.select(F.col("__k").alias("__kn"))
-    pending = changes.withColumn("__o", o).select(*changes.columns, "__o")
-    rejected = pending.join(known, pending[key] == F.col("__kn"), "left_anti").select(*changes.columns).withColumn(
-        "reason", F.lit("not found"))
-    pending = pending.join(known, pending[key] == F.col("__kn"), "left_semi")
-    accepted = None
-    while not pending.isEmpty():
-        first_k = pending.groupBy(F.col(key).alias("__fk")).agg(F.min("__o").alias("__fko"))
-        cur = pending.join(state, pending[key] == F.col("__k"), "inner")
-        cur = cur.select(*pending.columns, *[F.col(f"__cur_{c}") for c in ucols],
-                         *[F.coalesce(F.col(c), F.col(f"__cur_{c}")).alias(f"__t_{c}") for c in ucols])
-        cur = cur.join(first_k, cur[key] == F.col("__fk"))
-        ready_terms, ok_terms, reasons = [F.col("__o") == F.col("__fko")], [], []
-        for c in ucols:
-            holders = (state.where(F.col(f"__cur_{c}").isNotNull())
-                            .groupBy(F.col(f"__cur_{c}").alias(f"__hv_{c}")).agg(F.min("__k").alias(f"__h_{c}")))
-            cur = cur.join(holders, F.col(f"__t_{c}") == F.col(f"__hv_{c}"), "left")
-            first_t = cur.groupBy(F.col(f"__t_{c}").alias(f"__ftv_{c}")).agg(F.min("__o").alias(f"__ft_{c}"))
-            cur = cur.join(first_t, F.col(f"__t_{c}").eqNullSafe(F.col(f"__ftv_{c}")))
-            hk = first_k.select(F.col("__fk").alias(f"__hk_{c}"), F.col("__fko").alias(f"__hko_{c}"))
-            cur = cur.join(hk, F.col(f"__h_{c}") == F.col(f"__hk_{c}"), "left")
-            ready_terms.append((F.col("__o") == F.col(f"__ft_{c}")) &
-                               (F.col(f"__hk_{c}").isNull() | (F.col(f"__h_{c}") == F.col(key)) |
-                                (F.col(f"__hko_{c}") > F.col("__o"))))
-            free = F.col(f"__h_{c}").isNull() | (F.col(f"__h_{c}") == F.col(key))
-            ok_terms.append(free)
-            reasons.append(F.when(~free, F.lit(f"{c} in use")))
-        ready = cur.where(functools.reduce(lambda a, b: a & b, ready_terms))
-        ready = ready.withColumn("__ok", functools.reduce(lambda a, b: a & b, ok_terms))
-        if reset_on:
-            ready = ready.withColumn("__reset", F.col(reset_on).isNull() |
-                                     ~F.col(reset_on).eqNullSafe(F.col(f"__cur_{reset_on}")))
-        ready = ready.withColumn("__reason", F.concat_ws("; ", *reasons)).checkpoint()
-        bad = ready.where(~F.col("__ok")).select(*changes.columns, F.col("__reason").alias("reason"))
-        rejected = rejected.unionByName(bad)
-        good = ready.where(F.col("__ok")).select(*changes.columns, "__o", *(["__reset"] if reset_on else []))
-        accepted = good if accepted is None else accepted.unionByName(good)
-        applied = ready.where(F.col("__ok")).select(F.col(key).alias("__a"),
-                                                    *[F.col(f"__t_{c}").alias(f"__new_{c}") for c in ucols])
-        state = state.join(applied, state["__k"] == F.col("__a"), "left").select(
-            "__k", *[F.when(F.col("__a").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(f"__cur_{c}"))
-                     .alias(f"__cur_{c}") for c in ucols]).checkpoint()
-        pending = pending.join(ready.select(F.col("__o").alias("__d"), F.col(key).alias("__dk")),
-                               (F.col("__o") == F.col("__d")) & (F.col(key) == F.col("__dk")), "left_anti").checkpoint()
-    if accepted is None:
-        return {"base": base, "rejected": rejected}
-    out = patch_coalesce(base, accepted.drop("__o", *(["__reset"] if reset_on else [])), key, list(fields), as_of, order)
+    judged = decide_patches(base, in_total_order(changes, order), key, [[c] for c in unique_cols])
+    reason = F.when(~F.col("__known"), F.lit("not found")).otherwise(reasons([f"{c} in use" for c in unique_cols]))
+    rejected = judged.where(~F.col("__known") | ~accepted()).select(*changes.columns, reason.alias("reason"))
+    good = judged.where(F.col("__known") & accepted())
+    out = patch_coalesce(base, good, key, list(fields), as_of, (TOTAL,))
     if reset_col and reset_on:
-        resets = accepted.where(F.col("__reset")).select(F.col(key).alias("__r")).distinct()
-        out = out.join(resets, out[key] == F.col("__r"), "left")
+        asked = good.groupBy(F.col(key).alias("__r")).agg(
+            F.max(F.col(reset_on).isNull()).alias("__missing"), F.min(reset_on).alias("__low"), F.max(reset_on).alias("__high"))
+        old = base.select(F.col(key).alias("__k"), F.col(reset_on).alias("__old"))
+        asked = asked.join(old, F.col("__r") == F.col("__k")).where(
+            F.col("__missing") | ~F.col("__low").eqNullSafe(F.col("__old")) | ~F.col("__high").eqNullSafe(F.col("__old")))
+        out = out.join(asked.select("__r"), out[key] == F.col("__r"), "left")
         out = out.withColumn(reset_col, F.when(F.col("__r").isNotNull(), F.lit(False)).otherwise(F.col(reset_col)))
         out = out.drop("__r")
     return {"base": out.select(*base.columns), "rejected": rejected}
@@ -579,54 +532,30 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
     Refused when the user is unknown, already a seller (before or by an
     earlier accepted request of the batch) or the shop name is taken (the
     same way). The batch result equals applying the requests one by one in
-    (change_ts, seq) order: each round accepts every pending request that is
-    the earliest pending one for both its user and its shop name (these can
-    not conflict), then refuses the pending requests that clash with them.
-    Rounds repeat while requests are pending (one round when users and
-    names are distinct); each round's state is checkpointed.
+    (change_ts, seq) order (``serial.decide_claims``); equal orders are
+    decided by a hash of the request and its landed number, missing ones
+    come first.
     Accepted requests insert an active seller and set the user's role.
     Returns {'users', 'sellers', 'rejected'}.
     """
-    o = _order(order)
-    u = users.select(F.col("id").alias("__uid"))
+    u = users.select(F.col("id").alias("__uid")).distinct()
     s_user = sellers.select(F.col("user_id").alias("__su")).distinct()
     s_name = sellers.select(F.col("shop_name").alias("__sn")).distinct()
-    r = (requests.withColumn("__o", o)
-                 .join(u, requests["user_id"] == u["__uid"], "left")
-                 .join(s_user, F.col("user_id") == F.col("__su"), "left")
-                 .join(s_name, F.col("shop_name") == F.col("__sn"), "left"))
+    r = (in_total_order(requests, order)
+         .join(u, F.col("user_id") == F.col("__uid"), "left")
+         .join(s_user, F.col("user_id") == F.col("__su"), "left")
+         .join(s_name, F.col("shop_name") == F.col("__sn"), "left"))
     reason = (F.when(F.col("__uid").isNull(), F.lit("user not found"))
                .when(F.col("shop_name").isNull(), F.lit("shop name is missing"))
                .when(F.col("__su").isNotNull(), F.lit("user is already a seller"))
                .when(F.col("__sn").isNotNull(), F.lit("shop name is already taken")))
-    r = r.withColumn("reason", reason)
-    cols = [*requests.columns, "__o"]
-    rejected = r.where(F.col("reason").isNotNull()).select(*requests.columns, "reason")
-    pending = r.where(F.col("reason").isNull()).select(*cols).checkpoint()
-    accepted = pending.limit(0)
-    left = pending.count()
-    while left:
-        first_u = pending.groupBy(F.col("user_id").alias("__fu")).agg(F.min("__o").alias("__fuo"))
-        first_n = pending.groupBy(F.col("shop_name").alias("__fn")).agg(F.min("__o").alias("__fno"))
-        p = (pending.join(first_u, F.col("user_id") == F.col("__fu"))
-                    .join(first_n, F.col("shop_name") == F.col("__fn")))
-        take = p.where((F.col("__o") == F.col("__fuo")) & (F.col("__o") == F.col("__fno"))).select(*cols)
-        take = take.checkpoint()
-        accepted = accepted.unionByName(take)
-        tu = take.select(F.col("user_id").alias("__tu"))
-        tn = take.select(F.col("shop_name").alias("__tn"))
-        rest = pending.join(take.select(F.col("__o").alias("__to")), F.col("__o") == F.col("__to"), "left_anti")
-        lost_u = rest.join(tu, F.col("user_id") == F.col("__tu"), "left_semi")
-        lost_n = rest.join(tu, F.col("user_id") == F.col("__tu"), "left_anti").join(
-            tn, F.col("shop_name") == F.col("__tn"), "left_semi")
-        rejected = (rejected.unionByName(lost_u.select(*requests.columns, F.lit("user is already a seller").alias("reason")))
-                            .unionByName(lost_n.select(*requests.columns, F.lit("shop name is already taken").alias("reason"))))
-        pending = (rest.join(tu, F.col("user_id") == F.col("__tu"), "left_anti")
-                       .join(tn, F.col("shop_name") == F.col("__tn"), "left_anti")).checkpoint()
-        before, left = left, pending.count()
-        if left >= before:
-            raise RuntimeError("requests without an order cannot be decided")
-    ok = accepted
+    r = r.withColumn("reason", reason).select(*requests.columns, TOTAL, "reason").checkpoint()
+    judged = decide_claims(r.where(F.col("reason").isNull()).drop("reason"), ["user_id", "shop_name"])
+    lost = F.when(F.array_contains("__failed", 0), F.lit("user is already a seller")).otherwise(
+        F.lit("shop name is already taken"))
+    rejected = r.where(F.col("reason").isNotNull()).select(*requests.columns, "reason").unionByName(
+        judged.where(~accepted()).select(*requests.columns, lost.alias("reason")))
+    ok = judged.where(accepted()).select(*requests.columns)
     new_sellers = ok.select(new_key(sellers.schema["id"].dataType, "seller", "user_id").alias("id"), "user_id",
                             "shop_name", F.lit("active").alias("status"))
     all_sellers, _ = insert(sellers, new_sellers, "sellers", as_of)
@@ -639,33 +568,14 @@ def promote_sellers(users: DataFrame, sellers: DataFrame, requests: DataFrame, a
 
 # ---------------------------------------------------------------- Q36 several unique columns inside a batch
 def first_of_batch(requests: DataFrame, unique_cols: Sequence[str], order_col: str) -> dict[str, DataFrame]:
-    """Requests that one-by-one application in the order of ``order_col`` (unique) would accept when every column of
-    ``unique_cols`` must differ from all earlier accepted requests (nulls never clash).
-
-    Each round accepts the pending requests that are the earliest of all their values and refuses what clashes with
-    them; one round suffices unless values overlap in chains. Returns {'accepted', 'rejected'}.
+    """Requests that one-by-one application in the order of ``order_col`` would accept when every column of
+    ``unique_cols`` must differ from all earlier accepted requests (nulls never clash, ``serial.decide_claims``). Equal
+    orders are decided by a hash of the request and its landed number, missing ones come first: every request is
+    accepted or rejected, never both. Returns {'accepted', 'rejected'}.
     """
-    pending = requests.checkpoint()
-    accepted, rejected = pending.limit(0), pending.limit(0)
-    while not pending.isEmpty():
-        judged, first = pending, F.lit(True)
-        for i, c in enumerate(unique_cols):
-            low = pending.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"__v{i}")).agg(
-                F.min(order_col).alias(f"__m{i}"))
-            judged = judged.join(low, F.col(c) == F.col(f"__v{i}"), "left")
-            first = first & F.coalesce(F.col(f"__m{i}") == F.col(order_col), F.lit(True))
-        taken = judged.where(first).select(*requests.columns).checkpoint()
-        rest = pending.join(taken.select(F.col(order_col).alias("__t")), F.col(order_col) == F.col("__t"), "left_anti")
-        clash = F.lit(False)
-        for i, c in enumerate(unique_cols):
-            used = taken.select(F.col(c).alias(f"__u{i}")).where(F.col(f"__u{i}").isNotNull()).distinct()
-            rest = rest.join(used, F.col(c) == F.col(f"__u{i}"), "left")
-            clash = clash | F.col(f"__u{i}").isNotNull()
-        rest = rest.withColumn("__clash", clash).checkpoint()
-        accepted = accepted.unionByName(taken)
-        rejected = rejected.unionByName(rest.where("__clash").select(*requests.columns))
-        pending = rest.where("not __clash").select(*requests.columns)
-    return {"accepted": accepted, "rejected": rejected}
+    judged = decide_claims(in_total_order(requests, [order_col]), list(unique_cols))
+    return {"accepted": judged.where(accepted()).select(*requests.columns),
+            "rejected": judged.where(~accepted()).select(*requests.columns)}
 
 
 # ---------------------------------------------------------------- Q11 / Q24 renames and creates with unique names
@@ -675,93 +585,37 @@ def rename_unique(base: DataFrame, changes: DataFrame, key: str, name_cols: Sequ
 
     Serial meaning: in (change_ts, seq) order a change sets the name
     (null fields keep their value, M2) unless another row holds the new name
-    at that moment; a name is freed when its holder is renamed. Exact batch
-    result in rounds: a pending change is decided once no earlier pending
-    change targets the same name, comes from the row holding that name, or
-    comes from the same row; such changes cannot affect each other, so a
-    round decides them all, and the earliest pending change is always among
-    them. The name map and the pending set are checkpointed each round.
+    at that moment; a name is freed when its holder is renamed
+    (``serial.decide_patches``). Equal orders are decided by a hash of the
+    change and its landed number, missing ones come first.
     Returns {'base', 'rejected'}.
     """
-    o = _order(order)
     names = list(name_cols)
-    tcols = [f"__t_{c}" for c in names]
-    named = [F.col(key).alias("__k"), *[F.col(c).alias(f"__cur_{c}") for c in names]]
-    touched_keys = changes.select(F.col(key).alias("__kn")).distinct()
-    mine = base.join(touched_keys, base[key] == F.col("__kn"), "left_semi").select(*named)
-    # besides the rows of the batch, only rows can matter whose name is made of values that changes name or rows have
-    holders_of = base
-    for c in names:
-        values = (changes.select(F.col(c).alias("__w")).unionByName(mine.select(F.col(f"__cur_{c}").alias("__w")))
-                  .where(F.col("__w").isNotNull()).distinct())
-        holders_of = holders_of.join(values, holders_of[c] == F.col("__w"), "left_semi")
-    state = mine.unionByName(holders_of.select(*named)).dropDuplicates(["__k"]).checkpoint()
-    known = mine.select(F.col("__k").alias("__kn"))
-    pending = changes.withColumn("__o", o).select(*changes.columns, "__o")
+    judged = decide_patches(base, in_total_order(changes, order), key, [names])
     # a change for a row that does not exist updates nothing (the source answers "not found")
-    rejected = pending.join(known, pending[key] == F.col("__kn"), "left_anti").select(*changes.columns).withColumn(
-        "reason", F.lit("not found"))
-    pending = pending.join(known, pending[key] == F.col("__kn"), "left_semi")
-    decided = None
-    while not pending.isEmpty():
-        cur = pending.join(state, pending[key] == F.col("__k"), "inner")
-        target = [F.coalesce(F.col(c), F.col(f"__cur_{c}")).alias(f"__t_{c}") for c in names]
-        cur = cur.select(*pending.columns, *target)
-        # one holder per name (null names never clash)
-        holders = (state.where(functools.reduce(lambda a, b: a & b, [F.col(f"__cur_{c}").isNotNull() for c in names]))
-                        .groupBy(*[F.col(f"__cur_{c}").alias(f"__hn_{c}") for c in names])
-                        .agg(F.min("__k").alias("__h")))
-        cur = cur.join(holders, functools.reduce(lambda a, b: a & b,
-                                                 [F.col(f"__t_{c}") == F.col(f"__hn_{c}") for c in names]), "left")
-        first_t = cur.groupBy(*[F.col(t).alias(f"__f{t}") for t in tcols]).agg(F.min("__o").alias("__ft"))
-        cur = cur.join(first_t, functools.reduce(lambda a, b: a & b,
-                                                 [F.col(t).eqNullSafe(F.col(f"__f{t}")) for t in tcols]), "inner")
-        first_k = pending.groupBy(F.col(key).alias("__fk")).agg(F.min("__o").alias("__fko"))
-        cur = cur.join(first_k, cur[key] == F.col("__fk"))
-        h_first = first_k.select(F.col("__fk").alias("__hk"), F.col("__fko").alias("__hko"))
-        cur = cur.join(h_first, cur["__h"] == F.col("__hk"), "left")
-        ready = cur.where((F.col("__o") == F.col("__ft")) & (F.col("__o") == F.col("__fko")) &
-                          (F.col("__hk").isNull() | (F.col("__h") == F.col(key)) | (F.col("__hko") > F.col("__o"))))
-        ready = ready.withColumn("__ok", F.col("__h").isNull() | (F.col("__h") == F.col(key))).checkpoint()
-        ok = ready.where(F.col("__ok"))
-        bad = ready.where(~F.col("__ok")).select(*changes.columns).withColumn("reason", F.lit("name already in use"))
-        rejected = rejected.unionByName(bad)
-        applied = ok.select(F.col(key).alias("__a"), *[F.col(f"__t_{c}").alias(f"__new_{c}") for c in names])
-        state = state.join(applied, state["__k"] == F.col("__a"), "left").select(
-            "__k", *[F.when(F.col("__a").isNotNull(), F.col(f"__new_{c}")).otherwise(F.col(f"__cur_{c}"))
-                     .alias(f"__cur_{c}") for c in names])
-        state = state.checkpoint()
-        done = ok.select(F.col(key).alias("__dk2"))
-        decided = done if decided is None else decided.unionByName(done)
-        pending = pending.join(ready.select(F.col("__o").alias("__d"), F.col(key).alias("__dk")),
-                               (F.col("__o") == F.col("__d")) & (F.col(key) == F.col("__dk")), "left_anti").checkpoint()
-    out = base.join(state, base[key] == F.col("__k"), "left")
-    for c in names:
-        out = out.withColumn(c, F.when(F.col("__k").isNotNull(), F.col(f"__cur_{c}")).otherwise(F.col(c)))
-    out = out.drop("__k", *[f"__cur_{c}" for c in names])
-    if decided is not None:
-        touched = decided.distinct()
-        out = out.join(touched, out[key] == F.col("__dk2"), "left")
-        out = touch(out, F.col("__dk2").isNotNull(), as_of).drop("__dk2")
+    reason = F.when(~F.col("__known"), F.lit("not found")).otherwise(F.lit("name already in use"))
+    rejected = judged.where(~F.col("__known") | ~accepted()).select(*changes.columns, reason.alias("reason"))
+    out = patch_coalesce(base, judged.where(F.col("__known") & accepted()), key, names, as_of, (TOTAL,))
     return {"base": out.select(*base.columns), "rejected": rejected}
 
 
 def create_unique(base: DataFrame, new_rows: DataFrame, table: str, name_cols: Sequence[str],
                   key_namespace: str, as_of=None, order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
     """Q24 create (M1 + C1): insert rows whose name tuple is not taken (first
-    of the batch wins; a missing name part is refused). Keys are derived from the name tuple."""
-    o = _order(order)
-    names = list(name_cols)
+    of the batch wins, equal orders by a hash of the row and its landed number; a missing name part is
+    refused). Keys are derived from the name tuple."""
+    columns, names = new_rows.columns, list(name_cols)
+    new_rows = in_total_order(new_rows, order)
     nameless = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])
-    missing = new_rows.where(nameless).withColumn("reason", F.lit("name is missing"))
+    missing = new_rows.where(nameless).select(*columns, F.lit("name is missing").alias("reason"))
     new_rows = new_rows.where(~nameless)
     taken = base.select(*names).distinct()
     fresh = new_rows.join(taken, names, "left_anti")
-    clash = new_rows.join(taken, names, "left_semi").withColumn("reason", F.lit("name already in use"))
-    first = fresh.groupBy(*names).agg(F.min(o).alias("__first"))
+    clash = new_rows.join(taken, names, "left_semi").select(*columns, F.lit("name already in use").alias("reason"))
+    first = fresh.groupBy(*names).agg(F.min(TOTAL).alias("__first"))
     fresh = fresh.join(first, names)
-    dup = fresh.where(o != F.col("__first")).drop("__first").withColumn("reason", F.lit("name already in use"))
-    ok = fresh.where(o == F.col("__first")).drop("__first")
+    dup = fresh.where(F.col(TOTAL) != F.col("__first")).select(*columns, F.lit("name already in use").alias("reason"))
+    ok = fresh.where(F.col(TOTAL) == F.col("__first")).select(*columns)
     ok = ok.withColumn("id", new_key(base.schema["id"].dataType, key_namespace, *names))
     all_rows, inserted = insert(base, ok, table, as_of)
     return {"base": all_rows, "inserted": inserted, "rejected": clash.unionByName(dup).unionByName(missing)}
