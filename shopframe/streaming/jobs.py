@@ -18,6 +18,7 @@ Event times from the test data are ``timestamp_ntz``; watermarks need
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..operators import changes as M
 from ..operators import metrics as A
+from ..sources.buckets import BucketedTable
 from ..sources.tables import read_version, write_version
 
 DEFAULT_WATERMARK = "1 hour"          # T7: lateness covered; older window state is evicted
@@ -46,6 +48,21 @@ def read_changes(spark: SparkSession, path: str, schema: T.StructType, max_files
     return df
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Jobs with several state variables and timers (``transformWithStateInPandas``) need this state store."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
 def run_batches(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
                 output_mode: str = "update", available_now: bool = True, name: str | None = None):
     """Drive ``handler(batch_df, batch_id)`` with a checkpointed
@@ -117,61 +134,89 @@ def sliding_counts(events: DataFrame, key: str = "user_id", ts: str = "created_a
 
 
 # ---------------------------------------------------------------- T3 exact (Q37): rate limit over accepted requests
-RATE_LIMIT_STATE = "times array<long>"
-
-
 def rate_limited(requests: DataFrame, key: str = "user_id", ts: str = "ts", limit: int = CODE_LIMIT,
                  window_seconds: int = 3600, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """Q37 exactly: a request is accepted when fewer than ``limit`` *accepted*
-    requests of the same key lie in ``(ts - window, ts]``; a refused request
-    records nothing. This is a per-key sequential recurrence, so it runs as a
-    custom stateful operator (``applyInPandasWithState``): the state per key
-    is the accepted times still inside the window (at most ``limit``), and
-    all of a micro-batch's times of a key, however many Arrow batches they
-    come in, are put in order first (eight bytes each; a micro-batch bounds
-    them). Feeds must arrive in event-time order across micro-batches (as
-    ``Feed`` writes them). The state of a key is dropped once the watermark
-    has passed its window. Requests without a time are refused.
+    """Q37 exactly: a request is accepted when fewer than ``limit`` *accepted* requests of the same key lie in
+    ``(ts - window, ts]``; a refused request records nothing.
+
+    The rule is a recurrence in event-time order, and a feed may bring requests in any order within the watermark's
+    delay. So a key's state is a list of the requests that are not decided yet and a list of the accepted times still
+    inside the window. A request is decided by an event-time timer once the watermark has passed it, when no earlier
+    request can come any more; the timer of the last accepted time plus the window drops a key that stays silent. (The
+    store's own time-to-live follows the clock, not event time, so timers expire the state.) The state of a key is
+    bounded by its requests within the delay and ``limit``. Rows later than the delay are dropped by Spark and in no
+    output. Requests without a time are refused at once. Rows without a key are no requests and only move the
+    watermark: the row of ``close_feed`` decides what is pending at the end of a feed. Start the job inside ``keyed_state``.
     Output: (key, ts, accepted, recent = accepted requests in the window before this one).
     """
-    import numpy as np
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    window = int(window_seconds) * 1_000_000
+    window, key_name = int(window_seconds) * 1_000_000, key
     key_type = requests.schema[key].dataType.simpleString()
 
-    def step(key_value, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        arrived = [pdf["__us"].to_numpy() for pdf in batches]
-        lost = sum(int(pd.isna(a).sum()) for a in arrived)
-        times = np.sort(np.concatenate([a[~pd.isna(a)].astype(np.int64) for a in arrived]))
-        if lost:
-            yield pd.DataFrame({key: [key_value[0]] * lost, "__us": pd.array([None] * lost, dtype="Int64"),
-                                "accepted": [False] * lost, "recent": [0] * lost})
-        for at in range(0, len(times), 10_000):
-            accepted, recent = [], []
-            for t in times[at:at + 10_000].tolist():
+    class Limiter(StatefulProcessor):
+        """Nested, so that workers need no copy of this package."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.pending = handle.getListState("pending", "us long")
+            self.accepted = handle.getListState("accepted", "us long")
+
+        @staticmethod
+        def _list(state):
+            return [r[0] for r in state.get()] if state.exists() else []
+
+        def _timer(self, times):
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if times:
+                self.handle.registerTimer(-(-min(times) // 1000) + 1)
+
+        def handleInputRows(self, key, rows, timerValues):
+            new = [int(t) for pdf in rows for t in pdf["us"].tolist()]
+            if key[0] and new:
+                pending = sorted([*self._list(self.pending), *new])
+                self.pending.put([(t,) for t in pending])
+                self._timer(pending)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            pending, kept, out = self._list(self.pending), self._list(self.accepted), []
+            due = sorted(t for t in pending if t < passed)
+            left = [t for t in pending if t >= passed]
+            for t in due:
                 kept = [x for x in kept if x > t - window]
-                recent.append(len(kept))
-                accepted.append(len(kept) < limit)
-                if accepted[-1]:
+                out.append((key[0][1:], t, len(kept) < limit, len(kept)))
+                if out[-1][2]:
                     kept.append(t)
-            part = times[at:at + 10_000]
-            yield pd.DataFrame({key: [key_value[0]] * len(part), "__us": pd.array(part, dtype="Int64"),
-                                "accepted": accepted, "recent": recent})
-        state.update((kept,))
-        end = (max(kept, default=0) + window) // 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-
-    timed = requests.select(F.col(key), F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, watermark)
-    out = (timed.withColumn("__us", F.unix_micros(F.col(ts))).groupBy(key)
-                .applyInPandasWithState(step, f"`{key}` {key_type}, __us long, accepted boolean, recent long",
-                                        RATE_LIMIT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
-    return out.select(key, F.timestamp_micros("__us").alias("ts"), "accepted", "recent")
+            kept = [x for x in kept if x + window > passed]
+            for state, values in ((self.pending, left), (self.accepted, kept)):
+                state.put([(t,) for t in values]) if values else state.clear()
+            self._timer(left or [max(kept) + window] if left or kept else [])
+            yield pd.DataFrame({key_name: pd.Series([o[0] for o in out], dtype="object"), "us": [o[1] for o in out],
+                                "accepted": [o[2] for o in out], "recent": [o[3] for o in out]})
+
+        def close(self):
+            pass
+
+    timed = requests.select(F.col(key), F.col(ts).cast("timestamp").alias(ts))
+    schema = f"`{key}` string, us long, accepted boolean, recent long"
+    # keys travel as text that is never null; the empty one only moves the watermark
+    shown = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit(""))
+    out = (timed.where(F.col(ts).isNotNull()).withWatermark(ts, watermark)
+                .select(shown.alias("shown"), ts, F.unix_micros(F.col(ts)).alias("us"))
+                .groupBy("shown").transformWithStateInPandas(Limiter(), schema, "append", "EventTime"))
+    decided = out.select(F.col(key).cast(key_type).alias(key), F.timestamp_micros("us").alias("ts"), "accepted", "recent")
+    return decided.unionByName(timed.where(F.col(ts).isNull()).select(
+        key, F.col(ts).alias("ts"), F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("recent")))
+
+
+def close_feed(feed: DataFrame, ts: str, after: str) -> DataFrame:
+    """One row like those of ``feed``, all null but its time, which lies ``after`` (an interval) the last one."""
+    last = feed.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).cast(feed.schema[ts].dataType).alias(ts))
+    return M.conform(last, feed)
 
 
 # ---------------------------------------------------------------- T4 / T5
@@ -192,31 +237,183 @@ def versioned_apply(base_dir: str, apply: Callable[[DataFrame, DataFrame, int],
     return handle
 
 
-def moderation_handler(comments_dir: str, ratings_dir: str) -> Callable[[DataFrame, int], None]:
-    """T1 + T5 (Trace 3 of the survey): a feed of comment status changes.
+def bucketed_apply(table: BucketedTable, change: Callable[[DataFrame, DataFrame], DataFrame],
+                   key: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """T5: ``foreachBatch`` handler that rewrites only the buckets which a batch's keys touch. A batch that comes again
+    after its commit, in this or a later driver, is skipped; one that died before starts from the same version."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        table.apply(batch, batch_id, change, key)
+    return handle
+
+
+# ---------------------------------------------------------------- T1 with withdrawals
+IMAGE = "parent_type string, parent_id string, rating long, status string, at long, seq long"
+DELTA = "parent_type string, parent_id string, rating_sum long, rating_count long"
+
 
-    Batch ``b`` reads version ``b`` of the comments and of the ratings table,
-    applies the changes (M11), recomputes the averages of the parents the
-    batch touched from the updated comments (A6, so a status moving away
-    from approved lowers them), replaces only those parents' rows, and
-    writes version ``b + 1`` of both. The ratings table holds parents with
-    at least one approved rating.
+def rating_deltas(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Signed changes of the approved-rating sums, from the old and the new image of each changed comment.
+
+    ``changes(id, parent_type, parent_id, rating, status, deleted, change_ts, seq)`` is a feed of comment writes: a null
+    field keeps its value, ``deleted`` removes the comment. The state of a comment is its last image, so a status that
+    moves away from approved, a changed rating, a moved and a deleted comment all take back what they gave, without a
+    read of the comments. Writes without an id are ignored. Writes of one comment are ordered by (change_ts, seq) inside a batch; one that comes in a later
+    batch with an older order is ignored (missing orders come first). ``known`` holds the comments from before the feed,
+    which are in the sums already (checkpointed, because a plan with subqueries cannot be an initial state). Start the job inside ``keyed_state``.
     """
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    fields = [c.split(" ")[0] for c in IMAGE.split(", ")][:4]
+    columns = [c.split(" ")[0] for c in DELTA.split(", ")]
+    image = IMAGE
+
+    class Images(StatefulProcessor):
+        def init(self, handle):
+            self.image = handle.getValueState("image", image)
+
+        @staticmethod
+        def _counted(image):
+            return image is not None and image[3] == "approved" and image[2] is not None
+
+        @staticmethod
+        def _plain(value):
+            return None if value is None or value != value or value is pd.NaT else value
+
+        def handleInitialState(self, key, initialState, timerValues):
+            for r in initialState.itertuples(index=False):
+                values = [self._plain(getattr(r, f)) for f in fields]
+                self.image.update((values[0], values[1], self._long(values[2]), values[3], None, None))
+
+        @staticmethod
+        def _long(value):
+            return None if value is None else int(value)
+
+        def handleInputRows(self, key, rows, timerValues):
+            old = tuple(self.image.get()) if self.image.exists() else None
+            writes = []
+            for pdf in rows:
+                for r in pdf.itertuples(index=False):
+                    order = (self._long(self._plain(r.at)), self._long(self._plain(r.seq)))
+                    writes.append((tuple((x is not None, x or 0) for x in order), order,
+                                   [self._plain(getattr(r, f)) for f in fields], bool(self._plain(r.deleted) or False)))
+            now = old
+            for place, order, values, deleted in sorted(writes, key=lambda w: w[0]):
+                if now is not None and place < tuple((x is not None, x or 0) for x in now[4:]):
+                    continue
+                if deleted:
+                    now = (None, None, None, "deleted", *order)
+                    continue
+                values = [values[0], values[1], self._long(values[2]), values[3]]
+                before = now[:4] if now is not None else (None,) * 4
+                now = (*[b if v is None else v for v, b in zip(values, before)], *order)
+            if now is not None:
+                self.image.update(now)
+            deltas = [(image[0], image[1], sign * image[2], sign) for image, sign in ((old, -1), (now, 1))
+                      if self._counted(image)]
+            if len(deltas) == 2 and deltas[0][:2] == deltas[1][:2] and deltas[0][2] + deltas[1][2] == 0:
+                deltas = []
+            yield pd.DataFrame(deltas, columns=columns)
+
+        def close(self):
+            pass
+
+    parent = changes.schema["parent_id"].dataType
+    images = changes.where("id is not null").select("id", "parent_type", F.col("parent_id").cast("string").alias("parent_id"),
+                            F.col("rating").cast("long").alias("rating"), "status", "deleted",
+                            F.unix_micros(F.col("change_ts").cast("timestamp")).alias("at"),
+                            F.col("seq").cast("long").alias("seq"))
+    first = None if known is None else known.where("id is not null").select(
+        "id", "parent_type", F.col("parent_id").cast("string").alias("parent_id"),
+        F.col("rating").cast("long").alias("rating"), "status").checkpoint().groupBy("id")
+    out = images.groupBy("id").transformWithStateInPandas(Images(), DELTA, "append", "None", initialState=first)
+    return out.withColumn("parent_id", F.col("parent_id").cast(parent))
+
+
+def add_rating_deltas(sums: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Sums and counts of a bucketed table after a batch of deltas; parents without an approved rating leave it."""
     keys = ["parent_type", "parent_id"]
+    return (sums.unionByName(deltas.select(*sums.columns)).groupBy(*keys)
+                .agg(F.sum("rating_sum").alias("rating_sum"), F.sum("rating_count").alias("rating_count"))
+                .where("rating_count <> 0").select(*sums.columns))
+
 
+def landed_batches(handler: Callable[[DataFrame, int], None], out_dir: str) -> Callable[[DataFrame, int], None]:
+    """``handler`` over a stored copy of each batch: it may read the batch several times without running the stateful
+    plan again, and the copy is overwritten when a batch is repeated."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        comments = read_version(spark, comments_dir, batch_id)
-        ratings = read_version(spark, ratings_dir, batch_id)
-        res = M.moderate_comments(comments, batch)
-        touched = res["touched_parents"]
-        fresh = A.ratings(res["comments"].join(touched, keys, "left_semi"))
-        kept = ratings.join(touched, keys, "left_anti")
-        write_version(res["comments"], comments_dir, batch_id + 1)
-        write_version(kept.unionByName(fresh), ratings_dir, batch_id + 1)
+        path = f"{out_dir.rstrip('/')}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        handler(batch.sparkSession.read.schema(batch.schema).parquet(path), batch_id)
     return handle
 
 
+# ---------------------------------------------------------------- T4 expiring state
+# rows travel as JSON with whole microseconds
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+              "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def expiring_tokens(tokens: DataFrame, key: str = "id", created: str = "created_at", expires: str = "expires_at",
+                    revoked: str = "is_revoked", watermark: str = "0 seconds") -> DataFrame:
+    """T4: a feed of inserted tokens as events: (key, expired = false, row) for a token that is inserted live, and
+    (key, expired = true, null) once, when the watermark passes its expiry.
+
+    A token's state is its expiry and one event-time timer. So a purge costs what expires, not a pass over the table.
+    The watermark is the latest ``created`` time less the delay, in milliseconds; after a batch's timers have run, the
+    live tokens are those of M14 as of the watermark. Tokens without a key, revoked tokens and tokens that are past their expiry on arrival
+    give no event; a token without an expiry never expires. Start the job inside ``keyed_state``.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    key_name, key_type = key, tokens.schema[key].dataType.simpleString()
+
+    class Expiry(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.expires = handle.getValueState("expires", "us long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+            for pdf in rows:
+                for us, row in zip(pdf["us"].tolist(), pdf["payload"].tolist()):
+                    us = None if us is None or us != us else int(us)
+                    if us is not None and us < now:
+                        continue
+                    out.append(row)
+                    if us is not None:
+                        self.expires.update((us,))
+                        self.handle.registerTimer(us // 1000 + 1)
+            yield pd.DataFrame({key_name: pd.Series([key[0]] * len(out), dtype="object"),
+                                "expired": pd.Series([False] * len(out), dtype="bool"), "row": out})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            gone = int(self.expires.exists())
+            self.expires.clear()
+            yield pd.DataFrame({key_name: pd.Series([key[0]] * gone, dtype="object"),
+                                "expired": pd.Series([True] * gone, dtype="bool"), "row": [None] * gone})
+
+        def close(self):
+            pass
+
+    row = F.to_json(F.struct(*[F.col(c) for c in tokens.columns]), JSON_TIMES)
+    live = tokens.where(F.col(key).isNotNull() & ~F.coalesce(F.col(revoked), F.lit(False))).select(
+        F.col(key), F.col(created).cast("timestamp").alias("made"),
+        F.unix_micros(F.col(expires).cast("timestamp")).alias("us"), row.alias("payload"))
+    return live.withWatermark("made", watermark).groupBy(key).transformWithStateInPandas(
+        Expiry(), f"`{key}` {key_type}, expired boolean, row string", "append", "EventTime")
+
+
+def apply_token_events(schema: T.StructType, key: str = "id") -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The rows of touched buckets after a batch of ``expiring_tokens`` events."""
+    def change(rows: DataFrame, events: DataFrame) -> DataFrame:
+        added = events.where("not expired").select(F.from_json("row", schema, JSON_TIMES).alias("r")).select("r.*")
+        gone = events.where("expired").select(F.col(key).alias("__gone"))
+        return rows.unionByName(added).join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    return change
+
+
 def expire_tokens_batch(tokens: DataFrame, new_tokens: DataFrame, batch_id: int) -> DataFrame:
     """T4: insert the batch's tokens, then purge expired or revoked ones as of
     the batch's latest event time (the source purges on every insert)."""
