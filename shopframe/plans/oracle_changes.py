@@ -538,6 +538,17 @@ sql("stream_apply_changes", ORACLE["patch_coalesce"])
 sql("stream_expiry", W("refresh_tokens") + """
 SELECT * FROM refresh_tokens
 WHERE NOT (expires_at < (SELECT MAX(created_at) FROM refresh_tokens) OR COALESCE(is_revoked, FALSE))""")
+# The rate limit is a recurrence over each user's requests in order, with the accepted times of the last day.
+sql("stream_rate_limited_codes", W("email_verifications",
+    """n AS (SELECT user_id, created_at AS ts, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY created_at, id) AS k
+  FROM email_verifications)""",
+    """r AS (SELECT user_id, ts, k, TRUE AS accepted, CAST(0 AS BIGINT) AS recent, [ts] AS kept FROM n WHERE k = 1
+  UNION ALL
+  SELECT user_id, ts, k, len(live) < 5, CAST(len(live) AS BIGINT),
+    CASE WHEN len(live) < 5 THEN list_append(live, ts) ELSE live END
+  FROM (SELECT n.*, list_filter(r.kept, lambda x: x > n.ts - INTERVAL 1 DAY) AS live
+        FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1) s)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT user_id, ts, accepted, recent FROM r""")
 sql("stream_enrich", W("comments users products blogs") + """
 SELECT c.*, u.first_name AS author_first_name, u.last_name AS author_last_name, p.name AS parent_name,
   b.title AS parent_title

@@ -26,10 +26,8 @@ def con(sf_dir):
     return c
 
 
-# JSON text formatting differs between engines (checked for shape below); the
-# exact rate limit is a sequential recurrence (checked against a serial brute
-# force in test_streaming.py).
-ROWS_ONLY = {"export_documents", "stream_rate_limited_codes"}
+# JSON text formatting differs between engines (checked for shape below).
+ROWS_ONLY = {"export_documents"}
 # The queries of the optional training-data part have tests of their own.
 OPTIONAL = set(E.LLM_QUERIES)
 
