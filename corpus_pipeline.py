@@ -1,7 +1,12 @@
 """Corpus pipeline: quality rules, SimHash near-duplicates, paragraph deduplication, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read back as the
-next one's ``docs``. All stages but the last return the columns of ``docs``.
+next one's ``docs``. All stages but the last return the columns of ``docs``, whatever their names (dots, names that the
+operators use inside); the last reads doc_id and text alone.
+
+Defined results: a null or empty text is rejected by the quality rules, as it has no words; of near copies the row with
+the smallest id stays (a null id only if all are null; of repeated rows one); very long texts are treated whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))
                              .otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

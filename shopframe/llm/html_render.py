@@ -1,13 +1,15 @@
 """Layout-aware text of HTML pages.
 
 A tree builder applies the implied tags of HTML (closing p, li, dt, dd, option and table parts, opening tbody and tr,
-void and raw-text elements, stray end tags). A renderer walks the tree, leaves out what is not displayed (head, script,
+void and raw-text elements, stray end tags). Text inside svg and math is shown but for their descriptions,
+definitions and annotations; a cell that spans rows keeps its columns in the rows below. A renderer walks the tree, leaves out what is not displayed (head, script,
 style, template and the like, hidden, display:none, visibility:hidden, closed details and dialogs) and writes all other
 text: white space collapsed outside pre, blocks on lines of their own, paragraphs and headings apart by an empty line,
 list items with their bullet or number and indented, table cells aligned in columns.
 
 Defined results: a null page gives a null text, an empty or wholly hidden one an empty text; an unclosed comment or tag
-hides the rest, as in browsers; elements nested deeper than MAX_DEPTH become siblings (their text stays), lists and
+hides the rest, as in browsers; elements nested deeper than MAX_DEPTH become siblings (their text stays, and what is not shown there stays hidden),
+cells longer than MAX_ALIGNED do not widen their column, lists and
 tables nested deeper than MAX_LAYOUT are plain blocks; repeated rows, empty tables and extra columns pass.
 """
 
@@ -31,8 +33,8 @@ MAX_ALIGNED = 48
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = set("head script style template title iframe noembed noframes noscript object svg math datalist audio video "
-             "canvas map col colgroup param source track meta link base rp".split())
+HIDDEN = set("head script style template title iframe noembed noframes noscript object datalist audio video canvas "
+             "map col colgroup param source track meta link base rp desc metadata defs annotation annotation-xml".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
             "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre "
             "search section summary table tbody td textarea tfoot th thead tr ul xmp caption".split())
@@ -72,6 +74,7 @@ class TreeBuilder:
     def __init__(self):
         self.root = Element("html")
         self.open = [self.root]
+        self.flat: list[str] = []  # tags of elements beyond MAX_DEPTH, whose children are their siblings
 
     def _find(self, tags, stop=SCOPE) -> int:
         """Place in the stack of the innermost open element of ``tags``, or 0 if one of ``stop`` comes first."""
@@ -90,8 +93,12 @@ class TreeBuilder:
     def _push(self, tag: str, attributes: str = "") -> None:
         element = Element(tag, attributes)
         self.open[-1].children.append(element)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(element)
+        if tag in VOID:
+            return
+        if len(self.open) < MAX_DEPTH or tag in RAW or element.hidden() and not self.open[-1].hidden():
+            self.open.append(element)  # what is not shown is opened at any depth, so that it hides its content
+        else:
+            self.flat.append(tag)
 
     def text(self, data: str) -> None:
         if data:
@@ -135,7 +142,10 @@ class TreeBuilder:
             del self.open[at + 1:]
 
     def end(self, tag: str) -> None:
-        if tag == "br":
+        if self.flat and tag in self.flat:  # all that was opened inside it is closed as well
+            while self.flat.pop() != tag:
+                pass
+        elif tag == "br":
             self._push("br")
         elif tag == "p" and not self._find({"p"}):
             self._push("p")
@@ -328,9 +338,15 @@ def _list(node: Element, depth: int) -> list[str]:
     return lines
 
 
+def _span(cell: Element, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "1")
+    return min(int(value), most) if re.fullmatch(r"[1-9][0-9]{0,8}", value) else 1
+
+
 def _table(node: Element, depth: int) -> list[str]:
     above: list[str] = []
-    rows: list[list[tuple[int, list[str]]]] = []
+    rows: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines) of the cells of each row
+    taken: dict[int, int] = {}  # column: rows for which a cell above still fills it
     todo = list(reversed(node.children))
     while todo:
         part = todo.pop()
@@ -341,34 +357,41 @@ def _table(node: Element, depth: int) -> list[str]:
         elif part.tag in TABLE_PARTS:
             todo.extend(reversed(part.children))
         elif part.tag == "tr":
-            row = []
+            row, column, below = [], 0, {}
             for cell in part.children:
+                span = down = 1
                 if isinstance(cell, Element) and cell.tag in ("td", "th"):
-                    if not cell.hidden():
-                        span = cell.attributes.get("colspan", "1")
-                        span = min(int(span), 1000) if re.fullmatch(r"[1-9][0-9]{0,8}", span) else 1
-                        row.append((span, flow(cell.children, depth)))
-                elif stray := flow([cell], depth):
-                    row.append((1, stray))
+                    if cell.hidden():
+                        continue
+                    span, down = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+                    lines = flow(cell.children, depth)
+                elif not (lines := flow([cell], depth)):
+                    continue
+                while taken.get(column):
+                    column += 1
+                row.append((column, span, lines))
+                below.update(dict.fromkeys(range(column, column + span), down - 1))
+                column += span
+            taken = {c: n for c, n in {**{c: n - 1 for c, n in taken.items()}, **below}.items() if n > 0}
             rows.append(row)
         else:
             above.extend(flow([part], depth))
     widths: dict[int, int] = {}
     for row in rows:
-        column = 0
-        for span, cell in row:
+        for column, span, cell in row:
             wide = max(map(len, cell), default=0)
             if span == 1 and wide <= MAX_ALIGNED:
                 widths[column] = max(widths.get(column, 0), wide)
-            column += span
     lines = above
     for row in rows:
-        for i in range(max((len(cell) for _, cell in row), default=0)):
-            line, column = [], 0
-            for span, cell in row:
+        for i in range(max((len(cell) for *_, cell in row), default=0)):
+            line, next_column = [], 0
+            for column, span, cell in row:
+                if column > next_column:  # filled from above
+                    line.append(" " * (sum(widths.get(c, 0) + 2 for c in range(next_column, column)) - 2))
                 room = sum(widths.get(c, 0) + 2 for c in range(column, column + span)) - 2
                 line.append((cell[i] if i < len(cell) else "").ljust(room))
-                column += span
+                next_column = column + span
             lines.append("  ".join(line).rstrip())
     return lines
 
@@ -378,7 +401,7 @@ def visible_text(page: str) -> str:
 
 
 def with_visible_text(pages: DataFrame, html_col: str = "html", out: str = "visible_text") -> DataFrame:
-    """``pages`` with the rendered text of ``html_col`` as column ``out``."""
+    """``pages`` with the rendered text of ``html_col`` as column ``out`` (in place of a column of that name)."""
     ship_package(pages.sparkSession)
 
     @F.pandas_udf("string")

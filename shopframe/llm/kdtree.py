@@ -4,8 +4,8 @@ Vectors are dealt evenly to shards of about ``shard_rows`` rows, and each shard
 dimension is split at its median until a leaf holds LEAF rows, and every node keeps the tight bounding box of its rows.
 The largest inner product that a box allows is the sum over the dimensions of the larger of q * low and q * high.
 Queries come in blocks. A block first searches one shard; the kth score found there bounds its search of all shards,
-which visits boxes best first and stops at boxes that cannot reach the kth score any more. Equal scores are kept until
-ties are resolved, so the result is exact.
+which visits boxes best first and stops at boxes that cannot reach the kth score any more. Of equal scores a shard keeps
+the smaller ids, so it returns k rows a query however many copies it holds, and the result is exact.
 
 Components are scaled and floored in double precision, which is exact for them. Products use matrix routines while all
 sums stay below 2^53, and integers of any size otherwise; a score beyond 64 bits counts as the nearest long.
@@ -88,7 +88,7 @@ def _as_longs(scores: np.ndarray) -> np.ndarray:
 
 
 def search_tree(tree, query_ids, queries, bounds, k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """For each query its best (score, id) in the tree that reach its bound; k of them, and all ties with the kth."""
+    """For each query the first k (score, id) in the tree that reach its bound, equal scores by the smaller id."""
     ids, x, boxes = tree
     if not _exact(x, queries):
         x, boxes, queries = _integers(x), _integers(boxes), _integers(queries)
@@ -96,7 +96,7 @@ def search_tree(tree, query_ids, queries, bounds, k: int) -> Iterator[tuple[int,
     reach = _as_longs(positive @ boxes[:, 1].T + negative @ boxes[:, 0].T)
     nodes = nodes_of(len(ids))
     for i, q in enumerate(queries):
-        kth, scores, found = bounds[i], [], []
+        kth, found = bounds[i], []  # found: (-score, id), at most k
         heap = [(-reach[i, 0], 0)]
         while heap and -heap[0][0] >= kth:
             _, node = heapq.heappop(heap)
@@ -109,11 +109,10 @@ def search_tree(tree, query_ids, queries, bounds, k: int) -> Iterator[tuple[int,
             s = _as_longs(x[a:b] @ q)
             take = np.flatnonzero((s >= kth) & (ids[a:b] != query_ids[i]))
             if len(take):
-                found += [(int(v), int(c)) for v, c in zip(s[take], ids[a:b][take])]
-                scores = heapq.nlargest(k, scores + [int(v) for v in s[take]])
-                if len(scores) == k:
-                    kth = max(kth, scores[-1])
-        yield i, [f for f in found if f[0] >= kth]
+                found = heapq.nsmallest(k, found + [(-int(v), int(c)) for v, c in zip(s[take], ids[a:b][take])])
+                if len(found) == k:
+                    kth = max(kth, -found[-1][0])
+        yield i, [(-v, c) for v, c in found]
 
 
 def _packed(rows: DataFrame, parts: int, with_boxes: bool) -> DataFrame:

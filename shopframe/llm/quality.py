@@ -135,7 +135,7 @@ def quality_features(docs: DataFrame, carry: list[str], text_col: str = "text",
     lang = F.col(lang_col) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     source = F.col(source_col) if source_col and source_col in docs.columns else F.lit(None).cast("string")
     text, words = F.col("__q_text"), F.col("__q_words")
-    d = docs.select(F.struct(*carry).alias("__q_row"),
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__q_row"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"),
                     F.coalesce(F.when(lang.isin(*COMMON_WORDS), lang), F.lit("other")).alias("__q_lang"),
                     F.pmod(F.xxhash64(source), F.lit(SOURCE_GROUPS)).alias("__q_group"))

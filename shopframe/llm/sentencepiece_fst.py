@@ -271,7 +271,8 @@ def with_decoded_text(rows: DataFrame, ids_col: str = "ids", out: str = "text",
 
 
 def with_round_trip(rows: DataFrame, text_col: str = "text", model: str | None = None) -> DataFrame:
-    """``rows`` with ``ids`` and ``decoded``, the piece ids of ``text_col`` and their text, in one pass."""
+    """``rows`` with ``ids`` and ``decoded``, the piece ids of ``text_col`` and their text, in one pass. Columns of
+    ``rows`` by these two names are replaced, all others stay."""
     ship_package(rows.sparkSession)
     path = model or public_tokenizers.path(MODEL)
 
@@ -283,8 +284,11 @@ def with_round_trip(rows: DataFrame, text_col: str = "text", model: str | None =
             yield pd.DataFrame({"ids": pd.Series([None if x is None else np.array(x, np.int32) for x in ids], dtype=object),
                                 "decoded": pd.Series([None if x is None else fst.decode(x) for x in ids], dtype=object)})
 
-    return rows.withColumn("__both", both(F.col(text_col))).withColumns(
-        {"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")
+    made = "__both"
+    while made in rows.columns:
+        made += "_"
+    return rows.withColumn(made, both(F.col(text_col))).withColumns(
+        {"ids": F.col(made)["ids"], "decoded": F.col(made)["decoded"]}).drop(made)
 
 
 def _slices(batches: Iterator[pd.Series], size: int = 500) -> Iterator[pd.Series]:

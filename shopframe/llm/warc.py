@@ -54,7 +54,8 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(id_col).cast("long").alias("id"),
         F.replace(F.replace(F.col(url_col), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"),
         payload.alias("payload"), F.octet_length(payload).alias("size"),
-        F.sha1(F.encode(payload, "UTF-8")).alias("digest"), (F.col(time_col) if time_col else seconds).alias("time"))
+        F.sha1(F.encode(payload, "UTF-8")).alias("digest"), 
+        (F.coalesce(F.col(time_col).cast("timestamp"), seconds) if time_col else seconds).alias("time"))
     repeated = land(rows.where(F.col("size") >= min_revisit).groupBy("digest", "size")
                     .agg(F.max("id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
                     .select("digest", "size", "last"), "repeated-payloads")

@@ -1,7 +1,7 @@
 """Frames and texts for the tests of the training-data operators."""
 
 CLASHES = ["k", "c", "id", "label", "words", "fingerprint", "node", "start", "end", "row", "spans", "part", "__text", "__k",
-           "__c", "__row", "__print", "__spans"]
+           "__c", "__row", "__print", "__spans", "a.b", "text.x", "__both"]
 
 
 def documents(spark, rows):

@@ -62,3 +62,10 @@ def test_boxes_are_tight():
     assert sorted(map(tuple, y)) == sorted(map(tuple, x)) and (x[ids] == y).all()
     for (a, b, _), (low, high) in zip(K.nodes_of(1000), boxes):
         assert (low == y[a:b].min(0)).all() and (high == y[a:b].max(0)).all()
+
+
+def test_a_shard_keeps_k_of_many_equal_vectors():
+    ids, x = np.arange(16_000)[::-1].copy(), np.ones((16_000, 4))
+    tree = K.build_tree(ids, x)
+    (_, best), = K.search_tree(tree, [3], np.ones((1, 4)), [-math.inf], 10)
+    assert best == [(4, i) for i in (0, 1, 2, 4, 5, 6, 7, 8, 9, 10)]

@@ -26,6 +26,13 @@ def rows():
     return out + [(100 + i, f"http://h{rng.randrange(5)}.org/{rng.randrange(9)}", f"page {i}") for i in range(60)]
 
 
+def test_rows_without_a_time_get_the_stand_in(spark, tmp_path):
+    data = spark.createDataFrame([(1, "http://a.org/", "x", "2021-05-06 07:08:09"), (2, "http://a.org/", "y", None)],
+                                 "page_id long, url string, html string, t string")
+    out = W.archive_and_index(data, str(tmp_path / "w"), time_col="t").collect()
+    assert {r.page_id: r.captured_at for r in out} == {1: "2021-05-06T07:08:09Z", 2: "2020-01-01T00:00:02Z"}
+
+
 def wanted(data):
     last = {}
     for i, _, h in data:
