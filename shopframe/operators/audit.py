@@ -223,9 +223,13 @@ def user_patch_rules() -> list[Rule]:
             pattern_rule("home_phone_number", LANDLINE_PATTERN, "landline", allow_empty=True)]
 
 
-def order_document_rules() -> list[Rule]:
-    """Q16 order document."""
-    return [required_rule("address_id"), required_rule("payment_method"),
+def order_document_rules(uuid_keys: bool = False) -> list[Rule]:
+    """Q16 order document (C10, C11); with ``uuid_keys`` the address and every product must be named by a UUID (C9; the
+    test tables have bigints)."""
+    def no_uuid(x):
+        return x["product_id"].isNotNull() & ~x["product_id"].cast("string").rlike(UUID_PATTERN)
+    uuids = [pattern_rule("address_id", UUID_PATTERN, "uuid"), items_rule("items", "item_product_uuid", no_uuid)]
+    return [*(uuids if uuid_keys else []), required_rule("address_id"), required_rule("payment_method"),
             allowed_rule("payment_method", PAYMENT_METHODS),
             required_rule("items"), array_size_rule("items", 1, None),
             items_rule("items", "item_product", lambda x: x["product_id"].isNull()),

@@ -752,13 +752,14 @@ def create_products(documents: DataFrame, doc_id: str = "doc_id", seller_col: st
                     json_col: str = "document", as_of=None, key_type: T.DataType = T.LongType()) -> dict[str, DataFrame]:
     """Q5: product documents -> products (defaults applied: stock 0, status
     active), bridge rows and feature rows, in one unit; invalid documents
-    (C10: name, price > 0, at least one category, stock >= 0) are reported.
+    (C10: name, price > 0, at least one category, stock >= 0, features with name and value) are reported.
     Returns {'products', 'product_categories', 'product_features', 'violations'}."""
-    from .audit import array_size_rule, range_rule, required_rule, validate
+    from .audit import array_size_rule, items_rule, range_rule, required_rule, validate
     parsed = documents.withColumn("__d", F.from_json(F.col(json_col), PRODUCT_DOC_SCHEMA)).select(
         doc_id, seller_col, "__d.*")
     rules = [required_rule("name"), required_rule("price"), range_rule("price", 0, None, low_exclusive=True),
-             required_rule("categories"), array_size_rule("categories", 1, None), range_rule("stock", 0, None)]
+             required_rule("categories"), array_size_rule("categories", 1, None), range_rule("stock", 0, None),
+             items_rule("features", "feature", lambda x: x["name"].isNull() | x["value"].isNull())]
     valid, violations = validate(parsed, rules, doc_id, "product_documents")
     valid = valid.withColumn("id", new_key(key_type, "product", doc_id))
     products = with_defaults(valid.select("id", F.col(seller_col).alias("seller_id"), "name", "price",

@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import order_spec
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_LIMIT = 10
 
 
@@ -50,6 +53,37 @@ def keyset_page(df: DataFrame, sort_col: str, direction: str, after_value, after
     return df.where(cond).orderBy(*order).limit(int(limit))
 
 
+ROWS_PER_RANGE = 1_000_000
+
+
+def deep_page(df: DataFrame, sort_col: str, direction: str = "DESC", limit: int = DEFAULT_LIMIT, offset: int = 0,
+              id_col: str = "id", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The page of ``page`` at any offset, by distributed selection (``id_col`` is unique and not null).
+
+    The sort keys alone are dealt into ranges of about ``rows_per_range`` rows and landed; the sizes of the ranges tell
+    which of them hold the ranks ``offset + 1 .. offset + limit``. Only those are sorted, so a task holds a range and not
+    ``offset + limit`` rows, and the driver one number a range. Ties are dealt on by id, so a sort value that most rows
+    share fills several ranges. The rows themselves are fetched for the page only.
+    """
+    if limit is None or limit <= 0 or offset < 0:
+        raise ValueError("limit must be positive and offset not negative")
+    ensure_checkpoint_dir(df.sparkSession)
+    order = order_spec(sort_col, direction, tie_break=id_col)
+    keys = df.select(*dict.fromkeys([sort_col, id_col]))
+    ranges = max(1, -(-keys.count() // int(rows_per_range)))
+    dealt = keys.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    wanted, before, first = [], 0, None
+    for number, n in sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count("*").alias("n")).collect()):
+        if before < offset + limit and before + n > offset:
+            first = before if first is None else first
+            wanted.append(number)
+        before += n
+    if not wanted:
+        return df.limit(0)
+    found = page(dealt.where(F.col("__range").isin(wanted)).drop("__range"), order, limit, offset - first).checkpoint()
+    return in_page_order(of_page(df, id_col, found, limit, id_col), order, limit)
+
+
 def page_info(df: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0,
               count_expr: Column | None = None) -> DataFrame:
     """One-row paging summary: total, total_pages, current_page, limit, offset.

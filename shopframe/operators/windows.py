@@ -38,8 +38,38 @@ def _micros(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def _prefix_counts(rows: DataFrame, key: str, w_us: int, as_: str, rows_per_range: int) -> DataFrame:
+    """``rows`` with ``as_``, the rows of the same key with __t in (__t - w, __t], by differences of prefix counts.
+
+    Every row stands in one order of (key, time) three times: as itself, as a probe behind its own time and as a probe
+    behind the lower end of its window. The number of rows before a probe is the total of the ranges before its own
+    and a running count inside it; the difference of a row's two probes is its window, and what lies before the key
+    cancels out. Ranges are cut anywhere, also inside one key and one moment, so no task depends on a key's size.
+    """
+    rows = rows.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+
+    def events(at: Column, kind: int) -> DataFrame:
+        return rows.select(F.col(key).alias("__key"), at.alias("__at"), F.lit(min(kind, 1)).alias("__kind"), "__id",
+                           F.lit(int(kind == 0)).cast("long").alias("__own"), F.lit((0, 1, -1)[kind]).alias("__sign"))
+
+    every = events(F.col("__t"), 0).unionByName(events(F.col("__t"), 1)).unionByName(events(F.col("__t") - w_us, 2))
+    order = ["__key", "__at", "__kind", "__id", "__sign"]
+    ranges = max(1, -(-every.count() // rows_per_range))
+    dealt = every.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    totals = dealt.groupBy("__range").agg(F.sum("__own").alias("__n"))  # one row a range
+    before = totals.select("__range", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    running = F.sum("__own").over(Window.partitionBy("__range").orderBy(*order)
+                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    probes = dealt.withColumn("__running", running).where("__kind = 1").join(before, "__range")
+    counts = probes.groupBy("__id").agg(
+        F.sum(F.col("__sign") * (F.col("__running") + F.col("__before"))).cast("bigint").alias(as_))
+    return rows.join(counts, "__id").drop("__id")
+
+
 def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int, limit: int | None = None,
-                   as_: str = "n_in_window") -> DataFrame:
+                   as_: str = "n_in_window", hot_rows: int | None = None,
+                   rows_per_range: int = 1_000_000) -> DataFrame:
     """For every row, the number of rows of the same key in ``(ts - window, ts]``.
 
     The lower bound is strict: a row exactly one window old is out. A row
@@ -52,17 +82,37 @@ def trailing_count(df: DataFrame, key: str, ts: str, window_seconds: int, limit:
     so each row is also copied into the next bucket as context. The range
     window is partitioned by (key, bucket), spreading a hot key over time,
     and counts context rows while only the bucket's own rows are kept.
+    With ``hot_rows``, buckets of one key that hold more rows than that are
+    counted by prefix counts over ranges of about ``rows_per_range`` events
+    instead, so that a key with all its rows inside one window is spread too.
     """
     w_us = int(window_seconds) * MICROS_PER_SECOND
     base = df.withColumn("__t", _micros(ts))
     untimed = base.where(F.col("__t").isNull()).drop("__t").withColumn(as_, F.lit(0).cast("bigint"))
     base = base.where(F.col("__t").isNotNull()).withColumn("__b", F.floor(F.col("__t") / F.lit(w_us)).cast("bigint"))
+    spread = None
+    if hot_rows is not None:
+        big = base.groupBy(F.col(key).alias("__hk"), F.col("__b").alias("__hb")).count().where(F.col("count") > hot_rows)
+        # a bucket is hot if it or the one before, which its windows reach into, holds that many rows
+        hot = big.select("__hk", "__hb").unionByName(big.select("__hk", (F.col("__hb") + 1).alias("__hb"))).distinct().checkpoint()
+        if not hot.isEmpty():
+            def here(bucket):
+                return F.col(key).eqNullSafe(F.col("__hk")) & (bucket == F.col("__hb"))
+            marked = base.join(hot.withColumn("__hot", F.lit(True)), here(F.col("__b")), "left").drop("__hk", "__hb")
+            needed = marked.join(hot, here(F.col("__b") + 1), "left_semi").where("__hot is null").unionByName(
+                marked.where("__hot"))
+            spread = _prefix_counts(needed, key, w_us, as_, rows_per_range).where("__hot").drop("__hot", "__t", "__b")
+            base = marked.drop("__hot")
+            cold = hot.withColumn("__skip", F.lit(True))
     own = base.withColumn("__own", F.lit(True))
     ctx = base.withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))
     both = own.unionByName(ctx)
+    if spread is not None:
+        both = both.join(cold, here(F.col("__b")), "left").where("__skip is null").drop("__skip", "__hk", "__hb")
     win = (Window.partitionBy(key, "__b").orderBy("__t").rangeBetween(-(w_us - 1), 0))
     counted = both.withColumn(as_, F.count(F.lit(1)).over(win)).where(F.col("__own"))
     out = counted.drop("__t", "__b", "__own").unionByName(untimed)
+    out = out if spread is None else out.unionByName(spread)
     if limit is not None:
         out = out.withColumn("blocks_next", F.col(as_) >= F.lit(int(limit)))
     return out

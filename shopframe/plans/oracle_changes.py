@@ -36,6 +36,7 @@ SELECT v.*, n_in_window >= 5 AS blocks_next FROM (
 
 sql("trailing_attempts", _trailing(86400 * 10**6))
 sql("trailing_attempts_hour", _trailing(3600 * 10**6))
+sql("trailing_attempts_spread", _trailing(86400 * 10**6))
 
 _CAND = ("""cand AS (SELECT v.*, s.submitted_at AS sub_at, s.code AS scode FROM email_verifications v
   JOIN code_submissions s ON v.user_id = s.user_id AND v.verification_code = s.code
@@ -361,6 +362,7 @@ _COM = ("""j AS (SELECT n.*, CASE WHEN n.parent_type NOT IN ('blog', 'product')
 sql("comment_create", W("comments products blogs users new_comments", *_COM) + f"""
 SELECT {_key('comment', 'user_id', 'epoch_us(change_ts)', 'seq')} AS id, user_id, parent_type, parent_id, content,
   rating, CASE WHEN user_id IN (SELECT id FROM users WHERE role = 'admin') THEN 'approved' ELSE 'pending' END AS status, change_ts AS created_at FROM j WHERE reason IS NULL""")
+sql("comment_append", ORACLE["comment_create"])
 sql("comment_create_rejected", W("comments products blogs new_comments", *_COM) + "SELECT * FROM j WHERE reason IS NOT NULL")
 
 sql("category_update", W("categories category_changes") + """
@@ -517,6 +519,9 @@ SELECT {_key('blog', 'author_id', 'epoch_us(change_ts)', 'seq')} AS id, author_i
 sql("blog_create_rejected", W("new_blogs") + f"""
 SELECT author_id, title, seq, 'invalid title or content' AS reason FROM new_blogs WHERE {_BAD_BLOG}""")
 
+sql("orders_deep_page", W("shop_orders") + """
+SELECT * FROM shop_orders ORDER BY total_amount DESC NULLS FIRST, id LIMIT 100 OFFSET 1000""")
+
 # ---------------------------------------------------------------- streaming twins (batch form)
 sql("stream_ratings", W("comments") + f"""
 SELECT c.parent_type, c.parent_id, COUNT(*) AS n_ratings, {_RATING} AS average_rating

@@ -6,6 +6,8 @@ runs over whole tables. ``AS_OF`` replaces the source's clock.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +16,11 @@ from ..operators import audit as C
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import windows as Wn
+from ..operators.paging import deep_page
 from ..schemas import ENUMS, FOREIGN_KEYS
+from ..session import scratch_path
 from ..sources.fixtures import AS_OF
+from ..sources.tables import append
 from .registry import register, tables
 
 
@@ -40,6 +45,13 @@ def q_trailing_attempts_hour(spark, sf_dir):
     return Wn.trailing_count(tables(spark, sf_dir)["email_verifications"], "user_id", "created_at", 3600, limit=5)
 
 
+@register("trailing_attempts_spread")
+def q_trailing_attempts_spread(spark, sf_dir):
+    """W2 by prefix counts over ranges, as for keys with very many rows in one window, for all rows."""
+    return Wn.trailing_count(tables(spark, sf_dir)["email_verifications"], "user_id", "created_at", 86400, limit=5,
+                             hot_rows=0)
+
+
 def _consume(spark, sf_dir):
     t = tables(spark, sf_dir)
     return M.consume_codes(t["email_verifications"], t["users"], t["code_submissions"])
@@ -484,6 +496,12 @@ def q_moderate_comments_rejected(spark, sf_dir):
     return M.moderate_comments(t["comments"], asked)["rejected"].drop("change_ts")
 
 
+@register("orders_deep_page")
+def q_orders_deep_page(spark, sf_dir):
+    """L2 at a deep offset: orders by total, found by counting ranges instead of keeping offset + limit rows."""
+    return deep_page(tables(spark, sf_dir)["shop_orders"], "total_amount", "DESC", limit=100, offset=1000)
+
+
 def _comment_create(spark, sf_dir):
     t = tables(spark, sf_dir)
     return M.create_comments(t["comments"], t["new_comments"], {"product": t["products"], "blog": t["blogs"]}, t["users"])
@@ -494,6 +512,15 @@ def q_comment_create(spark, sf_dir):
     return _comment_create(spark, sf_dir)["inserted"]
 
 
+@register("comment_append")
+def q_comment_append(spark, sf_dir):
+    """The created comments appended to a table and read back as written; the retry of the batch adds nothing."""
+    created = _comment_create(spark, sf_dir)["inserted"]
+    path = scratch_path(spark, f"comments-{uuid.uuid4().hex}")
+    append(created, path, "first")
+    return append(created, path, "first")
+
+
 @register("comment_create_rejected")
 def q_comment_create_rejected(spark, sf_dir):
     return _comment_create(spark, sf_dir)["rejected"]

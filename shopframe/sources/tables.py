@@ -73,10 +73,19 @@ def read_version(spark: SparkSession, base: str, version: int | str) -> DataFram
     return spark.read.parquet(version_path(base, version))
 
 
-def append(df: DataFrame, path: str) -> DataFrame:
-    """``INSERT .. RETURNING *`` — append rows and return them as written."""
-    df.write.mode("append").parquet(path)
-    return df
+def append(df: DataFrame, path: str, batch: str | int) -> DataFrame:
+    """``INSERT .. RETURNING *`` — append rows under a batch key and return them as they were written.
+
+    The rows go to ``path/batch=<batch>``. The writer's success marker, which comes last, says that a batch is whole: a
+    batch that is appended again is not written again but read back, one that died earlier is overwritten. So a retry
+    adds nothing and returns the same rows, even if ``df`` would come out otherwise the second time.
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch={batch}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(folder.toString())
+    return spark.read.schema(df.schema).parquet(folder.toString())
 
 
 def to_documents(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -30,8 +30,8 @@ def test_versions_are_written_side_by_side_and_retries_overwrite(spark):
     assert read_version(spark, base, 0).count() == 3
     assert read_version(spark, base, 1).count() == 5
     path = f"{base}/appended"
-    out = append(spark.range(2).withColumn("x", F.lit(1)), path)
-    append(spark.range(2).withColumn("x", F.lit(2)), path)
+    out = append(spark.range(2).withColumn("x", F.lit(1)), path, "a")
+    append(spark.range(2).withColumn("x", F.lit(2)), path, "b")
     assert out.count() == 2 and spark.read.parquet(path).count() == 4
 
 
