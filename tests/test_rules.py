@@ -27,12 +27,14 @@ def fresh(spark, name):
 
 def test_rate_limit_does_not_depend_on_arrow_batches(spark):
     rows = [("u", minutes(m)) for m in (40, 0, 50, 10, 30, 20)] + [("v", None)]
-    df = spark.createDataFrame(rows, "who string, ts timestamp").coalesce(1)
+    df = spark.createDataFrame(rows, "who string, ts timestamp")
+    df = df.unionByName(S.close_feed(df, "ts", "1 DAY")).coalesce(1)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
         feed = S.Feed(df, "ts", fresh(spark, "rl"), parts=1)
-        feed.run(S.rate_limited(feed.stream, key="who", limit=2), S.batch_writer(f"{feed.root}/out"), "append")
+        with S.keyed_state(spark):
+            feed.run(S.rate_limited(feed.stream, key="who", limit=2), S.batch_writer(f"{feed.root}/out"), "append")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     out = {(r.who, r.ts): r.accepted for r in spark.read.parquet(f"{feed.root}/out").collect()}
