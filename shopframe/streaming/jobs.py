@@ -362,7 +362,8 @@ def expiring_tokens(tokens: DataFrame, key: str = "id", created: str = "created_
     A token's state is its expiry and one event-time timer. So a purge costs what expires, not a pass over the table.
     The watermark is the latest ``created`` time less the delay, in milliseconds; after a batch's timers have run, the
     live tokens are those of M14 as of the watermark. Tokens without a key, revoked tokens and tokens that are past their expiry on arrival
-    give no event; a token without an expiry never expires. Start the job inside ``keyed_state``.
+    give no event; a token without an expiry never expires, and one without a creation time, which has no place in event
+    time, is inserted without a timer and left to M14. Start the job inside ``keyed_state``.
     """
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -398,11 +399,14 @@ def expiring_tokens(tokens: DataFrame, key: str = "id", created: str = "created_
             pass
 
     row = F.to_json(F.struct(*[F.col(c) for c in tokens.columns]), JSON_TIMES)
-    live = tokens.where(F.col(key).isNotNull() & ~F.coalesce(F.col(revoked), F.lit(False))).select(
+    valid = tokens.where(F.col(key).isNotNull() & ~F.coalesce(F.col(revoked), F.lit(False)))
+    untimed = valid.where(F.col(created).isNull()).select(F.col(key), F.lit(False).alias("expired"), row.alias("row"))
+    live = valid.where(F.col(created).isNotNull()).select(
         F.col(key), F.col(created).cast("timestamp").alias("made"),
         F.unix_micros(F.col(expires).cast("timestamp")).alias("us"), row.alias("payload"))
-    return live.withWatermark("made", watermark).groupBy(key).transformWithStateInPandas(
+    events = live.withWatermark("made", watermark).groupBy(key).transformWithStateInPandas(
         Expiry(), f"`{key}` {key_type}, expired boolean, row string", "append", "EventTime")
+    return events.unionByName(untimed)
 
 
 def apply_token_events(schema: T.StructType, key: str = "id") -> Callable[[DataFrame, DataFrame], DataFrame]:

@@ -191,6 +191,7 @@ def test_expiry_equals_the_purge_after_each_batch(spark):
             hours=b * 10 + rng.randrange(-3, 25), microseconds=rng.randrange(1000) * 1000), rng.choice([True, False, None]),
             T0 + dt.timedelta(hours=b * 10, seconds=1 + i)) for i in range(20)]
         batches.append(batch)
+    batches[1].append((999, "untimed", T0 + dt.timedelta(days=30), False, None))
     roots = []
 
     def handler(root):
@@ -203,14 +204,14 @@ def test_expiry_equals_the_purge_after_each_batch(spark):
 
     def compare(i):
         tokens.extend(batches[i])
-        as_of = max(t[4] for t in tokens)
+        as_of = max(t[4] for t in tokens if t[4])
         table = BucketedTable.open(spark, f"{roots[0]}/tokens")
         want = M.purge_tokens(spark.createDataFrame(tokens, schema), as_of)
         # a purge keeps tokens without an expiry only if it is written to do so; the feed keeps them
         kept = {r.id for r in want.collect()} | {t[0] for t in tokens if t[2] is None and not t[3]}
         assert {r.id for r in table.read().collect()} == kept, i
         assert table.read().join(spark.createDataFrame(tokens, schema), spark.createDataFrame(tokens, schema).columns,
-                                 "left_anti").where("expires_at is not null and is_revoked is not null").count() == 0
+                                 "left_anti").where("expires_at is not null and is_revoked is not null and created_at is not null").count() == 0
     _stream(spark, batches, schema, S.expiring_tokens, handler, before=compare)
 
 
