@@ -61,7 +61,7 @@ def per_product_sales(items: DataFrame) -> DataFrame:
 def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
                      order_items: DataFrame, orders: DataFrame, status: str | None = None,
                      with_distinct_orders: bool = True, seller_page: tuple[DataFrame, int] | None = None,
-                     trusted_fk: bool = False) -> DataFrame:
+                     trusted_fk: bool = False, sales: DataFrame | None = None) -> DataFrame:
     """Every seller with owner columns, product count, order-line count and revenue.
 
     ``total_orders`` keeps the source meaning (number of order *lines*);
@@ -73,7 +73,8 @@ def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
     yields product count, line count and revenue together. With
     ``seller_page`` (the rows of a page, which ``sellers`` is then, and its
     size) only those sellers' products, and only their order lines, are touched. ``trusted_fk`` skips
-    the check that a line's order exists (proven by ``audit.orphans``).
+    the check that a line's order exists (proven by ``audit.orphans``). ``sales`` are kept sums per product
+    (``rollups.KeptSales``): no order line is read then, unless distinct orders are asked for.
     """
     from .paging import of_page
     s = sellers if status is None else sellers.where(F.col("status") == status)
@@ -84,7 +85,7 @@ def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
         lines = order_items.join(prod.select(F.col("__pid").alias("__lp")),
                                  order_items["product_id"] == F.col("__lp"), "left_semi")
     items = lines if trusted_fk else items_in_orders(lines, orders)
-    sales = per_product_sales(items)
+    sales = per_product_sales(items) if sales is None else sales
     by_seller = (prod.join(sales, prod["__pid"] == sales["product_id"], "left")
                      .groupBy(F.col("seller_id").alias("__k"))
                      .agg(F.count(F.lit(1)).alias("total_products"),
@@ -105,11 +106,11 @@ def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
 
 
 def seller_statistics(sellers: DataFrame, products: DataFrame, order_items: DataFrame,
-                      orders: DataFrame, comments: DataFrame) -> DataFrame:
+                      orders: DataFrame, comments: DataFrame, sales: DataFrame | None = None) -> DataFrame:
     """Per seller: order-line count, revenue (null when none), average approved
-    rating of the seller's products (null when none) (A5, D2)."""
-    items = items_in_orders(order_items, orders)
-    sales = per_product_sales(items)
+    rating of the seller's products (null when none) (A5, D2). ``sales`` are kept sums
+    per product (``rollups.KeptSales``), read in place of the order lines."""
+    sales = per_product_sales(items_in_orders(order_items, orders)) if sales is None else sales
     prod = products.select(F.col("id").alias("__pid"), "seller_id")
     by_seller = (sales.join(prod, sales["product_id"] == prod["__pid"], "inner")
                       .groupBy(F.col("seller_id").alias("__k"))
@@ -190,10 +191,16 @@ def order_totals(order_items: DataFrame) -> DataFrame:
                             F.sum(line_value()).cast(OUT_MONEY).alias("total_amount")))
 
 
-def best_sellers(products: DataFrame, order_items: DataFrame, orders: DataFrame, k: int = 10) -> DataFrame:
-    """Top ``k`` products by units sold in non-cancelled orders, ties by id."""
-    items = items_in_orders(order_items, orders, statuses_excluded=["cancelled"])
-    units = items.groupBy("product_id").agg(F.sum(F.col("quantity").cast("bigint")).alias("units_sold"))
+def best_sellers(products: DataFrame, order_items: DataFrame, orders: DataFrame, k: int = 10,
+                 sales: DataFrame | None = None) -> DataFrame:
+    """Top ``k`` products by units sold in non-cancelled orders, ties by id (A15). ``sales`` are kept sums per product
+    (``rollups.KeptSales``), read in place of the order lines."""
+    if sales is None:
+        items = items_in_orders(order_items, orders, statuses_excluded=["cancelled"])
+        units = items.groupBy("product_id").agg(F.sum(F.col("quantity").cast("bigint")).alias("units_sold"))
+    else:
+        units = sales.where("n_items > cancelled_items").select(
+            "product_id", (F.col("units") - F.col("cancelled_units")).alias("units_sold"))
     p = products.select("id", "name", "price", "seller_id")
     ranked = p.join(units, p["id"] == units["product_id"], "inner").drop("product_id")
     return ranked.orderBy(F.col("units_sold").desc(), F.col("id").asc()).limit(int(k))

@@ -64,4 +64,4 @@ SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(CEIL(COUNT(*) / 10.0) AS BIGINT)
 FROM sellers WHERE status = 'active' AND user_id IN (SELECT id FROM users)""")
 
 # The remaining twins live in topic modules that import ``sql`` and ``W`` from here.
-from . import oracle_changes, oracle_listings  # noqa: E402,F401
+from . import oracle_changes, oracle_kept, oracle_listings  # noqa: E402,F401

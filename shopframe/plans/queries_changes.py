@@ -392,7 +392,7 @@ def order_documents(t):
              .select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("user_id"), doc.alias("document")))
 
 
-def _place(spark, sf_dir):
+def placed_orders(spark, sf_dir):
     t = tables(spark, sf_dir)
     docs = order_documents(t)
     parsed = docs.withColumn("__d", F.from_json("document", M.ORDER_DOC_SCHEMA)).select("doc_id", "user_id", "document", "__d.*")
@@ -403,17 +403,17 @@ def _place(spark, sf_dir):
 
 @register("validate_payloads")
 def q_validate_payloads(spark, sf_dir):
-    return _place(spark, sf_dir)["violations"]
+    return placed_orders(spark, sf_dir)["violations"]
 
 
 @register("place_orders")
 def q_place_orders(spark, sf_dir):
-    return _place(spark, sf_dir)["orders"]
+    return placed_orders(spark, sf_dir)["orders"]
 
 
 @register("place_orders_items")
 def q_place_orders_items(spark, sf_dir):
-    return _place(spark, sf_dir)["order_items"]
+    return placed_orders(spark, sf_dir)["order_items"]
 
 
 # ---------------------------------------------------------------- Q11 / Q24 / Q30 / Q34 / Q5 write paths

@@ -33,5 +33,5 @@ def tables(spark: SparkSession, sf_dir: str):
 
 def load_all() -> dict[str, QueryFn]:
     # Importing the query modules fills REGISTRY.
-    from . import queries, queries_changes, queries_streaming  # noqa: F401
+    from . import queries, queries_changes, queries_kept, queries_streaming  # noqa: F401
     return dict(REGISTRY)
