@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import land, ship_package
@@ -211,11 +211,20 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     return first.unionByName(same).unionByName(met(side(1, "a"), side(2, "b"))).distinct()
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+def _mark(text: Column) -> Column:
+    """96 bits that tell the texts of one id apart."""
+    return F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("m"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, mark: bool = False) -> DataFrame:
     """(id, fingerprint, component_id, linked) for every row: the smallest id that a chain of links reaches, and the
-    smallest fingerprint, which names the component also where ids are null or name several texts."""
-    rows = land(with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text",
-                                  shingle).select("id", "fingerprint"), "fingerprints")
+    smallest fingerprint, which names the component also where ids are null or name several texts. ``mark`` adds a
+    column of that name, by which the rows' texts are found again without another fingerprint."""
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = ["mark"] if mark else []
+    if mark:
+        text = text.withColumn("mark", _mark(F.col("text")))
+    rows = land(with_fingerprints(text, "text", shingle).select("id", "fingerprint", *marks), "fingerprints")
     classes = land(rows.groupBy(F.col("fingerprint").alias("p")).agg(F.min("id").alias("first")), "classes")
     joined = connected_components(fingerprint_links(classes.select("p"), max_bits)).withColumnRenamed("node", "p")
     labelled = classes.join(joined, "p", "left")
@@ -223,7 +232,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits:
     named = land(labelled.join(smallest, "component", "left")
                  .select(F.col("p").alias("fingerprint"), F.coalesce("least", "first").alias("component_id"),
                          F.coalesce("component", "p").alias("linked")), "named")
-    return rows.join(named, "fingerprint").select("id", "fingerprint", "component_id", "linked")
+    return rows.join(named, "fingerprint").select("id", "fingerprint", "component_id", "linked", *marks)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
@@ -236,13 +245,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                       max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the smallest id (a null id only if all are
-    null; of repeated rows, one). Groups are told apart by their fingerprints, not by ids."""
-    found = land(_groups(docs, id_col, text_col, shingle, max_bits), "components")
-    keep = (found.groupBy("linked").agg(F.min(F.struct(F.col("id").isNull(), "id", "fingerprint")).alias("k"))
-            .select(F.col("k.id").alias("__keep_id"), F.col("k.fingerprint").alias("__keep_print")))
+    null; of rows of that id the smallest fingerprint; of repeated rows, one). Groups are told apart by their fingerprints,
+    not by ids; fingerprints are computed once, and the rows that stay are found again by id and a hash of the text."""
+    found = land(_groups(docs, id_col, text_col, shingle, max_bits, mark=True), "components")
+    keep = (found.groupBy("linked").agg(F.min(F.struct(F.col("id").isNull(), "id", "fingerprint", "mark")).alias("k"))
+            .select(F.col("k.id").alias("__keep_id"), F.col("k.mark").alias("__keep_mark")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-                       F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    marked = with_fingerprints(rows, "__text", shingle, "__print").drop("__text")
-    kept = marked.join(keep, (F.col("__id").eqNullSafe(F.col("__keep_id")))
-                       & (F.col("__print") == F.col("__keep_print")))
-    return kept.dropDuplicates(["__keep_id", "__keep_print"]).select("__row.*")
+                       F.col(id_col).alias("__id"), _mark(F.col(text_col)).alias("__mark"))
+    kept = rows.join(keep, (F.col("__id").eqNullSafe(F.col("__keep_id"))) & (F.col("__mark") == F.col("__keep_mark")))
+    return kept.dropDuplicates(["__keep_id", "__keep_mark"]).select("__row.*")
