@@ -247,11 +247,15 @@ def bucketed_apply(table: BucketedTable, change: Callable[[DataFrame, DataFrame]
 
 
 # ---------------------------------------------------------------- T1 with withdrawals
-IMAGE = "parent_type string, parent_id string, rating long, status string, at long, seq long"
 DELTA = "parent_type string, parent_id string, rating_sum long, rating_count long"
+SHARDS = 4096                         # groups that share one state value: some thousand keys in each
 
 
-def rating_deltas(changes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _shard(key: str, shards: int):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(int(shards))).cast("int").alias("shard")
+
+
+def rating_deltas(changes: DataFrame, known: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """Signed changes of the approved-rating sums, from the old and the new image of each changed comment.
 
     ``changes(id, parent_type, parent_id, rating, status, deleted, change_ts, seq)`` is a feed of comment writes: a null
@@ -259,74 +263,92 @@ def rating_deltas(changes: DataFrame, known: DataFrame | None = None) -> DataFra
     moves away from approved, a changed rating, a moved and a deleted comment all take back what they gave, without a
     read of the comments. Writes without an id are ignored. Writes of one comment are ordered by (change_ts, seq) inside a batch; one that comes in a later
     batch with an older order is ignored (missing orders come first). ``known`` holds the comments from before the feed,
-    which are in the sums already (checkpointed, because a plan with subqueries cannot be an initial state). Start the job inside ``keyed_state``.
+    which are in the sums already (checkpointed, because a plan with subqueries cannot be an initial state).
+
+    Comments are dealt to ``shards`` by a hash of their id. The images of a shard are one state value (JSON, id to
+    image), so a batch costs one read and one write of state a touched shard, not a few calls a comment. The number of
+    shards belongs to the checkpoint and must stay. Start the job inside ``keyed_state``.
     """
+    import json
+
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    fields = [c.split(" ")[0] for c in IMAGE.split(", ")][:4]
+    fields = ["parent_type", "parent_id", "rating", "status"]
     columns = [c.split(" ")[0] for c in DELTA.split(", ")]
-    image = IMAGE
 
     class Images(StatefulProcessor):
         def init(self, handle):
-            self.image = handle.getValueState("image", image)
+            self.images = handle.getValueState("images", "images string")
+
+        def _read(self):
+            return json.loads(self.images.get()[0]) if self.images.exists() else {}
+
+        def _write(self, images):
+            self.images.update((json.dumps(images),))
 
         @staticmethod
         def _counted(image):
             return image is not None and image[3] == "approved" and image[2] is not None
 
         @staticmethod
-        def _plain(value):
-            return None if value is None or value != value or value is pd.NaT else value
-
-        def handleInitialState(self, key, initialState, timerValues):
-            for r in initialState.itertuples(index=False):
-                values = [self._plain(getattr(r, f)) for f in fields]
-                self.image.update((values[0], values[1], self._long(values[2]), values[3], None, None))
+        def _rows(pdf, names):
+            """The columns' values row by row, whole numbers as int and missing ones as None."""
+            def plain(v):
+                return None if v is None or v != v or v is pd.NaT else v
+            lists = [[plain(v) for v in pdf[c].tolist()] for c in names]
+            whole = [i for i, c in enumerate(names) if c in ("rating", "at", "seq")]
+            for i in whole:
+                lists[i] = [None if v is None else int(v) for v in lists[i]]
+            return zip(*lists)
 
         @staticmethod
-        def _long(value):
-            return None if value is None else int(value)
+        def _place(order):
+            return tuple((x is not None, x or 0) for x in order)
+
+        def handleInitialState(self, key, initialState, timerValues):
+            images = self._read()
+            for name, *values in self._rows(initialState, ["id", *fields]):
+                images[name] = [*values, None, None]
+            self._write(images)
 
         def handleInputRows(self, key, rows, timerValues):
-            old = tuple(self.image.get()) if self.image.exists() else None
-            writes = []
+            images, writes = self._read(), {}
             for pdf in rows:
-                for r in pdf.itertuples(index=False):
-                    order = (self._long(self._plain(r.at)), self._long(self._plain(r.seq)))
-                    writes.append((tuple((x is not None, x or 0) for x in order), order,
-                                   [self._plain(getattr(r, f)) for f in fields], bool(self._plain(r.deleted) or False)))
-            now = old
-            for place, order, values, deleted in sorted(writes, key=lambda w: w[0]):
-                if now is not None and place < tuple((x is not None, x or 0) for x in now[4:]):
-                    continue
-                if deleted:
-                    now = (None, None, None, "deleted", *order)
-                    continue
-                values = [values[0], values[1], self._long(values[2]), values[3]]
-                before = now[:4] if now is not None else (None,) * 4
-                now = (*[b if v is None else v for v, b in zip(values, before)], *order)
-            if now is not None:
-                self.image.update(now)
-            deltas = [(image[0], image[1], sign * image[2], sign) for image, sign in ((old, -1), (now, 1))
-                      if self._counted(image)]
-            if len(deltas) == 2 and deltas[0][:2] == deltas[1][:2] and deltas[0][2] + deltas[1][2] == 0:
-                deltas = []
-            yield pd.DataFrame(deltas, columns=columns)
+                for name, *values, deleted, at, seq in self._rows(pdf, ["id", *fields, "deleted", "at", "seq"]):
+                    writes.setdefault(name, []).append((values, bool(deleted or False), (at, seq)))
+            out = []
+            for name, own in writes.items():
+                old = now = images.get(name)
+                for values, deleted, order in sorted(own, key=lambda w: self._place(w[2])):
+                    if now is not None and self._place(order) < self._place(now[4:]):
+                        continue
+                    if deleted:
+                        now = [None, None, None, "deleted", *order]
+                        continue
+                    before = now[:4] if now is not None else (None,) * 4
+                    now = [*(b if v is None else v for v, b in zip(values, before)), *order]
+                images[name] = now
+                deltas = [(image[0], image[1], sign * image[2], sign) for image, sign in ((old, -1), (now, 1))
+                          if self._counted(image)]
+                if not (len(deltas) == 2 and deltas[0][:2] == deltas[1][:2] and deltas[0][2] + deltas[1][2] == 0):
+                    out += deltas
+            self._write(images)
+            yield pd.DataFrame(out, columns=columns)
 
         def close(self):
             pass
 
     parent = changes.schema["parent_id"].dataType
-    images = changes.where("id is not null").select("id", "parent_type", F.col("parent_id").cast("string").alias("parent_id"),
-                            F.col("rating").cast("long").alias("rating"), "status", "deleted",
-                            F.unix_micros(F.col("change_ts").cast("timestamp")).alias("at"),
-                            F.col("seq").cast("long").alias("seq"))
+    name = F.col("id").cast("string").alias("id")
+    images = changes.where("id is not null").select(
+        _shard("id", shards), name, "parent_type", F.col("parent_id").cast("string").alias("parent_id"),
+        F.col("rating").cast("long").alias("rating"), "status", "deleted",
+        F.unix_micros(F.col("change_ts").cast("timestamp")).alias("at"), F.col("seq").cast("long").alias("seq"))
     first = None if known is None else known.where("id is not null").select(
-        "id", "parent_type", F.col("parent_id").cast("string").alias("parent_id"),
-        F.col("rating").cast("long").alias("rating"), "status").checkpoint().groupBy("id")
-    out = images.groupBy("id").transformWithStateInPandas(Images(), DELTA, "append", "None", initialState=first)
+        _shard("id", shards), name, "parent_type", F.col("parent_id").cast("string").alias("parent_id"),
+        F.col("rating").cast("long").alias("rating"), "status").checkpoint().groupBy("shard")
+    out = images.groupBy("shard").transformWithStateInPandas(Images(), DELTA, "append", "None", initialState=first)
     return out.withColumn("parent_id", F.col("parent_id").cast(parent))
 
 

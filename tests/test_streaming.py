@@ -171,6 +171,28 @@ def test_ratings_take_back_what_a_comment_gave(spark):
     _stream(spark, batches, COMMENT, lambda s: S.rating_deltas(s, base), handler, before=compare)
 
 
+def _state_rows(spark, root, stream, handler):
+    """Rows of keyed state after a run, whatever the number of keys in it."""
+    with S.keyed_state(spark):
+        q = S.run_batches(stream, handler, f"{root}/ckpt", output_mode="append")
+    return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+
+
+def test_many_comments_share_a_state_value(spark):
+    root = scratch_path(spark, f"test-sh-{uuid.uuid4().hex[:8]}")
+    known = spark.range(3000).selectExpr("id", "'blog' parent_type", "id % 7 parent_id", "cast(1 + id % 5 as int) rating",
+                                         "'pending' status")
+    known.selectExpr("id", "cast(null as string) parent_type", "cast(null as long) parent_id", "cast(null as int) rating",
+                     "'approved' status", "false deleted", "timestamp '2024-01-20' change_ts", "cast(id as int) seq"
+                     ).write.parquet(f"{root}/feed")
+    stream = S.read_changes(spark, f"{root}/feed", spark.createDataFrame([], COMMENT).schema)
+    n = _state_rows(spark, root, S.rating_deltas(stream, known, shards=16), S.batch_writer(f"{root}/out"))
+    got = {r.parent_id: (r.s, r.n) for r in spark.read.parquet(f"{root}/out").groupBy("parent_id").agg(
+        F.sum("rating_sum").alias("s"), F.sum("rating_count").alias("n")).collect()}
+    assert n == 16
+    assert got == {p: (sum(1 + i % 5 for i in range(p, 3000, 7)), len(range(p, 3000, 7))) for p in range(7)}
+
+
 def test_late_and_withdrawn_writes_of_a_comment(spark):
     def at(m):
         return T0 + dt.timedelta(minutes=m)
