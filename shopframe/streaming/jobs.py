@@ -377,16 +377,21 @@ JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
 
 
 def expiring_tokens(tokens: DataFrame, key: str = "id", created: str = "created_at", expires: str = "expires_at",
-                    revoked: str = "is_revoked", watermark: str = "0 seconds") -> DataFrame:
+                    revoked: str = "is_revoked", watermark: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """T4: a feed of inserted tokens as events: (key, expired = false, row) for a token that is inserted live, and
     (key, expired = true, null) once, when the watermark passes its expiry.
 
-    A token's state is its expiry and one event-time timer. So a purge costs what expires, not a pass over the table.
+    Tokens are dealt to ``shards`` by a hash of their key. A shard's state is one value (JSON: the live keys, and the
+    expiries still to come with their keys) and one event-time timer, that of the next expiry. So a batch or a purge
+    costs a few calls of state a shard it touches, not a few calls a token, and no pass over the table. The number of
+    shards belongs to the checkpoint and must stay.
     The watermark is the latest ``created`` time less the delay, in milliseconds; after a batch's timers have run, the
     live tokens are those of M14 as of the watermark. Tokens without a key, revoked tokens and tokens that are past their expiry on arrival
     give no event; a token without an expiry never expires, and one without a creation time, which has no place in event
     time, is inserted without a timer and left to M14. Start the job inside ``keyed_state``.
     """
+    import json
+
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -395,27 +400,61 @@ def expiring_tokens(tokens: DataFrame, key: str = "id", created: str = "created_
     class Expiry(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.expires = handle.getValueState("expires", "us long")
+            self.state = handle.getValueState("tokens", "tokens string")
+
+        def _read(self):
+            """The keys that have an expiry to come, and (millisecond at which it is past, key) of all expiries."""
+            live, due = json.loads(self.state.get()[0]) if self.state.exists() else ([], [])
+            return dict.fromkeys(live), due
+
+        def _write(self, live, due):
+            if due:
+                self.state.update((json.dumps([list(live), due]),))
+            else:
+                self.state.clear()
+
+        @staticmethod
+        def _events(names, expired, rows):
+            return pd.DataFrame({key_name: pd.Series(names, dtype="object"),
+                                 "expired": pd.Series([expired] * len(names), dtype="bool"),
+                                 "row": pd.Series(rows, dtype="object")})
 
         def handleInputRows(self, key, rows, timerValues):
-            now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+            now, names, out, added = timerValues.getCurrentWatermarkInMs() * 1000, [], [], []
             for pdf in rows:
-                for us, row in zip(pdf["us"].tolist(), pdf["payload"].tolist()):
+                for name, us, row in zip(pdf["name"].tolist(), pdf["us"].tolist(), pdf["payload"].tolist()):
                     us = None if us is None or us != us else int(us)
                     if us is not None and us < now:
                         continue
+                    names.append(name)
                     out.append(row)
                     if us is not None:
-                        self.expires.update((us,))
-                        self.handle.registerTimer(us // 1000 + 1)
-            yield pd.DataFrame({key_name: pd.Series([key[0]] * len(out), dtype="object"),
-                                "expired": pd.Series([False] * len(out), dtype="bool"), "row": out})
+                        added.append([us // 1000 + 1, name])
+            if added:
+                live, due = self._read()
+                last = min(d[0] for d in due) if due else None
+                due += added
+                self._write({**live, **dict.fromkeys(name for _, name in added)}, due)
+                first = min(d[0] for d in due)
+                if first != last:
+                    if last is not None:
+                        self.handle.deleteTimer(last)
+                    self.handle.registerTimer(first)
+            yield self._events(names, False, out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            gone = int(self.expires.exists())
-            self.expires.clear()
-            yield pd.DataFrame({key_name: pd.Series([key[0]] * gone, dtype="object"),
-                                "expired": pd.Series([True] * gone, dtype="bool"), "row": [None] * gone})
+            passed = timerValues.getCurrentWatermarkInMs()
+            live, due = self._read()
+            gone = []
+            for at, name in sorted(due):
+                if at <= passed and name in live:
+                    del live[name]
+                    gone.append(name)
+            due = [d for d in due if d[0] > passed]
+            self._write(live, due)
+            if due:
+                self.handle.registerTimer(min(d[0] for d in due))
+            yield self._events(gone, True, [None] * len(gone))
 
         def close(self):
             pass
@@ -424,11 +463,11 @@ def expiring_tokens(tokens: DataFrame, key: str = "id", created: str = "created_
     valid = tokens.where(F.col(key).isNotNull() & ~F.coalesce(F.col(revoked), F.lit(False)))
     untimed = valid.where(F.col(created).isNull()).select(F.col(key), F.lit(False).alias("expired"), row.alias("row"))
     live = valid.where(F.col(created).isNotNull()).select(
-        F.col(key), F.col(created).cast("timestamp").alias("made"),
+        _shard(key, shards), F.col(key).cast("string").alias("name"), F.col(created).cast("timestamp").alias("made"),
         F.unix_micros(F.col(expires).cast("timestamp")).alias("us"), row.alias("payload"))
-    events = live.withWatermark("made", watermark).groupBy(key).transformWithStateInPandas(
-        Expiry(), f"`{key}` {key_type}, expired boolean, row string", "append", "EventTime")
-    return events.unionByName(untimed)
+    events = live.withWatermark("made", watermark).groupBy("shard").transformWithStateInPandas(
+        Expiry(), f"`{key}` string, expired boolean, row string", "append", "EventTime")
+    return events.withColumn(key, F.col(key).cast(key_type)).unionByName(untimed)
 
 
 def apply_token_events(schema: T.StructType, key: str = "id") -> Callable[[DataFrame, DataFrame], DataFrame]:

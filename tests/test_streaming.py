@@ -237,6 +237,27 @@ def test_expiry_equals_the_purge_after_each_batch(spark):
     _stream(spark, batches, schema, S.expiring_tokens, handler, before=compare)
 
 
+def test_many_tokens_share_a_state_value_and_a_timer(spark):
+    root = scratch_path(spark, f"test-ex-{uuid.uuid4().hex[:8]}")
+    schema = "id string, token string, expires_at timestamp, is_revoked boolean, created_at timestamp"
+    made = spark.range(3000).selectExpr("'k' || id id", "'t' || id token",
+                                        f"timestamp '{T0}' + make_interval(0, 0, 0, 0, cast(id % 30 as int)) expires_at",
+                                        "false is_revoked", f"timestamp '{T0}' created_at")
+    made.write.parquet(f"{root}/feed")
+    stream = S.read_changes(spark, f"{root}/feed", spark.createDataFrame([], schema).schema)
+    job = S.expiring_tokens(stream, shards=16)
+    # a value, a timer and its place in the order of times for each shard
+    assert _state_rows(spark, root, job, S.batch_writer(f"{root}/out")) <= 3 * 16
+    for hours in (10, 20, 25):  # the watermark moves on by hours; a token expires once, and not before
+        spark.createDataFrame([(f"new{hours}", "x", None, False, T0 + dt.timedelta(hours=hours))], schema).write.mode(
+            "append").parquet(f"{root}/feed")
+        _state_rows(spark, root, job, S.batch_writer(f"{root}/out"))
+        events = spark.read.parquet(f"{root}/out")
+        gone = sorted(r.id for r in events.where("expired").collect())
+        assert gone == sorted(f"k{i}" for i in range(3000) if i % 30 < hours), hours
+    assert events.where("not expired").count() == 3003
+
+
 def test_batch_writer_is_idempotent(spark):
     root = scratch_path(spark, f"test-idem-{uuid.uuid4().hex[:8]}")
     handle = S.batch_writer(f"{root}/out")
