@@ -7,7 +7,9 @@ written with wildcards uses the longest runs between them; one that holds nothin
 
 Postings may be stale, never short: rows that were added or altered are appended with ``add``, what they no longer hold
 is refused by the comparison, and the counts only choose the gram. Files are cut by a hash of the gram and then of the
-key, so that a frequent gram is spread over ``spread`` files, and sorted by gram, so that a reader skips the others.
+key (``spread`` parts a bucket), larger parts into pieces of the advised partition size, and sorted by gram, so that a
+reader skips the others. Rows are dealt to tasks by their number before they become postings, so no task's memory grows
+with the table.
 
 Defined results: as ``predicates.search`` gives them by reading all texts. A null text holds nothing, an empty needle
 puts no condition, needles and rows that repeat stay repeated rows, of a null key no posting is kept and such rows are
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import escape_like, search
 
 LONGEST = 3
+ROWS_A_TASK = 50_000  # rows whose postings one task makes
 
 
 def grams_of(text: str | Column) -> Column:
@@ -73,13 +76,16 @@ class GramIndex:
 
     def add(self, rows: DataFrame, batch: str | int = 0) -> None:
         """Add the postings of new or altered rows under a batch key; a batch that is repeated replaces itself."""
-        texts = F.explode(F.array(*[F.col(c) for c in self.cols]))
-        found = (rows.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("k"), texts.alias("t"))
-                 .select("k", F.explode(grams_of("t")).alias("gram")).distinct())
-        parts = self.buckets * self.spread
-        (found.withColumn("b", self._bucket("gram"))
-         .withColumn("s", F.pmod(F.hash("k"), F.lit(self.spread)))
-         .repartition(parts, "b", "s").sortWithinPartitions("b", "gram").drop("s")
+        named = rows.where(F.col(self.key).isNotNull())
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-named.count() // ROWS_A_TASK))
+        texts = named.select(F.col(self.key).alias("k"), F.array(*[F.col(c) for c in self.cols]).alias("texts"))
+        # dealt out before the texts become some hundred postings each; a key that repeats is one row from here on
+        texts = texts.repartition(tasks, "k").groupBy("k").agg(F.flatten(F.collect_set("texts")).alias("texts"))
+        grams = F.array_distinct(F.flatten(F.transform("texts", grams_of)))
+        found = texts.select("k", F.explode(grams).alias("gram")).withColumn("b", self._bucket("gram"))
+        # Spark cuts a bucket's rows into pieces of the advised size, however many there are
+        found = found.withColumn("s", F.pmod(F.hash("k"), F.lit(self.spread)))
+        (found.hint("rebalance", "b", "s").sortWithinPartitions("b", "gram").drop("s")
          .write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/postings/batch={batch}"))
         written = self.spark.read.parquet(f"{self.root}/postings/batch={batch}")
         counts = written.groupBy("b", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -134,8 +140,8 @@ class GramIndex:
         best = (asked.join(counts, "gram", "left").groupBy("__needle", "__low")
                 .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
                 .where("best.n > 0").select("__needle", "__low", F.col("best.gram").alias("gram")))
-        pairs = (best.join(self._read("postings").select("gram", "k").distinct(), "gram")
-                 .select("__needle", "__low", F.col("k").alias("__gram_key")))
+        pairs = (best.join(self._read("postings").select("gram", "k"), "gram")
+                 .select("__needle", "__low", F.col("k").alias("__gram_key")).distinct())
         met = rows.join(pairs, F.col(self.key) == F.col("__gram_key"))
         holds = [F.coalesce(F.contains(F.lower(c), "__low"), F.lit(False)) for c in self.cols]
         any_of = holds[0]

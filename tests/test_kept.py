@@ -131,6 +131,25 @@ def test_added_rows_are_found_and_stale_postings_refused(spark, folder):
     assert index.rarest(["sof"]) == ("sof", 2)
 
 
+def test_more_rows_make_more_tasks_not_larger_ones(spark, folder, monkeypatch):
+    from shopframe.operators import grams as G
+    monkeypatch.setattr(G, "ROWS_A_TASK", 100)
+    rows = spark.range(4000).coalesce(1).selectExpr("id % 3990 id", "sha2(cast(id as string), 256) name")
+    index = GramIndex(spark, folder, "id", ["name"], 2, 1)
+    advised = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advised)
+    spark.conf.set(advised, "200KB")
+    try:
+        index.add(rows)
+    finally:
+        spark.conf.set(advised, before)
+    postings = spark.read.parquet(f"{folder}/postings/batch=0")
+    assert postings.select(F.input_file_name()).distinct().count() > 6
+    assert postings.count() == postings.distinct().count()  # also of the keys that repeat
+    found = {(r.id, r.name) for r in index.search(rows, "abc").collect()}
+    assert found == {(r.id, r.name) for r in rows.where("name like '%abc%'").collect()} and found
+
+
 def test_postings_are_read_by_pushed_filters(indexed):
     plan = indexed[0].postings("red")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(b" in plan and "EqualTo(gram,red)" in plan
