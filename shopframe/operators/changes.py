@@ -736,6 +736,12 @@ def update_addresses(addresses: DataFrame, changes: DataFrame, fields: Sequence[
     return {"addresses": out.drop("__tu", "__tid", "__to", "__ku"), "rejected": rejected}
 
 
+def parse_once(df: DataFrame, json_col: str, schema: T.StructType, as_: str) -> DataFrame:
+    """``df`` with its JSON column parsed into the struct ``as_``, row by row once. A filter over a plain projection
+    would be moved below it and parse the text again for every rule that reads a field; it stays above an explode."""
+    return df.select("*", F.explode(F.array(F.from_json(F.col(json_col), schema))).alias(as_))
+
+
 # ---------------------------------------------------------------- Q5 product create (S3 + M1 + C10)
 PRODUCT_DOC_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
@@ -755,8 +761,7 @@ def create_products(documents: DataFrame, doc_id: str = "doc_id", seller_col: st
     (C10: name, price > 0, at least one category, stock >= 0, features with name and value) are reported.
     Returns {'products', 'product_categories', 'product_features', 'violations'}."""
     from .audit import array_size_rule, items_rule, range_rule, required_rule, validate
-    parsed = documents.withColumn("__d", F.from_json(F.col(json_col), PRODUCT_DOC_SCHEMA)).select(
-        doc_id, seller_col, "__d.*")
+    parsed = parse_once(documents, json_col, PRODUCT_DOC_SCHEMA, "__d").select(doc_id, seller_col, "__d.*")
     rules = [required_rule("name"), required_rule("price"), range_rule("price", 0, None, low_exclusive=True),
              required_rule("categories"), array_size_rule("categories", 1, None), range_rule("stock", 0, None),
              items_rule("features", "feature", lambda x: x["name"].isNull() | x["value"].isNull())]
@@ -787,7 +792,7 @@ def shred(df: DataFrame, json_col: str, schema: T.StructType, array_field: str,
           position: str = "line_no") -> tuple[DataFrame, DataFrame]:
     """S3: parse a JSON document column and split it into a header frame and a
     child-line frame (one row per array element, with its 1-based position)."""
-    parsed = df.withColumn("__doc", F.from_json(F.col(json_col), schema))
+    parsed = parse_once(df, json_col, schema, "__doc")
     header_fields = [f.name for f in schema.fields if f.name != array_field]
     header = parsed.select(F.col(key), *[F.col(f"__doc.{f}").alias(f) for f in header_fields])
     lines = (parsed.select(F.col(key), F.posexplode(F.col(f"__doc.{array_field}")).alias("__pos", "__item"))

@@ -395,7 +395,7 @@ def order_documents(t):
 def placed_orders(spark, sf_dir):
     t = tables(spark, sf_dir)
     docs = order_documents(t)
-    parsed = docs.withColumn("__d", F.from_json("document", M.ORDER_DOC_SCHEMA)).select("doc_id", "user_id", "document", "__d.*")
+    parsed = M.parse_once(docs, "document", M.ORDER_DOC_SCHEMA, "__d").select("doc_id", "user_id", "document", "__d.*")
     valid, violations = C.validate(parsed, C.order_document_rules(), "doc_id", "order_documents")
     placed = M.place_orders(valid.select("doc_id", "user_id", "document"))
     return {"violations": violations, **placed}

@@ -140,3 +140,19 @@ def test_listing_page_order_needs_no_range_sort(spark):
     df = spark.range(100).select("id")
     p = plan(in_page_order(df, order_spec("id", "DESC", tie_break="id"), 10))
     assert "rangepartitioning" not in p
+
+
+def test_order_documents_are_parsed_once_to_be_checked(spark, sf_dir):
+    import __spark_entry__ as E
+    for name in ("place_orders", "place_orders_items", "validate_payloads"):
+        plan = E.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        # once for the rules, once for the orders that pass them
+        assert 1 <= plan.count("from_json(") <= 2, (name, plan.count("from_json("))
+
+
+def test_parsing_once_keeps_every_row(spark):
+    from shopframe.operators import changes as M
+    docs = spark.createDataFrame([(1, '{"name": "a", "stock": 2}'), (2, "no json"), (3, None), (3, "{}")], "id int, d string")
+    rows = M.parse_once(docs, "d", M.PRODUCT_DOC_SCHEMA, "p").where("p.stock = 2 or p.name is null").collect()
+    assert sorted((r.id, r.p and r.p.stock) for r in rows) == sorted(
+        (r.id, r.p and r.p.stock) for r in docs.withColumn("p", F.from_json("d", M.PRODUCT_DOC_SCHEMA)).collect())
