@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ENUMS
+from .dealing import key_join, row_counts
 
 VIOLATION_COLS = ["rule", "table", "key", "column", "value"]
 
@@ -46,10 +47,12 @@ def unique_key(df: DataFrame, table: str, cols: Sequence[str], key: str = "id")
 
 # ---------------------------------------------------------------- C2 / J8
 def orphans(child: DataFrame, table: str, fk: str, parent: DataFrame, parent_key: str = "id",
-            key: str = "id") -> DataFrame:
-    """Child rows whose non-null foreign key has no parent (anti join)."""
+            key: str = "id", counts: tuple[int, int] | None = None) -> DataFrame:
+    """Child rows whose non-null foreign key has no parent (anti join). ``counts`` are the rows of child and
+    parent, where they are known; they bound what one task joins."""
     p = parent.select(F.col(parent_key).alias("__pk"))
-    hit = child.where(F.col(fk).isNotNull()).join(p, F.col(fk) == p["__pk"], "left_anti")
+    n_child, n_parent = counts or row_counts([child, parent])
+    hit = key_join(child.where(F.col(fk).isNotNull()), p, fk, "__pk", "left_anti", n_child, n_parent)
     k = key if key in child.columns else F.col(fk)
     return _v(hit, "foreign_key", table, k, fk, F.col(fk))
 

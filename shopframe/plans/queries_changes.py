@@ -16,6 +16,7 @@ from ..operators import audit as C
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import windows as Wn
+from ..operators.dealing import row_counts
 from ..operators.paging import deep_page
 from ..schemas import ENUMS, FOREIGN_KEYS
 from ..session import scratch_path
@@ -727,13 +728,15 @@ def q_audit_keys(spark, sf_dir):
 @register("audit_orphans")
 def q_audit_orphans(spark, sf_dir):
     t = tables(spark, sf_dir)
-    parts = []
-    for child, col, parent, _ in DERIVED_FKS:
-        if child in DERIVED_TABLES and parent in DERIVED_TABLES and col in t[child].columns:
-            parts.append(C.orphans(t[child], child, col, t[parent]))
-    parts += [C.orphans(t["staged_comments"], "staged_comments", "user_id", t["users"]),
-              C.orphans(t["staged_lines"], "staged_lines", "product_id", t["products"])]
-    return C.union_all(parts)
+    fks = [(child, col, parent) for child, col, parent, _ in DERIVED_FKS
+           if child in DERIVED_TABLES and parent in DERIVED_TABLES and col in t[child].columns]
+    fks += [("staged_comments", "user_id", "users"), ("staged_lines", "product_id", "products")]
+    names = sorted({name for child, _, parent in fks for name in (child, parent)})
+    # carts and their lines are fewer than the orders and lines they are made of, whose count needs no join
+    counted = {"carts": "shop_orders", "cart_items": "order_items"}
+    n = dict(zip(names, row_counts([t[counted.get(name, name)] for name in names]), strict=True))
+    return C.union_all([C.orphans(t[child], child, col, t[parent], counts=(n[child], n[parent]))
+                        for child, col, parent in fks])
 
 
 @register("audit_polymorphic")
