@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .dealing import deal
+
 
 def _fields(fields: Sequence[str | Column | tuple[str, str]]) -> list[Column]:
     out = []
@@ -53,7 +55,7 @@ def nest(parent: DataFrame, child: DataFrame, on: tuple[str, str], fields, as_:
     return out
 
 
-def nest_many(parent: DataFrame, pkey: str, specs, empty: str = "null") -> DataFrame:
+def nest_many(parent: DataFrame, pkey: str, specs, empty: str = "null", tasks: int = 0) -> DataFrame:
     """Several child collections of one parent in a single aggregation.
 
     ``specs`` is a list of (child, fk, fields, as_). The children are
@@ -61,7 +63,8 @@ def nest_many(parent: DataFrame, pkey: str, specs, empty: str = "null") -> DataF
     unioned and grouped once by the foreign key, so k collections cost one
     shuffle and one join instead of k. ``collect_list`` skips the nulls;
     with ``empty='null'`` an empty collection becomes null (A7), with
-    ``'array'`` it stays ``[]`` (A8).
+    ``'array'`` it stays ``[]`` (A8). ``tasks`` deals parents and children to so
+    many tasks by the key, which bounds the arrays that one task holds.
     """
     typed = []
     for child, fk, fields, as_ in specs:
@@ -80,7 +83,7 @@ def nest_many(parent: DataFrame, pkey: str, specs, empty: str = "null") -> DataF
     for _, _, _, as_, _ in typed:
         c = F.sort_array(F.collect_list(F.col(as_)))
         aggs.append((F.when(F.size(c) == 0, F.lit(None)).otherwise(c) if empty == "null" else c).alias(as_))
-    grouped = unioned.groupBy("__fk").agg(*aggs)
+    parent, grouped = deal(parent, tasks, pkey), deal(unioned, tasks, "__fk").groupBy("__fk").agg(*aggs)
     out = parent.join(grouped, parent[pkey] == grouped["__fk"], "left").drop("__fk")
     if empty == "array":
         for _, _, _, as_, dtype in typed:

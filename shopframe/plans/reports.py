@@ -17,6 +17,7 @@ from ..functions.text import preview
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import nest as N
+from ..operators.dealing import deal, row_counts, tasks_for
 from ..operators.paging import DEFAULT_LIMIT, in_page_order, of_page, page_info, page_per_key, page_rows
 from ..schemas import ENUMS
 
@@ -24,6 +25,7 @@ Tables = Mapping[str, DataFrame]
 
 SELLER_SORT = ["created_at", "shop_name", "status", "rating"]
 SELLER_ENUMS = {"status": ENUMS["seller_status"]}
+PARENTS_A_TASK = 50_000  # rows that one task holds with their children
 
 
 # ---------------------------------------------------------------- Q15 (flagship)
@@ -91,12 +93,14 @@ def with_seller(products: DataFrame, sellers: DataFrame, page_size: int | None =
 
 
 def attach_product_children(rows: DataFrame, t: Tables, page_size: int | None = None, empty: str = "null",
-                            image_url_field: str = "image_url", with_features: bool = True) -> DataFrame:
+                            image_url_field: str = "image_url", with_features: bool = True,
+                            n_rows: int = 0) -> DataFrame:
     """Categories, images and features of the given product rows.
 
     Children are first restricted to the rows' ids, then aggregated; with
     ``page_size`` the rows are one page and the children are not shuffled
-    for that.
+    for that. ``n_rows`` is about the number of rows otherwise; it and the
+    children's number bound what one task nests.
     """
     def only(child, fk):
         if page_size:
@@ -113,7 +117,8 @@ def attach_product_children(rows: DataFrame, t: Tables, page_size: int | None =
     if with_features:
         specs.append((only(t["product_features"], "product_id"), "product_id", ["name", "value"], "features"))
     # one union + one aggregation for all collections (one shuffle instead of three)
-    return N.nest_many(rows, "id", specs, empty)
+    children = [] if page_size else row_counts([t[c] for c in ("product_categories", "product_images", "product_features")])
+    return N.nest_many(rows, "id", specs, empty, max(tasks_for(n_rows, PARENTS_A_TASK), tasks_for(sum(children))))
 
 
 def product_page(t: Tables, filtered: DataFrame, spec, limit: int, offset: int) -> DataFrame:
@@ -164,11 +169,12 @@ def new_arrivals(t: Tables, k: int = 10) -> DataFrame:
 
 
 def lookup(df: DataFrame, keys: DataFrame, on: str = "id", key_col: str | None = None,
-           missing: str = "drop") -> DataFrame:
+           missing: str = "drop", tasks: int = 0) -> DataFrame:
     """Batched key lookup (S2): rows of ``df`` for each requested key.
 
     ``missing='flag'`` keeps unknown keys with ``found = false`` (the
-    single-id form answered "not found"). Keys are de-duplicated first.
+    single-id form answered "not found"). Keys are de-duplicated first. ``tasks``
+    deals flagged keys and rows to so many tasks.
     """
     key_col = key_col or on
     ks = keys.select(F.col(key_col).alias("__key")).where(F.col("__key").isNotNull()).distinct()
@@ -177,6 +183,7 @@ def lookup(df: DataFrame, keys: DataFrame, on: str = "id", key_col: str | None =
     if missing != "flag":
         raise ValueError("missing must be 'drop' or 'flag'")
     hit = df.withColumn("__hit", F.lit(True))
+    ks, hit = deal(ks, tasks, "__key"), deal(hit, tasks, on)
     out = ks.join(hit, ks["__key"] == hit[on], "left")
     out = out.withColumn("found", F.coalesce(F.col("__hit"), F.lit(False)))
     return out.withColumn(on, F.col("__key")).drop("__key", "__hit") if on in df.columns else out
@@ -185,9 +192,11 @@ def lookup(df: DataFrame, keys: DataFrame, on: str = "id", key_col: str | None =
 def product_details(t: Tables, keys: DataFrame, key_col: str = "id") -> DataFrame:
     """Q3 for a batch of ids: found flag, product columns, seller, children."""
     prods = t["products"].select(*present(t["products"], PRODUCT_COLS + ["seller_id"]))
-    found = lookup(prods, keys, "id", key_col, missing="flag")
+    n_keys = keys.agg(F.approx_count_distinct(key_col)).first()[0]  # unknown keys come out as rows, too
+    found = lookup(prods, keys, "id", key_col, missing="flag",
+                   tasks=tasks_for(max(n_keys, prods.count()), PARENTS_A_TASK))
     out = with_seller(found, t["sellers"]).drop("seller_id")
-    return attach_product_children(out, t)
+    return attach_product_children(out, t, n_rows=n_keys)
 
 
 CATEGORY_SORT = ["created_at", "price", "name", "updated_at"]

@@ -38,6 +38,22 @@ def test_orphans_broadcast_few_parents(spark, monkeypatch):
     assert few.count() == sum(i % 60 >= 50 for i in range(400))
 
 
+def test_lookup_deals_products_with_their_children(spark, monkeypatch):
+    from shopframe.plans import reports as R
+    t = {"products": spark.range(100).selectExpr("id", "'n' AS name", "id % 4 AS seller_id"),
+         "sellers": spark.range(3).selectExpr("id", "'s' AS shop_name", "1 AS rating"),
+         "categories": spark.range(2).selectExpr("id", "'f' AS fa_name", "'e' AS en_name"),
+         "product_categories": spark.range(200).selectExpr("id % 100 AS product_id", "id % 3 AS category_id"),
+         "product_images": spark.range(50).selectExpr("id", "id * 2 AS product_id", "'u' AS image_url", "true AS is_main"),
+         "product_features": spark.range(30).selectExpr("id AS product_id", "'k' AS name", "'v' AS value")}
+    keys = spark.range(0, 220, 2)
+    want = sorted(map(str, R.product_details(t, keys).collect()))
+    monkeypatch.setattr(R, "PARENTS_A_TASK", 10)
+    dealt = R.product_details(t, keys)
+    assert {n >= 10 for n in _partitions(dealt, "__fk")} == {True}
+    assert sorted(map(str, dealt.collect())) == want and len(want) == 110
+
+
 @pytest.mark.parametrize("rows, tasks", [(0, 0), (100, 0), (101, 2), (1000, 10)])
 def test_tasks_grow_with_the_rows(rows, tasks):
     assert D.tasks_for(rows, 100) == tasks
