@@ -14,6 +14,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dealing import key_join, row_counts
+
 OUT_MONEY = "decimal(38,2)"
 
 
@@ -33,17 +35,20 @@ def attach_counts(parent: DataFrame, counts: DataFrame, pkey: str, cols: list[st
     return out
 
 
-def items_in_orders(order_items: DataFrame, orders: DataFrame, statuses_excluded: list[str] | None = None) -> DataFrame:
+def items_in_orders(order_items: DataFrame, orders: DataFrame, statuses_excluded: list[str] | None = None,
+                    counts: tuple[int, int] | None = None) -> DataFrame:
     """Order lines whose order exists (and optionally is not in some statuses).
 
     A semi join on the order key: only the order ids are read from the
-    orders table, and line columns are never duplicated.
+    orders table, and line columns are never duplicated. ``counts`` are the rows
+    of both tables, where they are known; they bound what one task joins.
     """
     o = orders
     if statuses_excluded:
         o = o.where(~F.col("status").isin(statuses_excluded))
     keys = o.select(F.col("id").alias("__oid"))
-    return order_items.join(keys, order_items["order_id"] == keys["__oid"], "left_semi")
+    n_lines, n_orders = counts or row_counts([order_items, orders])
+    return key_join(order_items, keys, "order_id", "__oid", "left_semi", n_lines, n_orders)
 
 
 def line_value(qty: str = "quantity", price: str = "price_at_time") -> Column:
@@ -84,7 +89,10 @@ def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
         prod = of_page(prod, "seller_id", *seller_page)
         lines = order_items.join(prod.select(F.col("__pid").alias("__lp")),
                                  order_items["product_id"] == F.col("__lp"), "left_semi")
-    items = lines if trusted_fk else items_in_orders(lines, orders)
+    # a page's lines are few; all lines are dealt by their number
+    counted = [order_items, orders, products] if seller_page is None and (sales is None or with_distinct_orders) else []
+    n_lines, n_orders, n_products = row_counts(counted) if counted else (0, 0, 0)
+    items = lines if trusted_fk else items_in_orders(lines, orders, counts=(n_lines, n_orders))
     sales = per_product_sales(items) if sales is None else sales
     by_seller = (prod.join(sales, prod["__pid"] == sales["product_id"], "left")
                      .groupBy(F.col("seller_id").alias("__k"))
@@ -97,11 +105,12 @@ def seller_scorecard(sellers: DataFrame, users: DataFrame, products: DataFrame,
     out = attach_counts(out, by_seller, "id", ["total_products", "total_orders"])
     out = out.withColumn("total_revenue", F.coalesce(F.col("total_revenue"), F.lit(0)).cast(OUT_MONEY))
     if with_distinct_orders:
-        pairs = (items.select("order_id", "product_id")
-                      .join(prod, F.col("product_id") == prod["__pid"], "inner")
-                      .select("seller_id", "order_id").distinct())
-        n_orders = count_by(pairs, "seller_id", "distinct_orders")
-        out = attach_counts(out, n_orders, "id", ["distinct_orders"])
+        # the orders come last: rows that were dealt by their order need no shuffle to be made distinct
+        sold = key_join(lines.select("order_id", "product_id"), prod, "product_id", "__pid", "inner", n_lines, n_products)
+        pairs = sold.select("seller_id", "order_id")
+        pairs = pairs if trusted_fk else items_in_orders(pairs, orders, counts=(n_lines, n_orders))
+        by_orders = count_by(pairs.distinct(), "seller_id", "distinct_orders")
+        out = attach_counts(out, by_orders, "id", ["distinct_orders"])
     return out
 
 

@@ -38,6 +38,22 @@ def test_orphans_broadcast_few_parents(spark, monkeypatch):
     assert few.count() == sum(i % 60 >= 50 for i in range(400))
 
 
+def test_scorecard_deals_lines_by_rows(spark, monkeypatch):
+    from shopframe.operators import metrics as A
+    users = spark.range(3).select("id", *[F.lit("x").alias(c) for c in ("first_name", "last_name", "email", "phone_number")])
+    sellers = spark.range(3).selectExpr("id", "'s' AS shop_name", "'active' AS status", "1 AS rating",
+                                        "DATE '2024-01-01' AS created_at", "id AS user_id")
+    products = spark.range(60).select("id", F.when(F.col("id") > 0, F.col("id") % 3).alias("seller_id"))
+    orders = spark.range(150).selectExpr("id", "'pending' AS status")
+    lines = spark.range(400).selectExpr("id % 160 AS order_id", "id % 60 AS product_id", "2 AS quantity", "1.5BD AS price_at_time")
+    board = lambda: sorted(A.seller_scorecard(sellers, users, products, lines, orders).collect())
+    want = board()
+    monkeypatch.setattr(D, "ROWS_A_TASK", 40)
+    dealt = A.seller_scorecard(sellers, users, products, lines, orders)
+    assert _partitions(dealt, "order_id") == {10}
+    assert board() == want and sum(r.total_orders for r in want) == sum(i % 160 < 150 and i % 60 > 0 for i in range(400))
+
+
 def test_lookup_deals_products_with_their_children(spark, monkeypatch):
     from shopframe.plans import reports as R
     t = {"products": spark.range(100).selectExpr("id", "'n' AS name", "id % 4 AS seller_id"),
