@@ -418,17 +418,21 @@ def order_status_change(orders: DataFrame, order_items: DataFrame, products: Dat
     # Only the lines of orders named in the batch are read for the owner check.
     touched = ch.select(F.col("order_id").alias("__to")).distinct()
     lines = order_items.join(touched, order_items["order_id"] == touched["__to"], "left_semi")
-    owned = (lines.select("order_id", "product_id")
-             .join(products.select(F.col("id").alias("__pid"), "seller_id"), F.col("product_id") == F.col("__pid"))
-             .join(sel, F.col("seller_id") == F.col("__sid"))
-             .select(F.col("order_id").alias("__oid"), F.col("__suser").alias("__ou")).distinct())
+    owners = (products.select(F.col("id").alias("__pid"), "seller_id").join(sel, F.col("seller_id") == F.col("__sid"))
+              .select("__pid", "__suser"))
+    pairs = (lines.select("order_id", "product_id").join(owners, F.col("product_id") == F.col("__pid"))
+             .select(F.col("order_id").alias("__oid"), F.col("__suser").alias("__ou")))
+    owned = pairs.distinct()
     flagged = ch.join(owned.withColumn("__owns", F.lit(True)),
                       (ch["order_id"] == owned["__oid"]) & (ch["seller_user_id"] == owned["__ou"]), "left")
     reason = (F.when(F.col("__owns").isNull(), F.lit("order not found or not owned"))
                .when(~F.col("status").isin(ENUMS["order_status"]), F.lit("invalid status")))
     flagged = flagged.withColumn("reason", reason)
-    valid = flagged.where(F.col("reason").isNull()).select(*ch.columns)
     rejected = flagged.where(F.col("reason").isNotNull()).select(*ch.columns, "reason")
+    # a semi join needs no distinct owners, and changes of an invalid status need no owner check; a null status keeps the old
+    allowed = F.coalesce(F.col("status").isin(ENUMS["order_status"]), F.lit(True))
+    valid = ch.where(allowed).join(pairs, (F.col("order_id") == F.col("__oid")) & (F.col("seller_user_id") == F.col("__ou")),
+                                   "left_semi")
     new = patch_coalesce(orders, valid.select(F.col("order_id").alias("id"), "status", *order), "id", ["status"], as_of, order)
     return {"orders": new, "rejected": rejected}
 
@@ -795,27 +799,37 @@ def shred(df: DataFrame, json_col: str, schema: T.StructType, array_field: str,
     parsed = parse_once(df, json_col, schema, "__doc")
     header_fields = [f.name for f in schema.fields if f.name != array_field]
     header = parsed.select(F.col(key), *[F.col(f"__doc.{f}").alias(f) for f in header_fields])
-    lines = (parsed.select(F.col(key), F.posexplode(F.col(f"__doc.{array_field}")).alias("__pos", "__item"))
-                   .select(F.col(key), (F.col("__pos") + 1).cast("bigint").alias(position), F.col("__item.*")))
-    return header, lines
+    return header, lines_of(parsed, "__doc", array_field, key, position)
+
+
+def lines_of(parsed: DataFrame, struct_col: str, array_field: str, key: str, position: str = "line_no") -> DataFrame:
+    """One row per element of a parsed document's array, with its 1-based position."""
+    return (parsed.select(F.col(key), F.posexplode(F.col(f"{struct_col}.{array_field}")).alias("__pos", "__item"))
+                  .select(F.col(key), (F.col("__pos") + 1).cast("bigint").alias(position), F.col("__item.*")))
 
 
 def place_orders(documents: DataFrame, user_col: str = "user_id", doc_id: str = "doc_id",
-                 json_col: str = "document", as_of=None) -> dict[str, DataFrame]:
+                 json_col: str = "document", as_of=None, parsed_col: str | None = None) -> dict[str, DataFrame]:
     """M21 (Q16): order documents -> order headers and lines in one unit.
 
     Header total is the sum of ``quantity * price`` of its lines (D3),
     status starts as pending; ``payment_method`` is kept. Order ids are
     derived from the document id, so a re-run yields the same keys.
+    Documents that were parsed before, to be checked, come with the struct
+    ``parsed_col`` (of ``ORDER_DOC_SCHEMA``) and are not parsed again.
     Returns {'orders', 'order_items'}."""
-    _, lines = shred(documents.select(doc_id, json_col), json_col, ORDER_DOC_SCHEMA, "items", doc_id)
+    if parsed_col:
+        headers = documents.withColumn("__d", F.col(parsed_col))
+        lines = lines_of(documents, parsed_col, "items", doc_id)
+    else:
+        headers = documents.withColumn("__d", F.from_json(F.col(json_col), ORDER_DOC_SCHEMA))
+        _, lines = shred(documents.select(doc_id, json_col), json_col, ORDER_DOC_SCHEMA, "items", doc_id)
     zero = F.lit(0).cast("decimal(38,2)")
     total = F.aggregate("__d.items", zero, lambda a, x: (a + F.coalesce(
         x["quantity"].cast("bigint") * x["price"], zero)).cast("decimal(38,2)"))
-    orders = (documents.withColumn("__d", F.from_json(F.col(json_col), ORDER_DOC_SCHEMA))
-                       .select(new_key(T.LongType(), "order", doc_id).alias("id"), user_col, F.col("__d.address_id"),
-                               F.coalesce(total, zero).cast("decimal(12,2)").alias("total_amount"),
-                               F.lit("pending").alias("status"), F.col("__d.payment_method"), F.col(doc_id)))
+    orders = headers.select(new_key(T.LongType(), "order", doc_id).alias("id"), user_col, F.col("__d.address_id"),
+                            F.coalesce(total, zero).cast("decimal(12,2)").alias("total_amount"),
+                            F.lit("pending").alias("status"), F.col("__d.payment_method"), F.col(doc_id))
     items = lines.select(new_key(T.LongType(), "order", doc_id).alias("order_id"), "line_no", "product_id",
                          "quantity", F.col("price").alias("price_at_time"), F.col(doc_id))
     if as_of is not None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,20 @@ def deal(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys) if tasks else df
 
 
+def held_by(df: DataFrame, tasks: int, key: str) -> DataFrame:
+    """``df`` dealt and sorted by ``key`` once and held on the executors' disks, for a job that joins it by that key many
+    times: joins of two frames held by as many tasks, and groups by the key, need no shuffle. Whoever calls it unpersists."""
+    return hold(deal(df, tasks, key).sortWithinPartitions(key))
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` computed now and held on the executors' disks, dealt and sorted as it is. A query that reads a frame twice
+    before it is held would run a job for each."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    held.count()
+    return held
+
+
 def key_join(left: DataFrame, keys: DataFrame, on: str, key: str, how: str, n_left: int, n_keys: int) -> DataFrame:
     """``left`` joined with ``keys`` on one column of each, given how many rows they have. Few keys are broadcast, many
     are dealt like the rows; two small sides are left to Spark. A semi or anti join would be moved below the dealing, so

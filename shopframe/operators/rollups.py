@@ -39,10 +39,10 @@ def _sums(lines: DataFrame, sign: int = 1, moved: bool = False) -> DataFrame:
         F.sum(F.when(cancelled, way * units).otherwise(zero)).alias("cancelled_units"))
 
 
-def _of_orders(order_items: DataFrame, orders: DataFrame, *cols: str) -> DataFrame:
+def _of_orders(order_items: DataFrame, orders: DataFrame, *cols: str, on: tuple[str, str] = ("order_id", "id")) -> DataFrame:
     """Lines with columns of their order; a line without an order is left out."""
-    o = orders.select(F.col("id").alias("__oid"), *cols)
-    return order_items.join(o, F.col("order_id") == F.col("__oid")).select(KEY, "quantity", "price_at_time", *cols)
+    o = orders.select(F.col(on[1]).alias("__oid"), *cols)
+    return order_items.join(o, F.col(on[0]) == F.col("__oid")).select(KEY, "quantity", "price_at_time", *cols)
 
 
 def sales_sums(order_items: DataFrame, orders: DataFrame) -> DataFrame:
@@ -50,9 +50,10 @@ def sales_sums(order_items: DataFrame, orders: DataFrame) -> DataFrame:
     return _sums(_of_orders(order_items, orders, "status"))
 
 
-def placed_deltas(orders: DataFrame, order_items: DataFrame) -> DataFrame:
-    """Deltas of the orders and lines that a batch of placements created (``changes.place_orders``)."""
-    return _sums(_of_orders(order_items, orders, "status"))
+def placed_deltas(orders: DataFrame, order_items: DataFrame, doc_id: str | None = None) -> DataFrame:
+    """Deltas of the orders and lines that a batch of placements created (``changes.place_orders``). With ``doc_id`` lines
+    find their order by the document that both were made of, which their order ids are derived from."""
+    return _sums(_of_orders(order_items, orders, "status", on=(doc_id, doc_id) if doc_id else ("order_id", "id")))
 
 
 def deleted_deltas(orders: DataFrame, order_items: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -69,10 +70,10 @@ def status_deltas(before: DataFrame, after: DataFrame, order_items: DataFrame, c
     named = changes.select(F.col(order_col).alias("__named")).distinct()
 
     def state(orders, name):
-        rows = orders.join(named, F.col("id") == F.col("__named"), "left_semi")
-        return rows.select("id", F.coalesce(F.col("status") == "cancelled", F.lit(True)).cast("int").alias(name))
+        return orders.select("id", F.coalesce(F.col("status") == "cancelled", F.lit(True)).cast("int").alias(name))
 
-    flipped = (state(before, "was").join(state(after, "now"), "id").where("was <> now")
+    old = before.join(named, F.col("id") == F.col("__named"), "left_semi")
+    flipped = (state(old, "was").join(state(after, "now"), "id").where("was <> now")
                .select("id", (F.col("now") - F.col("was")).alias("way")))
     return _sums(_of_orders(order_items, flipped, "way"), moved=True)
 

@@ -16,7 +16,7 @@ from ..operators import audit as C
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import windows as Wn
-from ..operators.dealing import row_counts
+from ..operators.dealing import deal, row_counts
 from ..operators.paging import deep_page
 from ..schemas import ENUMS, FOREIGN_KEYS
 from ..session import scratch_path
@@ -376,30 +376,33 @@ def q_register_users(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- S3 / M21 / C10 / C11 (Q16)
-def order_documents(t):
-    """Order documents (JSON text) built from line items: the payload shape of Q16."""
-    li = t.raw("lineitem")
-    o = t.raw("orders")
-    items = (li.groupBy("l_orderkey")
-               .agg(F.sort_array(F.collect_list(F.struct(
-                   F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("product_id"),
-                   F.col("l_quantity").cast("int").alias("quantity"),
-                   F.col("l_extendedprice").cast("decimal(12,2)").alias("price")))).alias("items")))
+def order_documents(t, tasks: int = 0):
+    """Order documents (JSON text) built from line items: the payload shape of Q16. With ``tasks`` the order lines are
+    held by their order in so many tasks, and the orders are dealt alike."""
+    o = deal(t.raw("orders"), tasks, "o_orderkey")
+    items = (t["order_items"].groupBy(F.col("order_id").alias("l_orderkey"))
+             .agg(F.sort_array(F.collect_list(F.struct(
+                 F.col("line_no").alias("n"), "product_id", "quantity", F.col("price_at_time").alias("price")))).alias("items")))
     pay = (F.when(F.col("o_orderpriority") == "1-URGENT", "credit_card")
             .when(F.col("o_orderpriority") == "5-LOW", "cash").otherwise("bank_transfer"))
     doc = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("address_id"), pay.alias("payment_method"),
                              F.col("items")))
+    items = items.hint("shuffle_hash") if tasks else items  # no sort of the nested lines, of which a task has few
     return (o.join(items, o["o_orderkey"] == items["l_orderkey"], "left")
              .select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("user_id"), doc.alias("document")))
 
 
-def placed_orders(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    docs = order_documents(t)
-    parsed = M.parse_once(docs, "document", M.ORDER_DOC_SCHEMA, "__d").select("doc_id", "user_id", "document", "__d.*")
+def checked_orders(t, tasks: int = 0):
+    """The order documents that pass the rules, parsed (``__d``), and the violations of the others."""
+    parsed = M.parse_once(order_documents(t, tasks), "document", M.ORDER_DOC_SCHEMA, "__d").select(
+        "doc_id", "user_id", "__d", "__d.*")
     valid, violations = C.validate(parsed, C.order_document_rules(), "doc_id", "order_documents")
-    placed = M.place_orders(valid.select("doc_id", "user_id", "document"))
-    return {"violations": violations, **placed}
+    return valid.select("doc_id", "user_id", "__d"), violations
+
+
+def placed_orders(spark, sf_dir):
+    valid, violations = checked_orders(tables(spark, sf_dir))
+    return {"violations": violations, **M.place_orders(valid, parsed_col="__d")}
 
 
 @register("validate_payloads")

@@ -14,12 +14,13 @@ from ..functions.predicates import between_if, eq_if, where_all
 from ..operators import changes as M
 from ..operators import metrics as A
 from ..operators import rollups as K
+from ..operators.dealing import held_by, hold, row_counts, tasks_for
 from ..operators.grams import GramIndex
 from ..schemas import FOREIGN_KEYS
 from ..session import scratch_path
 from ..sources.clustered import save_clustered
 from ..sources.tables import load_table
-from .queries_changes import placed_orders
+from .queries_changes import checked_orders
 from .registry import register, tables
 
 
@@ -34,18 +35,36 @@ _ORDER_FKS = [(c, col, "shop_orders", a) for c, col, p, a in FOREIGN_KEYS if p =
 def _kept_sales(spark, sf_dir):
     """The tables and the kept sums after three batches: status changes, placed orders, deletion of the oldest ones."""
     t = tables(spark, sf_dir)
-    kept = K.KeptSales.create(t["order_items"], t["shop_orders"], _folder(spark, "kept-sales"), buckets=16)
-    changes = t["order_status_changes"]
-    moved = M.order_status_change(t["shop_orders"], t["order_items"], t["products"], t["sellers"], changes)
-    orders = moved["orders"].checkpoint()
-    kept.add(K.status_deltas(t["shop_orders"], orders, t["order_items"], changes), 0)
-    placed = placed_orders(spark, sf_dir)
-    kind = t["order_items"].schema["product_id"].dataType
-    kept.add(K.placed_deltas(placed["orders"], placed["order_items"].withColumn("product_id", F.col("product_id").cast(kind))), 1)
-    asked = orders.where(F.col("created_at") < F.lit("1997-01-01").cast("date")).select("id")
-    gone = M.cascade_delete({"shop_orders": orders, "order_items": t["order_items"]}, "shop_orders", asked, _ORDER_FKS)
-    refused = gone["__rejected"].select(F.col("root").alias("id"))
-    kept.add(K.deleted_deltas(orders, t["order_items"], asked.join(refused, "id", "left_anti")), 2)
+    tasks = tasks_for(max(row_counts([t["order_items"], t["shop_orders"]])))
+    tasks = max(tasks, spark.sparkContext.defaultParallelism) if tasks else 0
+    # Every batch joins lines, orders, changes or documents by the order: each is dealt by it once. Lines of no order count
+    # nowhere and would all come to one task. The changes are derived first: ``spark.sql`` lets go of the frames it is given.
+    changes = held_by(t["order_status_changes"], tasks, "order_id")
+    lines = t["order_items"] = held_by(t["order_items"].where(F.col("order_id").isNotNull()), tasks, "order_id")
+    before = t["shop_orders"] = held_by(t["shop_orders"], tasks, "id")
+    held = [lines, before, changes]
+    try:
+        kept = K.KeptSales.create(lines, before, _folder(spark, "kept-sales"), buckets=16)
+        moved = M.order_status_change(before, lines, t["products"], t["sellers"], changes)
+        orders = held_by(moved["orders"], tasks, "id")
+        held.append(orders)
+        kept.add(K.status_deltas(before, orders, lines, changes), 0)
+        changes.unpersist()
+        documents = hold(checked_orders(t, tasks)[0])
+        held.append(documents)
+        placed = M.place_orders(documents, parsed_col="__d")
+        kind = lines.schema["product_id"].dataType
+        headers = placed["orders"].hint("shuffle_hash") if tasks else placed["orders"]
+        kept.add(K.placed_deltas(headers, placed["order_items"].withColumn("product_id", F.col("product_id").cast(kind)),
+                                 doc_id="doc_id"), 1)
+        documents.unpersist()
+        asked = orders.where(F.col("created_at") < F.lit("1997-01-01").cast("date")).select("id")
+        gone = M.cascade_delete({"shop_orders": orders, "order_items": lines}, "shop_orders", asked, _ORDER_FKS)
+        refused = gone["__rejected"].select(F.col("root").alias("id"))
+        kept.add(K.deleted_deltas(orders, lines, asked.join(refused, "id", "left_anti")), 2)
+    finally:
+        for df in held:
+            df.unpersist()
     return t, kept.read()
 
 
