@@ -8,6 +8,8 @@ before and after the shuffle. The slots of an anchor are then merged from the lo
 what has been merged when a window's upper limit is reached is the best of everything below it, and the window is the
 part that reaches its lower limit. A row is thus looked at once for the positives and once for all windows, and what is
 kept for an anchor (positives x k rows) does not depend on the size of the table, of a label or of a group of copies.
+Blocks are few rows of some MB each, small on disk and repeated for every part, which Spark's estimates do not see; so
+they meet in merge joins, and none of them passes through the driver.
 
 Scores are integer inner products of floor(scale * x), as doubles while all sums stay below 2^53 and as integers of any
 size otherwise; a score beyond 64 bits counts as the nearest long.
@@ -116,7 +118,7 @@ def merged_slots(kept: list[tuple[int, int, int]], positive_scores: list[int], l
 def _pairs(blocks: DataFrame, parts: int, rows: DataFrame) -> DataFrame:
     """Every block of anchors beside every block of rows with as many components."""
     every = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return every.join(rows, ["part", "dim"])
+    return every.join(rows.hint("merge"), ["part", "dim"])
 
 
 def _unpacked(r):
@@ -218,9 +220,9 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, label: Column | None = No
     best = land(_positives(_pairs(blocks, parts, dealt), positives), "positives")
     # at most anchors_per_block x positives short structs
     wanted = best.groupBy("block", "dim").agg(F.collect_list(F.struct("at", "score")).alias("positives"))
-    asked = land(blocks.join(wanted, ["block", "dim"]), "anchor-blocks")
+    asked = land(blocks.join(wanted.hint("merge"), ["block", "dim"]), "anchor-blocks")
     kept = _slot_rows(_pairs(asked, parts, dealt), low, high, k)
     slots = kept.groupBy(*KEY).agg(F.collect_list(F.struct("slot", "score", "id")).alias("kept"))
     of_anchor = best.groupBy(*KEY, "anchor_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "score", "id"))).alias("positives"))
-    return _windows(of_anchor.join(slots, KEY), low, high, k)
+    return _windows(of_anchor.join(slots.hint("merge"), KEY), low, high, k)

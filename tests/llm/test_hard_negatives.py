@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shopframe.llm import hard_negatives as H
+from shopframe.llm.common import land
 
 FIELDS = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
 
@@ -70,6 +71,18 @@ def test_other_windows_and_no_anchors(spark):
     assert H.hard_negatives(frame(spark, rows), F.lit(False)).collect() == []
 
 
+def test_blocks_do_not_pass_through_the_driver(spark):
+    """Blocks that are small on disk are large once they stand beside every part."""
+    everyone = H.labelled_vectors(frame(spark, vectors(400, 8, 9)), F.col("label"), "vec_id", "embedding")
+    blocks = land(H._blocks(everyone, 2, 256), "test-blocks")
+    anchors = blocks.select(F.col("part").alias("block"), "dim", *[F.col(c).alias(f"a_{c}") for c in
+                                                                   ("ids", "labels", "vectors")])
+    pairs = H._pairs(anchors, 2, blocks)
+    assert pairs.count() == 4 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    out = H.hard_negatives(frame(spark, vectors(400, 8, 9)), F.col("vec_id") % 10 == 0, rows_per_block=128)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-60, 60), max_size=5), st.lists(st.integers(-70, 70), max_size=60), st.integers(1, 6))
 def test_suffix_merges_answer_every_window(positives, scores, k):
