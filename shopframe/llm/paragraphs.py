@@ -18,7 +18,10 @@ lines could otherwise each lose the part that the other one is kept for).
 
 A band of very many lines does not emit all its pairs: every line is first compared with the smallest of its band;
 after the components of those links are known, only pairs of different components are compared, and of them none
-inside a band's largest component.
+inside a band's largest component. Where such a band is crowded (lines that share a passage, but little else, meet by
+the thousand), the lines' shingles are ordered from the rarest of the band to the commonest. Two lines at the threshold
+share a shingle near the start of both orders, so only lines that share one there, at places that leave enough of both,
+are compared; no pair at the threshold is lost.
 
 Defined results: a null text counts as empty and stays null; rows that repeat id and text are one document, but
 each row with a null id is one of its own; null ids come after all others (by a hash of the text) and are not named in
@@ -33,7 +36,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, land, separate_rows, ship_package
@@ -45,6 +48,7 @@ RECALL = 0.999
 MIN_WORDS = 8
 WINDOW = 25
 BAND_ROWS = 2
+CROWDED = 32
 
 
 def bands_for(threshold: float = THRESHOLD, rows: int = BAND_ROWS, recall: float = RECALL) -> int:
@@ -204,19 +208,62 @@ def _line_links(units: DataFrame, docs: DataFrame, threshold: float) -> DataFram
     labelled = land(met.select("key", "node").join(joined, "node", "left")
                     .select("key", "node", F.coalesce("component", "node").alias("label")), "line-labels")
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = (sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-               .where("labels > 1").select("key", F.col("top.label").alias("top")))
-    open_keys = land(labelled.join(largest, "key").join(sets, "node"), "open-bands")
+    largest = (sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"),
+                                        F.sum("n").alias("met"))
+               .where("labels > 1").select("key", F.col("top.label").alias("top"), "met"))
+    open_keys = labelled.join(largest, "key").join(sets, "node")
+    open_keys = land(open_keys.withColumn("row", F.monotonically_increasing_id()), "open-bands")
 
     def side(rows, name):
         return rows.select("key", F.col("node").alias(name), F.col("label").alias(f"label_{name}"),
-                           F.col("s").alias(f"s_{name}"))
-
-    pairs = side(open_keys.where("label <> top"), "a").join(side(open_keys, "b"), "key")
-    crossing = pairs.where((F.col("label_a") != F.col("label_b")) & _similar("s_a", "s_b", threshold))
+                           (F.col("label") == F.col("top")).alias(f"top_{name}"), F.col("s").alias(f"s_{name}"))
+
+    few = open_keys.where(F.col("met") <= CROWDED)
+    pairs = side(few.where("label <> top"), "a").join(side(few, "b"), "key")
+    crossing = pairs.where((F.col("label_a") != F.col("label_b")) & (F.col("top_b") | (F.col("a") < F.col("b")))
+                           & _similar("s_a", "s_b", threshold)).select("a", "b")
+    near = land(_crowded_pairs(open_keys.where(F.col("met") > CROWDED), threshold), "crowded-pairs")
+    near = near.join(named("a"), "a").join(named("b"), "b").where(_similar("s_a", "s_b", threshold)).select("a", "b")
+    crossing = crossing.unionByName(near)
     return first.unionByName(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _crowded_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) nodes of ``rows(row, key, node, label, top, s)`` that meet under a key: all pairs at the threshold whose
+    labels differ, and few others. A set of n shingles, ordered by how many sets of its key hold them, shares with one
+    at the threshold a shingle among its first n - share * n + 1, where the share is ``threshold``, or for the smaller
+    set of the two 2 * threshold / (1 + threshold); what follows that shingle in both holds the rest they share."""
+    def needed(n, share):
+        return F.ceil(n * F.lit(share) - F.lit(1e-6))  # rounding must not ask for more than there is
+
+    both = threshold / (1 + threshold)
+    held = rows.select("key", "row", F.explode("s").alias("t"))
+    held = held.withColumn("n", F.count("*").over(Window.partitionBy("key", "t"))).where("n > 1")
+    common = held.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("common"))
+    ordered = rows.select("row", "key", "node", "label", (F.col("label") == F.col("top")).alias("inner"),
+                          F.size("s").alias("n")).join(common, "row")
+    # the shingles that no other set of the key holds come first
+    alone = F.col("n") - F.size("common")
+    long = F.greatest(F.col("n") - needed(F.col("n"), threshold) + 1 - alone, F.lit(0)).cast("int")
+    marks = ordered.select("key", "node", "label", "inner", "n", alone.alias("alone"),
+                           F.posexplode(F.slice("common", F.lit(1), long)).alias("i", "c"))
+    marks = land(marks.select("key", F.col("c.t").alias("t"), "node", "label", "inner", "n",
+                              (F.col("alone") + F.col("i")).alias("at")), "band-marks")
+
+    def side(found, name):
+        return found.select("key", "t", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "label", "n", "at")])
+
+    def met(small, large):
+        rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        return side(small, "a").join(side(large, "b"), ["key", "t"]).where(
+            (F.col("label_a") != F.col("label_b")) & (F.struct("n_a", "node_a") < F.struct("n_b", "node_b"))
+            & (F.col("n_a") >= needed(F.col("n_b"), threshold)) & (rest >= needed(F.col("n_a") + F.col("n_b"), both)))
+
+    short = marks.where(F.col("at") <= F.col("n") - needed(F.col("n"), 2 * both))
+    found = met(short.where("not inner"), marks).unionByName(met(short.where("inner"), marks.where("not inner")))
+    return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _cut_out(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the spans ``wanted(node, k, c, start, end)``."""
     spans = wanted.groupBy("k", "c").agg(F.collect_list(F.struct("node", "start", "end")).alias("spans"))

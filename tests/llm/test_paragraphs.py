@@ -122,3 +122,41 @@ def test_copies_without_ids(spark):
     text = line(random.Random(15), 40)
     out = P.paragraph_dedup(documents(spark, [(None, text)] * 3)).collect()
     assert sorted(r.text for r in out) == ["", "", text] and all(r.kept_in == [] for r in out)
+
+
+def crowded(seed):
+    """Lines that share a passage of varying length, some of them near copies of each other."""
+    rng = random.Random(seed)
+    passage, out = line(rng, 40).split(), []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(rng.randrange(3, 16))]
+        out.append(passage[rng.randrange(4):] + own)
+        if i % 4 == 0:
+            out.append([*out[-1], f"more{i}"])
+    return [" ".join(w) for w in out]
+
+
+def test_crowded_pairs_lose_none_at_the_threshold(spark):
+    texts = crowded(16)
+    sets = [P.shingle_hashes(t).tolist() for t in texts]
+    rows = [(i, key, i, i % 50 if i % 50 else 1, 1, s) for i, s in enumerate(sets) for key in (7, 8) if key == 7 or i % 3]
+    frame = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)],
+                                  "row long, key long, node long, label long, top long, s array<long>")
+    for threshold in (0.5, 0.8, 1.0):
+        near = {(a, b) for (a, x), (b, y) in combinations([(i, set(s)) for i, s in enumerate(sets)], 2)
+                if len(x & y) >= threshold * len(x | y) and (a % 50 or 1) != (b % 50 or 1)}
+        found = {(min(r), max(r)) for r in map(tuple, P._crowded_pairs(frame, threshold).collect())}
+        assert near <= found and (near or threshold == 1.0)
+    found = P._crowded_pairs(frame, 0.8).count()
+    assert 0 < found < 0.25 * len(list(combinations(sets, 2)))  # all of them were compared before
+
+
+def test_crowded_bands_link_as_others_do(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(crowded(17))]
+    docs = documents(spark, rows)
+    few = sorted(map(str, P.paragraph_dedup(docs).collect()))
+    monkeypatch.setattr(P, "CROWDED", 2)
+    assert sorted(map(str, P.paragraph_dedup(docs).collect())) == few
+    monkeypatch.setattr(P, "CROWDED", 10_000)
+    assert sorted(map(str, P.paragraph_dedup(docs).collect())) == few
+    assert any("n_removed=1" in r for r in few) and any("n_removed=0" in r for r in few)
